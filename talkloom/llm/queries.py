@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkloom.llm import language_id, mixing, quality_rules, token_counts, warc
+from talkloom.llm import language_id, mixing, ngram_jaccard, quality_rules, substring_dedup, token_counts, warc
 from talkloom.llm._spark import read
 
 
@@ -15,6 +15,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.join(read(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -30,6 +34,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.index(spark, path)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
@@ -37,9 +46,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
+        "op3_ngram_jaccard": op3_ngram_jaccard,
         "op4_mixing": op4_mixing,
         "op6_quality_rules": op6_quality_rules,
         "op8_warc": op8_warc,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_language_id": op10_language_id,
     }
 
