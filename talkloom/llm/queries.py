@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkloom.llm import language_id, mixing, ngram_jaccard, quality_rules, substring_dedup, token_counts, warc
+from talkloom.llm import decontamination, html_extraction, language_id, license_scan, mixing, ngram_jaccard, quality_rules, substring_dedup, token_counts, warc
 from talkloom.llm._spark import read
 
 
@@ -15,6 +15,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.join(read(spark, sf_dir, "documents"))
 
@@ -23,11 +27,19 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return out.drop("rule")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.shared_path(spark)
     warc.archive(read(spark, sf_dir, "pages"), path)
@@ -46,9 +58,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_html_extraction": op2_html_extraction,
         "op3_ngram_jaccard": op3_ngram_jaccard,
         "op4_mixing": op4_mixing,
+        "op5_decontamination": op5_decontamination,
         "op6_quality_rules": op6_quality_rules,
+        "op7_license_scan": op7_license_scan,
         "op8_warc": op8_warc,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_language_id": op10_language_id,

@@ -40,8 +40,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from talkloom.llm import _text
 from talkloom.llm._spark import cut, packed_id, unpacked_id
@@ -320,6 +321,17 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({k: v if k in ("rid", "dk") else pa.array(v, pa.binary() if k == "kept" else pa.int64()) for k, v in out.items()})
 
 
+def whole_characters(column: str) -> Column:
+    """Text of a byte column; characters that a cut went through are left out."""
+
+    @F.arrow_udf(StringType())
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([None if x is None else x.decode("utf-8", "ignore") for x in batch.to_pylist()], pa.string())
+
+    return decode(F.col(column))
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, buckets: int | None = None) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans and kept, the remaining bytes."""
     text = F.coalesce(F.col(text_col), F.lit(""))
