@@ -62,7 +62,7 @@ def archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "u
     # one payload a digest: of the row with the largest id, which the partial aggregate finds without moving payloads
     first = heads.groupBy("sha256").agg(F.max(packed_id("id")).alias("keep"))
     stored = rows.join(first, (rows["sha256"] == first["sha256"]) & (packed_id("id") == first["keep"])).select(rows["sha256"], "payload")
-    stored.dropDuplicates(["sha256"]).write.parquet(f"{path}/payloads")
+    stored.dropDuplicates(["sha256"]).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def restore(spark: SparkSession, path: str) -> DataFrame:
@@ -78,15 +78,20 @@ def field(name: str, header: str = "header") -> Column:
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
-    """What the archive says of each record, after both digests of its payload are verified."""
-    r = restore(spark, path)
-    bad = (F.sha2("payload", 256) != F.col("sha256")) | (F.concat(F.lit("sha1:"), F.sha1("payload")) != field("WARC-Payload-Digest"))
-    r = r.withColumn("payload", F.when(bad, F.raise_error(F.concat(F.lit("payload does not match digest "), F.col("sha256"))).cast("binary")).otherwise(F.col("payload")))
+    """What the archive says of each record, after both digests of its payload are verified.
+
+    Payloads are verified where they are read; only their digests and sizes are joined to the records.
+    """
+    records, payloads = spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/payloads")
+    held = payloads.select("sha256", (F.sha2("payload", 256) == F.col("sha256")).alias("sound"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("n"))
+    r = records.join(held, "sha256")
+    bad = ~F.col("sound") | (F.concat(F.lit("sha1:"), F.col("sha1")) != field("WARC-Payload-Digest"))
+    r = r.withColumn("sha1", F.when(bad, F.raise_error(F.concat(F.lit("payload does not match digest "), F.col("sha256"))).cast("string")).otherwise(F.col("sha1")))
     number = lambda name: F.regexp_extract(field(name), r":(-?\d+)>$", 1).try_cast("long")
     return r.select(
         number("WARC-Record-ID").alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha1("payload").alias("payload_digest"),
+        F.col("n").alias("payload_bytes"),
+        F.col("sha1").alias("payload_digest"),
         field("WARC-Type").alias("record_type"),
         number("WARC-Refers-To").alias("refers_to"),
     )
