@@ -18,6 +18,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, use) -> Column:
+    """use(value) with the value computed once, also where lambdas refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def collapse(text: Column | str) -> Column:
     """White space runs become one space; trimmed."""
     return F.trim(F.regexp_replace(_col(text), _SPACE + "+", " "))

@@ -385,17 +385,18 @@ def build(calls: DataFrame, primary: DataFrame, alternative: DataFrame, speech:
     x = calls.select(call, "duration").join(gather(primary, "_p"), call, "left").join(gather(alternative, "_a"), call, "left").join(regions, call, "left")
     kind = x.schema[call].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    rows_type = to_arrow_type(_parse_datatype_string(ROWS))
 
-        out = to_arrow_schema(_parse_datatype_string(f"{call} {kind}, rows {ROWS}"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [build_one(r["_p"] or [], r["_a"] or [], r["duration"], r["_v"]) for r in batch.to_pylist()]
             for lists in rows:
                 for row in lists:
                     row["words"] = [{k: w.get(k) for k in ("word", "start", "end", "probability")} for w in row["words"]]
-            yield pa.RecordBatch.from_arrays([batch.column(call), pa.array(rows, out.field("rows").type)], schema=pa.schema([pa.field(call, batch.column(call).type), out.field("rows")]))
+            yield pa.RecordBatch.from_arrays([batch.column(call), pa.array(rows, rows_type)], names=[call, "rows"])
 
     built = x.mapInArrow(run, f"{call} {kind}, rows {ROWS}")
     return built.select(call, F.posexplode("rows").alias("index", "r")).select(call, "index", "r.*")

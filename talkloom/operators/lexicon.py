@@ -90,8 +90,7 @@ def contains_words(words: Column, wanted: list[str]) -> Column:
 
 def observed_alias(text: Column, term: Term) -> Column:
     """The longest form of the term that the text holds, or null."""
-    words = word_array(text)
-    return F.coalesce(*(F.when(contains_words(words, words_of(n)), F.lit(n)) for n in _longest_first(term.names)), F.lit(None).cast("string"))
+    return T.bind(word_array(text), lambda words: F.coalesce(*(F.when(contains_words(words, words_of(n)), F.lit(n)) for n in _longest_first(term.names)), F.lit(None).cast("string")))
 
 
 def _pattern(alias: str) -> str:

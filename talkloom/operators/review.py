@@ -17,7 +17,7 @@ def safe_text(text: Column) -> Column:
 
 
 def suggestions(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Full-segment suggestions of each row: (keys, position, id, source, source_label, text).
+    """Full-segment suggestions of each row: (keys, position, candidate_id, source, source_label, text).
 
     rows: (keys, text, raw_text, consensus_text, alternative, retry_text, fragments array<string>,
     entities array<string>, flags).  A fragment fills the marker if there is exactly one.
@@ -38,7 +38,7 @@ def suggestions(rows: DataFrame, keys: list[str]) -> DataFrame:
     best = x.groupBy(*keys, "_key").agg(F.min(F.struct("_pos", "source", "text")).alias("m")).select(*keys, "m.*")
     digest = F.substring(F.sha2(F.concat("source", F.char(F.lit(0)), "text"), 256), 1, 16)
     label = F.element_at(F.create_map(*(F.lit(v) for p in C.SUGGESTION_LABELS.items() for v in p)), F.col("source"))
-    return best.select(*keys, F.col("_pos").alias("position"), F.concat_ws("-", "source", digest).alias("id"), "source", label.alias("source_label"), "text")
+    return best.select(*keys, F.col("_pos").alias("position"), F.concat_ws("-", "source", digest).alias("candidate_id"), "source", label.alias("source_label"), "text")
 
 
 def review_errors(response: DataFrame, evidence: DataFrame, call: str = "call_id") -> DataFrame:
