@@ -1,6 +1,6 @@
 """One timed transcript from two decoding passes, and its consensus.
 
-``consensus`` and the predicates are expressions.  ``build`` folds each call's
+The predicates are expressions and ``consensus`` a chain of them.  ``build`` folds each call's
 segments in time order, where every step depends on what was kept before; a
 call is one row of arrays, so it runs as an Arrow map over calls.
 """
@@ -54,49 +54,54 @@ def n_probabilities(words: Column) -> Column:
     return F.coalesce(F.size(F.filter(words, lambda w: T.finite(w["probability"]))), F.lit(0))
 
 
-def consensus(text: str, alternative: str, retry: str, flags: str, words: str, other_words: str, providers: str, retry_aligned: str) -> Column:
-    """Struct (consensus_text, confidence_tier, reason) of a segment's hypotheses.
+def consensus(df: DataFrame) -> DataFrame:
+    """Adds consensus_text, confidence_tier and reason to rows of hypotheses.
 
-    words and other_words: arrays of WORD; providers: array of strings; retry_aligned: did a retry segment align well?
+    df: (text, alternative, retry_text, flags, words, other_words, providers, retry_aligned).  Each step is a column of
+    its own, so that no later expression repeats it.
     """
     empty = F.array().cast(f"array<{WORD}>")
-    w, o = F.coalesce(words, empty), F.coalesce(other_words, empty)
-    listed = F.array(
-        F.struct(F.lit("primary").alias("source"), T.normalize(F.coalesce(text, F.lit(""))).alias("text")),
-        F.struct(F.lit("enhanced").alias("source"), F.when(T.has_any(F.col(flags), ("alternative_failed_decode", "alternative_prompt_leakage")), F.lit("")).otherwise(T.normalize(F.coalesce(alternative, F.lit("")))).alias("text")),
-        F.struct(F.lit("recovery").alias("source"), T.normalize(F.coalesce(retry, F.lit(""))).alias("text")),
-    )
-    given = F.filter(listed, lambda c: (c["text"] != "") & (c["text"] != C.MARKER) & ~T.repeats(c["text"]))
-    n = F.size(given)
-    said = lambda i: F.get(given, F.lit(i))["text"]
-    agreed = F.when((n >= 2) & ((said(0) == said(1)) | (said(0) == F.coalesce(said(2), F.lit("")))), said(0)).when((n == 3) & (said(1) == said(2)), said(1))
-    families = F.size(F.array_distinct(F.transform(F.filter(F.coalesce(providers, F.array().cast("array<string>")), lambda p: F.coalesce(p, F.lit("")) != ""), lambda p: F.when(F.contains(p, F.lit("whisper")), F.lit("whisper")).otherwise(p))))
-    every = F.concat(w, o)
-    supported = (n_probabilities(every) >= 2) & F.coalesce(mean_probability(every) >= 0.65, F.lit(False))
-    unguarded = agreed.rlike(C.SENSITIVE) & (families < 2) & ~supported
-    strong_one = F.coalesce(F.col(retry_aligned), F.lit(False)) | ((n_probabilities(w) >= 2) & F.coalesce(mean_probability(w) >= 0.7, F.lit(False)))
-    strong_primary = (F.get(given, F.lit(0))["source"] == "primary") & (n_probabilities(w) >= 2) & F.coalesce(mean_probability(w) >= 0.7, F.lit(False))
-    whole = F.array_join(F.transform(given, lambda c: c["text"]), " ")
-    a, b = F.split(said(0), " "), F.split(said(1), " ")
-    least = F.least(F.size(a), F.size(b))
-    first = lambda x, y, most: F.size(F.filter(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda k: (k <= most) & (F.slice(x, 1, k) == F.slice(y, 1, k))))
-    prefix = first(a, b, least)
-    suffix = first(F.reverse(a), F.reverse(b), least - prefix)
-    middle = lambda x: F.slice(x, prefix + 1, F.greatest(F.size(x) - prefix - suffix, F.lit(0)))
-    tail = F.slice(a, F.greatest(F.size(a) - suffix + 1, F.lit(1)), suffix)
-    bridged = F.array_join(F.concat(F.slice(a, 1, prefix), F.array(F.lit(C.MARKER)), tail), " ")
-    differ = F.array_join(F.concat(middle(a), middle(b)), " ")
-    out = lambda t, tier, reason: F.struct(t.alias("consensus_text"), F.lit(tier).alias("confidence_tier"), F.lit(reason).alias("reason"))
-    return (
-        F.when(agreed.isNotNull() & unguarded, out(F.regexp_replace(agreed, r"\p{Nd}+", C.MARKER), "unresolved", "sensitive_requires_independent_evidence"))
-        .when(agreed.isNotNull(), out(agreed, "high", "two_valid_hypotheses_agree"))
-        .when(n == 0, out(F.lit(C.MARKER), "unresolved", "no_usable_decode"))
-        .when((n == 1) & strong_one, out(said(0), "medium", "strong_acoustic_alignment"))
-        .when(n == 1, out(said(0), "low", "single_valid_hypothesis"))
-        .when(strong_primary & ~whole.rlike(C.SENSITIVE_OR_NAME), out(said(0), "medium", "strong_primary_alignment_over_disagreement"))
-        .when(differ.rlike(C.SENSITIVE_OR_NAME), out(bridged, "unresolved", "sensitive_disagreement"))
-        .otherwise(out(bridged, "unresolved", "hypothesis_disagreement"))
+    fold = lambda c: T.normalize(F.coalesce(c, F.lit("")))
+    usable = lambda c: (F.col(c) != "") & (F.col(c) != C.MARKER) & ~T.repeats(c)
+    x = df.withColumns({"_w": F.coalesce("words", empty), "_all": F.concat(F.coalesce("words", empty), F.coalesce("other_words", empty)), "_p": fold("text"), "_e": F.when(T.has_any(F.col("flags"), ("alternative_failed_decode", "alternative_prompt_leakage")), F.lit("")).otherwise(fold("alternative")), "_r": fold("retry_text")})
+    x = x.withColumns({"_given": F.filter(F.array(F.when(usable("_p"), F.col("_p")), F.when(usable("_e"), F.col("_e")), F.when(usable("_r"), F.col("_r"))), lambda t: t.isNotNull()), "_first": usable("_p")})
+    at = lambda i: F.get("_given", F.lit(i))
+    strong = lambda c, least: (n_probabilities(F.col(c)) >= 2) & F.coalesce(mean_probability(F.col(c)) >= least, F.lit(False))
+    families = F.size(F.array_distinct(F.transform(F.filter(F.coalesce("providers", F.array().cast("array<string>")), lambda p: F.coalesce(p, F.lit("")) != ""), lambda p: F.when(F.contains(p, F.lit("whisper")), F.lit("whisper")).otherwise(p))))
+    x = x.withColumns({"_n": F.size("_given"), "_a": at(0), "_b": at(1), "_c": at(2), "_strong": strong("_w", 0.7), "_backed": strong("_all", 0.65) | (families >= 2)})
+    x = x.withColumn("_agreed", F.when(F.col("_a") == F.col("_b"), F.col("_a")).when(F.col("_a") == F.col("_c"), F.col("_a")).when(F.col("_b") == F.col("_c"), F.col("_b")))
+    x = x.withColumns({"_x": F.split("_a", " "), "_y": F.split("_b", " ")})
+    common = lambda p, q, most: F.size(F.filter(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda k: (k <= most) & (F.slice(p, 1, k) == F.slice(q, 1, k))))
+    x = x.withColumn("_least", F.least(F.size("_x"), F.size("_y")))
+    x = x.withColumn("_pre", common(F.col("_x"), F.col("_y"), F.col("_least")))
+    x = x.withColumn("_suf", common(F.reverse("_x"), F.reverse("_y"), F.col("_least") - F.col("_pre")))
+    middle = lambda c: F.slice(c, F.col("_pre") + 1, F.greatest(F.size(c) - F.col("_pre") - F.col("_suf"), F.lit(0)))
+    x = x.withColumns({
+        "_differ": F.array_join(F.concat(middle("_x"), middle("_y")), " "),
+        "_bridged": F.array_join(F.concat(F.slice("_x", 1, F.col("_pre")), F.array(F.lit(C.MARKER)), F.slice("_x", F.greatest(F.size("_x") - F.col("_suf") + 1, F.lit(1)), F.col("_suf"))), " "),
+    })
+    agreed = F.col("_agreed").isNotNull()
+    sure = F.coalesce("retry_aligned", F.lit(False)) | F.col("_strong")
+    rule = (
+        F.when(agreed & F.col("_agreed").rlike(C.SENSITIVE) & ~F.col("_backed"), 1)
+        .when(agreed, 2)
+        .when(F.col("_n") == 0, 3)
+        .when((F.col("_n") == 1) & sure, 4)
+        .when(F.col("_n") == 1, 5)
+        .when(F.col("_first") & F.col("_strong") & ~F.array_join("_given", " ").rlike(C.SENSITIVE_OR_NAME), 6)
+        .when(F.col("_differ").rlike(C.SENSITIVE_OR_NAME), 7)
+        .otherwise(8)
     )
+    x = x.withColumn("_rule", rule)
+    name = lambda *values: F.element_at(F.array(*(F.lit(v) for v in values)), F.col("_rule"))
+    r = F.col("_rule")
+    text = F.when(r == 1, F.regexp_replace("_agreed", r"\p{Nd}+", C.MARKER)).when(r == 2, F.col("_agreed")).when(r == 3, F.lit(C.MARKER)).when(r <= 6, F.col("_a")).otherwise(F.col("_bridged"))
+    out = x.withColumns({
+        "consensus_text": text,
+        "confidence_tier": name("unresolved", "high", "unresolved", "medium", "low", "medium", "unresolved", "unresolved"),
+        "reason": name("sensitive_requires_independent_evidence", "two_valid_hypotheses_agree", "no_usable_decode", "strong_acoustic_alignment", "single_valid_hypothesis", "strong_primary_alignment_over_disagreement", "sensitive_disagreement", "hypothesis_disagreement"),
+    })
+    return out.select(*(f"`{c}`" for c in df.columns if c not in ("consensus_text", "confidence_tier", "reason")), "consensus_text", "confidence_tier", "reason")
 
 
 def words_in_gap(words: Column, start: Column, end: Column) -> Column:

@@ -254,7 +254,7 @@ def merge_channels(spark, d):
    UNION ALL
    SELECT r.call_id, r.k, CASE WHEN r.start - f.we <= 0.5 AND r."end" - f.ws <= 15 THEN f.ws ELSE r.start END, r."end", CASE WHEN r.start - f.we <= 0.5 AND r."end" - f.ws <= 15 THEN f.w ELSE f.w + 1 END
    FROM f JOIN r ON r.call_id = f.call_id AND r.k = f.k + 1),
- w AS (SELECT call_id, w, min(ws) AS start, max(we) AS "end" FROM f GROUP BY 1, 2),
+ w AS (SELECT call_id, w, min(ws) AS start, arg_max(we, k) AS "end" FROM f GROUP BY 1, 2),
  p AS (SELECT call_id, start + i * 15 AS start, least(start + (i + 1) * 15, "end") AS "end" FROM (SELECT *, unnest(range(0, CAST(greatest(1, ceil(("end" - start) / 15)) AS BIGINT))) AS i FROM w))
  SELECT call_id, round(start, 3) AS start, round("end", 3) AS "end" FROM p WHERE "end" - start >= 0.2"""
 )
@@ -496,8 +496,8 @@ def build_evidence(spark, d):
 
 @query()
 def consensus(spark, d):
-    x = _timeline(spark, d).withColumn("retry_text", F.lit(None).cast("string")).withColumn("providers", F.array(F.lit("mlx-whisper"))).withColumn("aligned", F.lit(False)).withColumn("other", F.array().cast("array<struct<word:string,start:double,end:double,probability:double>>"))
-    return x.select("call_id", "id", evidence.consensus(F.col("text"), F.col("alternative"), F.col("retry_text"), "flags", F.col("words"), F.col("other"), F.col("providers"), "aligned").alias("c")).select("call_id", "id", "c.*")
+    x = _timeline(spark, d).withColumn("retry_text", F.lit(None).cast("string")).withColumn("providers", F.array(F.lit("mlx-whisper"))).withColumn("retry_aligned", F.lit(False)).withColumn("other_words", F.array().cast("array<struct<word:string,start:double,end:double,probability:double>>"))
+    return evidence.consensus(x).select("call_id", "id", "consensus_text", "confidence_tier", "reason")
 
 
 TERMS = (lexicon.Term("Ladenda", "brand", ("the and", "der und")), lexicon.Term("Onea", "support_name", ("on", "en")))
