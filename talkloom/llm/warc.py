@@ -61,8 +61,10 @@ def archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "u
     joined.select("id", "sha256", _header(kind, F.when(revisit, F.lit(0)).otherwise(F.col("n"))).alias("header")).write.parquet(f"{path}/records")
     # one payload a digest: of the row with the largest id, which the partial aggregate finds without moving payloads
     first = heads.groupBy("sha256").agg(F.max(packed_id("id")).alias("keep"))
-    stored = rows.join(first, (rows["sha256"] == first["sha256"]) & (packed_id("id") == first["keep"])).select(rows["sha256"], "payload")
-    stored.dropDuplicates(["sha256"]).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    stored = rows.join(first, (rows["sha256"] == first["sha256"]) & (packed_id("id") == first["keep"])).select(rows["sha256"], "keep", "payload")
+    # grouped by the join's own keys, so that payloads are not moved again
+    stored = stored.dropDuplicates(["sha256", "keep"]).select("sha256", "payload")
+    stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def restore(spark: SparkSession, path: str) -> DataFrame:
