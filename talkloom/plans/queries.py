@@ -522,3 +522,79 @@ def progress_events(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     body = F.to_json(F.struct(F.lit("talkloom.stage").alias("type"), F.col("event_type").alias("stage"), F.lit("active").alias("state"), F.col("props").alias("message")))
     return described(e.select("event_id", body.alias("value")), "value", "event_id").drop("timestamp")
+
+
+# ---- speakers, candidates, audio ----
+
+
+def _words(spark, d):
+    primary, _ = _hypotheses(spark, d)
+    s = primary.select("call_id", F.concat(F.lit("s"), "index").alias("id"), "start", "end", "text", "flags", "words", "index")
+    w = s.select("call_id", "id", F.posexplode("words").alias("word_index", "w")).select("call_id", "id", "word_index", "w.word", "w.start", "w.end", "w.probability")
+    turns = s.select("call_id", F.col("start").alias("start"), (F.col("start") + 4 + F.col("index") % 5).alias("end"), F.when(F.col("index") % 2 == 0, "A").otherwise("B").alias("speaker_id"))
+    return s, w, turns
+
+
+@query()
+def attribute_speakers(spark, d):
+    s, w, turns = _words(spark, d)
+    return speakers.attribute(s.drop("words", "index"), w, turns).select("call_id", "id", "source_segment_id", "start", "end", "speaker", F.array_join("flags", ",").alias("flags"))
+
+
+@query()
+def refine_speakers(spark, d):
+    s, w, turns = _words(spark, d)
+    aligned = speakers.align_segments(s, turns)
+    return speakers.refine(aligned, w.withColumn("score", F.col("probability")).withColumn("hits", F.lit(0.9)).withColumn("accepted", F.lit(True)), turns).select("call_id", "id", "speaker_id", "refined_id", "mixed")
+
+
+@query()
+def role_errors(spark, d):
+    s = table(spark, d, "segments").withColumn("speaker_id", F.when(F.col("speaker") != "system", F.col("speaker")))
+    quote = F.struct(F.col("id").alias("segment_id"), F.substring("text", 1, 10).alias("quote"))
+    roles = s.where("speaker_id = 'user'").groupBy("call_id", "speaker_id").agg(F.collect_list(quote).alias("evidence")).withColumn("role", F.lit(C.ROLES[0])).withColumn("reason", F.lit("asks"))
+    calls = table(spark, d, "audio_files").select(F.col("id").alias("call_id"), "direction")
+    return speakers.role_errors(roles, s, calls)
+
+
+@query()
+def decoding_candidates(spark, d):
+    primary, alternative = _hypotheses(spark, d)
+    both = primary.withColumn("variant", F.lit(0)).unionByName(alternative.withColumn("variant", F.lit(1)))
+    texts = both.groupBy("call_id", "variant").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "text"))), lambda x: x["text"]), " ").alias("text")).withColumn("prompt", F.lit(""))
+    scored = evaluation.candidate_defects(both, texts, ["call_id", "variant"])
+    best = evaluation.choose_candidate(scored, ["call_id"], "variant").withColumnRenamed("variant", "chosen")
+    return scored.join(best, "call_id").select("call_id", "variant", F.array_join("defects", ",").alias("defects"), "mean_logprob", "coverage", "chosen")
+
+
+@query()
+def retry_texts(spark, d):
+    primary, _ = _hypotheses(spark, d)
+    gaps = primary.select("call_id", (F.col("start") + 1).alias("start"), (F.col("start") + 5).alias("end"))
+    return evidence.retry_for_gaps(primary.withColumnsRenamed({"start": "s_start", "end": "s_end"}), gaps, ["call_id"])
+
+
+@query(
+    f"""{cte('segments')}, p AS (SELECT call_id, start, "end", greatest(0, start - 0.4) AS ts, least(200, "end" + 0.4) AS te, greatest(0, least(140, (start + "end") / 2 - 30)) AS xs FROM segments)
+ SELECT call_id, start AS gap_start, 'tight_vad' AS mode, round(ts, 3) AS a_start, round(te, 3) AS a_end FROM p WHERE round(te, 3) > round(ts, 3)
+ UNION ALL SELECT call_id, start, 'expanded', round(xs, 3), round(xs + 60, 3) FROM p"""
+)
+def attempt_windows(spark, d):
+    s = table(spark, d, "segments")
+    plans = s.select("call_id", F.col("start").alias("gap_start"), F.col("end").alias("gap_end"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end"), F.lit(200.0).alias("duration"))
+    return intervals.attempt_windows(plans, "duration", 60.0).select("call_id", "gap_start", "mode", "a_start", "a_end")
+
+
+@query()
+def timed_units(spark, d):
+    _, w, _ = _words(spark, d)
+    return intervals.timed_units(w, ["call_id", "id"])
+
+
+@query()
+def clip_gain(spark, d):
+    from talkloom.operators import audio
+
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x / 20).cast("array<float>").alias("s"))
+    louder = audio.gain(F.col("s"), rate=64)
+    return e.select("vec_id", F.size("s").alias("n"), F.round(F.array_max(F.transform(louder, lambda x: F.abs(x))).cast("double"), 5).alias("peak"), audio.channels(F.col("s"), F.reverse("s"), rate=32).alias("c")).select("vec_id", "n", "peak", "c.*")
