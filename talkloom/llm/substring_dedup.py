@@ -49,8 +49,8 @@ from talkloom.llm._spark import cut, packed_id, unpacked_id
 
 U64 = np.uint64
 GRAM = 20
-SLICE = 1 << 21
-BUCKET_BYTES = 128 << 20
+SLICE = 1 << 20
+BUCKET_BYTES = 8 << 20
 MIN_BUCKETS = 64
 _LOW = U64(0xFFFFFFFF)
 
@@ -359,7 +359,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _with_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(low, 1000) for b in batches for low in range(0, b.num_rows, 1000)):
         whole, sizes = batch.column("whole").to_pylist(), pa.compute.binary_length(batch.column("text").cast(pa.binary())).to_pylist()
         lists = [[np.array([0, n], dtype=np.int64).tobytes()] if w else x for w, n, x in zip(whole, sizes, batch.column("abs").to_pylist(), strict=True)]
         columns = {c: batch.column(c) for c in ("rid", "dk", "text")} | {"abs": pa.array(lists, pa.list_(pa.binary()))}
