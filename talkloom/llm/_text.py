@@ -15,7 +15,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BLOCK = 1 << 20
+_BLOCK = 1 << 19
 
 _powers = np.ones(1, dtype=U64)
 _inverses = np.ones(1, dtype=U64)
@@ -132,3 +132,17 @@ def utf8(column) -> list[bytes]:
     import pyarrow as pa
 
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+
+
+def slices(column, limit: int = 1 << 20):
+    """(i, j, texts) over an Arrow string column: runs of at most ``limit`` bytes, one text at least, converted one run at a time."""
+    import pyarrow.compute as pc
+
+    i, held = 0, 0
+    for j, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if held and held + n > limit:
+            yield i, j, utf8(column.slice(i, j - i))
+            i, held = j, 0
+        held += n
+    if i < len(column):
+        yield i, len(column), utf8(column.slice(i))

@@ -12,8 +12,9 @@ distinct n-word shingles.  The steps:
    infrequent shingles by hash, then frequent ones from rare to common, so
    common passages head a block only for texts that consist of them.  The
    entries travel packed, and those no other set shares are dropped at once.
-3. Every set proposes the earlier set with which it shares most entries; the
-   proposals are verified and the resulting forest is contracted.
+3. Every set proposes the earlier set with which it shares most entries, then,
+   where its blocks still span several components, the closest set by the
+   bound below; proposals are verified and contracted.
 4. Search: inside each block, sets are points whose coordinates count the
    shingles of each hash group.  The overlap of two sets is at most the sum of
    the coordinate minima.  Blocks of up to ``SMALL`` sets test this bound on
@@ -48,13 +49,15 @@ from talkloom.llm.components import components, forest_roots
 U64 = np.uint64
 #: Frequent shingles that are broadcast at most (16 bytes each).
 FREQUENT = 200_000
-GROUPS = 64
+GROUPS = 256
 SMALL = 8
 NODE = 16
 #: Entries in a block bucket, about; buckets are at least MIN_BUCKETS.
 BUCKET_ENTRIES = 500_000
 MIN_BUCKETS = 64
 BLOOM_WORDS = 1 << 20
+#: Shingles that a worker holds at once to find those that several texts share.
+PROFILE_SHINGLES = 3_000_000
 _KEEP = 6  # bytes of a shingle hash that verification compares
 
 
@@ -65,34 +68,56 @@ def _digest(shingles: np.ndarray) -> np.int64:
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[list[np.ndarray]]:
-    texts = _text.utf8(batch.column("text"))
-    for i, j in _text.chunks(texts):
-        yield _text.shingle_sets(texts[i:j], size)
+    for _, _, texts in _text.slices(batch.column("text")):
+        yield _text.shingle_sets(texts, size)
+
+
+def _coordinates(s: np.ndarray) -> bytes:
+    """Shingles per hash group, in the narrowest type that holds them."""
+    c = np.bincount((s >> U64(50)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    return c.astype(np.uint8 if c.max() < 256 else np.uint16 if c.max() < 65536 else np.uint32).tobytes()
+
+
+def _matrix(column) -> np.ndarray:
+    """Coordinates of an Arrow column, one row each."""
+    rows = column.to_pylist()
+    widths = {len(r) for r in rows}
+    if len(widths) == 1:
+        return np.frombuffer(b"".join(rows), dtype=f"u{widths.pop() // GROUPS}").reshape(-1, GROUPS)
+    return np.stack([np.frombuffer(r, dtype=f"u{len(r) // GROUPS}").astype(np.uint32) for r in rows]) if rows else np.zeros((0, GROUPS), dtype=np.uint8)
+
+
+def _repeated(distinct: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows (shingle, times) of shingles that several of these sets have."""
+    every = np.sort(np.concatenate([*distinct.values()])) if distinct else np.zeros(0, dtype=U64)
+    first, times = _groups(every)
+    many = times > 1
+    if many.any():
+        h = every[first[many]].view(np.int64)
+        blank = pa.nulls(len(h), pa.int64())
+        yield pa.RecordBatch.from_pydict({"rid": blank, "n": blank, "key": blank, "counts": pa.nulls(len(h), pa.binary()), "shingle": pa.array(h), "times": pa.array(times[many].astype(np.int64))})
 
 
 def _profile(size: int):
-    """Rows (rid, n, key) of documents; rows (shingle, times) of shingles that several sets of a batch have."""
+    """Rows (rid, n, key, counts) of documents; rows (shingle, times) of shingles that several sets of a batch have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, distinct = [], [], {}
+            n, keys, counts, distinct, held = [], [], [], {}, 0
             for sets in _sets(batch, size):
+                if held > PROFILE_SHINGLES:
+                    yield from _repeated(distinct)
+                    distinct, held = {}, 0
                 for s in sets:
                     key = int(_digest(s)) if len(s) else 0
                     n.append(len(s))
                     keys.append(key)
-                    if len(s):
-                        distinct.setdefault(key, s)
-            yield pa.RecordBatch.from_pydict({"rid": batch.column("rid"), "n": pa.array(n, pa.int64()), "key": pa.array(keys, pa.int64()), "shingle": pa.nulls(len(n), pa.int64()), "times": pa.nulls(len(n), pa.int64())})
-            if distinct:
-                every = np.sort(np.concatenate([*distinct.values()]))
-                first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-                times = np.diff(np.append(first, len(every)))
-                many = times > 1
-                if many.any():
-                    h = every[first[many]].view(np.int64)
-                    blank = pa.nulls(len(h), pa.int64())
-                    yield pa.RecordBatch.from_pydict({"rid": blank, "n": blank, "key": blank, "shingle": pa.array(h), "times": pa.array(times[many].astype(np.int64))})
+                    counts.append(_coordinates(s))
+                    if len(s) and key not in distinct:
+                        distinct[key] = s
+                        held += len(s)
+            yield pa.RecordBatch.from_pydict({"rid": batch.column("rid"), "n": pa.array(n, pa.int64()), "key": pa.array(keys, pa.int64()), "counts": pa.array(counts, pa.binary()), "shingle": pa.nulls(len(n), pa.int64()), "times": pa.nulls(len(n), pa.int64())})
+            yield from _repeated(distinct)
 
     return run
 
@@ -224,41 +249,33 @@ def _proposals(percent: int):
     return run
 
 
-def _bloom(entries: DataFrame) -> np.ndarray:
-    """Bits of the sets that have entries; a filled filter only lets more sets through."""
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                key = np.unique(np.frombuffer(r["c1"], dtype=np.int64)).view(U64)
-                word = ((key >> U64(6)) % U64(BLOOM_WORDS)).astype(np.int64)
-                order = np.argsort(word, kind="stable")
-                word, bit = word[order], (U64(1) << (key[order] & U64(63)))
-                if len(word):
-                    first = _groups(word)[0]
-                    yield pa.RecordBatch.from_pydict({"word": word[first], "bits": np.bitwise_or.reduceat(bit, first).view(np.int64)})
-
-    rows = entries.mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+def _bloom(pairs: DataFrame) -> np.ndarray:
+    """Bits of the sets in pairs (a, b); a filled filter only lets more sets through."""
+    key = pairs.select(F.explode(F.array("a", "b")).alias("key"))
+    word = F.pmod(F.shiftrightunsigned("key", 6), F.lit(BLOOM_WORDS)).alias("word")
+    rows = key.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, CAST(key & 63 AS INT))")).alias("bits")).toPandas()
     out = np.zeros(BLOOM_WORDS, dtype=U64)
     out[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64).view(U64)
     return out
 
 
-def _points(size: int, bloom: np.ndarray):
-    """Rows (key, n, counts, shingles) of the sets that the filter lets through."""
+def _kept_sets(size: int, bloom: np.ndarray):
+    """Rows (key, shingles) of the sets that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[int, tuple[int, bytes, bytes]] = {}
+            done: set[int] = set()
             for sets in _sets(batch, size):
+                out: dict[int, bytes] = {}
                 for s in sets:
-                    if not len(s) or (key := int(_digest(s))) in out:
+                    if not len(s) or (key := int(_digest(s))) in done:
                         continue
                     u = key & (1 << 64) - 1
                     if int(bloom[(u >> 6) % BLOOM_WORDS]) >> (u & 63) & 1:
+                        done.add(key)
                         low = np.sort(s & U64((1 << 8 * _KEEP) - 1))
-                        out[key] = (len(s), np.bincount((s >> U64(50)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.uint32).tobytes(), low.view(np.uint8).reshape(-1, 8)[:, :_KEEP].tobytes())
-            yield pa.RecordBatch.from_pydict({"key": pa.array(list(out), pa.int64()), "n": pa.array([x[0] for x in out.values()], pa.int32()), "counts": pa.array([x[1] for x in out.values()], pa.binary()), "shingles": pa.array([x[2] for x in out.values()], pa.binary())})
+                        out[key] = low.view(np.uint8).reshape(-1, 8)[:, :_KEEP].tobytes()
+                yield pa.RecordBatch.from_pydict({"key": pa.array(list(out), pa.int64()), "shingles": pa.array(list(out.values()), pa.binary())})
 
     return run
 
@@ -276,7 +293,7 @@ def _least_overlap(na, nb, percent: int):
 
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(low, 512) for whole in batches for low in range(0, whole.num_rows, 512)):
             linked = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 p, q = _unkeep(x), _unkeep(y)
@@ -294,9 +311,9 @@ def _within_bound(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint32).reshape(-1, GROUPS) for c in ("x", "y"))
-            need = _least_overlap(x.sum(axis=1), y.sum(axis=1).astype(np.int64), percent)
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(np.minimum(x, y).sum(axis=1) >= need))
+            x, y = (_matrix(batch.column(c)) for c in ("x", "y"))
+            need = _least_overlap(x.sum(axis=1, dtype=np.int64), y.sum(axis=1, dtype=np.int64), percent)
+            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(np.minimum(x, y).sum(axis=1, dtype=np.int64) >= need))
 
     return run
 
@@ -307,10 +324,13 @@ def _attach(pairs: DataFrame, points: DataFrame, column: str) -> DataFrame:
     return pairs.join(left, F.col("a") == F.col("ka")).select("a", "b", "x").join(right, F.col("b") == F.col("kb")).select("a", "b", "x", "y")
 
 
-def verified(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: first by the bound, then by the sets."""
-    near = _attach(pairs, points, "counts").mapInArrow(_within_bound(percent), "a long, b long")
-    return _attach(near, points, "shingles").mapInArrow(_verify(percent), "a long, b long")
+def verified(pairs: DataFrame, points: DataFrame, base: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link: by the bound first; only sets in pairs it allows are taken from the texts and compared."""
+    near = cut(_attach(pairs, points, "counts").mapInArrow(_within_bound(percent), "a long, b long"))
+    if near.isEmpty():
+        return near
+    sets = base.mapInArrow(_kept_sets(size, _bloom(near)), "key long, shingles binary").dropDuplicates(["key"])
+    return cut(_attach(near, sets, "shingles").mapInArrow(_verify(percent), "a long, b long"))
 
 
 class CountRTree:
@@ -339,10 +359,10 @@ class CountRTree:
             fits = (100 * high[node].astype(np.int64) >= percent * sizes[q].astype(np.int64)) & (100 * sizes[q].astype(np.int64) >= percent * low[node].astype(np.int64))
             q, node = q[fits], node[fits]
             ok = np.zeros(len(q), dtype=bool)
-            for i in range(0, len(q), 1 << 16):
-                j = slice(i, i + (1 << 16))
+            for i in range(0, len(q), 1 << 14):
+                j = slice(i, i + (1 << 14))
                 least = np.maximum(low[node[j]], -(-percent * sizes[q[j]].astype(np.int64) // 100))
-                ok[j] = np.minimum(points[q[j]], top[node[j]]).sum(axis=1) >= _least_overlap(sizes[q[j]], least, percent)
+                ok[j] = np.minimum(points[q[j]], top[node[j]]).sum(axis=1, dtype=np.int64) >= _least_overlap(sizes[q[j]], least, percent)
             q, node = q[ok], node[ok]
             if level:
                 width = len(self.levels[level - 1][1])
@@ -353,30 +373,44 @@ class CountRTree:
         return q, self.order[node]
 
 
-def _search(percent: int):
-    """Pairs of one bucket's large groups whose labels differ."""
+def _search(percent: int, best: bool):
+    """Pairs a < b of one bucket's large groups whose labels differ; with ``best`` only each set's closest by the bound."""
 
     def run(table: pa.Table) -> pa.Table:
         h, key, label = (table.column(c).to_numpy() for c in ("shingle", "key", "label"))
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.uint32).reshape(-1, GROUPS)
+        counts = _matrix(table.column("counts"))
         order = np.lexsort((key, h))
         h, key, label, counts = h[order], key[order], label[order], counts[order]
-        n = counts.sum(axis=1).astype(np.int64)
-        found = [np.zeros((0, 2), dtype=np.int64)]
+        n = counts.sum(axis=1, dtype=np.int64)
+        found, ratios = [np.zeros((0, 2), dtype=np.int64)], [np.zeros(0)]
         first, length = _groups(h)
         for a, m in zip(first.tolist(), length.tolist(), strict=True):
             s = slice(a, a + m)
             if (label[s] == label[a]).all():
                 continue
             tree = CountRTree(counts[s], n[s])
-            for low in range(0, m, 1024):
-                q = np.arange(low, min(m, low + 1024))
+            for low in range(0, m, 512):
+                q = np.arange(low, min(m, low + 512))
                 i, j = tree.search(counts[s][q], n[s][q], percent)
                 i = q[i]
-                ok = (key[s][i] < key[s][j]) & (label[s][i] != label[s][j])
-                found.append(np.stack((key[s][i[ok]], key[s][j[ok]]), axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
+                ok = (label[s][i] != label[s][j]) & ((key[s][i] != key[s][j]) if best else (key[s][i] < key[s][j]))
+                i, j = i[ok] + a, j[ok] + a
+                if best and len(i):
+                    r = np.concatenate([np.minimum(counts[i[k : k + 16384]], counts[j[k : k + 16384]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), 16384)]) / (n[i] + n[j])
+                    top = np.lexsort((key[j], -r, i))
+                    top = top[np.concatenate(([True], i[top][1:] != i[top][:-1]))]
+                    i, j = i[top], j[top]
+                    ratios.append(r[top])
+                found.append(np.stack((key[i], key[j]), axis=1))
+        pairs = np.concatenate(found)
+        if not best:
+            pairs = np.unique(pairs, axis=0)
+            return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy(), "ratio": np.zeros(len(pairs))})
+        r = np.concatenate(ratios)
+        top = np.lexsort((pairs[:, 1], -r, pairs[:, 0]))
+        pairs, r = pairs[top], r[top]
+        one = np.concatenate(([True], pairs[1:, 0] != pairs[:-1, 0])) if len(pairs) else np.zeros(0, dtype=bool)
+        return pa.table({"a": pairs[one, 0].copy(), "b": pairs[one, 1].copy(), "ratio": r[one]})
 
     return run
 
@@ -395,8 +429,9 @@ def _large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     """(documents, links): documents has rid (the id, packed), n and key of the set; links has pairs a < b of keys that span the components."""
     base = df.select(packed_id(id_col).alias("rid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    profile = cut(base.mapInArrow(_profile(size), "rid long, n long, key long, shingle long, times long"))
+    profile = cut(base.mapInArrow(_profile(size), "rid long, n long, key long, counts binary, shingle long, times long"))
     docs = profile.where("n is not null").select("rid", "n", "key")
+    points = profile.where("n > 0").select("key", "counts").dropDuplicates(["key"])
     hot, times = _frequent(profile)
     total = docs.agg(F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 0
     buckets = max(MIN_BUCKETS, -(-total // BUCKET_ENTRIES))
@@ -404,23 +439,33 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     entries = cut(base.mapInArrow(_entries(size, percent, buckets, hot, times), packed).groupBy("bucket").applyInArrow(_shared, packed))
 
     proposed = cut(entries.mapInArrow(_proposals(percent), "a long, b long, times long, small boolean").groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("small").alias("small")))
-    points = base.mapInArrow(_points(size, _bloom(entries)), "key long, n int, counts binary, shingles binary")
-    points = cut(points.dropDuplicates(["key"]))
     best = proposed.groupBy("b").agg(F.max(F.struct("times", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    tree = cut(verified(best, points, percent))
+    tree = verified(best, points, base, size, percent)
     roots = cut(forest_roots(tree.select(F.col("b").alias("node"), F.col("a").alias("parent"))))
+    searchable = "a long, b long, ratio double"
+    closest = _open_groups(entries, roots, points).groupBy("bucket").applyInArrow(_search(percent, best=True), searchable)
+    closest = closest.groupBy("a").agg(F.max(F.struct("ratio", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
+    near = verified(closest, points, base, size, percent)
+    tree = tree.unionAll(near)
+    roots = cut(components(tree))
+
+    rest = _labelled(_labelled(proposed.where("small").select("a", "b"), roots, "a", "la"), roots, "b", "lb").where("la <> lb").select("a", "b")
+    searched = _open_groups(entries, roots, points).groupBy("bucket").applyInArrow(_search(percent, best=False), searchable)
+    more = verified(rest.unionAll(searched.select("a", "b")).distinct(), points, base, size, percent)
+    return docs, tree.unionAll(more)
+
+
+def _labelled(rows: DataFrame, roots: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds the root of a key's component so far; a key without links is its own."""
+    r = roots.select(F.col("node").alias("r_node"), F.col("root").alias("r_root"))
+    return rows.join(r, F.col(key) == F.col("r_node"), "left").withColumn(name, F.coalesce("r_root", key)).drop("r_node", "r_root")
 
-    def labelled(rows: DataFrame, key: str, name: str) -> DataFrame:
-        r = roots.select(F.col("node").alias("r_node"), F.col("root").alias("r_root"))
-        return rows.join(r, F.col(key) == F.col("r_node"), "left").withColumn(name, F.coalesce("r_root", key)).drop("r_node", "r_root")
 
-    rest = labelled(labelled(proposed.where("small").select("a", "b"), "a", "la"), "b", "lb").where("la <> lb").select("a", "b")
-    large = labelled(entries.mapInArrow(_large, "bucket int, shingle long, key long"), "key", "label")
+def _open_groups(entries: DataFrame, roots: DataFrame, points: DataFrame) -> DataFrame:
+    """Members, with labels and coordinates, of the large groups that span several components."""
+    large = _labelled(entries.mapInArrow(_large, "bucket int, shingle long, key long"), roots, "key", "label")
     mixed = large.groupBy("bucket", "shingle").agg(F.min("label").alias("m"), F.max("label").alias("x")).where("m < x").select("bucket", "shingle")
-    large = large.join(mixed, ["bucket", "shingle"], "left_semi").join(points.select(F.col("key").alias("p_key"), "counts"), F.col("key") == F.col("p_key")).select("bucket", "shingle", "key", "label", "counts")
-    searched = large.groupBy("bucket").applyInArrow(_search(percent), "a long, b long")
-    more = verified(rest.unionAll(searched).distinct(), points, percent)
-    return docs, cut(tree.unionAll(more))
+    return large.join(mixed, ["bucket", "shingle"], "left_semi").join(points.select(F.col("key").alias("p_key"), "counts"), F.col("key") == F.col("p_key")).select("bucket", "shingle", "key", "label", "counts")
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
