@@ -152,7 +152,8 @@ def _segments(length: int, buckets: int):
     """Packed runs (id, text hash, document, first start, bytes) around repeated anchors.
 
     A run whose bytes an earlier run of the same batch has is a repetition as a
-    whole; it travels as a span without bytes.
+    whole; it travels as a span without bytes.  Rows equal in id and text are
+    read once, so that none repeats itself.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,6 +161,9 @@ def _segments(length: int, buckets: int):
             rid, th, dk = (batch.column(c).to_numpy() for c in ("rid", "th", "dk"))
             texts, wanted = _text.utf8(batch.column("text")), batch.column("ats").to_pylist()
             order = np.lexsort((th, rid))
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (rid[order[1:]] != rid[order[:-1]]) | (th[order[1:]] != th[order[:-1]])
+            order = order[new]
             texts, rid, th, dk = [texts[i] for i in order], rid[order], th[order], dk[order]
             wanted = [np.sort(np.frombuffer(b"".join(wanted[i]), dtype=np.int64)) for i in order]
             seen: set[bytes] = set()

@@ -101,6 +101,16 @@ def test_substring_dedup(docs, rows):
     assert sum(w[1] for w in want.values()) > 5000
 
 
+def test_substring_dedup_repeated_rows(spark):
+    rng = random.Random(8)
+    shared = prose(rng, 60)
+    first, second = f"{prose(rng, 40)} {shared} {prose(rng, 40)}", f"{prose(rng, 40)} {shared} {prose(rng, 40)}"
+    df = spark.createDataFrame([(1, first), (1, first), (2, second)], "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id, bytes(r.kept).decode(), r.n_removed) for r in substring_dedup.remove_repeats(df).collect())
+    assert got[:2] == [(1, first, 0)] * 2
+    assert got[2][2] >= len(shared) and shared not in got[2][1] and len(got) == 3
+
+
 def test_mixing(docs, rows):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows) and all(r.size == len(words(rows[r.doc_id][1])) and 0 <= r.taken <= 3 * r.size for r in got)
