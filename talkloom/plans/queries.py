@@ -474,7 +474,7 @@ def reset_folder(spark, d):
 
 
 def _hypotheses(spark, d):
-    s = table(spark, d, "segments").select("call_id", "index", "start", "end", F.substring("text", 1, 200).alias("text"), F.when(F.col("index") % 6 == 5, -1.5).otherwise(-0.3).alias("avg_logprob"), F.lit(0.1).alias("no_speech_prob"), F.when(F.col("index") % 7 == 6, 3.0).otherwise(1.2).alias("compression_ratio"), F.array().cast("array<string>").alias("flags"))
+    s = table(spark, d, "segments").select("call_id", "index", "start", "end", "text", F.when(F.col("index") % 6 == 5, -1.5).otherwise(-0.3).alias("avg_logprob"), F.lit(0.1).alias("no_speech_prob"), F.when(F.col("index") % 7 == 6, 3.0).otherwise(1.2).alias("compression_ratio"), F.array().cast("array<string>").alias("flags"))
     s = s.withColumn("end", F.greatest("end", F.col("start") + 0.5))
     w = F.split("text", "(?<= )")
     step = (F.col("end") - F.col("start")) / F.size(w)

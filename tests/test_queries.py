@@ -58,3 +58,23 @@ def test_retry_groups_has_every_call(spark, events):
         want += [(call, *g) for g in groups]
     got = [(r.call_id, r.gap_start, r.gap_end, r.n) for r in queries.retry_groups(spark, d).collect()]
     assert sorted(got) == sorted(want) and max(g[3] for g in got) > 1
+
+
+@pytest.fixture(scope="module")
+def conversations(spark, tmp_path_factory):
+    """(folder, text by call and turn): texts of some 50 to 290 characters without repeats."""
+    d, texts = tmp_path_factory.mktemp("conversations"), {}
+    for call in (1, 2):
+        for turn in range(8):
+            texts[call, turn] = " ".join(f"{a}{b}{c}" for a in "bdk"[: 1 + turn % 3] for b in "aeiou" for c in ("n", "rt", "lm", "sk", "p", f"x{chr(97 + turn)}")[: 2 + turn % 5]) + " end"
+    spark.createDataFrame([(c, t, "user" if t % 2 else "assistant", x) for (c, t), x in texts.items()], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    return str(d), texts
+
+
+def test_hypotheses_hold_whole_texts(spark, conversations):
+    d, texts = conversations
+    assert max(map(len, texts.values())) > 250
+    primary, alternative = (x.collect() for x in queries._hypotheses(spark, d))
+    assert {(r.call_id, r["index"]): r.text for r in primary} == texts
+    assert all("".join(w.word for w in r.words) == r.text for r in primary)
+    assert {(r.call_id, r["index"]): r.text for r in alternative} == {k: x[::-1] if k[1] % 4 == 2 else x for k, x in texts.items() if k[1] % 4 != 3}
