@@ -511,7 +511,10 @@ def glossary(spark, d):
 
 @query()
 def suggestions(spark, d):
-    s = table(spark, d, "segments").where("index % 3 = 0").select("call_id", "id", F.concat(F.substring("text", 1, 20), F.lit(" " + C.MARKER)).alias("text"), F.substring("text", 1, 40).alias("raw_text"), F.substring("text", 1, 40).alias("consensus_text"), F.substring("text", 1, 60).alias("alternative"), F.lit(None).cast("string").alias("retry_text"), F.array("speaker").alias("fragments"), F.array().cast("array<string>").alias("entities"), F.array().cast("array<string>").alias("flags"))
+    words = F.split("text", " ")
+    at = F.col("index") % F.size(words)
+    swapped = lambda new: F.array_join(F.transform(words, lambda x, i: F.when(i == at, new(x)).otherwise(x)), " ")
+    s = table(spark, d, "segments").select("call_id", "id", swapped(lambda x: F.lit(C.MARKER)).alias("text"), F.col("text").alias("raw_text"), F.col("text").alias("consensus_text"), swapped(F.reverse).alias("alternative"), F.lit(None).cast("string").alias("retry_text"), F.array("speaker").alias("fragments"), F.array().cast("array<string>").alias("entities"), F.array().cast("array<string>").alias("flags"))
     return review.suggestions(s, ["call_id", "id"])
 
 

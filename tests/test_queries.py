@@ -78,3 +78,16 @@ def test_hypotheses_hold_whole_texts(spark, conversations):
     assert {(r.call_id, r["index"]): r.text for r in primary} == texts
     assert all("".join(w.word for w in r.words) == r.text for r in primary)
     assert {(r.call_id, r["index"]): r.text for r in alternative} == {k: x[::-1] if k[1] % 4 == 2 else x for k, x in texts.items() if k[1] % 4 != 3}
+
+
+def test_suggestions_offer_every_segment_whole(spark, conversations):
+    d, texts = conversations
+    got = {}
+    for r in queries.suggestions(spark, d).collect():
+        got.setdefault((r.call_id, int(r.id[1:])), {})[r.source] = r.text
+    assert {k: v["raw"] for k, v in got.items()} == texts
+    for (_, turn), v in got.items():
+        words = v["raw"].split(" ")
+        i = turn % len(words)
+        words[i] = words[i][::-1]
+        assert v.get("alternative", v["raw"]) == " ".join(words)
