@@ -3,10 +3,11 @@
 Two documents link when 100 x |A & B| >= percent x |A | B| for their sets of
 distinct n-word shingles.  The steps:
 
-1. Each text gives its set's size, a 64-bit digest of the set (equal sets are
-   one class) and, for the shingles that several texts of a batch share, their
-   number; summed over all batches these name the frequent shingles.  At most
-   ``FREQUENT`` of them are broadcast; they only steer the order below.
+1. Each text gives its set's size, digests of the set (equal sets are one
+   class), its counts of shingles per hash group, and, for the shingles that
+   several texts of a batch share, their number; summed over all batches these
+   name the frequent shingles.  At most ``FREQUENT`` of them are broadcast; they
+   only steer the order below.
 2. Blocking: sets that reach the threshold share one of the first
    n - ceil(n x percent / 100) + 1 shingles in any common order.  The order is
    infrequent shingles by hash, then frequent ones from rare to common, so
@@ -15,27 +16,39 @@ distinct n-word shingles.  The steps:
 3. Every set proposes the earlier set with which it shares most entries, then,
    where its blocks still span several components, the closest set by the
    bound below; proposals are verified and contracted.
-4. Search: inside each block, sets are points whose coordinates count the
-   shingles of each hash group.  The overlap of two sets is at most the sum of
-   the coordinate minima.  Blocks of up to ``SMALL`` sets test this bound on
-   each pair; larger ones bulk-load an R-tree whose nodes keep the coordinate
-   maxima and the sizes below them, and descend only where the bound allows.
+4. Search: sets are points whose coordinates count the shingles of each hash
+   group.  The overlap of two sets is at most the sum of the coordinate minima.
+   Blocks of more than ``SMALL`` sets bulk-load an R-tree whose nodes keep the
+   coordinate maxima and the sizes below them, and descend only where the bound
+   allows; blocks of up to ``SMALL`` sets have their few pairs tested by the same
+   bound.  Neighbouring shingles of one passage make blocks of the same sets: one
+   of them is searched.  A block of more than ``SLICE`` sets is cut by size into
+   slices, and each slice queries the trees of the slices whose sizes can fit.
    Pairs that step 3 has connected are left out.
 5. Surviving pairs are verified on the sets themselves; links are joined to
    components.
 
 Nothing is capped or sampled.  A group of near copies costs a proposal per
-member, not its square, because connected pairs are not searched again.
+member, not its square, because connected pairs are not searched again.  Texts
+are read again only where one set of a pair within the bound is theirs.
+
+Classes go by 64 bits of digest; a second digest of 64 bits tells where these
+mix unequal sets, and replaces the first there.  Links compare all 64 bits of
+each shingle's hash.
 
 Null and empty texts have size 0 and are alone.  A text with fewer than n words
 has its whole sequence as its one shingle.  Repeated rows and equal texts share
-a component.  A null id sorts below all others and shows as null.  Other
-columns are ignored.
+a component.  A null id sorts below all others and shows as null; an id that is
+no whole number raises an error.  Ties between proposals go to the larger
+digest, which changes no component.  An empty table gives an empty result.
+Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +62,11 @@ from talkloom.llm.components import components, forest_roots
 U64 = np.uint64
 #: Frequent shingles that are broadcast at most (16 bytes each).
 FREQUENT = 200_000
-GROUPS = 256
-SMALL = 8
+#: Coordinates of a point at least, and at most (for large sets, half as many as shingles).
+GROUPS, MOST_GROUPS = 256, 4096
+#: Largest block whose pairs are tested one by one; sets of a block in one slice.
+SMALL = 4
+SLICE = 1024
 NODE = 16
 #: Entries in a block bucket, about; buckets are at least MIN_BUCKETS.
 BUCKET_ENTRIES = 500_000
@@ -58,7 +74,6 @@ MIN_BUCKETS = 64
 BLOOM_WORDS = 1 << 20
 #: Shingles that a worker holds at once to find those that several texts share.
 PROFILE_SHINGLES = 3_000_000
-_KEEP = 6  # bytes of a shingle hash that verification compares
 
 
 def _digest(shingles: np.ndarray) -> np.int64:
@@ -67,24 +82,48 @@ def _digest(shingles: np.ndarray) -> np.int64:
     return _text.mix(np.array([(_text.mix(shingles) * (place | U64(1))).sum() + U64(len(shingles))], dtype=U64)).view(np.int64)[0]
 
 
+def _twin(shingles: np.ndarray) -> int:
+    """Another 64-bit digest, independent of the first."""
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def _key(shingles: np.ndarray, split: frozenset[int]) -> int:
+    """The class of a set; ``split`` has the digests that unequal sets share."""
+    key = int(_digest(shingles))
+    return _twin(shingles) if key in split else key
+
+
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[list[np.ndarray]]:
     for _, _, texts in _text.slices(batch.column("text")):
         yield _text.shingle_sets(texts, size)
 
 
 def _coordinates(s: np.ndarray) -> bytes:
-    """Shingles per hash group, in the narrowest type that holds them."""
-    c = np.bincount((s >> U64(50)).astype(np.int64) % GROUPS, minlength=GROUPS)
-    return c.astype(np.uint8 if c.max() < 256 else np.uint16 if c.max() < 65536 else np.uint32).tobytes()
+    """Shingles per hash group, in the narrowest type that holds them, after the binary logarithm of their number."""
+    groups = GROUPS
+    while groups < MOST_GROUPS and 2 * groups < len(s):
+        groups *= 2
+    c = np.bincount((s >> U64(50)).astype(np.int64) % groups, minlength=groups)
+    return bytes([groups.bit_length() - 1]) + c.astype(np.uint8 if c.max() < 256 else np.uint16 if c.max() < 65536 else np.uint32).tobytes()
+
+
+def _point(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=f"u{(len(raw) - 1) >> raw[0]}", offset=1)
+
+
+def _fold(point: np.ndarray, groups: int) -> np.ndarray:
+    """The same counts over fewer groups."""
+    return point.reshape(-1, groups).sum(axis=0, dtype=np.uint32) if len(point) > groups else point
 
 
-def _matrix(column) -> np.ndarray:
-    """Coordinates of an Arrow column, one row each."""
-    rows = column.to_pylist()
-    widths = {len(r) for r in rows}
-    if len(widths) == 1:
-        return np.frombuffer(b"".join(rows), dtype=f"u{widths.pop() // GROUPS}").reshape(-1, GROUPS)
-    return np.stack([np.frombuffer(r, dtype=f"u{len(r) // GROUPS}").astype(np.uint32) for r in rows]) if rows else np.zeros((0, GROUPS), dtype=np.uint8)
+def _matrix(points: list[np.ndarray]) -> np.ndarray:
+    return np.stack([_fold(p, GROUPS).astype(np.uint32) for p in points]) if points else np.zeros((0, GROUPS), dtype=np.uint32)
+
+
+def overlap_bound(x: np.ndarray, y: np.ndarray) -> int:
+    """The sum of coordinate minima, over the finest groups that both points have."""
+    groups = min(len(x), len(y))
+    return int(np.minimum(_fold(x, groups), _fold(y, groups)).sum(dtype=np.int64))
 
 
 def _repeated(distinct: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -95,15 +134,15 @@ def _repeated(distinct: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     if many.any():
         h = every[first[many]].view(np.int64)
         blank = pa.nulls(len(h), pa.int64())
-        yield pa.RecordBatch.from_pydict({"rid": blank, "n": blank, "key": blank, "counts": pa.nulls(len(h), pa.binary()), "shingle": pa.array(h), "times": pa.array(times[many].astype(np.int64))})
+        yield pa.RecordBatch.from_pydict({"rid": blank, "n": blank, "key": blank, "twin": blank, "counts": pa.nulls(len(h), pa.binary()), "shingle": pa.array(h), "times": pa.array(times[many].astype(np.int64))})
 
 
 def _profile(size: int):
-    """Rows (rid, n, key, counts) of documents; rows (shingle, times) of shingles that several sets of a batch have."""
+    """Rows (rid, n, key, twin, counts) of documents; rows (shingle, times) of shingles that several sets of a batch have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, counts, distinct, held = [], [], [], {}, 0
+            n, keys, twins, counts, distinct, held = [], [], [], [], {}, 0
             for sets in _sets(batch, size):
                 if held > PROFILE_SHINGLES:
                     yield from _repeated(distinct)
@@ -112,11 +151,12 @@ def _profile(size: int):
                     key = int(_digest(s)) if len(s) else 0
                     n.append(len(s))
                     keys.append(key)
+                    twins.append(_twin(s))
                     counts.append(_coordinates(s))
                     if len(s) and key not in distinct:
                         distinct[key] = s
                         held += len(s)
-            yield pa.RecordBatch.from_pydict({"rid": batch.column("rid"), "n": pa.array(n, pa.int64()), "key": pa.array(keys, pa.int64()), "counts": pa.array(counts, pa.binary()), "shingle": pa.nulls(len(n), pa.int64()), "times": pa.nulls(len(n), pa.int64())})
+            yield pa.RecordBatch.from_pydict({"rid": batch.column("rid"), "n": pa.array(n, pa.int64()), "key": pa.array(keys, pa.int64()), "twin": pa.array(twins, pa.int64()), "counts": pa.array(counts, pa.binary()), "shingle": pa.nulls(len(n), pa.int64()), "times": pa.nulls(len(n), pa.int64())})
             yield from _repeated(distinct)
 
     return run
@@ -165,14 +205,14 @@ def _pack(bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(data)
 
 
-def _entries(size: int, percent: int, buckets: int, hot: np.ndarray, times: np.ndarray):
+def _entries(size: int, percent: int, buckets: int, hot: np.ndarray, times: np.ndarray, split: frozenset[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done: set[int] = set()
             h, keys, sizes, lengths = [], [], [], []
             for sets in _sets(batch, size):
                 for s in sets:
-                    if not len(s) or (key := int(_digest(s))) in done:
+                    if not len(s) or (key := _key(s, split)) in done:
                         continue
                     done.add(key)
                     h.append(_prefix(s, percent, hot, times))
@@ -249,43 +289,43 @@ def _proposals(percent: int):
     return run
 
 
-def _bloom(pairs: DataFrame) -> np.ndarray:
-    """Bits of the sets in pairs (a, b); a filled filter only lets more sets through."""
-    key = pairs.select(F.explode(F.array("a", "b")).alias("key"))
-    word = F.pmod(F.shiftrightunsigned("key", 6), F.lit(BLOOM_WORDS)).alias("word")
-    rows = key.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, CAST(key & 63 AS INT))")).alias("bits")).toPandas()
+def _bloom(marks: DataFrame) -> np.ndarray:
+    """Bits of the values in the one column of marks, hashes themselves; a filled filter only lets more through."""
+    word = F.pmod(F.shiftrightunsigned("mark", 6), F.lit(BLOOM_WORDS)).alias("word")
+    rows = marks.toDF("mark").groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, CAST(mark & 63 AS INT))")).alias("bits")).toPandas()
     out = np.zeros(BLOOM_WORDS, dtype=U64)
     out[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64).view(U64)
     return out
 
 
-def _kept_sets(size: int, bloom: np.ndarray):
-    """Rows (key, shingles) of the sets that the filter lets through."""
+def _through(bloom: np.ndarray, column: str):
+    """The rows whose mark the filter has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            u = batch.column(column).to_numpy().view(U64)
+            yield batch.filter(pa.array((bloom[(u >> U64(6)) % U64(BLOOM_WORDS)] >> (u & U64(63)) & U64(1)).astype(bool)))
+
+    return run
+
+
+def _kept_sets(size: int, bloom: np.ndarray, split: frozenset[int]):
+    """Rows (key, shingles) of the texts whose mark the filter has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _through(bloom, "mark")(batches):
             done: set[int] = set()
             for sets in _sets(batch, size):
                 out: dict[int, bytes] = {}
                 for s in sets:
-                    if not len(s) or (key := int(_digest(s))) in done:
-                        continue
-                    u = key & (1 << 64) - 1
-                    if int(bloom[(u >> 6) % BLOOM_WORDS]) >> (u & 63) & 1:
+                    if len(s) and (key := _key(s, split)) not in done:
                         done.add(key)
-                        low = np.sort(s & U64((1 << 8 * _KEEP) - 1))
-                        out[key] = low.view(np.uint8).reshape(-1, 8)[:, :_KEEP].tobytes()
+                        out[key] = s.tobytes()
                 yield pa.RecordBatch.from_pydict({"key": pa.array(list(out), pa.int64()), "shingles": pa.array(list(out.values()), pa.binary())})
 
     return run
 
 
-def _unkeep(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // _KEEP, 8), dtype=np.uint8)
-    wide[:, :_KEEP] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, _KEEP)
-    return wide.view(U64).ravel()
-
-
 def _least_overlap(na, nb, percent: int):
     """100 x overlap >= percent x union means overlap >= percent x (na + nb) / (100 + percent)."""
     return percent * (na.astype(np.int64) + nb) / (100 + percent)
@@ -296,7 +336,7 @@ def _verify(percent: int):
         for batch in (whole.slice(low, 512) for whole in batches for low in range(0, whole.num_rows, 512)):
             linked = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                p, q = _unkeep(x), _unkeep(y)
+                p, q = np.frombuffer(x, dtype=U64), np.frombuffer(y, dtype=U64)
                 both = np.concatenate((p, q))
                 both.sort()
                 inside = int((both[1:] == both[:-1]).sum())
@@ -308,12 +348,12 @@ def _verify(percent: int):
 
 def _within_bound(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (_matrix(batch.column(c)) for c in ("x", "y"))
-            need = _least_overlap(x.sum(axis=1, dtype=np.int64), y.sum(axis=1, dtype=np.int64), percent)
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(np.minimum(x, y).sum(axis=1, dtype=np.int64) >= need))
+        for batch in (whole.slice(low, 1024) for whole in batches for low in range(0, whole.num_rows, 1024)):
+            near = []
+            for p, q in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = _point(p), _point(q)
+                near.append(overlap_bound(x, y) >= _least_overlap(x.sum(dtype=np.int64), y.sum(dtype=np.int64), percent))
+            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(near, pa.bool_()))
 
     return run
 
@@ -324,13 +364,30 @@ def _attach(pairs: DataFrame, points: DataFrame, column: str) -> DataFrame:
     return pairs.join(left, F.col("a") == F.col("ka")).select("a", "b", "x").join(right, F.col("b") == F.col("kb")).select("a", "b", "x", "y")
 
 
-def verified(pairs: DataFrame, points: DataFrame, base: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: by the bound first; only sets in pairs it allows are taken from the texts and compared."""
-    near = cut(_attach(pairs, points, "counts").mapInArrow(_within_bound(percent), "a long, b long"))
-    if near.isEmpty():
-        return near
-    sets = base.mapInArrow(_kept_sets(size, _bloom(near)), "key long, shingles binary").dropDuplicates(["key"])
-    return cut(_attach(near, sets, "shingles").mapInArrow(_verify(percent), "a long, b long"))
+@dataclass
+class Corpus:
+    """What the steps share: base (rid, mark, text), docs (rid, n, key), one rid for each key, and coordinates of the keys in question."""
+
+    base: DataFrame
+    docs: DataFrame
+    split: frozenset[int]
+    size: int
+    percent: int
+    points: DataFrame | None = None
+
+    def texts_of(self, keys: DataFrame) -> np.ndarray:
+        """A filter of the marks of one text for each key."""
+        first = self.docs.where("n > 0").groupBy("key").agg(F.min("rid").alias("rid"))
+        return _bloom(first.join(keys.distinct(), "key", "left_semi").select(F.xxhash64("rid")))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link: by the bound first; only sets in pairs it allows are taken from the texts and compared."""
+        near = cut(_attach(pairs, self.points, "counts").mapInArrow(_within_bound(self.percent), "a long, b long"))
+        if near.isEmpty():
+            return near
+        wanted = self.texts_of(near.select(F.explode(F.array("a", "b")).alias("key")))
+        sets = self.base.mapInArrow(_kept_sets(self.size, wanted, self.split), "key long, shingles binary").dropDuplicates(["key"])
+        return cut(_attach(near, sets, "shingles").mapInArrow(_verify(self.percent), "a long, b long"))
 
 
 class CountRTree:
@@ -374,84 +431,108 @@ class CountRTree:
 
 
 def _search(percent: int, best: bool):
-    """Pairs a < b of one bucket's large groups whose labels differ; with ``best`` only each set's closest by the bound."""
+    """Pairs of one unit whose labels differ and that the bound allows, a < b; with ``best`` only each set's closest."""
 
     def run(table: pa.Table) -> pa.Table:
-        h, key, label = (table.column(c).to_numpy() for c in ("shingle", "key", "label"))
-        counts = _matrix(table.column("counts"))
-        order = np.lexsort((key, h))
-        h, key, label, counts = h[order], key[order], label[order], counts[order]
-        n = counts.sum(axis=1, dtype=np.int64)
-        found, ratios = [np.zeros((0, 2), dtype=np.int64)], [np.zeros(0)]
-        first, length = _groups(h)
-        for a, m in zip(first.tolist(), length.tolist(), strict=True):
-            s = slice(a, a + m)
-            if (label[s] == label[a]).all():
-                continue
-            tree = CountRTree(counts[s], n[s])
-            for low in range(0, m, 512):
-                q = np.arange(low, min(m, low + 512))
-                i, j = tree.search(counts[s][q], n[s][q], percent)
-                i = q[i]
-                ok = (label[s][i] != label[s][j]) & ((key[s][i] != key[s][j]) if best else (key[s][i] < key[s][j]))
-                i, j = i[ok] + a, j[ok] + a
-                if best and len(i):
-                    r = np.concatenate([np.minimum(counts[i[k : k + 16384]], counts[j[k : k + 16384]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), 16384)]) / (n[i] + n[j])
-                    top = np.lexsort((key[j], -r, i))
-                    top = top[np.concatenate(([True], i[top][1:] != i[top][:-1]))]
-                    i, j = i[top], j[top]
-                    ratios.append(r[top])
-                found.append(np.stack((key[i], key[j]), axis=1))
-        pairs = np.concatenate(found)
+        table = table.sort_by("key")
+        key, label, part = (table.column(c).to_numpy() for c in ("key", "label", "part"))
+        points = [_point(r) for r in table.column("counts").to_pylist()]
+        matrix = _matrix(points)
+        n = matrix.sum(axis=1, dtype=np.int64)
+        held, asking = np.flatnonzero(part == 0), np.flatnonzero(part == part.max())
+        tree, pairs, ratios = CountRTree(matrix[held], n[held]), [], []
+        for low in range(0, len(asking), 512):
+            q = asking[low : low + 512]
+            i, j = tree.search(matrix[q], n[q], percent)
+            i, j = q[i], held[j]
+            ok = label[i] != label[j]
+            for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+                if (bound := overlap_bound(points[x], points[y])) >= _least_overlap(n[x], n[y], percent):
+                    pairs.append((min(key[x], key[y]), max(key[x], key[y])))
+                    ratios.append(bound / (n[x] + n[y]))
+        found = np.array(pairs, dtype=np.int64).reshape(-1, 2)
         if not best:
-            pairs = np.unique(pairs, axis=0)
-            return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy(), "ratio": np.zeros(len(pairs))})
-        r = np.concatenate(ratios)
-        top = np.lexsort((pairs[:, 1], -r, pairs[:, 0]))
-        pairs, r = pairs[top], r[top]
-        one = np.concatenate(([True], pairs[1:, 0] != pairs[:-1, 0])) if len(pairs) else np.zeros(0, dtype=bool)
-        return pa.table({"a": pairs[one, 0].copy(), "b": pairs[one, 1].copy(), "ratio": r[one]})
+            found = np.unique(found, axis=0)
+            return pa.table({"a": found[:, 0].copy(), "b": found[:, 1].copy(), "ratio": np.zeros(len(found))})
+        both, r = np.concatenate((found, found[:, ::-1])), np.array(ratios * 2)
+        top = np.lexsort((both[:, 1], -r, both[:, 0]))
+        both, r = both[top], r[top]
+        one = np.concatenate(([True], both[1:, 0] != both[:-1, 0])) if len(both) else np.zeros(0, dtype=bool)
+        return pa.table({"a": both[one, 0].copy(), "b": both[one, 1].copy(), "ratio": r[one]})
 
     return run
 
 
-def _large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The entries of large groups, one row each."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of more than SMALL sets: a digest of the members, the members and their sizes, by size."""
     for batch in batches:
         for r in batch.to_pylist():
-            h = np.frombuffer(r["c0"], dtype=U64)
+            h, key, n = (np.frombuffer(r[c], dtype=t) for c, t in (("c0", U64), ("c1", np.int64), ("c2", np.int32)))
             first, length = _groups(h)
-            big = np.repeat(length > SMALL, length)
-            if big.any():
-                yield pa.RecordBatch.from_pydict({"bucket": np.full(int(big.sum()), r["bucket"], dtype=np.int32), "shingle": h[big].view(np.int64), "key": np.frombuffer(r["c1"], dtype=np.int64)[big]})
+            out: dict[bytes, tuple[bytes, bytes]] = {}
+            for a, m in zip(first[length > SMALL].tolist(), length[length > SMALL].tolist(), strict=True):
+                order = np.lexsort((key[a : a + m], n[a : a + m]))
+                members = key[a : a + m][order].tobytes()
+                out[hashlib.blake2b(members, digest_size=16).digest()] = (members, n[a : a + m][order].tobytes())
+            if out:
+                keys, sizes = zip(*out.values(), strict=True)
+                yield pa.RecordBatch.from_pydict({"block": pa.array(list(out), pa.binary()), "c1": pa.array(keys, pa.binary()), "c2": pa.array(sizes, pa.binary())})
+
+
+def _units(percent: int, width: int = SLICE):
+    """Rows (unit, part, key): each slice of a block with itself, and with each earlier slice whose sizes can fit (part 0 is the earlier one)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                key, n = np.frombuffer(r["c1"], dtype=np.int64), np.frombuffer(r["c2"], dtype=np.int32).astype(np.int64)
+                slices = [slice(low, low + width) for low in range(0, len(key), width)]
+                for j, later in enumerate(slices):
+                    for i, before in enumerate(slices[: j + 1]):
+                        if 100 * n[before][-1] >= percent * n[later][0]:
+                            both = [key[before]] if i == j else [key[before], key[later]]
+                            parts = np.repeat(np.arange(len(both), dtype=np.int32), [len(x) for x in both])
+                            yield pa.RecordBatch.from_pydict({"unit": pa.array([r["block"] + bytes(f"{i},{j}", "ascii")] * len(parts), pa.binary()), "part": parts, "key": np.concatenate(both)})
+
+    return run
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     """(documents, links): documents has rid (the id, packed), n and key of the set; links has pairs a < b of keys that span the components."""
-    base = df.select(packed_id(id_col).alias("rid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    profile = cut(base.mapInArrow(_profile(size), "rid long, n long, key long, counts binary, shingle long, times long"))
-    docs = profile.where("n is not null").select("rid", "n", "key")
-    points = profile.where("n > 0").select("key", "counts").dropDuplicates(["key"])
+    rid = packed_id(id_col)
+    base = df.select(rid.alias("rid"), F.xxhash64(rid).alias("mark"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    profile = cut(base.mapInArrow(_profile(size), "rid long, n long, key long, twin long, counts binary, shingle long, times long"))
+    known = profile.where("n is not null")
+    # unequal sets of one digest: some n * n / 2**65 of them
+    split = [r["key"] for r in known.groupBy("key").agg(F.min("twin").alias("low"), F.max("twin").alias("high")).where("low <> high").select("key").collect()]
+    known = known.withColumn("key", F.when(F.col("key").isin(split), F.col("twin")).otherwise(F.col("key"))) if split else known
+    docs = known.select("rid", "n", "key")
+    corpus = Corpus(base, docs, frozenset(split), size, percent)
     hot, times = _frequent(profile)
     total = docs.agg(F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 0
     buckets = max(MIN_BUCKETS, -(-total // BUCKET_ENTRIES))
     packed = "bucket int, c0 binary, c1 binary, c2 binary"
-    entries = cut(base.mapInArrow(_entries(size, percent, buckets, hot, times), packed).groupBy("bucket").applyInArrow(_shared, packed))
+    entries = cut(base.mapInArrow(_entries(size, percent, buckets, hot, times, corpus.split), packed).groupBy("bucket").applyInArrow(_shared, packed))
 
     proposed = cut(entries.mapInArrow(_proposals(percent), "a long, b long, times long, small boolean").groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("small").alias("small")))
+    blocks = entries.mapInArrow(_blocks, "block binary, c1 binary, c2 binary").dropDuplicates(["block"])
+    units = cut(blocks.mapInArrow(_units(percent), "unit binary, part int, key long"))
+    active = _bloom(proposed.select(F.explode(F.array("a", "b")).alias("key")).unionAll(units.select("key")).distinct())
+    points = known.where("n > 0").select("key", "counts").mapInArrow(_through(active, "key"), "key long, counts binary")
+    corpus.points = cut(points.dropDuplicates(["key"]))
+
     best = proposed.groupBy("b").agg(F.max(F.struct("times", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    tree = verified(best, points, base, size, percent)
+    tree = corpus.verified(best)
     roots = cut(forest_roots(tree.select(F.col("b").alias("node"), F.col("a").alias("parent"))))
     searchable = "a long, b long, ratio double"
-    closest = _open_groups(entries, roots, points).groupBy("bucket").applyInArrow(_search(percent, best=True), searchable)
+    closest = _open_units(units, roots, corpus.points).groupBy("unit").applyInArrow(_search(percent, best=True), searchable)
     closest = closest.groupBy("a").agg(F.max(F.struct("ratio", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
-    near = verified(closest, points, base, size, percent)
-    tree = tree.unionAll(near)
+    tree = tree.unionAll(corpus.verified(closest))
     roots = cut(components(tree))
 
     rest = _labelled(_labelled(proposed.where("small").select("a", "b"), roots, "a", "la"), roots, "b", "lb").where("la <> lb").select("a", "b")
-    searched = _open_groups(entries, roots, points).groupBy("bucket").applyInArrow(_search(percent, best=False), searchable)
-    more = verified(rest.unionAll(searched.select("a", "b")).distinct(), points, base, size, percent)
+    searched = _open_units(units, roots, corpus.points).groupBy("unit").applyInArrow(_search(percent, best=False), searchable)
+    more = corpus.verified(rest.unionAll(searched.select("a", "b")).distinct())
     return docs, tree.unionAll(more)
 
 
@@ -461,11 +542,11 @@ def _labelled(rows: DataFrame, roots: DataFrame, key: str, name: str) -> DataFra
     return rows.join(r, F.col(key) == F.col("r_node"), "left").withColumn(name, F.coalesce("r_root", key)).drop("r_node", "r_root")
 
 
-def _open_groups(entries: DataFrame, roots: DataFrame, points: DataFrame) -> DataFrame:
-    """Members, with labels and coordinates, of the large groups that span several components."""
-    large = _labelled(entries.mapInArrow(_large, "bucket int, shingle long, key long"), roots, "key", "label")
-    mixed = large.groupBy("bucket", "shingle").agg(F.min("label").alias("m"), F.max("label").alias("x")).where("m < x").select("bucket", "shingle")
-    return large.join(mixed, ["bucket", "shingle"], "left_semi").join(points.select(F.col("key").alias("p_key"), "counts"), F.col("key") == F.col("p_key")).select("bucket", "shingle", "key", "label", "counts")
+def _open_units(units: DataFrame, roots: DataFrame, points: DataFrame) -> DataFrame:
+    """Members, with labels and coordinates, of the units that span several components."""
+    labelled = _labelled(units, roots, "key", "label")
+    mixed = labelled.groupBy("unit").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("unit")
+    return labelled.join(mixed, "unit", "left_semi").join(points.select(F.col("key").alias("p_key"), "counts"), F.col("key") == F.col("p_key")).select("unit", "part", "key", "label", "counts")
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:

@@ -50,7 +50,8 @@ def test_token_counts(docs, rows):
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 1024)
 
 
-def test_jaccard_join(docs, rows):
+def jaccard_groups(rows):
+    """Set sizes and smallest linked ids, by plain Python."""
     fold = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     sets = {}
     for i, t, *_ in rows:
@@ -68,11 +69,54 @@ def test_jaccard_join(docs, rows):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
+    return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def test_jaccard_join(docs, rows):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.join(docs).collect()}
-    assert got == {i: (len(s), root(i)) for i, s in sets.items()}
+    assert got == jaccard_groups(rows)
     assert len({c for _, c in got.values()}) < len(got) - 10
 
 
+@pytest.mark.parametrize("cut_at", [1024, 8])
+def test_jaccard_join_searches_trees(spark, monkeypatch, cut_at):
+    """Families whose members differ more and more: many blocks are large, and links are found in the trees alone."""
+    rng = random.Random(9)
+    rows = []
+    for _ in range(5):
+        body = prose(rng, 120).split(" ")
+        for k in range(26):
+            share, text = rng.choice([0.0, 0.02, 0.03, 0.05, 0.07]), list(body)
+            for at in range(len(text)):
+                if rng.random() < share:
+                    text[at] = rng.choice(WORDS)
+            rows.append((len(rows), " ".join(text[: len(text) - (k % 4) * 8])))
+    searched, search, units = [], ngram_jaccard._open_units, ngram_jaccard._units
+
+    def watched(*args):
+        out = search(*args)
+        searched.append(out.select("unit").distinct().count())
+        return out
+
+    monkeypatch.setattr(ngram_jaccard, "_open_units", watched)
+    monkeypatch.setattr(ngram_jaccard, "_units", lambda percent: units(percent, cut_at))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == jaccard_groups(rows)
+    assert len(searched) == 2 and searched[0] > 5
+
+
+def test_jaccard_digests_that_collide(spark, monkeypatch):
+    """Unequal sets of one digest stay apart; null ids, empty tables and clashing names."""
+    rows = [(1, "a b c d e f g"), (2, "h i j k l m n"), (3, "a b c d e f g"), (None, "a b c d e f g"), (None, None)]
+    df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, key int, rid string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard.join(df).collect()), key=str)
+    assert got == sorted([(1, 3, None), (2, 3, 2), (3, 3, None), (None, 3, None), (None, 0, None)], key=str)
+    assert ngram_jaccard.join(df.where("false")).count() == 0
+    one, two = (ngram_jaccard._text.shingle_sets([t.encode()])[0] for t in ("a b c d e f g", "h i j k l m n"))
+    key = int(ngram_jaccard._digest(one))
+    assert ngram_jaccard._key(one, frozenset([key])) == ngram_jaccard._twin(one) != ngram_jaccard._twin(two)
+
+
 def test_r_tree_loses_nothing():
     import numpy as np
 
