@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,10 +17,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage in the shared checkpoint folder; a folder of its own only where none is set."""
+    """Ends the lineage in the shared checkpoint folder; a folder of its own only in a local session that sets none."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         where = sc.getConf().get("spark.checkpoint.dir", None)
+        if where is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="talkloom-checkpoint-"))
     return df.checkpoint()
 
