@@ -290,19 +290,38 @@ def test_license_in_wrapped_and_running_text(spark):
 
 def test_warc_round_trip(spark):
     big = "é" * 800
-    rows = [(1, "http://a", big), (2, None, big), (3, "http://b", big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "u\r\nX: y", ""), (8, "u", "z" * 1000)]
+    rows = [(1, "http://a", big), (2, None, big), (3, "http://b", big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "u\r\nX: y", ""), (8, "u", "z" * 1000), (8, "u", "z" * 1000), (None, "n", big), (9, "u", "y" * 3_000_000 + "\r\n\r\n")]
     path = warc.shared_path(spark)
-    warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
-    assert spark.read.parquet(f"{path}/payloads").count() == 4
-    got = {r.page_id: r for r in warc.index(spark, path).collect()}
-    for i, _, html in rows:
-        raw = (html or "").encode()
-        assert (got[i].payload_bytes, got[i].payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
-        assert (got[i].record_type, got[i].refers_to) == (("revisit", 3) if i in (1, 2) else ("response", None))
-    records = {r.id: bytes(r.record) for r in warc.restore(spark, path).collect()}
-    head, _, rest = records[3].partition(b"\r\n\r\n")
-    assert head.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and rest == big.encode() + b"\r\n\r\n"
-    assert records[1].endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n")
+    df = spark.createDataFrame([(*r, 0, "x") for r in rows], "page_id long, url string, html string, n int, sha256 string")
+    warc.archive(df.repartition(3), path)
+    assert spark.read.parquet(f"{path}/payloads").count() == 5 and spark.read.parquet(f"{path}/records").count() == len(rows)
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.index(spark, path).collect()]
+    raw = [(html or "").encode() for _, _, html in rows]
+    want = [(i, len(b), hashlib.sha1(b).hexdigest(), *(("revisit", 3) if i in (1, 2, None) else ("response", None))) for (i, _, _), b in zip(rows, raw, strict=True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    ids = set()
+    for r in warc.restore(spark, path).collect():
+        head, block = bytes(r.record).split(b"\r\n\r\n", 1)
+        fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+        assert head.startswith(b"WARC/1.1\r\n") and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(fields)
+        assert len(block) == int(fields["Content-Length"]) + 4 and block.endswith(b"\r\n\r\n")
+        http, _, body = block[:-4].partition(b"\r\n\r\n")
+        assert http.startswith(b"HTTP/1.1 200 OK\r\n") and bytes(r.payload) in raw
+        assert body == (b"" if fields["WARC-Type"] == "revisit" else bytes(r.payload)) and fields["WARC-Payload-Digest"] == f"sha1:{hashlib.sha1(r.payload).hexdigest()}"
+        ids.add(fields["WARC-Record-ID"])
+    assert len(ids) == len(rows)
+
+
+def test_warc_finds_what_was_changed(spark):
+    path = warc.shared_path(spark)
+    warc.archive(spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string"), path)
+    spark.createDataFrame([(hashlib.sha256(b"abc").hexdigest(), b"abd")], "sha256 string, payload binary").write.mode("overwrite").parquet(f"{path}/payloads")
+    spark.sql(f"DROP TABLE {warc._bucketed(spark, path, 8)}")
+    with pytest.raises(Exception, match="no payload that matches"):
+        warc.index(spark, path).collect()
+    empty = warc.shared_path(spark)
+    warc.archive(spark.createDataFrame([], "page_id long, url string, html string"), empty)
+    assert warc.index(spark, empty).count() == 0
 
 
 def test_pipeline(docs, rows, spark, tmp_path):
