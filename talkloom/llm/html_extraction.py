@@ -1,25 +1,35 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page is cut into blocks of text between block-level tags.  Each block gets a
-cost for being content and one for being boilerplate; they are the capacities
-to the two terminals of a flow network.  Blocks next to each other on the page,
-and consecutive blocks of one parent element, are joined by smoothness edges
-whose capacity falls with their distance in the DOM.  The minimum cut between
-the terminals is the labelling with the smallest sum of costs and cut edges.
-Blocks whose own costs outweigh all their edges are decided at once; maximum
-flow runs on the rest.
-
-The costs come from two sources.  Elements say what they hold (article, nav,
-footer, class and id words such as sidebar or comment); where they do, that
-weighs most.  A logistic classifier of block form (length, links, punctuation,
-tag) speaks for the other blocks; it is trained on blocks with such elements,
-of at most about ``max_pages`` pages chosen by a hash of the html.
+A page is cut into blocks of text between block-level tags.  A classifier gives
+each block a cost for being content and one for being boilerplate; they are the
+capacities to the two terminals of a flow network.  Blocks next to each other
+on the page, and consecutive blocks of one parent element, are joined by
+smoothness edges whose capacity falls with their distance in the DOM and with the difference in
+what their names say.  Maximum
+flow over the whole page finds the labelling with the smallest sum of costs and
+cut edges; of equal ones that with least content.
+
+The classifier adds up
+
+- names: what elements say by tag, class, id and role, from the root to the
+  block.  Each element gives a share between 0 and 1 for content and for
+  boilerplate; a share fades with every level below, and a nearer element
+  weakens what an outer one says against it.  A class of several words says
+  less than the word alone, and least if the word stands inside it;
+- place: where one element that claims content holds much of the page's text,
+  blocks outside such elements lose, in full from half of the text on;
+- form: a logistic model of length, links, punctuation and tag, fitted to blocks
+  whose names are clear, of about ``max_pages`` distinct pages chosen by a hash
+  of the html, at most ``PAGE_BLOCKS`` blocks each.
+
+No name decides alone: all three parts and the edges are of the same order.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are joined by one newline in page order, and nothing else is dropped or
 cut.  Null or empty pages, and pages without content, give an empty text.
-Unclosed elements and truncated pages are read as far as they go.  Repeated
-rows give equal results; other columns are ignored.
+Unclosed elements and truncated pages are read as far as they go, pages of any
+length as a whole.  Repeated rows give equal results.  An empty table gives an
+empty result.  Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +37,10 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
-from collections import deque
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +51,13 @@ from pyspark.sql.types import StringType
 #: Element names and the words of class, id and role that tell content from boilerplate.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HARD_TAGS = frozenset("nav footer aside menu dialog select option datalist svg iframe object canvas audio video".split())
-SOFT_TAGS = frozenset("header form button fieldset label legend".split())
+BOILER_TAGS = frozenset("nav footer aside menu dialog".split())
+FORM_TAGS = frozenset("form button fieldset label legend header".split())
+UNSEEN_TAGS = frozenset("select option datalist svg object canvas audio video".split())
 CONTENT_TAGS = frozenset("article main".split())
-HARD_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising banner banners breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disqus discussion footer gdpr menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion promotions recommended related replies reply respond share sharing sidebar sidebars skyscraper social sponsor sponsored sponsors subscribe subscription tagcloud teaser toolbar widget widgets complementary dialog alert".split()
+BOILER_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising banner banners breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disqus discussion footer gdpr menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion promotions recommended related replies reply respond share sharing sidebar sidebars skyscraper social sponsor sponsored sponsors subscribe subscription tagcloud teaser toolbar widget widgets complementary dialog alert header masthead form search login signup signin".split()
 )
-SOFT_WORDS = frozenset("header masthead form search login signup signin banner".split())
 CONTENT_WORDS = frozenset("article content main post entry story body text prose".split())
 
 _TOKEN = re.compile(
@@ -60,107 +71,169 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-NONE, CONTENT, SOFT, HARD = range(4)
-#: Strength of what the elements say, bound of the classifier's say, and of a smoothness edge at distance 0.
-PRIOR, FORM, SMOOTH = 6.0, 2.0, 1.0
+#: Share of a name that is the word alone, that starts or ends with it, that has it inside.
+ALONE, EDGE, INSIDE = 1.0, 0.6, 0.2
+#: What is left of a share one level below.
+FADE = 0.9
+#: Weights of names and place, bound of the form's say, and capacity of a smoothness edge at distance 0.
+NAMES, PLACE, FORM, SMOOTH = 4.0, 4.0, 2.0, 2.0
+#: Share of an edge that opposite names take.
+CONTRAST = 0.7
+#: Blocks of a page that the form is learnt from at most.
+PAGE_BLOCKS = 50
 
 
 @dataclass(slots=True)
 class Block:
     text: str
     tag: str
-    path: tuple[int, ...]
-    context: int
+    node: int
+    content: float
+    boiler: float
+    claim: int
     link_chars: int
 
 
-def _context(tag: str, attributes: str, parent: int) -> int:
-    """What an element holds, from its own name and words and what its parent holds."""
-    if parent == HARD or tag in HARD_TAGS:
-        return HARD
-    own = CONTENT if tag in CONTENT_TAGS else SOFT if tag in SOFT_TAGS else NONE
-    if attributes:
-        if _HIDDEN.search(attributes):
-            return HARD
-        if tag not in ("body", "html"):
-            words = {w.lower() for m in _NAMES.finditer(attributes) for w in _WORD.findall(m[1] or m[2] or m[3] or "")}
-            if words & HARD_WORDS:
-                return HARD
-            if own == NONE:
-                own = SOFT if words & SOFT_WORDS else CONTENT if words & CONTENT_WORDS else NONE
-    if own == SOFT and parent == CONTENT and tag == "header":
-        return CONTENT
-    return own or parent
-
-
-def blocks(html: str) -> list[Block]:
-    out: list[Block] = []
-    stack: list[tuple[str, int, int]] = [("", 0, NONE)]  # tag, number, context
-    number, links, link_chars = 0, 0, 0
-    parts: list[str] = []
-
-    def flush() -> None:
-        nonlocal link_chars
-        if parts:
-            raw = "".join(parts)
-            text = " ".join((html_lib.unescape(raw) if "&" in raw else raw).split())
-            if text:
-                tag, _, context = stack[-1]
-                out.append(Block(text, tag, tuple(n for t, n, _ in stack if t in BLOCK_TAGS), context, link_chars))
-            parts.clear()
-        link_chars = 0
-
-    for m in _TOKEN.finditer(html):
-        text = m[5]
-        if text is not None:
-            parts.append(text)
-            if links:
-                link_chars += len(text)
-            continue
-        tag = m[3]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m[2]:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+@dataclass(slots=True)
+class Open:
+    tag: str
+    node: int
+    content: float
+    boiler: float
+    claim: int
+    breaks: bool
+
+
+def shares(tag: str, attributes: str) -> tuple[float, float]:
+    """(content, boilerplate) that an element's own tag and names claim."""
+    content = 1.0 if tag in CONTENT_TAGS else 0.0
+    boiler = 1.0 if tag in BOILER_TAGS or tag in UNSEEN_TAGS else 0.8 if tag in FORM_TAGS else 0.0
+    if not attributes or tag in ("body", "html"):
+        return content, boiler
+    if _HIDDEN.search(attributes):
+        return 0.0, 1.0
+    said = [0.0, 0.0]
+    for m in _NAMES.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = [w.lower() for w in _WORD.findall(name)]
+            for k, w in enumerate(words):
+                side = 0 if w in CONTENT_WORDS else 1 if w in BOILER_WORDS else None
+                if side is not None:
+                    share = ALONE if len(words) == 1 else EDGE if k in (0, len(words) - 1) else INSIDE
+                    said[side] = 1 - (1 - said[side]) * (1 - share)
+    net = said[0] - said[1]
+    if net < 0:  # names are nearer to the point than tags
+        return content * (1 + net), max(boiler, -net)
+    return max(content, net), boiler
+
+
+def _below(parent: Open, tag: str, attributes: str) -> tuple[float, float]:
+    """Shares at an element, of what it and its ancestors claim."""
+    content, boiler = shares(tag, attributes)
+    if tag == "header" and boiler == 0.8 and parent.content > parent.boiler:
+        boiler = 0.0
+    outer_content, outer_boiler = parent.content * FADE, parent.boiler * FADE
+    return max(outer_content * (1 - boiler), content * (1 - outer_boiler)), max(outer_boiler * (1 - content / 4), boiler)
+
+
+class Page:
+    """Blocks of a page, and the tree of its block-level elements."""
+
+    def __init__(self, html: str):
+        self.blocks: list[Block] = []
+        self.parent, self.depth = [0], [0]
+        self._read(html)
+
+    def distance(self, a: int, b: int) -> int:
+        """Steps between two elements through the DOM."""
+        steps = 0
+        while a != b:
+            if self.depth[a] < self.depth[b]:
+                a, b = b, a
+            a = self.parent[a]
+            steps += 1
+        return steps
+
+    def _read(self, html: str) -> None:
+        stack = [Open("", 0, 0.0, 0.0, 0, True)]
+        count: dict[str, int] = {}  # open elements by tag
+        links, link_chars = 0, 0
+        parts: list[str] = []
+
+        def flush() -> None:
+            nonlocal link_chars
+            if parts:
+                raw = "".join(parts)
+                text = " ".join((html_lib.unescape(raw) if "&" in raw else raw).split())
+                if text:
+                    top = stack[-1]
+                    self.blocks.append(Block(text, top.tag, top.node, top.content, top.boiler, top.claim, min(link_chars, len(text))))
+                parts.clear()
+            link_chars = 0
+
+        def close(at: int) -> None:
+            for e in stack[at:]:
+                count[e.tag] -= 1
+            del stack[at:]
+
+        for m in _TOKEN.finditer(html):
+            text = m[5]
+            if text is not None:
+                parts.append(text)
+                if links:
+                    link_chars += len(text)
+                continue
+            tag = m[3]
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if m[2]:
+                if tag in BLOCK_TAGS:
+                    flush()
+                if tag == "a":
+                    links = max(0, links - 1)
+                if count.get(tag):
+                    at = next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag)
+                    if any(e.breaks for e in stack[at:]):
+                        flush()
+                        if any(e.tag in BLOCK_TAGS for e in stack[at:]):
+                            links = 0
+                    close(at)
+                continue
             if tag in BLOCK_TAGS:
                 flush()
+                if (at := _implied(stack, tag)) is not None:
+                    close(at)
+            elif tag == "br":
+                parts.append(" ")
+            if tag in VOID_TAGS or m[4].endswith("/") and tag not in BLOCK_TAGS:
+                continue
             if tag == "a":
-                links = max(0, links - 1)
-            if at:
-                if any(t in BLOCK_TAGS for t, _, _ in stack[at:]):
-                    flush()
-                    links = 0
-                del stack[at:]
-            continue
-        if tag in BLOCK_TAGS:
-            flush()
-            if stack[-1][0] not in BLOCK_TAGS or stack[-1][0] in ("p", "li", "dd", "dt", "option"):
-                _close_implied(stack, tag)
-        elif tag == "br":
-            parts.append(" ")
-        if tag in VOID_TAGS or m[4].endswith("/") and tag not in BLOCK_TAGS:
-            continue
-        if tag == "a":
-            links += 1
-        number += 1
-        context = _context(tag, m[4], stack[-1][2])
-        if context != stack[-1][2] and parts:
-            flush()
-        stack.append((tag, number, context))
-    flush()
-    return out
+                links += 1
+            top = stack[-1]
+            content, boiler = _below(top, tag, m[4])
+            breaks, node = tag in BLOCK_TAGS, top.node
+            if breaks:
+                self.parent.append(node)
+                self.depth.append(self.depth[node] + 1)
+                node = len(self.parent) - 1
+            elif boiler >= 0.8 > top.boiler:  # an inline element that claims boilerplate is a block of its own
+                flush()
+                breaks = True
+            stack.append(Open(tag, node, content, boiler, top.claim or (node if content > 0.5 else 0), breaks))
+            count[tag] = count.get(tag, 0) + 1
+        flush()
 
 
-def _close_implied(stack: list[tuple[str, int, int]], tag: str) -> None:
-    """A block-level tag ends an open paragraph, with what is open in it; items of one list end each other."""
+def _implied(stack: list[Open], tag: str) -> int | None:
+    """Where a block-level tag ends what is open: a paragraph with all inside it, or the item before in one list."""
     for i in range(len(stack) - 1, 0, -1):
-        t = stack[i][0]
+        t = stack[i].tag
         if t == "p" or t == tag and t in ("li", "option") or tag in ("dd", "dt") and t in ("dd", "dt"):
-            del stack[i:]
-            return
+            return i
         if t in BLOCK_TAGS:
-            return
+            return None
+    return None
 
 
 FORM_FEATURES = 8
@@ -175,7 +248,7 @@ def form(b: Block) -> list[float]:
 
 
 #: Used where the sample has too few blocks of a kind to learn from.
-DEFAULT_WEIGHTS = (-1.5, 1.5, -4.0, 1.0, 1.0, -1.0, 0.5, -0.5)
+DEFAULT_WEIGHTS = (-0.5, 1.5, -4.0, 1.0, 1.0, -1.0, 0.5, -0.5)
 
 
 def fit(x: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 0.5, decay: float = 1e-3) -> np.ndarray:
@@ -191,91 +264,125 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 0.5, decay
 
 
 def max_flow_labels(unary: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Minimum-cut labels: unary is the cost of boilerplate minus that of content; edges cost their capacity if cut."""
-    weight = [0.0] * len(unary)
+    """Minimum-cut labels: unary is the cost of boilerplate minus that of content; edges cost their capacity if cut.
+
+    Blocking flows over level graphs (Dinic, 1970).
+    """
+    n = len(unary)
+    source, sink = n, n + 1
+    arcs: list[list[int]] = [[] for _ in range(n + 2)]
+    to: list[int] = []
+    left: list[float] = []
+
+    def link(i: int, j: int, there: float, back: float) -> None:
+        arcs[i].append(len(to))
+        to.append(j)
+        left.append(there)
+        arcs[j].append(len(to))
+        to.append(i)
+        left.append(back)
+
+    for i, u in enumerate(unary):
+        if u > 0:
+            link(source, i, u, 0.0)
+        elif u < 0:
+            link(i, sink, -u, 0.0)
     for i, j, c in edges:
-        weight[i] += c
-        weight[j] += c
-    label: list[bool | None] = [u > 0 if abs(u) > w else None for u, w in zip(unary, weight, strict=True)]
-    if None not in label:
-        return label  # type: ignore[return-value]
-    free = [i for i, x in enumerate(label) if x is None]
-    rest = {i: unary[i] for i in free}
-    residual: dict[int, dict[int, float]] = {i: {} for i in free}
-    for i, j, c in edges:
-        if label[i] is None and label[j] is None:
-            residual[i][j] = residual[i].get(j, 0.0) + c
-            residual[j][i] = residual[j].get(i, 0.0) + c
-        elif label[i] is None:
-            rest[i] += c if label[j] else -c
-        elif label[j] is None:
-            rest[j] += c if label[i] else -c
-    source = {i: max(0.0, rest[i]) for i in free}
-    sink = {i: max(0.0, -rest[i]) for i in free}
+        link(i, j, c, c)
     while True:
-        # shortest augmenting path from a node with source capacity to one with sink capacity
-        came: dict[int, int | None] = {i: None for i in free if source[i] > 1e-12}
-        queue, end = deque(came), None
-        while queue:
-            i = queue.popleft()
-            if sink[i] > 1e-12:
-                end = i
+        level = [-1] * (n + 2)
+        level[source] = 0
+        queue = [source]
+        for i in queue:
+            for a in arcs[i]:
+                if left[a] > _LEAST and level[to[a]] < 0:
+                    level[to[a]] = level[i] + 1
+                    queue.append(to[a])
+        if level[sink] < 0:
+            return [x >= 0 for x in level[:n]]
+        at, path = [0] * (n + 2), []
+        while True:
+            i = to[path[-1]] if path else source
+            if i == sink:
+                flow = min(left[a] for a in path)
+                cut = len(path)
+                for k in range(len(path) - 1, -1, -1):
+                    left[path[k]] -= flow
+                    left[path[k] ^ 1] += flow
+                    if left[path[k]] <= _LEAST:
+                        cut = k
+                del path[cut:]
+            elif at[i] < len(arcs[i]):
+                a = arcs[i][at[i]]
+                if left[a] > _LEAST and level[to[a]] == level[i] + 1:
+                    path.append(a)
+                else:
+                    at[i] += 1
+            elif path:
+                at[to[path.pop() ^ 1]] += 1
+            else:
                 break
-            for j, c in residual[i].items():
-                if c > 1e-12 and j not in came:
-                    came[j] = i
-                    queue.append(j)
-        if end is None:
-            for i in free:
-                label[i] = i in came
-            return label  # type: ignore[return-value]
-        path = [end]
-        while (before := came[path[-1]]) is not None:
-            path.append(before)
-        path.reverse()
-        flow = min([source[path[0]], sink[end], *(residual[a][b] for a, b in zip(path, path[1:], strict=False))])
-        source[path[0]] -= flow
-        sink[end] -= flow
-        for a, b in zip(path, path[1:], strict=False):
-            residual[a][b] -= flow
-            residual[b][a] = residual[b].get(a, 0.0) + flow
-
-
-def distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    """Steps between two elements through the DOM."""
-    same = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        same += 1
-    return len(a) + len(b) - 2 * same
-
-
-def label(page: list[Block], weights: np.ndarray) -> list[bool]:
-    """Is each block content?"""
-    unary, edges = [], []
-    last: dict[int, int] = {}
-    for i, b in enumerate(page):
-        say = float(np.clip(np.dot(weights, form(b)), -FORM, FORM)) if b.context in (NONE, SOFT) else 0.0
-        unary.append(say + (PRIOR if b.context == CONTENT else -PRIOR if b.context == HARD else -PRIOR / 2 if b.context == SOFT else 0.0))
+
+
+#: Capacities below this are full.
+_LEAST = 1e-9
+
+
+def costs(page: Page, weights: Sequence[float]) -> list[float]:
+    """Of each block, the cost of calling it boilerplate minus that of calling it content."""
+    held: dict[int, int] = {}
+    for b in page.blocks:
+        held[b.claim] = held.get(b.claim, 0) + len(b.text)
+    size = sum(held.values()) or 1
+    held.pop(0, None)
+    place = PLACE * min(1.0, 2 * max(held.values(), default=0) / size)
+    out = []
+    for b in page.blocks:
+        said = sum(map(mul, weights, form(b)))
+        out.append(NAMES * (b.content - b.boiler) - (place if not b.claim else 0.0) + max(-FORM, min(FORM, said)))
+    return out
+
+
+def smoothness(page: Page) -> list[tuple[int, int, float]]:
+    """Edges between neighbours on the page and in an element."""
+
+    def edge(i: int, j: int) -> tuple[int, int, float]:
+        x, y = page.blocks[i], page.blocks[j]
+        contrast = abs(x.content - x.boiler - y.content + y.boiler) / 2
+        return i, j, SMOOTH * (1 - CONTRAST * contrast) / (1 + page.distance(x.node, y.node) / 2)
+
+    edges, last = [], {}
+    for i, b in enumerate(page.blocks):
         if i:
-            edges.append((i - 1, i, SMOOTH / (1 + distance(page[i - 1].path, b.path) / 2)))
-        parent = b.path[-2] if len(b.path) > 1 else 0
+            edges.append(edge(i - 1, i))
+        parent = page.parent[b.node]
         if (j := last.get(parent)) is not None and j != i - 1:
-            edges.append((j, i, SMOOTH / (1 + distance(page[j].path, b.path) / 2)))
+            edges.append(edge(j, i))
         last[parent] = i
-    return max_flow_labels(unary, edges)
+    return edges
 
 
-def extract(html: str | None, weights: np.ndarray) -> str:
+def label(page: Page, weights: Sequence[float]) -> list[bool]:
+    """Is each block content?"""
+    return max_flow_labels(costs(page, weights), smoothness(page))
+
+
+def extract(html: str | None, weights: Sequence[float]) -> str:
     if not html:
         return ""
-    page = blocks(html)
-    return "\n".join(b.text for b, keep in zip(page, label(page, weights), strict=True) if keep)
+    page = Page(html)
+    return "\n".join(b.text for b, keep in zip(page.blocks, label(page, weights), strict=True) if keep)
+
+
+def examples(html: str) -> list[tuple[float, ...]]:
+    """(is content, form) of a page's blocks with clear names, at most PAGE_BLOCKS of them, chosen by a hash of the text."""
+    clear = {(b.text, b.tag): b for b in Page(html).blocks if abs(b.content - b.boiler) >= 0.5}
+    chosen = sorted(clear.values(), key=lambda b: zlib.crc32(b.text.encode("utf-8", "replace")))[:PAGE_BLOCKS]
+    return [(float(b.content > b.boiler), *(round(v, 2) for v in form(b))) for b in chosen]
 
 
 def train(df: DataFrame, html_col: str = "html", max_pages: int = 2000) -> np.ndarray:
-    """Weights of the form classifier; the driver gets sums over the blocks' forms, not pages."""
+    """Weights of the form model; equal forms are counted before they reach the driver."""
     known = df.where(F.col(html_col).isNotNull()).select(F.col(html_col).alias("html"))
     n = known.count()
     if not n:
@@ -284,25 +391,26 @@ def train(df: DataFrame, html_col: str = "html", max_pages: int = 2000) -> np.nd
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(int(b.context == CONTENT), *(round(v, 2) for v in form(b))) for h in batch.column("html").to_pylist() for b in blocks(h) if b.context in (CONTENT, HARD)]
-            x = np.array(rows, dtype=np.float64).reshape(-1, FORM_FEATURES + 1)
+            x = np.array([r for h in batch.column("html").to_pylist() for r in examples(h)], dtype=np.float64).reshape(-1, FORM_FEATURES + 1)
             yield pa.RecordBatch.from_pydict({f"f{k}": x[:, k].copy() for k in range(FORM_FEATURES + 1)})
 
     names = [f"f{k}" for k in range(FORM_FEATURES + 1)]
-    # equal forms are counted before they leave; rounded to hundredths, their number is bounded
-    rows = sample.mapInArrow(forms, ", ".join(f"{c} double" for c in names)).groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).toPandas()
+    rows = sample.mapInArrow(forms, ", ".join(f"{c} double" for c in names)).groupBy(*names).agg(F.count("*").alias("n")).toPandas()
     if rows.empty:
         return np.array(DEFAULT_WEIGHTS)
-    x, times = rows[names].to_numpy(), np.minimum(rows["n"].to_numpy(), 50)
-    x = np.repeat(x, times, axis=0)
+    rows = rows.sort_values(names)
+    # a form that very many blocks share counts as 50, so that one page's copies don't outweigh the rest
+    x = np.repeat(rows[names].to_numpy(), np.minimum(rows["n"].to_numpy(), 50), axis=0)
     return fit(x[:, 1:], x[:, 0])
 
 
 def main_text(column: Column, weights: np.ndarray) -> Column:
+    costs_of = [float(w) for w in weights]
+
     @F.arrow_udf(StringType())
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([extract(x.as_py(), weights) for x in batch], pa.string())
+            yield pa.array([extract(x.as_py(), costs_of) for x in batch], pa.string())
 
     return run(column)
 

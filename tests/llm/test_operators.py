@@ -253,6 +253,44 @@ def test_html(spark):
     assert html_extraction.extract_pages(df.where("false")).count() == 0
 
 
+ONE, TWO = "This is the first paragraph, and it has a few words.", "This is the second one; it goes on a bit longer than the first."
+SAID = "Great post, I learnt so much from it, thank you for all of it."
+PAGES = [
+    (f'<body><nav><a href=x>Home</a></nav><div class="article-body widget-text"><h1>The title of it</h1><p>{ONE}</p><p>{TWO}</p></div><footer>me</footer>', ["The title of it", ONE, TWO]),
+    (f'<body><nav><a href=x>Home</a></nav><div class="page-banner-layout"><p>{ONE}</p><p>{TWO}</p></div><footer>me</footer>', [ONE, TWO]),
+    (f'<body><article><h1>The title</h1><p>{ONE}</p><p class="notice-of-motion">{TWO}</p><p>A third.</p></article>', ["The title", ONE, TWO, "A third."]),
+    (f'<body><article><h1>The title</h1><p>{ONE}</p><p>{TWO}</p></article><div><p>{SAID}</p><p>{SAID}</p></div><footer>me</footer>', ["The title", ONE, TWO]),
+    (f'<body><article><h1>The title</h1><p>{ONE}</p><div class="ad">{SAID}</div><p>{TWO}</p></article><section id="comments"><article><p>{SAID}</p></article></section><div class="related-posts"><p>{SAID}</p></div>', ["The title", ONE, TWO]),
+    (f"<body><div><p>{ONE}</p><div>Go on</div><p>{TWO}</p></div>", [ONE, "Go on", TWO]),
+    (f'<body><main><p>{ONE} <span class="ad">{SAID}</span> Then.</p><p hidden>{SAID}</p><ul><li>{TWO}<li>{ONE}</ul></main><div class="cookie-notice"><p>{SAID}</p></div>', [ONE, "Then.", TWO, ONE]),
+]
+
+
+def test_html_of_mixed_signs():
+    """Names that mislead, comments in plain elements, advertisements inside; each text also has the least sum of costs and cut edges."""
+    from itertools import product
+
+    changed = 0
+    for html, want in PAGES:
+        assert html_extraction.extract(html, html_extraction.DEFAULT_WEIGHTS).split("\n") == want, html
+        page = html_extraction.Page(html)
+        unary, edges = html_extraction.costs(page, html_extraction.DEFAULT_WEIGHTS), html_extraction.smoothness(page)
+        cost = lambda x, unary=unary, edges=edges: sum(max(0, -u) if on else max(0, u) for u, on in zip(unary, x, strict=True)) + sum(c for i, j, c in edges if x[i] != x[j])
+        labels = html_extraction.label(page, html_extraction.DEFAULT_WEIGHTS)
+        assert cost(labels) == pytest.approx(min(map(cost, product([False, True], repeat=len(unary)))))
+        changed += sum(on != (u > 0) for u, on in zip(unary, labels, strict=True))
+    assert changed > 0
+
+
+def test_html_of_any_shape(spark):
+    deep = "<div>" * 20000 + "x" + "</b>" * 20000 + "<p>y" * 5000
+    long = f"<article>{f'<p>{ONE}</p>' * 20000}</article>"
+    df = spark.createDataFrame([(1, "u", deep, 1), (2, "u", long, 2), (None, "u", PAGES[0][0], 3)], "page_id long, url string, html string, text int")
+    got = {r.page_id: r for r in html_extraction.extract_pages(df).collect()}
+    assert got[2].text == "\n".join([ONE] * 20000) and got[2].n_chars == len(got[2].text)
+    assert got[None].text.split("\n") == PAGES[0][1] and len(got) == 3
+
+
 def test_min_cut():
     from itertools import product
 
