@@ -129,22 +129,62 @@ def test_r_tree_loses_nothing():
     assert want <= set(zip(q.tolist(), p.tolist(), strict=True))
 
 
-def test_substring_dedup(docs, rows):
+def removed_by_brute_force(rows, length=100):
     seen, want = set(), {}
     for i, t, *_ in rows:
         b = (t or "").encode()
-        gone = [False] * len(b)
-        for p in range(len(b) - 99):
-            if b[p : p + 100] in seen:
-                gone[p : p + 100] = [True] * 100
-            seen.add(b[p : p + 100])
+        gone = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            if b[p : p + length] in seen:
+                gone[p : p + length] = b"\1" * length
+            seen.add(b[p : p + length])
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         want[i] = (len(b), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest())
+    return want
+
+
+def test_substring_dedup(docs, rows):
+    want = removed_by_brute_force(rows)
     got = substring_dedup.remove_repeats(docs).withColumn("h", F.sha2("kept", 256)).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.h) for r in got} == want
     assert sum(w[1] for w in want.values()) > 5000
 
 
+def test_substring_dedup_of_long_and_common(spark):
+    """A text of 3 MiB with repetitions across slices, a passage in all rows, periods, near copies, an empty table."""
+    rng = random.Random(12)
+    passage = prose(rng, 60)
+    long = " ".join(prose(rng, 2000) for _ in range(int((3 << 20) / 11000)))
+    long = f"{long[: 1 << 20]}{passage}{long[1 << 20 :]} {long[500_000:503_000]}"
+    rows = [(0, long), (1, f"x {long[700_000:700_900]} y"), (2, "ab" * 700), (3, "c" + "ab" * 300 + passage)]
+    body = prose(rng, 150).split(" ")
+    for k in range(60):
+        text = " ".join(w if rng.random() > 0.03 else rng.choice(WORDS) for w in body)
+        rows.append((len(rows), f"{prose(rng, 5)} {passage[k:]} {text}" if k % 2 else f"{text}{passage}"))
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, dk int, bucket string").repartition(5)
+    got = substring_dedup.remove_repeats(df).withColumn("h", F.sha2("kept", 256)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.h) for r in got} == removed_by_brute_force(rows)
+    assert substring_dedup.remove_repeats(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("colliding", [False, True])
+def test_suffixes_are_sorted(monkeypatch, colliding):
+    import numpy as np
+
+    rng = random.Random(13)
+    raw = "".join(rng.choice(["ab", "ba", "abab", "c", "abcab"]) for _ in range(900)).encode()
+    starts = np.array(sorted(rng.sample(range(len(raw) - 30), 700)))
+    group = np.array([rng.choice([0, 0, 1, 5]) for _ in starts])
+    if colliding:  # hashes of few bits: the bytes must set it right
+        real = substring_dedup._text.span_hash
+        monkeypatch.setattr(substring_dedup._text, "span_hash", lambda *a: real(*a) & np.uint64(1))
+    order, same = substring_dedup.sorted_suffixes(np.frombuffer(raw, dtype=np.uint8), starts, group, 30)
+    text = lambda k: raw[starts[k] : starts[k] + 30]
+    want = sorted(range(len(starts)), key=lambda k: (group[k], text(k), k))
+    assert order.tolist() == want
+    assert same.tolist() == [k > 0 and group[want[k]] == group[want[k - 1]] and text(want[k]) == text(want[k - 1]) for k in range(len(want))]
+
+
 def test_substring_dedup_repeated_rows(spark):
     rng = random.Random(8)
     shared = prose(rng, 60)
