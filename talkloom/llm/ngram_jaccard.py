@@ -134,11 +134,11 @@ def _repeated(distinct: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     if many.any():
         h = every[first[many]].view(np.int64)
         blank = pa.nulls(len(h), pa.int64())
-        yield pa.RecordBatch.from_pydict({"rid": blank, "n": blank, "key": blank, "twin": blank, "counts": pa.nulls(len(h), pa.binary()), "shingle": pa.array(h), "times": pa.array(times[many].astype(np.int64))})
+        yield pa.RecordBatch.from_pydict({"rid": blank, "th": blank, "n": blank, "key": blank, "twin": blank, "counts": pa.nulls(len(h), pa.binary()), "shingle": pa.array(h), "times": pa.array(times[many].astype(np.int64))})
 
 
 def _profile(size: int):
-    """Rows (rid, n, key, twin, counts) of documents; rows (shingle, times) of shingles that several sets of a batch have."""
+    """Rows (rid, th, n, key, twin, counts) of documents; rows (shingle, times) of shingles that several sets of a batch have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +156,7 @@ def _profile(size: int):
                     if len(s) and key not in distinct:
                         distinct[key] = s
                         held += len(s)
-            yield pa.RecordBatch.from_pydict({"rid": batch.column("rid"), "n": pa.array(n, pa.int64()), "key": pa.array(keys, pa.int64()), "twin": pa.array(twins, pa.int64()), "counts": pa.array(counts, pa.binary()), "shingle": pa.nulls(len(n), pa.int64()), "times": pa.nulls(len(n), pa.int64())})
+            yield pa.RecordBatch.from_pydict({"rid": batch.column("rid"), "th": batch.column("th"), "n": pa.array(n, pa.int64()), "key": pa.array(keys, pa.int64()), "twin": pa.array(twins, pa.int64()), "counts": pa.array(counts, pa.binary()), "shingle": pa.nulls(len(n), pa.int64()), "times": pa.nulls(len(n), pa.int64())})
             yield from _repeated(distinct)
 
     return run
@@ -366,7 +366,7 @@ def _attach(pairs: DataFrame, points: DataFrame, column: str) -> DataFrame:
 
 @dataclass
 class Corpus:
-    """What the steps share: base (rid, mark, text), docs (rid, n, key), one rid for each key, and coordinates of the keys in question."""
+    """What the steps share: base (rid, mark, text), docs (rid, th, n, key), one rid for each key, and coordinates of the keys in question."""
 
     base: DataFrame
     docs: DataFrame
@@ -498,15 +498,16 @@ def _units(percent: int, width: int = SLICE):
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """(documents, links): documents has rid (the id, packed), n and key of the set; links has pairs a < b of keys that span the components."""
+    """(documents, links): documents has rid (the id, packed), th (xxhash64 of the text), n and key of the set; links has pairs a < b of keys that span the components."""
     rid = packed_id(id_col)
-    base = df.select(rid.alias("rid"), F.xxhash64(rid).alias("mark"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    profile = cut(base.mapInArrow(_profile(size), "rid long, n long, key long, twin long, counts binary, shingle long, times long"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = df.select(rid.alias("rid"), F.xxhash64(rid).alias("mark"), text.alias("text"))
+    profile = cut(base.withColumn("th", F.xxhash64("text")).mapInArrow(_profile(size), "rid long, th long, n long, key long, twin long, counts binary, shingle long, times long"))
     known = profile.where("n is not null")
     # unequal sets of one digest: some n * n / 2**65 of them
     split = [r["key"] for r in known.groupBy("key").agg(F.min("twin").alias("low"), F.max("twin").alias("high")).where("low <> high").select("key").collect()]
     known = known.withColumn("key", F.when(F.col("key").isin(split), F.col("twin")).otherwise(F.col("key"))) if split else known
-    docs = known.select("rid", "n", "key")
+    docs = known.select("rid", "th", "n", "key")
     corpus = Corpus(base, docs, frozenset(split), size, percent)
     hot, times = _frequent(profile)
     total = docs.agg(F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 0
@@ -549,11 +550,16 @@ def _open_units(units: DataFrame, roots: DataFrame, points: DataFrame) -> DataFr
     return labelled.join(mixed, "unit", "left_semi").join(points.select(F.col("key").alias("p_key"), "counts"), F.col("key") == F.col("p_key")).select("unit", "part", "key", "label", "counts")
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (the smallest id of its component)."""
+def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+    """One row per input row: rid, th, n and root, which documents with a set (n > 0) have in common with those of their component."""
     docs, links = classes(df, id_col, text_col, size, percent)
     roots = cut(components(links))
-    named = docs.join(roots, F.col("key") == F.col("node"), "left").select("rid", "n", F.coalesce("root", "key").alias("root"))
+    return docs.join(roots, F.col("key") == F.col("node"), "left").select("rid", "th", "n", F.coalesce("root", "key").alias("root"))
+
+
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id (the smallest id of its component)."""
+    named = grouped(df, id_col, text_col, size, percent)
     least = named.where("n > 0").groupBy("root").agg(F.min("rid").alias("least")).withColumnRenamed("root", "l_root")
     out = named.join(least, (F.col("root") == F.col("l_root")) & (F.col("n") > 0), "left").withColumn("least", F.coalesce("least", "rid"))
     return out.select(unpacked_id("rid").alias(id_col), F.col("n").alias("n_shingles"), unpacked_id("least").alias("component_id"))
