@@ -12,14 +12,18 @@ k + 1 pieces, one piece of it must then occur unchanged, so
    are searched as one);
 3. distances up to k are matches.
 
-Items of fewer than ``min_chars`` folded characters are matched exactly, as
-whole words.  Items that fold to the same text share one search.  The items of
-an evaluation set are few: they are broadcast if they are at most
-``BLOCK_CHARS``; a larger set goes block by block, each over all documents.
-
-Null or empty texts have no matches; null or empty items match nothing.
-Repeated rows are reported each.  A null id is reported as null.  Other columns
-are ignored.
+The same rule holds for items of every length; where it allows no edit (below
+1 / ``max_error`` characters), the one piece is the item with the spaces around
+it, so that it is found as whole words.  Items that fold to the same text share
+one search.  Items go in blocks of at most ``BLOCK_CHARS`` (one item at least),
+each over all documents; one block at a time is in memory.
+
+Null or empty texts have no matches; null or empty items match nothing.  Very
+long texts are read as a whole.  Repeated rows are reported each, equal rows of
+the items once.  Of equally near places of an item the first is reported.  A
+null id is reported as null; an id that is no whole number raises an error.
+Empty tables give no matches.  Other columns, whatever their names, are ignored
+(``clean`` returns them).
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkloom.llm._spark import cut
+
 BLOCK_CHARS = 8 << 20
 _OTHER = re.compile(r"[\W_]+")
 
@@ -40,8 +46,8 @@ def fold(text: str) -> str:
     return _OTHER.sub(" ", text.lower()).strip()
 
 
-def budget(item: str, max_error: float, min_chars: int) -> int:
-    return int(len(item) * max_error) if len(item) >= min_chars else 0
+def budget(item: str, max_error: float) -> int:
+    return int(len(item) * max_error)
 
 
 def cut_pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -85,7 +91,7 @@ def myers(item: str, masks: dict[str, int], window: str) -> tuple[int, int]:
 class Matcher:
     """All items of one block, ready to be run over documents."""
 
-    def __init__(self, items: list[tuple[int, str]], max_error: float, min_chars: int):
+    def __init__(self, items: list[tuple[int, str]], max_error: float):
         import ahocorasick
 
         by_text: dict[str, list[int]] = {}
@@ -97,11 +103,10 @@ class Matcher:
         self.automaton = ahocorasick.Automaton()
         where: dict[str, list[tuple[int, int]]] = {}
         for text, ids in by_text.items():
-            k = budget(text, max_error, min_chars)
-            exact = len(text) < min_chars
-            for offset, piece in cut_pieces(text, k) if not exact else [(0, f" {text} ")]:
+            k = budget(text, max_error)
+            for offset, piece in cut_pieces(text, k) if k else [(0, f" {text} ")]:
                 where.setdefault(piece, []).append((len(self.items), offset))
-            self.items.append((text, ids, k, peq(text), exact))
+            self.items.append((text, ids, k, peq(text)))
         for piece, found in where.items():
             self.automaton.add_word(piece, (len(piece), found))
         self.automaton.make_automaton()
@@ -114,7 +119,7 @@ class Matcher:
         windows: dict[int, list[list[int]]] = {}
         for last, (size, found) in self.automaton.iter(doc):
             for index, offset in found:
-                item, _, k, _, _ = self.items[index]
+                item, _, k, _ = self.items[index]
                 start = last - size + 1 - offset - k
                 end = start + len(item) + 2 * k
                 mine = windows.setdefault(index, [])
@@ -125,11 +130,11 @@ class Matcher:
                     mine.append([start, end])
         out = []
         for index, mine in windows.items():
-            item, ids, k, masks, exact = self.items[index]
+            item, ids, k, masks = self.items[index]
             best = None
             for start, end in mine:
                 start = max(0, start)
-                if exact:
+                if not k:
                     d, stop = 0, 1 + len(item)
                 elif (at := doc.find(item, start, end)) >= 0:
                     d, stop = 0, at - start + len(item)
@@ -143,9 +148,9 @@ class Matcher:
         return out
 
 
-def _matches(items: list[tuple[int, str]], max_error: float, min_chars: int):
+def _matches(items: list[tuple[int, str]], max_error: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items, max_error, min_chars)
+        matcher = Matcher(items, max_error)
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -171,28 +176,28 @@ def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator
         yield block
 
 
-def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_error: float = 0.05, min_chars: int = 40) -> DataFrame:
+def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_error: float = 0.05) -> DataFrame:
     """One row per document row and item found in it: id, item_id, distance, and place in the folded text."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = [docs.mapInArrow(_matches(block, max_error, min_chars), "id long, item_id long, distance long, start long, stop long") for block in _blocks(benchmark, item_col, item_text_col)]
+    parts = [cut(docs.mapInArrow(_matches(block, max_error), "id long, item_id long, distance long, start long, stop long")) for block in _blocks(benchmark, item_col, item_text_col)]
     return reduce(DataFrame.unionAll, parts).withColumnRenamed("id", id_col).withColumnRenamed("item_id", item_col)
 
 
-def flagged(text_col: str, items: list[tuple[int, str]], max_error: float = 0.05, min_chars: int = 40):
+def flagged(text_col: str, items: list[tuple[int, str]], max_error: float = 0.05):
     """Boolean column: does the text hold an item of a block?"""
     from pyspark.sql.types import BooleanType
 
     @F.arrow_udf(BooleanType())
     def holds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        matcher = Matcher(items, max_error, min_chars)
+        matcher = Matcher(items, max_error)
         for batch in batches:
             yield pa.array([bool(t) and bool(matcher.match(t)) for t in batch.to_pylist()], pa.bool_())
 
     return holds(F.col(text_col))
 
 
-def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", **params) -> DataFrame:
+def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_error: float = 0.05) -> DataFrame:
     """The rows of df, with all their columns, whose text holds no item."""
-    for block in _blocks(benchmark, item_col, item_text_col):
-        df = df.where(~flagged(text_col, block, **params))
+    for k, block in enumerate(_blocks(benchmark, item_col, item_text_col)):
+        df = (cut(df) if k else df).where(~flagged(text_col, block, max_error))
     return df

@@ -209,7 +209,7 @@ def test_mixing(docs, rows):
     assert again == {r.doc_id: r.taken for r in got}
 
 
-def test_myers_and_matches(docs, rows, spark):
+def test_myers_and_matches(docs, rows, spark, monkeypatch):
     def distance(p, t):
         above = [0] * (len(t) + 1)
         for i, c in enumerate(p, 1):
@@ -223,19 +223,22 @@ def test_myers_and_matches(docs, rows, spark):
     for _ in range(200):
         p, t = ("".join(rng.choice("abc") for _ in range(rng.randint(lo, hi))) for lo, hi in ((1, 70), (0, 90)))
         assert decontamination.myers(p, decontamination.peq(p), t)[0] == distance(p, t)
-    items = [(1, " ".join(rows[5][1].split()[:20])), (2, rows[12][1][:150]), (3, None), (4, ""), (5, "word"), (6, " ".join(rows[5][1].split()[:20]).upper())]
+    items = [(1, " ".join(rows[5][1].split()[:20])), (2, rows[12][1][:150]), (3, None), (4, ""), (5, "word"), (6, " ".join(rows[5][1].split()[:20]).upper()), (7, rows[6][1][:27].replace("a", "u", 1)), (8, rows[12][1][30:55])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.distance for r in decontamination.matches(docs, bench).collect()}
     want = {}
     for i, t, *_ in rows:
         for k, x in items:
             doc, item = decontamination.fold(t or ""), decontamination.fold(x or "")
-            limit = decontamination.budget(item, 0.05, 40)
+            limit = decontamination.budget(item, 0.05)
             if item and doc:
-                d = (0 if f" {item} " in f" {doc} " else 9) if len(item) < 40 else distance(item, f" {doc} ") if len(doc) < 3000 else (0 if item in doc else 99)
+                d = (0 if f" {item} " in f" {doc} " else 9) if not limit else distance(item, f" {doc} ") if len(doc) < 3000 else (0 if item in doc else 99)
                 if d <= limit:
                     want[i, k] = d
     assert got == want and want
+    assert any(k in (7, 8) for _, k in want)
+    monkeypatch.setattr(decontamination, "BLOCK_CHARS", 100)  # several blocks
+    assert {(r.doc_id, r.item_id): r.distance for r in decontamination.matches(docs, bench).collect()} == want
     clean = {r.doc_id for r in decontamination.clean(docs, bench).collect()}
     assert clean == {i for i, *_ in rows} - {i for i, _ in want}
     assert decontamination.clean(docs, bench.where("false")).count() == len(rows)
@@ -417,8 +420,47 @@ def test_pipeline(docs, rows, spark, tmp_path):
         at = spark.read.parquet(str(tmp_path / name))
         kept[name] = {r.doc_id: r for r in at.collect()}
     assert set(kept["language"]) == {i for i, t, *_ in rows if t and any(map(str.isalpha, t))}
-    groups = {r.doc_id: r.component_id for r in ngram_jaccard.join(spark.createDataFrame(rows, SCHEMA).where(F.col("doc_id").isin([*kept["language"]]))).collect()}
-    assert set(kept["near_duplicates"]) == set(groups.values())
-    assert set(kept["repeated_passages"]) <= set(kept["near_duplicates"])
-    assert not any(decontamination.fold(item) in decontamination.fold(r.text) for r in kept["decontamination"].values())
-    assert kept["mixture"]
+    # every stage against plain Python on what the one before it kept
+    before = [(i, t) for i, t, *_ in rows if i in kept["language"]]
+    groups = jaccard_groups(before)
+    assert set(kept["near_duplicates"]) == {root if n else i for i, (n, root) in groups.items()}
+    before = [(i, r.text) for i, r in sorted(kept["near_duplicates"].items())]
+    want, seen = {}, set()
+    for i, t in before:
+        b = t.encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(b[p : p + 100])
+        text = bytes(c for c, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")
+        if text.split() or not any(gone):
+            want[i] = text
+    assert {i: r.text for i, r in kept["repeated_passages"].items()} == want and want != dict(before)
+    holds = {i for i, t in want.items() if decontamination.fold(item) in decontamination.fold(t)}
+    assert holds and holds <= set(want) - set(kept["decontamination"])
+    limit = decontamination.budget(decontamination.fold(item), 0.05)
+    for i in set(want) - holds:
+        near = decontamination.myers(decontamination.fold(item), decontamination.peq(decontamination.fold(item)), decontamination.fold(want[i]))[0] <= limit
+        assert near == (i not in kept["decontamination"])
+    left = {i: len(words(r.text)) for i, r in kept["decontamination"].items()}
+    assert all(r.size == left[i] and 0 < r.taken <= 3 * r.size for i, r in kept["mixture"].items())
+    by = {}
+    for i, r in kept["decontamination"].items():
+        by.setdefault(r.source, []).append(i)
+    for source, ids in by.items():
+        mine = [kept["mixture"][i] for i in ids if i in kept["mixture"]]
+        assert sum(r.taken for r in mine) == pytest.approx(mine[0].target if mine else 0, abs=1), source
+
+
+def test_pipeline_near_duplicates_by_row(spark):
+    """Null, repeated and clashing ids keep their own fates; extra columns stay."""
+    import corpus_pipeline
+
+    body = " ".join(WORDS[:40])
+    rows = [(None, body, "a"), (None, "alone in this world of words", "b"), (1, body, "c"), (1, body, "c"), (1, "another text with the same id number", "d"), (2, f"{body} x", "e"), (3, "", "f"), (4, None, "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    got = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    assert sorted(r.key for r in got) == ["a", "b", "d", "f", "g"] and list(got[0].asDict()) == ["doc_id", "text", "key"]
+    assert corpus_pipeline.near_duplicates(spark, df.where("false"), "").count() == 0
+    assert sorted(r.key for r in corpus_pipeline.repeated_passages(spark, df, "").collect()) == ["a", "b", "d", "e", "f", "g"]
