@@ -6,6 +6,8 @@ space and the ASCII controls 9 to 13, which is what ``bytes.split()`` yields.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 
 U64 = np.uint64
@@ -115,6 +117,16 @@ def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
     return out
 
 
+def give_back() -> None:
+    """Returns freed memory to the system where the C library can; workers live on between tasks and stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def chunks(texts: list[bytes], limit: int = 4 << 20):
     """Index ranges [i, j) of at most ``limit`` bytes each, one text at least."""
     i, held = 0, 0

@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from talkloom.llm import _text
+
 UND = "und"
 #: Letter classes: 0 is a space, 1 to 26 are a to z, other letters share the rest by their code point.
 CLASSES = 64
@@ -186,6 +188,7 @@ def predict(column: Column, profiles: Profiles) -> Column:
                     else:
                         langs.append(UND)
                         scores.append(0.0)
+            _text.give_back()
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 
     return classify(column)

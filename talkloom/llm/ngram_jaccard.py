@@ -5,7 +5,7 @@ distinct n-word shingles.  The steps:
 
 1. Each text gives its set's size, digests of the set (equal sets are one
    class), its counts of shingles per hash group, and, for the shingles that
-   several texts of a batch share, their number; summed over all batches these
+   several texts held at once share, their number; summed over all these
    name the frequent shingles.  At most ``FREQUENT`` of them are broadcast; they
    only steer the order below.
 2. Blocking: sets that reach the threshold share one of the first
@@ -56,7 +56,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.llm import _text
-from talkloom.llm._spark import cut, packed_id, unpacked_id
+from talkloom.llm._spark import batches_of, cut, packed_id, unpacked_id
 from talkloom.llm.components import components, forest_roots
 
 U64 = np.uint64
@@ -72,8 +72,9 @@ NODE = 16
 BUCKET_ENTRIES = 500_000
 MIN_BUCKETS = 64
 BLOOM_WORDS = 1 << 20
-#: Shingles that a worker holds at once to find those that several texts share.
+#: Shingles that a worker holds at once to find those that several texts share; rows it gets at once.
 PROFILE_SHINGLES = 3_000_000
+BATCH_ROWS = 2048
 
 
 def _digest(shingles: np.ndarray) -> np.int64:
@@ -96,6 +97,7 @@ def _key(shingles: np.ndarray, split: frozenset[int]) -> int:
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[list[np.ndarray]]:
     for _, _, texts in _text.slices(batch.column("text")):
         yield _text.shingle_sets(texts, size)
+    _text.give_back()
 
 
 def _coordinates(s: np.ndarray) -> bytes:
@@ -138,11 +140,12 @@ def _repeated(distinct: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 
 def _profile(size: int):
-    """Rows (rid, th, n, key, twin, counts) of documents; rows (shingle, times) of shingles that several sets of a batch have."""
+    """Rows (rid, th, n, key, twin, counts) of documents; rows (shingle, times) of shingles that several sets held at once have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distinct, held = {}, 0
         for batch in batches:
-            n, keys, twins, counts, distinct, held = [], [], [], [], {}, 0
+            n, keys, twins, counts = [], [], [], []
             for sets in _sets(batch, size):
                 if held > PROFILE_SHINGLES:
                     yield from _repeated(distinct)
@@ -157,7 +160,7 @@ def _profile(size: int):
                         distinct[key] = s
                         held += len(s)
             yield pa.RecordBatch.from_pydict({"rid": batch.column("rid"), "th": batch.column("th"), "n": pa.array(n, pa.int64()), "key": pa.array(keys, pa.int64()), "twin": pa.array(twins, pa.int64()), "counts": pa.array(counts, pa.binary()), "shingle": pa.nulls(len(n), pa.int64()), "times": pa.nulls(len(n), pa.int64())})
-            yield from _repeated(distinct)
+        yield from _repeated(distinct)
 
     return run
 
@@ -207,8 +210,8 @@ def _pack(bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
 
 def _entries(size: int, percent: int, buckets: int, hot: np.ndarray, times: np.ndarray, split: frozenset[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
-            done: set[int] = set()
             h, keys, sizes, lengths = [], [], [], []
             for sets in _sets(batch, size):
                 for s in sets:
@@ -313,8 +316,8 @@ def _kept_sets(size: int, bloom: np.ndarray, split: frozenset[int]):
     """Rows (key, shingles) of the texts whose mark the filter has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in _through(bloom, "mark")(batches):
-            done: set[int] = set()
             for sets in _sets(batch, size):
                 out: dict[int, bytes] = {}
                 for s in sets:
@@ -552,8 +555,9 @@ def _open_units(units: DataFrame, roots: DataFrame, points: DataFrame) -> DataFr
 
 def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """One row per input row: rid, th, n and root, which documents with a set (n > 0) have in common with those of their component."""
-    docs, links = classes(df, id_col, text_col, size, percent)
-    roots = cut(components(links))
+    with batches_of(df.sparkSession, BATCH_ROWS):
+        docs, links = classes(df, id_col, text_col, size, percent)
+        roots = cut(components(links))
     return docs.join(roots, F.col("key") == F.col("node"), "left").select("rid", "th", "n", F.coalesce("root", "key").alias("root"))
 
 
