@@ -277,7 +277,7 @@ def uncovered_time(spark, d):
 
 
 _TURNS = """
- seg AS (SELECT call_id, CAST(floor(start / 86400) AS BIGINT) AS id, floor(start / 86400) * 86400.0 AS start, floor(start / 86400) * 86400.0 + 43200 AS "end" FROM intervals WHERE call_id < 20 GROUP BY 1, 2, 3, 4),
+ seg AS (SELECT call_id, CAST(floor(start / 86400) AS BIGINT) AS id, floor(start / 86400) * 86400.0 AS start, floor(start / 86400) * 86400.0 + 43200 AS "end" FROM intervals GROUP BY 1, 2, 3, 4),
  hit AS (SELECT s.call_id, s.id, s.start, s."end", t.start AS ts, t."end" AS te, t.speaker_id FROM seg s LEFT JOIN intervals t ON t.call_id = s.call_id AND t.start < s."end" AND t."end" > s.start),
  pts AS (SELECT DISTINCT call_id, id, unnest([start, "end", coalesce(greatest(start, ts), start), coalesce(least("end", te), "end")]) AS p FROM hit),
  sl AS (SELECT * FROM (SELECT call_id, id, p, lead(p) OVER (PARTITION BY call_id, id ORDER BY p) AS q FROM pts) WHERE q IS NOT NULL),
@@ -374,7 +374,7 @@ def call_documents(spark, d):
 
 
 @query(
-    f"""{cte('intervals')}, o AS (SELECT call_id, start, "end", row_number() OVER (PARTITION BY call_id ORDER BY start, "end", id) AS k, id FROM intervals WHERE call_id < 30),
+    f"""{cte('intervals')}, o AS (SELECT call_id, start, "end", row_number() OVER (PARTITION BY call_id ORDER BY start, "end", id) AS k, id FROM intervals),
  f AS (SELECT call_id, k, start AS gs, "end" AS ge, 1 AS g FROM o WHERE k = 1 UNION ALL
   SELECT o.call_id, o.k, CASE WHEN o.start - f.ge <= 7200 AND greatest(f.ge, o."end") - f.gs <= 80000 THEN f.gs ELSE o.start END, CASE WHEN o.start - f.ge <= 7200 AND greatest(f.ge, o."end") - f.gs <= 80000 THEN greatest(f.ge, o."end") ELSE o."end" END,
    CASE WHEN o.start - f.ge <= 7200 AND greatest(f.ge, o."end") - f.gs <= 80000 THEN f.g ELSE f.g + 1 END FROM f JOIN o ON o.call_id = f.call_id AND o.k = f.k + 1)

@@ -193,3 +193,47 @@ def test_finite_json(spark, tmp_path):
     assert r.y == [None, 1.0]
     with pytest.raises(Exception, match="already exists"):
         write_json(spark.range(1).toDF("x"), str(tmp_path / "j"))
+
+
+def test_ctc_path_against_all_paths():
+    import itertools
+
+    import numpy as np
+
+    from talkloom.functions import signal
+
+    rng = np.random.default_rng(0)
+    checked = 0
+    for _ in range(80):
+        frames, e = int(rng.integers(2, 7)), None
+        e = np.log(rng.dirichlet(np.ones(4), frames))
+        t = np.array([int(x) for x in rng.choice([-1, 1, 2, 3], int(rng.integers(1, 3)))])
+        gain, last = signal._lattice(e, t, 0), 2 * len(t)
+        step = lambda a, b, t=t: b - a in (0, 1) or (b - a == 2 and b % 2 == 1 and t[b // 2] != t[b // 2 - 1])
+        sums = [sum(gain[f, s] for f, s in enumerate(p)) for p in itertools.product(range(last + 1), repeat=frames) if p[0] < 2 and p[-1] >= last - 1 and all(map(step, p, p[1:]))]
+        try:
+            found = signal.target_of_frames(e, t, 0)
+        except ValueError:
+            continue
+        states, ahead = [], len(t)
+        for k in reversed(found.tolist()):
+            ahead = k if k >= 0 else ahead
+            states.append(2 * k + 1 if k >= 0 else 2 * ahead)
+        assert abs(sum(gain[f, s] for f, s in enumerate(reversed(states))) - max(sums)) < 1e-9
+        checked += 1
+    assert checked > 30
+
+
+def test_best_mapping_against_all_mappings():
+    import random
+    from itertools import permutations
+
+    from talkloom.operators.speakers import best_mapping
+
+    rng = random.Random(1)
+    for _ in range(300):
+        cells = [(f"l{i}", f"r{j}", float(rng.randint(0, 4))) for i in range(rng.randint(1, 5)) for j in range(rng.randint(1, 5)) if rng.random() < 0.8]
+        value = {c[:2]: c[2] for c in cells}
+        labels, roles = sorted({c[0] for c in cells}), sorted({c[1] for c in cells})
+        every = permutations([*roles, *[None] * (len(labels) - len(roles))], len(labels))
+        assert best_mapping(cells)[0] == max(sum(value.get(x, 0.0) for x in zip(labels, m, strict=True)) for m in every) if cells else best_mapping(cells) == (0.0, {})
