@@ -41,6 +41,13 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def smaller_batches(spark: SparkSession, rows: int) -> None:
+    """From now on Python workers of this session get at most ``rows`` rows at once: for operators that are not run at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def packed_id(name: str) -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID).cast("long"))
 

@@ -139,6 +139,24 @@ def chunks(texts: list[bytes], limit: int = 4 << 20):
         yield i, len(texts)
 
 
+def windows(batches, limit: int):
+    """The same rows in batches of about ``limit`` bytes, one incoming batch at least."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+            give_back()
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        give_back()
+
+
 def utf8(column) -> list[bytes]:
     """Bytes of an Arrow string column; null is empty."""
     import pyarrow as pa

@@ -75,6 +75,8 @@ BLOOM_WORDS = 1 << 20
 #: Shingles that a worker holds at once to find those that several texts share; rows it gets at once.
 PROFILE_SHINGLES = 3_000_000
 BATCH_ROWS = 2048
+#: Pairs that a worker gets at once with both sets.
+PAIR_ROWS = 256
 
 
 def _digest(shingles: np.ndarray) -> np.int64:
@@ -345,6 +347,7 @@ def _verify(percent: int):
                 inside = int((both[1:] == both[:-1]).sum())
                 linked.append(100 * inside >= percent * (len(p) + len(q) - inside))
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(linked, pa.bool_()))
+        _text.give_back()
 
     return run
 
@@ -390,7 +393,8 @@ class Corpus:
             return near
         wanted = self.texts_of(near.select(F.explode(F.array("a", "b")).alias("key")))
         sets = self.base.mapInArrow(_kept_sets(self.size, wanted, self.split), "key long, shingles binary").dropDuplicates(["key"])
-        return cut(_attach(near, sets, "shingles").mapInArrow(_verify(self.percent), "a long, b long"))
+        with batches_of(near.sparkSession, PAIR_ROWS):
+            return cut(_attach(near, sets, "shingles").mapInArrow(_verify(self.percent), "a long, b long"))
 
 
 class CountRTree:

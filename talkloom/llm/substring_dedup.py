@@ -50,12 +50,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from talkloom.llm import _text
-from talkloom.llm._spark import cut, packed_id, unpacked_id
+from talkloom.llm._spark import cut, packed_id, smaller_batches, unpacked_id
 
 U64 = np.uint64
 GRAM = 20
 SLICE = 1 << 20
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 3 << 20
+#: Rows that a Python worker gets at once; bytes of rows among which runs are compared before they are sent.
+BATCH_ROWS = 2048
+WINDOW = 16 << 20
 MIN_BUCKETS = 64
 _LOW = U64(0xFFFFFFFF)
 
@@ -138,7 +141,7 @@ def _anchors(length: int, buckets: int):
         return pa.RecordBatch.from_pydict(_pack(bucket.astype(np.int32), [gram, dk, at, says]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _text.windows(batches, WINDOW):
             keys, which = np.unique(batch.column("dk").to_numpy(), return_index=True)
             held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for group in pieces(_text.utf8(batch.column("text").take(pa.array(which))), length):
@@ -187,7 +190,7 @@ def _segments(length: int, buckets: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _text.windows(batches, WINDOW):
             rid, th, dk = (batch.column(c).to_numpy() for c in ("rid", "th", "dk"))
             texts, wanted = _text.utf8(batch.column("text")), batch.column("ats").to_pylist()
             order = np.lexsort((th, rid))
@@ -358,6 +361,7 @@ def _spans(length: int):
         order = np.argsort(dk, kind="stable")
         dk, ab = dk[order], np.stack((a[order], b[order]), axis=1)
         cuts = np.flatnonzero(np.concatenate(([True], dk[1:] != dk[:-1], [True]))) if len(dk) else np.zeros(1, dtype=int)
+        _text.give_back()
         return pa.table({"dk": dk[cuts[:-1]], "ab": pa.array([ab[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
     return run
@@ -408,6 +412,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def found(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, buckets: int | None = None) -> DataFrame:
     """The same by rid, the packed id, and th, xxhash64 of the text."""
+    smaller_batches(df.sparkSession, BATCH_ROWS)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = df.select(packed_id(id_col).alias("rid"), F.xxhash64(text).alias("th"), text.alias("text"))
     base = base.select(F.xxhash64("rid", "th").alias("dk"), "rid", "th", "text")
@@ -443,3 +448,4 @@ def _with_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = [[np.array([0, n], dtype=np.int64).tobytes()] if w else x for w, n, x in zip(whole, sizes, batch.column("abs").to_pylist(), strict=True)]
         columns = {c: batch.column(c) for c in ("rid", "th", "text")} | {"abs": pa.array(lists, pa.list_(pa.binary()))}
         yield from _finish(iter([pa.RecordBatch.from_pydict(columns)]))
+    _text.give_back()
