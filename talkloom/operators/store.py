@@ -21,10 +21,21 @@ def is_short(duration: Column) -> Column:
     return F.coalesce(duration < C.SHORTEST_CALL, F.lit(False))
 
 
-def _next_ids(df: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
-    """Ids above the largest existing one, in a stated order."""
+NUMBERED = 4096
+
+
+def next_ids(df: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
+    """Ids above the largest existing one, without gaps, by NUMBERED hash classes of ``order`` and by ``order`` within each.
+
+    Only the classes' counts meet in one task; the rows of a class are numbered where they are.
+    """
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    return df.join(F.broadcast(top)).withColumn("id", F.col("_top") + F.row_number().over(Window.orderBy(*order))).drop("_top")  # one row
+    x = df.withColumn("_class", F.pmod(F.xxhash64(*order), F.lit(NUMBERED)))
+    below = F.sum("_n").over(Window.orderBy("_class").rowsBetween(Window.unboundedPreceding, -1))
+    starts = x.groupBy("_class").agg(F.count("*").alias("_n")).select("_class", F.coalesce(below, F.lit(0)).alias("_below"))
+    starts = starts.join(F.broadcast(top))  # one row
+    numbered = x.withColumn("_row", F.row_number().over(Window.partitionBy("_class").orderBy(*order)))
+    return numbered.join(F.broadcast(starts), "_class").withColumn("id", F.col("_top") + F.col("_below") + F.col("_row")).drop("_top", "_class", "_below", "_row")  # at most NUMBERED rows
 
 
 def upsert_calls(calls: DataFrame, jobs: DataFrame, transcripts: DataFrame, scanned: DataFrame, now: Column, max_attempts: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -37,7 +48,7 @@ def upsert_calls(calls: DataFrame, jobs: DataFrame, transcripts: DataFrame, scan
     old = calls.select("absolute_path", "id", "discovered_at", F.col("content_sha256").alias("_hash"))
     seen = scanned.join(old, "absolute_path", "left")
     known = seen.where("id is not null")
-    fresh = _next_ids(seen.where("id is null").drop("id"), calls, ["absolute_path"])
+    fresh = next_ids(seen.where("id is null").drop("id"), calls, ["absolute_path"])
     cols = ["id", "absolute_path", *fields, F.coalesce("discovered_at", now).alias("discovered_at"), now.alias("updated_at")]
     kept = calls.join(scanned.select("absolute_path"), "absolute_path", "left_anti")
     touched = known.select(*cols).unionByName(fresh.select(*cols))
@@ -63,7 +74,7 @@ def upsert_calls(calls: DataFrame, jobs: DataFrame, transcripts: DataFrame, scan
     }
     changed_jobs = j.select(*(F.coalesce(changed[c], F.col(c)).alias(c) if c == "status" else changed.get(c, F.col(c)).alias(c) for c in jobs.columns))
     lone = touched.select(F.col("id").alias("audio_file_id"), "duration_seconds").join(jobs.where(F.col("stage") == STAGE).select("audio_file_id"), "audio_file_id", "left_anti")
-    added = _next_ids(lone, jobs, ["audio_file_id"]).select("id", "audio_file_id", F.lit(STAGE).alias("stage"), F.when(is_short(F.col("duration_seconds")), "skipped").otherwise("pending").alias("status"), F.lit(0).cast("long").alias("priority"), F.lit(0).cast("long").alias("attempts"), F.lit(max_attempts).cast("long").alias("max_attempts"), now.alias("created_at"), now.alias("updated_at"))
+    added = next_ids(lone, jobs, ["audio_file_id"]).select("id", "audio_file_id", F.lit(STAGE).alias("stage"), F.when(is_short(F.col("duration_seconds")), "skipped").otherwise("pending").alias("status"), F.lit(0).cast("long").alias("priority"), F.lit(0).cast("long").alias("attempts"), F.lit(max_attempts).cast("long").alias("max_attempts"), now.alias("created_at"), now.alias("updated_at"))
     new_jobs = changed_jobs.unionByName(added, allowMissingColumns=True).select(*jobs.columns)
 
     t = transcripts.join(change.where("_changed").select("_a"), F.col("audio_file_id") == F.col("_a"), "left")
@@ -80,18 +91,28 @@ def add_versions(transcripts: DataFrame, incoming: DataFrame, now: Column) -> Da
     last = transcripts.groupBy("audio_file_id").agg(F.max("version").alias("_v"))
     x = incoming.withColumn("content_hash", F.sha2("content", 256)).join(current, "audio_file_id", "left").join(last, "audio_file_id", "left")
     x = x.where(~F.col("_hash").eqNullSafe(F.col("content_hash")) | F.coalesce("forced", F.lit(False)))
-    x = _next_ids(x, transcripts, ["audio_file_id"]).withColumn("version", F.coalesce("_v", F.lit(0)) + 1).withColumn("is_current", F.lit(True)).withColumn("created_at", now).withColumn("unclear_count", T.marker_count("content").cast("long"))
+    x = next_ids(x, transcripts, ["audio_file_id"]).withColumn("version", F.coalesce("_v", F.lit(0)) + 1).withColumn("is_current", F.lit(True)).withColumn("created_at", now).withColumn("unclear_count", T.marker_count("content").cast("long"))
     x = x.drop("_hash", "_v", "forced")
     replaced = transcripts.join(x.select(F.col("audio_file_id").alias("_a")), F.col("audio_file_id") == F.col("_a"), "left")
     old = replaced.withColumn("is_current", F.col("is_current") & F.col("_a").isNull()).select(*transcripts.columns)
     return old.unionByName(x, allowMissingColumns=True).select(*transcripts.columns)
 
 
+def _free() -> dict[str, Column]:
+    """A job that nobody works on."""
+    return {"claimed_by": F.lit(None), "claimed_at": F.lit(None), "lease_expires_at": F.lit(None)}
+
+
+def changed(df: DataFrame, hit: Column, new: dict[str, Column], columns: list[str]) -> DataFrame:
+    """``columns`` of a table with new values in the rows that are hit."""
+    return df.select(*(F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in columns))
+
+
 def expire_leases(jobs: DataFrame, now: Column) -> DataFrame:
     """Running jobs whose lease has passed are pending again."""
     gone = F.coalesce((F.col("status") == "running") & (F.col("lease_expires_at") < now), F.lit(False))
     new = {"status": F.lit("pending"), "claimed_by": F.lit(None), "claimed_at": F.lit(None), "lease_expires_at": F.lit(None), "last_error": F.lit("Previous worker lease expired"), "updated_at": now}
-    return jobs.select(*(F.when(gone, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in jobs.columns))
+    return changed(jobs, gone, new, jobs.columns)
 
 
 def claim(jobs: DataFrame, calls: DataFrame, limit: int, worker: str, now: Column, lease_seconds: int = 7200, audio_id: int | None = None) -> DataFrame:
@@ -105,7 +126,7 @@ def claim(jobs: DataFrame, calls: DataFrame, limit: int, worker: str, now: Colum
     x = open_.join(F.broadcast(chosen), F.col("id") == F.col("_id"), "left")  # at most ``limit`` rows
     mine = F.col("_id").isNotNull()
     new = {"status": F.lit("running"), "attempts": F.col("attempts") + 1, "claimed_by": F.lit(worker), "claimed_at": now, "lease_expires_at": now + F.make_dt_interval(secs=F.lit(lease_seconds)), "last_error": F.lit(None), "updated_at": now}
-    return x.select(*(F.when(mine, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in jobs.columns))
+    return changed(x, mine, new, jobs.columns)
 
 
 def queue(jobs: DataFrame, calls: DataFrame, requested: DataFrame, now: Column) -> DataFrame:
@@ -113,8 +134,8 @@ def queue(jobs: DataFrame, calls: DataFrame, requested: DataFrame, now: Column)
     able = calls.where(~is_short(F.col("duration_seconds"))).select(F.col("id").alias("_a")).join(requested.select(F.col("audio_file_id").alias("_a")).distinct(), "_a", "left_semi")
     x = jobs.join(able, (F.col("audio_file_id") == F.col("_a")) & (F.col("stage") == STAGE), "left")
     hit = F.col("_a").isNotNull() & (F.col("status") != "running")
-    new = {"status": F.lit("pending"), "priority": F.lit(1000).cast("long"), "attempts": F.lit(0).cast("long"), "last_error": F.lit(None), "updated_at": now}
-    return x.select(*(F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in jobs.columns))
+    new = {"status": F.lit("pending"), "priority": F.lit(1000).cast("long"), "attempts": F.lit(0).cast("long"), "last_error": F.lit(None), **_free(), "updated_at": now}
+    return changed(x, hit, new, jobs.columns)
 
 
 def finish(jobs: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
@@ -124,14 +145,14 @@ def finish(jobs: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
     hit = F.col("_a").isNotNull()
     status = F.when(F.col("ok"), "completed").when(F.col("_again") & (F.col("attempts") < F.col("max_attempts")), "pending").otherwise("failed")
     new = {"status": status, "last_error": F.when(F.col("ok"), F.lit(None)).otherwise(F.col("error")), "claimed_by": F.lit(None), "claimed_at": F.lit(None), "lease_expires_at": F.lit(None), "updated_at": now}
-    return x.select(*(F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in jobs.columns))
+    return changed(x, hit, new, jobs.columns)
 
 
 def retry_failed(jobs: DataFrame, now: Column) -> DataFrame:
     """Failed jobs of any stage are pending with no attempts."""
     hit = F.col("status") == "failed"
-    new = {"status": F.lit("pending"), "attempts": F.lit(0).cast("long"), "last_error": F.lit(None), "updated_at": now}
-    return jobs.select(*(F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in jobs.columns))
+    new = {"status": F.lit("pending"), "attempts": F.lit(0).cast("long"), "last_error": F.lit(None), **_free(), "updated_at": now}
+    return changed(jobs, hit, new, jobs.columns)
 
 
 def under(path: Column, target: str) -> Column:
@@ -158,47 +179,3 @@ def reset(tables: dict[str, DataFrame], target: str | None = None) -> tuple[dict
         column, lost, other = key.get(name, ("audio_file_id", gone, "_a"))
         out[name] = df.join(lost, F.col(column) == F.col(other), "left_anti")
     return out, audit
-
-
-def check_reviews(requests: DataFrame, transcripts: DataFrame, calls: DataFrame, segments: DataFrame) -> DataFrame:
-    """Requests (audio_file_id, base_transcript_id, status, notes) with the reason to refuse each, null if none.
-
-    segments: (audio_file_id, id, start, end, text, uncertain) of the requested versions.
-    """
-    current = transcripts.where("is_current").select("audio_file_id", F.col("id").alias("_current"), F.col("audio_content_hash").alias("_h"))
-    length = calls.select(F.col("id").alias("audio_file_id"), "duration_seconds", F.col("content_sha256").alias("_c"))
-    s = segments.join(length.select("audio_file_id", "duration_seconds"), "audio_file_id", "left").groupBy("audio_file_id").agg(
-        (F.count("id") != F.count_distinct("id")).alias("_dup"),
-        F.max(~F.coalesce((F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.coalesce("duration_seconds", F.col("end")) + 0.25), F.lit(False))).alias("_range"),
-        F.max(F.coalesce("uncertain", F.lit(False)) | T.has_marker("text") | (F.trim(F.coalesce("text", F.lit(""))) == "")).alias("_open"),
-    )
-    x = requests.join(current, "audio_file_id", "left").join(length, "audio_file_id", "left").join(s, "audio_file_id", "left")
-    error = (
-        F.when(~F.coalesce(F.col("status").isin("in_review", "approved"), F.lit(False)), "invalid status")
-        .when(~F.col("_current").eqNullSafe(F.col("base_transcript_id")), "stale base version")
-        .when(~F.col("_h").eqNullSafe(F.col("_c")), "audio changed")
-        .when(F.coalesce("_dup", F.lit(False)), "duplicate segment id")
-        .when(F.coalesce("_range", F.lit(False)), "segment out of range")
-        .when((F.col("status") == "approved") & F.coalesce("_open", F.lit(True)) & (F.trim(F.coalesce("notes", F.lit(""))) == ""), "notes required")
-    )
-    return x.select(*requests.columns, error.alias("error"))
-
-
-def check_corrections(requests: DataFrame, queue_rows: DataFrame) -> DataFrame:
-    """Corrections (audio_file_id, segment_id, transcript_id, candidate_id, custom_text) with text, source and the reason to refuse.
-
-    queue_rows: (audio_id, segment_id, transcript_id, text, candidates array of (id, text)).
-    """
-    q = queue_rows.select(F.col("audio_id").alias("_a"), F.col("segment_id").alias("_s"), F.col("transcript_id").alias("_t"), F.col("text").alias("original_text"), "candidates")
-    x = requests.join(q, (F.col("audio_file_id") == F.col("_a")) & (F.col("segment_id") == F.col("_s")), "left")
-    chosen = F.get(F.filter("candidates", lambda c: c["id"] == F.col("candidate_id")), F.lit(0))["text"]
-    text = F.when(F.col("candidate_id").isNotNull(), chosen).otherwise(T.collapse(F.col("custom_text")))
-    x = x.withColumn("corrected_text", text).withColumn("selection_source", F.when(F.col("candidate_id").isNotNull(), "candidate").otherwise("custom"))
-    error = (
-        F.when(F.col("_a").isNull(), "not in queue")
-        .when(~F.col("_t").eqNullSafe(F.col("transcript_id")), "stale version")
-        .when(F.col("corrected_text").isNull() | (F.col("corrected_text") == ""), "no text")
-        .when(T.has_marker("corrected_text"), "still unresolved")
-        .when(T.normalize("corrected_text") == T.normalize("original_text"), "no change")
-    )
-    return x.select(*requests.columns, "original_text", "corrected_text", "selection_source", error.alias("error"))

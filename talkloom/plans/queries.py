@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from talkloom import constants as C
 from talkloom.functions import text as T
 from talkloom.operators import evaluation, evidence, intervals, lexicon, listing, review, speakers, store
+from talkloom.plans import oracles
 from talkloom.plans.standins import NOW, cte, table, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,7 +126,7 @@ def text_tokens(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(T.tokens(text)).cast("long").alias("n_tokens"), F.array_join(T.numbers(text), ",").alias("numbers"))
 
 
-@query()
+@query(oracles.TEXT_FLAGS)
 def text_flags(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(T.text_flags("text"), ",").alias("flags"))
 
@@ -178,14 +179,14 @@ def asof_baselines(spark, d):
 
 @query(
     f"""{cte('transcripts', 'transcript_reviews')},{_ASOF}, s AS (
-    SELECT reference_id % 2 AS g, levenshtein(b.content, r.content) AS ce, length(replace(r.content, ' ', '')) AS rc FROM asof_rows a JOIN transcripts r ON r.id = reference_id JOIN transcripts b ON b.id = baseline_id WHERE rn = 1)
-  SELECT CASE WHEN grouping(g) = 1 THEN 'all' WHEN g = 0 THEN 'development' ELSE 'holdout' END AS split, count(*) AS calls, CAST(sum(ce) AS DOUBLE) / sum(rc) AS cer FROM s GROUP BY ROLLUP (g)"""
+    SELECT reference_id % 2 AS g, levenshtein(b.content, r.content) AS ce, length(replace(r.content, ' ', '')) AS rc, levenshtein(replace(b.content, 'text ', 't'), replace(r.content, 'text ', 't')) AS we, 2 AS rw FROM asof_rows a JOIN transcripts r ON r.id = reference_id JOIN transcripts b ON b.id = baseline_id WHERE rn = 1)
+  SELECT CASE WHEN grouping(g) = 1 THEN 'all' WHEN g = 0 THEN 'development' ELSE 'holdout' END AS split, count(*) AS calls, CAST(sum(we) AS DOUBLE) / sum(rw) AS wer, CAST(sum(ce) AS DOUBLE) / sum(rc) AS cer FROM s GROUP BY ROLLUP (g)"""
 )
 def evaluate_calls(spark, d):
     t = table(spark, d, "transcripts").select("id", "content")
     x = _baselines(spark, d).where("baseline_id is not null").join(t.select(F.col("id").alias("reference_id"), F.col("content").alias("ref")), "reference_id").join(t.select(F.col("id").alias("baseline_id"), F.col("content").alias("hyp")), "baseline_id")
     scored = x.select(F.when(F.col("reference_id") % 2 == 0, "development").otherwise("holdout").alias("evaluation_split"), T.score(F.col("ref"), F.col("hyp")).alias("s")).select("evaluation_split", "s.*")
-    return evaluation.micro_rates(scored).select("split", "calls", "cer")
+    return evaluation.micro_rates(scored).select("split", "calls", "wer", "cer")
 
 
 _ENTRIES = """
@@ -203,7 +204,7 @@ def _entries(spark, d):
         F.when(k % 7 != 0, (k % 50) / 100.0).alias("cer"),
         F.when(k % 3 == 0, 1.0).otherwise(0.5).alias("number_precision"),
         F.concat(F.expr(f"repeat('{C.MARKER} ', CAST(o_orderkey % 3 AS INT))"), F.lit("a b c")).alias("hypothesis"),
-        (k % 97 == 96).alias("unsupported_numbers"),
+        ((c % 5 == 4) & (k % 97 == 96)).alias("unsupported_numbers"),
         F.lit(False).alias("decoder_loop"),
         F.lit(False).alias("duplicate_intervals"),
     )
@@ -220,18 +221,19 @@ def benchmark_winner(spark, d):
     return evaluation.winner(evaluation.candidate_metrics(_entries(spark, d), ["model"]), ["model"])
 
 
-@query()
+@query(oracles.promotion(_ENTRIES))
 def promotion_gate(spark, d):
-    metrics = evaluation.candidate_metrics(_entries(spark, d), ["model"])
-    base = spark.read.parquet(f"{d}/orders.parquet").select(F.lit(0.9).alias("wer"), F.lit(0.8).alias("cer"), F.lit(0.4).alias("number_precision"), F.lit(0.9).alias("unresolved_token_rate"))
-    return evaluation.promotion(evaluation.winner(metrics, ["model"]), _entries(spark, d), base, 10)
+    """The winner's gate against 30 baselines, one a nation and region."""
+    entries = _entries(spark, d)
+    win = evaluation.winner(evaluation.candidate_metrics(entries, ["model"]), ["model"])
+    names = spark.read.parquet(f"{d}/nation.parquet").select("n_name").union(spark.read.parquet(f"{d}/region.parquet").select("r_name"))
+    base = names.select(F.lit(0.9).alias("wer"), F.lit(0.8).alias("cer"), F.lit(0.4).alias("number_precision"), F.lit(0.9).alias("unresolved_token_rate"))
+    return evaluation.promotion(win, entries.join(F.broadcast(win.select("model")), "model", "left_semi"), base, 10)  # one row
 
 
-@query(
-    f"{cte('segments')} SELECT call_id, count(*) AS n_rows, count(*) FILTER (trim(text) = '{C.MARKER}') AS marker_only FROM segments GROUP BY 1"
-)
+@query(oracles.PUBLISH_GATE)
 def publish_gate(spark, d):
-    return evaluation.marker_only_share(table(spark, d, "segments"), ["call_id"]).select("call_id", "n_rows", "marker_only")
+    return evaluation.marker_only_share(table(spark, d, "segments"), ["call_id"])
 
 
 # ---- intervals ----
@@ -362,12 +364,12 @@ def word_owners(spark, d):
     return intervals.owners(w, s.select("call_id", "index", "start", "end"), ["call_id"]).select("call_id", "word", "owner", F.round("overlap", 6).alias("overlap"))
 
 
-@query()
+@query(oracles.DISPLAY_ROWS)
 def display_rows(spark, d):
     return intervals.display_rows(table(spark, d, "segments"), ["call_id"], C.UNKNOWN_SPEAKER)
 
 
-@query()
+@query(oracles.CALL_DOCUMENTS)
 def call_documents(spark, d):
     s = table(spark, d, "segments")
     return evidence.markdown(s, s.select("call_id").distinct().select("call_id", F.concat(F.lit("call-"), "call_id", F.lit(".mp3")).alias("filename"), (F.col("call_id") % 2 == 0).alias("human_reviewed")))
@@ -477,9 +479,9 @@ def _hypotheses(spark, d):
     s = table(spark, d, "segments").select("call_id", "index", "start", "end", "text", F.when(F.col("index") % 6 == 5, -1.5).otherwise(-0.3).alias("avg_logprob"), F.lit(0.1).alias("no_speech_prob"), F.when(F.col("index") % 7 == 6, 3.0).otherwise(1.2).alias("compression_ratio"), F.array().cast("array<string>").alias("flags"))
     s = s.withColumn("end", F.greatest("end", F.col("start") + 0.5))
     w = F.split("text", "(?<= )")
-    step = (F.col("end") - F.col("start")) / F.size(w)
-    timed = F.transform(w, lambda x, i: F.struct(x.alias("word"), (F.col("start") + i * step).alias("start"), (F.col("start") + (i + 1) * step).alias("end"), F.lit(0.8).alias("probability")))
-    s = s.withColumn("words", timed)
+    # the step is taken once a row, not once a word
+    timed = lambda step: F.transform(w, lambda x, i: F.struct(x.alias("word"), (F.col("start") + i * step).alias("start"), (F.col("start") + (i + 1) * step).alias("end"), F.lit(0.8).alias("probability")))
+    s = s.withColumn("words", T.bind((F.col("end") - F.col("start")) / F.size(w), timed))
     return s, s.where("index % 4 <> 3").withColumn("text", F.when(F.col("index") % 4 == 2, F.reverse("text")).otherwise(F.col("text"))).withColumn("words", F.when(F.col("index") % 4 == 2, F.array().cast("array<struct<word:string,start:double,end:double,probability:double>>")).otherwise(F.col("words")))
 
 
@@ -503,22 +505,21 @@ def consensus(spark, d):
 TERMS = (lexicon.Term("Ladenda", "brand", ("the and", "der und")), lexicon.Term("Onea", "support_name", ("on", "en")))
 
 
-@query()
+@query(oracles.glossary())
 def glossary(spark, d):
     s = table(spark, d, "segments").select("call_id", "index", lexicon.replace_aliases(F.col("text"), TERMS[:1]).alias("r"), lexicon.observed_alias(F.col("text"), TERMS[1]).alias("observed"))
     return s.select("call_id", "index", F.sha2("r.text", 256).alias("digest"), F.col("r.replacements").alias("replacements"), "observed")
 
 
-@query()
+@query(oracles.SUGGESTIONS)
 def suggestions(spark, d):
     words = F.split("text", " ")
-    at = F.col("index") % F.size(words)
-    swapped = lambda new: F.array_join(F.transform(words, lambda x, i: F.when(i == at, new(x)).otherwise(x)), " ")
+    swapped = lambda new: T.bind(F.col("index") % F.size(words), lambda at: F.array_join(F.transform(words, lambda x, i: F.when(i == at, new(x)).otherwise(x)), " "))
     s = table(spark, d, "segments").select("call_id", "id", swapped(lambda x: F.lit(C.MARKER)).alias("text"), F.col("text").alias("raw_text"), F.col("text").alias("consensus_text"), swapped(F.reverse).alias("alternative"), F.lit(None).cast("string").alias("retry_text"), F.array("speaker").alias("fragments"), F.array().cast("array<string>").alias("entities"), F.array().cast("array<string>").alias("flags"))
     return review.suggestions(s, ["call_id", "id"])
 
 
-@query()
+@query(oracles.PROGRESS_EVENTS)
 def progress_events(spark, d):
     from talkloom.streaming.progress import described
 
@@ -538,7 +539,7 @@ def _words(spark, d):
     return s, w, turns
 
 
-@query()
+@query(oracles.ATTRIBUTE_SPEAKERS)
 def attribute_speakers(spark, d):
     s, w, turns = _words(spark, d)
     return speakers.attribute(s.drop("words", "index"), w, turns).select("call_id", "id", "source_segment_id", "start", "end", "speaker", F.array_join("flags", ",").alias("flags"))
@@ -551,7 +552,7 @@ def refine_speakers(spark, d):
     return speakers.refine(aligned, w.withColumn("score", F.col("probability")).withColumn("hits", F.lit(0.9)).withColumn("accepted", F.lit(True)), turns).select("call_id", "id", "speaker_id", "refined_id", "mixed")
 
 
-@query()
+@query(oracles.ROLE_ERRORS)
 def role_errors(spark, d):
     s = table(spark, d, "segments").withColumn("speaker_id", F.when(F.col("speaker") != "system", F.col("speaker")))
     quote = F.struct(F.col("id").alias("segment_id"), F.substring("text", 1, 10).alias("quote"))
@@ -588,7 +589,7 @@ def attempt_windows(spark, d):
     return intervals.attempt_windows(plans, "duration", 60.0).select("call_id", "gap_start", "mode", "a_start", "a_end")
 
 
-@query()
+@query(oracles.TIMED_UNITS)
 def timed_units(spark, d):
     _, w, _ = _words(spark, d)
     return intervals.timed_units(w, ["call_id", "id"])
