@@ -41,3 +41,4 @@ DOCUMENT_BODY = "## مکالمه"
 NO_SPEECH = "[گفتاری شناسایی نشد؛ نیازمند بررسی صوت]"
 ROW_WARNING = " [نیازمند بازبینی]"
 CORRECTION_NOTE = "اصلاح بخش نامفهوم از صف بازبینی"
+ATTENTION = "whisper_attention"

@@ -48,6 +48,11 @@ def words(text: Column | str) -> Column:
     return F.filter(F.split(normalize(text), " "), lambda x: x != "")
 
 
+def fields(text: Column | str) -> Column:
+    """Runs of characters other than white space, as they stand."""
+    return F.regexp_extract_all(_col(text), F.lit(_SPACE.replace("[", "[^", 1) + "+"), F.lit(0))
+
+
 def fold_ascii(text: Column | str) -> Column:
     """Lower-cases A to Z only, as a case-insensitive LIKE of the stored queries does."""
     return F.translate(_col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

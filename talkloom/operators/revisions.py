@@ -61,7 +61,7 @@ def complete_runs(tables: Tables, results: DataFrame, now: Column) -> tuple[Tabl
     refused = results.where(~F.coalesce("complete", F.lit(True))).select("job_id", "run_id", F.lit("incomplete review").alias("error"))
     good = results.where(F.coalesce("complete", F.lit(True))).join(tables["jobs"].select(F.col("id").alias("job_id"), "audio_file_id"), "job_id")
     incoming = good.select("audio_file_id", "content", "source", "language", "markdown_path", F.col("run_id").alias("processing_run_id"), F.col("quality").isNotNull().alias("forced"))
-    transcripts = _versions(tables, incoming.drop(*({"language", "markdown_path", "processing_run_id"} - set(tables["transcripts"].columns))), now)
+    transcripts = _versions(tables, incoming, now)
     reviews = good.join(_current(transcripts), "audio_file_id").select("transcript_id", F.lit("needs_review").alias("status"), F.coalesce("quality", F.lit("{}")).alias("data_json"), F.lit(True).alias("markdown_synced"), now.alias("created_at"))
     done = good.select(F.col("job_id").alias("_j"), F.col("run_id").alias("_r"), "thread_id")
     runs = tables["processing_runs"].join(done, F.col("id") == F.col("_r"), "left")
@@ -129,7 +129,7 @@ def check_reviews(requests: DataFrame, tables: Tables, segments: DataFrame, prev
     (audio_file_id, id, start, end, text, speaker, uncertain); previous: (audio_file_id, id) of the current versions.
     """
     x = _asked(requests, tables)
-    s = segments.join(x.select("audio_file_id", "duration_seconds"), "audio_file_id")
+    s = segments.join(x.select("audio_file_id", "duration_seconds").distinct(), "audio_file_id")
     inside = T.finite(F.col("start")) & T.finite(F.col("end")) & (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.coalesce("duration_seconds", F.lit(0.0)) + 0.1)
     of = s.groupBy("audio_file_id").agg(
         F.count("*").alias("_n"),

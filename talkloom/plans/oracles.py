@@ -175,3 +175,30 @@ SUGGESTIONS = f"""
  safe AS (SELECT *, row_number() OVER (PARTITION BY call_id, id, key ORDER BY position) AS rn FROM k WHERE key <> '' AND key <> {normalized("cur")} AND NOT {loops("text")})
 SELECT call_id, id, CAST(position AS INTEGER) AS position, source || '-' || substr(sha256(source || chr(0) || text), 1, 16) AS candidate_id, source,
   CASE source WHEN 'raw' THEN '{C.SUGGESTION_LABELS["raw"]}' WHEN 'alternative' THEN '{C.SUGGESTION_LABELS["alternative"]}' ELSE '{C.SUGGESTION_LABELS["uncertainty"]}' END AS source_label, text FROM safe WHERE rn = 1"""
+
+
+def _dominant(p: str, rows: str) -> str:
+    """CTEs that end in {p}out (call_id, id, speaker_id): the dominant exclusive speaker of rows (call_id, id, start, end)."""
+    return f"""
+ {p}hit AS (SELECT s.call_id, s.id, s.start, s."end", t.start AS ts, t."end" AS te, t.speaker_id FROM {rows} s LEFT JOIN turns t ON t.call_id = s.call_id AND t.start < s."end" AND t."end" > s.start),
+ {p}pts AS (SELECT DISTINCT call_id, id, unnest([start, "end", coalesce(greatest(start, ts), start), coalesce(least("end", te), "end")]) AS p FROM {p}hit),
+ {p}sl AS (SELECT * FROM (SELECT call_id, id, p, lead(p) OVER (PARTITION BY call_id, id ORDER BY p) AS q FROM {p}pts) WHERE q IS NOT NULL),
+ {p}act AS (SELECT s.call_id, s.id, p, q, count(DISTINCT speaker_id) AS n, min(speaker_id) AS one FROM {p}sl s LEFT JOIN {p}hit h ON h.call_id = s.call_id AND h.id = s.id AND ts <= (p + q) / 2 AND (p + q) / 2 < te GROUP BY 1, 2, 3, 4),
+ {p}sums AS (SELECT call_id, id, coalesce(sum(q - p) FILTER (n > 0), 0) AS speech FROM {p}act GROUP BY 1, 2),
+ {p}top AS (SELECT *, row_number() OVER (PARTITION BY call_id, id ORDER BY sec DESC, one) AS rn FROM (SELECT call_id, id, one, sum(q - p) AS sec FROM {p}act WHERE n = 1 GROUP BY 1, 2, 3)),
+ {p}out AS (SELECT s.call_id, s.id, CASE WHEN sec / nullif(speech, 0) >= 0.8 AND speech / (s."end" - s.start) >= 0.5 THEN one END AS speaker_id
+   FROM {rows} s JOIN {p}sums u ON u.call_id = s.call_id AND u.id = s.id LEFT JOIN {p}top t ON t.call_id = s.call_id AND t.id = s.id AND t.rn = 1)"""
+
+
+_FIELD = r"[^\s\x0b\x1c-\x1f\x85\p{Z}]+"
+REFINE_SPEAKERS = f"""
+{cte("segments")}, s AS (SELECT call_id, "index", 's' || "index" AS id, start, greatest("end", start + 0.5) AS "end", text, regexp_extract_all(text, '{_FIELD}') AS w FROM segments),{_TURNS},{_dominant("a", "s")},
+ o AS (SELECT s.* FROM s JOIN aout a ON a.call_id = s.call_id AND a.id = s.id WHERE a.speaker_id IS NULL),
+ k AS (SELECT *, unnest(range(0, len(w))) AS i, ("end" - start) / len(w) AS step FROM o),
+ x AS (SELECT call_id, id AS seg, id || '#' || i AS id, i, start + i * step AS start, start + (i + 1) * step AS "end", i % 7 <> 6 AS accepted, substr(text, CAST(i + length(array_to_string(w[1:i], '')) + 1 AS BIGINT), length(w[i + 1])) = w[i + 1] AS literal FROM k),
+ e AS (SELECT call_id, seg, count(*) AS n, bool_and(literal) AS literal FROM x GROUP BY 1, 2),
+ u AS (SELECT x.* FROM x JOIN e USING (call_id, seg) WHERE accepted AND e.literal),{_dominant("b", "u")},
+ v AS (SELECT u.call_id, u.seg, count(DISTINCT b.speaker_id) AS ids, count(b.speaker_id) AS named, min(b.speaker_id) AS one FROM u JOIN bout b ON b.call_id = u.call_id AND b.id = u.id GROUP BY 1, 2),
+ r AS (SELECT e.call_id, e.seg AS id, CASE WHEN ids = 1 AND named >= 0.6 * n THEN one END AS refined_id, coalesce(ids > 1, false) AS mixed, CASE WHEN NOT e.literal THEN 'text not literal' END AS error FROM e LEFT JOIN v USING (call_id, seg))
+SELECT s.call_id, s.id, a.speaker_id, refined_id, coalesce(mixed, false) AS mixed, error, CASE WHEN refined_id IS NOT NULL THEN 'boundary_review_required,word_aligned' WHEN mixed THEN 'mixed_speakers' ELSE '' END AS flags
+FROM s JOIN aout a ON a.call_id = s.call_id AND a.id = s.id LEFT JOIN r ON r.call_id = s.call_id AND r.id = s.id"""

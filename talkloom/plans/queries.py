@@ -514,8 +514,8 @@ def glossary(spark, d):
 @query(oracles.SUGGESTIONS)
 def suggestions(spark, d):
     words = F.split("text", " ")
-    swapped = lambda new: T.bind(F.col("index") % F.size(words), lambda at: F.array_join(F.transform(words, lambda x, i: F.when(i == at, new(x)).otherwise(x)), " "))
-    s = table(spark, d, "segments").select("call_id", "id", swapped(lambda x: F.lit(C.MARKER)).alias("text"), F.col("text").alias("raw_text"), F.col("text").alias("consensus_text"), swapped(F.reverse).alias("alternative"), F.lit(None).cast("string").alias("retry_text"), F.array("speaker").alias("fragments"), F.array().cast("array<string>").alias("entities"), F.array().cast("array<string>").alias("flags"))
+    swapped = lambda new: F.array_join(F.transform("words", lambda x, i: F.when(i == F.col("at"), new(x)).otherwise(x)), " ")
+    s = table(spark, d, "segments").withColumn("words", words).withColumn("at", F.col("index") % F.size("words")).select("call_id", "id", swapped(lambda x: F.lit(C.MARKER)).alias("text"), F.col("text").alias("raw_text"), F.col("text").alias("consensus_text"), swapped(F.reverse).alias("alternative"), F.lit(None).cast("string").alias("retry_text"), F.array("speaker").alias("fragments"), F.array().cast("array<string>").alias("entities"), F.array().cast("array<string>").alias("flags"))
     return review.suggestions(s, ["call_id", "id"])
 
 
@@ -545,11 +545,18 @@ def attribute_speakers(spark, d):
     return speakers.attribute(s.drop("words", "index"), w, turns).select("call_id", "id", "source_segment_id", "start", "end", "speaker", F.array_join("flags", ",").alias("flags"))
 
 
-@query()
+@query(oracles.REFINE_SPEAKERS)
 def refine_speakers(spark, d):
-    s, w, turns = _words(spark, d)
-    aligned = speakers.align_segments(s, turns)
-    return speakers.refine(aligned, w.withColumn("score", F.col("probability")).withColumn("hits", F.lit(0.9)).withColumn("accepted", F.lit(True)), turns).select("call_id", "id", "speaker_id", "refined_id", "mixed")
+    """Words at one character's distance, with evidence that changes by word; segments with other gaps have an error."""
+    s, _, turns = _words(spark, d)
+    w = s.select("call_id", "id", "start", "end", T.fields("text").alias("w")).select("call_id", "id", "start", ((F.col("end") - F.col("start")) / F.size("w")).alias("step"), F.posexplode("w").alias("word_index", "word"))
+    before = F.coalesce(F.sum(F.length("word")).over(Window.partitionBy("call_id", "id").orderBy("word_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    k = F.col("word_index")
+    w = w.withColumn("char_start", (before + k).cast("int")).withColumn("char_end", F.col("char_start") + F.length("word"))
+    w = w.select("call_id", "id", k, "word", "char_start", "char_end", (F.col("start") + k * F.col("step")).alias("start"), (F.col("start") + (k + 1) * F.col("step")).alias("end"), F.lit(0.8).alias("score"), F.when(k % 5 == 0, 0.2).otherwise(0.9).alias("hits"), F.when(k % 5 == 0, C.ATTENTION).otherwise("ctc").alias("method"), (k % 7 != 6).alias("accepted"))
+    aligned = speakers.align_segments(s, turns).join(s.select("call_id", "id", "text", "flags"), ["call_id", "id"])
+    out = speakers.refine(aligned, w, turns)
+    return out.select("call_id", "id", "speaker_id", "refined_id", "mixed", "error", F.array_join("flags", ",").alias("flags"))
 
 
 @query(oracles.ROLE_ERRORS)

@@ -5,7 +5,6 @@ import wave
 
 from pyspark.sql import functions as F
 
-from talkloom.operators import store
 from talkloom.sources import calls, sinks
 
 
@@ -45,18 +44,6 @@ def test_scan(spark, tmp_path):
     assert docs == {"run.json": False, "bad.json": True}
 
 
-def test_review_checks(spark):
-    t = spark.createDataFrame([(10, 1, "h", True), (20, 2, "h", True)], "id long, audio_file_id long, audio_content_hash string, is_current boolean")
-    c = spark.createDataFrame([(1, 9.0, "h"), (2, 9.0, "other")], "id long, duration_seconds double, content_sha256 string")
-    s = spark.createDataFrame([(1, "s1", 0.0, 3.0, "ok", False), (2, "s1", 0.0, 3.0, "ok", False)], "audio_file_id long, id string, start double, end double, text string, uncertain boolean")
-    r = spark.createDataFrame([(1, 10, "approved", ""), (2, 20, "approved", ""), (1, 9, "approved", ""), (1, 10, "done", "")], "audio_file_id long, base_transcript_id long, status string, notes string")
-    assert {(x.audio_file_id, x.base_transcript_id, x.status): x.error for x in store.check_reviews(r, t, c, s).collect()} == {(1, 10, "approved"): None, (2, 20, "approved"): "audio changed", (1, 9, "approved"): "stale base version", (1, 10, "done"): "invalid status"}
-    q = spark.createDataFrame([(1, "s1", 10, "a [نامفهوم]", [("raw-1", "a b")])], "audio_id long, segment_id string, transcript_id long, text string, candidates array<struct<id:string,text:string>>")
-    fixes = spark.createDataFrame([(1, "s1", 10, "raw-1", None), (1, "s1", 10, None, "a [نامفهوم]"), (1, "s2", 10, None, "x"), (1, "s1", 9, None, "x")], "audio_file_id long, segment_id string, transcript_id long, candidate_id string, custom_text string")
-    got = [(x.corrected_text, x.error) for x in store.check_corrections(fixes, q).orderBy("segment_id", F.desc("transcript_id"), F.desc_nulls_last("candidate_id")).collect()]
-    assert got == [("a b", None), ("a [نامفهوم]", "still unresolved"), ("x", "stale version"), ("x", "not in queue")]
-
-
 def test_publishing(spark, tmp_path):
     p = spark.createDataFrame([(1, "x"), (2, "y")], "audio_file_id long, content string")
     base = spark.createDataFrame([(1, "h1"), (2, "h2")], "audio_file_id long, content_hash string")
