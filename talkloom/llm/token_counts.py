@@ -1,19 +1,24 @@
 """Token counts of whole texts under a fixed public vocabulary.
 
-Texts are cut before a space that follows a non-space character.  A byte-level
-pre-tokenizer attaches one leading space to the token after it and otherwise
-keeps white-space runs together, so such a cut always lies between two of its
-pieces and the counts of the parts add up to the count of the text, special
-strings included (they hold no space).  Each Arrow batch collects the parts its
-worker has not met yet, encodes them in groups of bounded bytes, and returns
-lengths only; ids never leave the worker.
-
-Null and empty texts count zero tokens.  Repeated rows are counted each.  Other
-columns of the input, whatever their names, are ignored.
+Arrow batches of texts are encoded by the library in groups of about
+``GROUP_BYTES`` bytes, and lengths alone come back; ids never leave the worker.
+A text of more than ``PART`` characters is split at safe boundaries, and the
+counts of its parts add up.  A byte-level pre-tokenizer cuts texts into runs of
+letters, of digits, of other characters and of white space, where a run may take
+one space before it.  Between a character that is not white space and white
+space, and between a letter and a mark of ``_MARKS``, two of its pieces always
+meet.  No added token may hold such a boundary; vocabularies of other kinds, and
+stretches without a boundary, are encoded whole.  A group is as large as its
+last part, which only such a stretch makes larger than ``GROUP_BYTES``.
+
+Null and empty texts count zero tokens.  Repeated rows are counted each, though
+equal parts of a group are encoded once.  Other columns of the input, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -23,36 +28,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-#: Bytes encoded at once, and parts remembered by a worker.
-GROUP_BYTES = 1 << 18
-MEMO = 1_000_000
-
-#: Every white-space character, each followed by the space that must then not be cut at.
-_UNSAFE_ASCII = tuple(chr(c) + " " for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32))
-_UNSAFE_OTHER = tuple(chr(c) + " " for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
-_CUT = re.compile(r"(?<=\S) ")
-#: A run of these after letters is a piece of its own; the apostrophe, which joins some letters after it, is not here.
-_TAIL = ".,;:!?|%&$#*"
-WORD = 64
-#: The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on, in order.
-_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_BYTE_LEVEL = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+#: Bytes encoded at once, and characters from which a text is split.
+GROUP_BYTES = 1 << 20
+PART = 1 << 16
 
+#: Marks that no contraction begins with.
+_MARKS = ".,;:!?。、，！？"
+#: Characters that are white space or letters by every version of Unicode.
+_BLANK = r" \t\n\r"
+_LETTER = r"A-Za-z\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_BOUNDARY = re.compile(rf"(?<=\S)[{_BLANK}]|(?<=[{_LETTER}])[{_MARKS}]")
+_counters: dict[str, _Counter] = {}
 
-def _letters(text: str) -> str:
-    return text.encode().decode("latin-1").translate(_BYTE_LEVEL)
 
-
-_LEAD = _letters(" ")
-_counters: dict[str, _Counter] = {}
+def parts(text: str, size: int = PART) -> Iterator[str]:
+    """The text in parts of at least ``size`` characters, each ending at the first safe boundary from there on."""
+    at = 0
+    while len(text) - at > size and (cut := _BOUNDARY.search(text, at + size)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
 
 
 class _Counter:
-    """Counts with one tokenizer; heads and memo map a text's first part, and a part after a cut, to its number of tokens."""
+    """Counts with one tokenizer."""
 
     def __init__(self, vocabulary: str):
-        self.heads: dict[str, int] = {}
-        self.memo: dict[str, int] = {}
         if vocabulary.endswith(".model"):
             import sentencepiece
 
@@ -68,82 +69,40 @@ class _Counter:
             tokenizer.no_padding()
             self.lengths = lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             self.splits = self._byte_level(vocabulary)
-            self.pieces = tokenizer.model.tokenize
-            self.newline = len(self.pieces(_letters("\n")))
 
     @staticmethod
     def _byte_level(vocabulary: str) -> bool:
-        """Cutting at spaces is safe only where nothing rewrites the text before it is split."""
-        import json
-
+        """Splitting is safe only where nothing rewrites the text before it is cut into pieces, and no added token holds a boundary."""
         with open(vocabulary, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         added = spec.get("added_tokens") or []
-        plain = all(not x["lstrip"] and not x["rstrip"] and not x["single_word"] and " " not in x["content"] for x in added)
+        plain = all(not x["lstrip"] and not x["rstrip"] and not x["single_word"] and not re.search(rf"\s|[{_MARKS}]", x["content"]) for x in added)
         return pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec.get("normalizer") is None and plain
 
-    def parts(self, text: str) -> list[str]:
-        if not self.splits:
-            return [text]
-        if any(x in text for x in _UNSAFE_ASCII) or not text.isascii() and any(x in text for x in _UNSAFE_OTHER):
-            return _CUT.split(text)
-        return text.split(" ")
-
-    def _word(self, x: str, lead: str) -> int:
-        """Tokens of letters with a tail of punctuation; 0 for any other text."""
-        core = x.rstrip(_TAIL)
-        if not core.isalpha() or len(core) > WORD:
-            return 0
-        if core.isascii():
-            n = len(self.pieces(_LEAD + core if lead else core))
-        else:
-            n = len(self.pieces(_letters(lead + core)))
-        return n + (len(self.pieces(x[len(core) :])) if len(core) < len(x) else 0)
-
-    def _learn(self, memo: dict[str, int], fresh: list[str], lead: str) -> None:
-        """Counts new parts: letters with a tail of punctuation piece by piece, anything else in encoded groups of about GROUP_BYTES."""
-        group, held = [], 0
-        for x in fresh:
-            if self.splits:
-                above, newline, below = x.partition("\n")
-                n = self._word(above, lead)
-                if n and newline:
-                    m = self._word(below, "")
-                    n = n + self.newline + m if m else 0
-                if n:
-                    memo[x] = n
+    def count(self, texts: list[str | None]) -> list[int]:
+        out = [0] * len(texts)
+        group: dict[str, list[int]] = {}  # parts, and the texts that they are of
+        held = 0
+
+        def encode() -> None:
+            for n, owners in zip(self.lengths(list(group)), group.values(), strict=True):
+                for i in owners:
+                    out[i] += n
+            group.clear()
+
+        for i, text in enumerate(texts):
+            for part in (parts(text) if self.splits else (text,)) if text else ():
+                if part in group:
+                    group[part].append(i)
                     continue
-            group.append(x)
-            held += 4 * len(x)
-            if held >= GROUP_BYTES:
-                memo.update(zip(group, self.lengths([lead + g for g in group]), strict=True))
-                group, held = [], 0
+                group[part] = [i]
+                held += len(part) if part.isascii() else len(part.encode())
+                if held >= GROUP_BYTES:
+                    encode()
+                    held = 0
         if group:
-            memo.update(zip(group, self.lengths([lead + g for g in group]), strict=True))
-
-    def count(self, texts: list[str | None]) -> list[int]:
-        out = []
-        for text in texts:
-            if not text:
-                out.append(0)
-                continue
-            first, *rest = self.parts(text)
-            total = 0
-            if first:
-                if first not in self.heads:
-                    self._learn(self.heads, [first], "")
-                total = self.heads[first]
-            if rest:
-                found = list(map(self.memo.get, rest))
-                if None in found:
-                    self._learn(self.memo, list(dict.fromkeys(x for x, n in zip(rest, found, strict=True) if n is None)), " ")
-                    found = map(self.memo.get, rest)
-                total += sum(found)
-            for memo, most in ((self.memo, MEMO), (self.heads, MEMO // 10)):
-                if len(memo) > most:
-                    memo.clear()
-            out.append(total)
+            encode()
         return out
 
 

@@ -50,6 +50,26 @@ def test_token_counts(docs, rows):
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 1024)
 
 
+def test_token_counts_of_long_texts(spark):
+    """Parts split at any boundary add up; texts of many parts, without a boundary, an empty table, clashing names."""
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path, rng = P.path("byte_bpe_50k.json"), random.Random(3)
+    library = Tokenizer.from_file(path)
+    lengths = lambda texts: sum(len(x.encode(t, add_special_tokens=False)) for x, t in ((library, t) for t in texts))
+    odd = ["a  b\n c <|endoftext|> x<|endoftext|>  y's 't's don't, foo.\nBar,x", "你好。世界 \x1c a!\x1c b　 c it's,'s !\t x  \n\n d", prose(rng, 60)]
+    for text in odd:
+        for size in range(1, len(text)):
+            cut = list(token_counts.parts(text, size))
+            assert "".join(cut) == text and lengths(cut) == lengths([text])
+    rows = [(1, prose(rng, 60_000)), (2, "ab" * 100_000), (3, prose(rng, 60_000).replace(" ", "")), (None, "one two"), (4, odd[0] * 4000), (4, odd[0] * 4000)]
+    df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, n_tokens int")
+    got = sorted((str(r.doc_id), r.n_tokens) for r in token_counts.count_tokens(df, path).collect())
+    assert got == sorted((str(i), lengths([t])) for i, t in rows)
+    assert token_counts.count_tokens(df.where("false"), path).count() == 0
+
+
 def jaccard_groups(rows):
     """Set sizes and smallest linked ids, by plain Python."""
     fold = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
