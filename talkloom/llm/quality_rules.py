@@ -11,8 +11,9 @@ a text that no rule names is kept.
 Learning may use a bounded sample of the labelled rows (``max_labelled``,
 by a hash of the id); all statistics are taken from whole texts.  Null and
 empty texts have zero counts and fail the base filter.  Ids with several
-labels take the largest; repeated rows are judged each.  Without labels the
-list is empty and only the base filter decides.
+labels take the largest; repeated rows are judged each, but of rows with one id
+the list learns from that with the least ratios alone.  Without labels the list
+is empty and only the base filter decides.
 """
 
 from __future__ import annotations
@@ -201,15 +202,15 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return []
     share = min(1 << 20, -(-(max_labelled << 20) // n))
     sample = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share)
-    rows = (
+    measured = (
         df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         .join(F.broadcast(sample), "id")  # at most about max_labelled rows
         .select("id", "label", statistics(F.col("text")).alias("s"))
         .where(F.col("s.n_words") > 0)
-        .select("id", "label", *(c.alias(k) for k, c in ratios().items()))
-        .orderBy("id", *RATIOS)
-        .toPandas()
+        .select("id", "label", F.struct(*(c.alias(k) for k, c in ratios().items())).alias("r"))
     )
+    # sorted here: to sort in Spark would measure the texts twice, the first time for the ranges
+    rows = measured.groupBy("id", "label").agg(F.min("r").alias("r")).select("id", "label", "r.*").toPandas().sort_values("id")
     names = list(RATIOS)
     return learn(rows[names].to_numpy(dtype=float), (rows["label"] == 0).to_numpy(), names, **params)
 

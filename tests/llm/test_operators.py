@@ -276,6 +276,8 @@ def test_quality(docs, rows, spark):
         assert got[i].n_symbols == sum((t or "").count(c) for c in "#*$%&|<>")
         assert got[i].base_failed == (len(w) < 50 or 100 * repeat > 50 * len(w)) and not (got[i].kept and got[i].base_failed)
     assert quality_rules.judge(docs, labels.where("false")).where("kept <> (not base_failed)").count() == 0
+    assert quality_rules.train(docs.union(docs), labels.union(labels), min_precision=0.5) == quality_rules.train(docs, labels, min_precision=0.5)
+    assert quality_rules.judge(docs.where("false"), labels).count() == 0
 
 
 def test_decision_list_learns():
