@@ -6,8 +6,10 @@ is the bundle (sum) of its trigrams, a language's prototype the bundle of its
 training texts' unit vectors.  A text gets the language of the prototype with
 the largest cosine, and that cosine as score.
 
-Training may take a bounded sample: at most about ``per_language`` texts of a
-language, chosen by a hash of the text.  Prediction reads whole texts and
+Training may take a bounded sample: at most about ``per_language`` different
+texts of a language, chosen by a hash of the text, each once however many copies
+it has.  More than ``most`` languages, which the model would have to hold in
+memory, are refused with an error.  Prediction reads whole texts and
 nothing but the text; very long ones are bundled slice by slice.  Null texts
 and texts without a letter give ``und`` and score 0, as does every text where
 nothing could be learned.  Ties go to the language first in code-point order.
@@ -129,16 +131,17 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, head)) or any(map(str.isalpha, text[64:]))
 
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", dim: int = 1024, per_language: int = 3000, seed: int = 7) -> Profiles:
-    """Learns from the rows with a language; the driver gets ``dim`` numbers for each language."""
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", dim: int = 1024, per_language: int = 3000, seed: int = 7, most: int = 2000) -> Profiles:
+    """Learns from the rows with a language; the driver gets ``dim`` numbers for each of at most ``most`` languages."""
     labelled = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).limit(most + 1).collect()
     if not sizes:
         return Profiles((), np.zeros((0, dim), dtype=np.float32), seed)
-    share = F.lit(0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1 << 20, -(-(per_language << 20) // n))).otherwise(share)
-    sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share)
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} languages")
+    shares = df.sparkSession.createDataFrame([(r["lang"], -(-(per_language << 20) // max(1, r["n"]))) for r in sizes], "lang string, share long")
+    sample = labelled.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("share"))  # at most ``most`` rows
+    sample = sample.select("text", "lang").distinct()
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

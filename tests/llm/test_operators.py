@@ -305,6 +305,14 @@ def test_language(spark):
     assert [by[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3 and by[1003].lang_pred in speech and all(0 <= r.score <= 1 for r in got)
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert language_id.identify(empty).count() == 0
+    # copies count once; columns of other names; a text of several slices
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, lang string, share int, n string")
+    once, often = (language_id.train(x) for x in (df, df.unionAll(df).unionAll(df.where("doc_id = 3"))))
+    assert once.languages == often.languages and abs(once.prototypes - often.prototypes).max() < 1e-6
+    long = " ".join(r[1] for r in rows[:200] if r[2] == "fr") * 100
+    assert len(long) > language_id.SLICE and spark.createDataFrame([(long,)], "text string").select(language_id.predict(F.col("text"), once).alias("p")).first().p.lang == "fr"
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        language_id.train(df, most=2)
 
 
 def test_html(spark):
