@@ -13,7 +13,8 @@ and the document at the boundary gives the words that are missing.  The running
 sum is not one sort per source: keys fall into ``BINS`` bins, sizes are summed
 by bin before the shuffle, a prefix sum over bins finds the boundary bin, and
 only that bin's documents are sorted.  A source with most of the rows is
-therefore spread over all tasks.
+therefore spread over all tasks.  The targets are broadcast where there are at
+most ``BROADCAST_SOURCES`` sources, else joined by a shuffle.
 
 Null and empty texts have size 0 and are taken 0 times; a null source comes
 last in the order of sources.  Repeated rows with different ids differ in key;
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from talkloom.llm._spark import cut
 
 BINS = 4096
+BROADCAST_SOURCES = 100_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -82,8 +84,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     edges = edges.join(g, F.col("b_source").eqNullSafe(F.col("g_source")))
     edges = edges.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("bin_size") >= F.col("rest"))).select(F.col("b_source").alias("e_source"), F.col("bin").alias("e_bin"), "before")
     small = g.join(edges, F.col("g_source").eqNullSafe(F.col("e_source")), "left").select("g_source", "source_size", "target", "epochs", "rest", "e_bin", "before")
-    # one row per source, which the driver has to hold for planning anyway
-    x = keyed.join(F.broadcast(small), keyed["source"].eqNullSafe(F.col("g_source")))
+    small = F.broadcast(small) if goals.count() <= BROADCAST_SOURCES else small  # one row a source
+    x = keyed.join(small, keyed["source"].eqNullSafe(F.col("g_source")))
     plain = F.when((F.col("rest") > 0) & (F.col("e_bin").isNull() | (F.col("bin") < F.col("e_bin"))), F.col("size")).otherwise(F.lit(0))
     cols = ["id", "source", "size", "source_size", "target"]
     inner = x.where(~F.coalesce(F.col("bin") == F.col("e_bin"), F.lit(False))).select(*cols, (F.col("epochs") * F.col("size") + plain).alias("taken"))

@@ -215,7 +215,7 @@ def test_substring_dedup_repeated_rows(spark):
     assert got[2][2] >= len(shared) and shared not in got[2][1] and len(got) == 3
 
 
-def test_mixing(docs, rows):
+def test_mixing(docs, rows, monkeypatch):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows) and all(r.size == len(words(rows[r.doc_id][1])) and 0 <= r.taken <= 3 * r.size for r in got)
     total = sum(r.size for r in got)
@@ -227,6 +227,9 @@ def test_mixing(docs, rows):
         assert sum(r.taken for r in v) == pytest.approx(v[0].target, abs=1) and v[0].target <= 3 * v[0].source_size + 1e-6
     again = {r.doc_id: r.taken for r in mixing.mix(docs.repartition(7)).collect()}
     assert again == {r.doc_id: r.taken for r in got}
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
+    assert {r.doc_id: r.taken for r in mixing.mix(docs).collect()} == again
+    assert mixing.mix(docs.where("false")).count() == 0
 
 
 def test_myers_and_matches(docs, rows, spark, monkeypatch):
