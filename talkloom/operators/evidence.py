@@ -110,12 +110,17 @@ def words_in_gap(words: Column, start: Column, end: Column) -> Column:
 
 
 def retry_for_gaps(retries: DataFrame, gaps: DataFrame, keys: list[str]) -> DataFrame:
-    """Text that a retry's segments have inside each gap: (keys, start, end, text, n_segments), only where some is usable.
+    """Text that a retry's segments have inside each gap: (keys, start, end, text, n_segments, segments), only where some is usable.
 
-    retries: (keys, index, s_start, s_end, text, avg_logprob, no_speech_prob, compression_ratio, words); gaps: (keys, start, end).
+    retries: (keys, index, s_start, s_end, text, avg_logprob, no_speech_prob, compression_ratio, words), and if known the
+    flags stored with a segment and the decoder's prompt, which no segment may echo; gaps: (keys, start, end).  segments:
+    (index, start, end, text) clipped to the gap.
     """
-    r = retries.withColumn("_f", T.text_flags("text", F.col("avg_logprob"), F.col("no_speech_prob"), F.col("compression_ratio")))
-    r = r.where((F.col("s_end") > F.col("s_start")) & ~T.has_any(F.col("_f"), (*C.UNUSABLE_RETRY, "unclear")))
+    stored = F.col("flags") if "flags" in retries.columns else None
+    r = retries.withColumn("_f", T.text_flags("text", F.col("avg_logprob"), F.col("no_speech_prob"), F.col("compression_ratio"), stored))
+    r = r.where(T.finite(F.col("s_start")) & T.finite(F.col("s_end")) & (F.col("s_end") > F.col("s_start")) & ~T.has_any(F.col("_f"), (*C.UNUSABLE_RETRY, "unclear")))
+    if "prompt" in retries.columns:
+        r = r.where(~T.prompt_leakage(F.coalesce("text", F.lit("")), F.coalesce("prompt", F.lit(""))))
     x = r.join(gaps, keys).where((F.col("s_start") <= F.col("end")) & (F.col("s_end") >= F.col("start")))
     x = x.withColumn("_w", words_in_gap(F.coalesce("words", F.array().cast(f"array<{WORD}>")), F.col("start"), F.col("end")))
     spoken = F.trim(F.array_join(F.transform("_w", lambda w: w["word"]), ""))
@@ -124,7 +129,12 @@ def retry_for_gaps(retries: DataFrame, gaps: DataFrame, keys: list[str]) -> Data
     inside = (F.least("s_end", "end") - F.greatest("s_start", "start")) / F.greatest(F.lit(0.001), F.col("s_end") - F.col("s_start"))
     text = F.when((n > 0) & ~weak, spoken).when((n == 0) & (inside >= 0.8), F.trim("text"))
     x = x.withColumn("_t", text).where(F.col("_t").isNotNull() & (F.col("_t") != "") & ~T.has_any(T.text_flags("_t"), ("repetition", "unclear")))
-    out = x.groupBy(*keys, "start", "end").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "_t"))), lambda s: s["_t"]), " ").alias("text"), F.count("*").alias("n_segments"))
+    first = F.when(n > 0, F.get("_w", F.lit(0))["start"]).otherwise(F.greatest("start", "s_start"))
+    last = F.when(n > 0, F.element_at("_w", -1)["end"]).otherwise(F.least("end", "s_end"))
+    heard = F.struct("index", first.alias("start"), last.alias("end"), F.col("_t").alias("text"))
+    out = x.groupBy(*keys, "start", "end").agg(F.array_sort(F.collect_list(heard)).alias("segments"))
+    text = F.array_join(F.transform("segments", lambda s: s["text"]), " ")
+    out = out.select(*keys, "start", "end", text.alias("text"), F.size("segments").cast("long").alias("n_segments"), "segments")
     return out.where(~T.repeats("text"))
 
 

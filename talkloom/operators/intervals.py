@@ -24,6 +24,29 @@ def merge_overlapping(df: DataFrame, keys: list[str], start: str = "start", end:
     return islands.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("parts"), *(aggregates or [])).drop("_island")
 
 
+def merge_channels(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """One timeline of segments heard on separate channels: overlapping ones fuse to (keys, start, end, text, words, flags, channels).
+
+    segments: (keys, channel_id, start, end, text, words, flags).  Fused texts are joined in time order, lose their word
+    times and are flagged channel_overlap; a segment that overlaps none keeps its text, words and flags.
+    """
+    order = F.array_sort(F.collect_list(F.struct("start", "end", "channel_id", "text", "words", "flags"))).alias("r")
+    x = merge_overlapping(segments, keys, aggregates=[order])
+    fused, first = F.col("parts") > 1, F.get("r", F.lit(0))
+    texts = F.filter(F.transform("r", lambda s: F.trim(F.coalesce(s["text"], F.lit("")))), lambda t: t != "")
+    none = F.array().cast("array<string>")
+    flags = F.array_sort(F.array_distinct(F.concat(F.flatten(F.transform("r", lambda s: F.coalesce(s["flags"], none))), F.array(F.lit("channel_overlap")))))
+    return x.select(
+        *keys,
+        "start",
+        "end",
+        F.when(fused, F.array_join(texts, " ")).otherwise(first["text"]).alias("text"),
+        F.when(fused, F.slice(first["words"], 1, 0)).otherwise(first["words"]).alias("words"),
+        F.when(fused, flags).otherwise(first["flags"]).alias("flags"),
+        F.transform("r", lambda s: s["channel_id"]).alias("channels"),
+    )
+
+
 def merge_touching(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """Union of closed intervals: rows that overlap or touch become one."""
     w = Window.partitionBy(*keys).orderBy(start, end)
@@ -129,14 +152,24 @@ def labels_at(slices: DataFrame, rows: DataFrame, keys: list[str], label: str, n
     return joined.groupBy(*slices.columns).agg(F.array_sort(F.collect_set("_l")).alias(name))
 
 
-def timeline_errors(rows: DataFrame, keys: list[str], duration: str) -> DataFrame:
-    """One row per violated rule and row: interval out of range, duplicate, or overlapping the one before."""
+def timeline_errors(rows: DataFrame, keys: list[str], duration: str, parts: str | None = None) -> DataFrame:
+    """One row per violated rule and row: interval out of range, duplicate, or overlapping the one before.
+
+    parts, if given, names an array of (segment, word, ...): the hypothesis tokens a row owns; a token that is owned more
+    than once is an error of each of its rows.
+    """
     w = Window.partitionBy(*keys).orderBy("start", "end")
     same = Window.partitionBy(*keys, F.round("start", 6), F.round("end", 6))
     bad_range = ~F.coalesce((F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col(duration) + 1e-6), F.lit(False))
     checked = rows.select(*keys, "start", "end", bad_range.alias("_r"), (F.count("*").over(same) > 1).alias("_d"), F.coalesce(F.col("start") < F.lag("end").over(w) - 1e-6, F.lit(False)).alias("_o"))
     errors = F.filter(F.array(F.when(F.col("_r"), F.lit("range")), F.when(F.col("_d"), F.lit("duplicate")), F.when(F.col("_o"), F.lit("overlap"))), lambda x: x.isNotNull())
-    return checked.select(*keys, "start", "end", F.explode(errors).alias("error"))
+    out = checked.select(*keys, "start", "end", F.explode(errors).alias("error"))
+    if parts is None:
+        return out
+    owned = rows.select(*keys, "start", "end", F.explode(parts).alias("_t"))
+    claims = F.count("*").over(Window.partitionBy(*keys, "_t.segment", "_t.word"))
+    shared = owned.withColumn("_n", claims).where("_n > 1").select(*keys, "start", "end").distinct()
+    return out.unionByName(shared.withColumn("error", F.lit("owner")))
 
 
 def owners(words: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:

@@ -202,3 +202,18 @@ REFINE_SPEAKERS = f"""
  r AS (SELECT e.call_id, e.seg AS id, CASE WHEN ids = 1 AND named >= 0.6 * n THEN one END AS refined_id, coalesce(ids > 1, false) AS mixed, CASE WHEN NOT e.literal THEN 'text not literal' END AS error FROM e LEFT JOIN v USING (call_id, seg))
 SELECT s.call_id, s.id, a.speaker_id, refined_id, coalesce(mixed, false) AS mixed, error, CASE WHEN refined_id IS NOT NULL THEN 'boundary_review_required,word_aligned' WHEN mixed THEN 'mixed_speakers' ELSE '' END AS flags
 FROM s JOIN aout a ON a.call_id = s.call_id AND a.id = s.id LEFT JOIN r ON r.call_id = s.call_id AND r.id = s.id"""
+
+CHANNEL_SEGMENTS = f"""{cte("segments")}, c AS (
+  SELECT call_id, "index" % 2 + 1 AS channel_id, start, "end", CASE WHEN "index" % 5 <> 4 THEN text END AS text, CASE WHEN "index" % 3 = 0 THEN [speaker] ELSE [] END AS flags FROM segments),
+o AS (
+  SELECT *, max("end") OVER (PARTITION BY call_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c),
+g AS (
+  SELECT *, sum(CASE WHEN reach IS NULL OR start >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY call_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM o),
+m AS (
+  SELECT call_id, min(start) AS start, max("end") AS "end", count(*) AS n, first(text ORDER BY start, "end", channel_id) AS one,
+    string_agg(trim(text), ' ' ORDER BY start, "end", channel_id) FILTER (trim(text) <> '') AS texts,
+    flatten(list(flags ORDER BY start, "end", channel_id)) AS flags, string_agg(CAST(channel_id AS VARCHAR), ',' ORDER BY start, "end", channel_id) AS channels
+  FROM g GROUP BY call_id, island)
+SELECT call_id, start, "end", sha256(coalesce(CASE WHEN n > 1 THEN texts ELSE one END, '')) AS digest, CAST(CASE WHEN n > 1 THEN 0 ELSE 1 END AS BIGINT) AS n_words,
+  array_to_string(CASE WHEN n > 1 THEN list_sort(list_distinct(list_append(flags, 'channel_overlap'))) ELSE flags END, ',') AS flags, channels
+FROM m"""

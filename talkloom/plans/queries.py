@@ -248,6 +248,15 @@ def merge_channels(spark, d):
     return intervals.merge_overlapping(table(spark, d, "intervals"), ["call_id"])
 
 
+@query(oracles.CHANNEL_SEGMENTS)
+def channel_segments(spark, d):
+    """Segments of a call on two channels, some of them without text, as one timeline."""
+    i = F.col("index")
+    s = table(spark, d, "segments").select("call_id", (i % 2 + 1).alias("channel_id"), "start", "end", F.when(i % 5 != 4, F.col("text")).alias("text"), F.array(F.struct(F.col("text").alias("word"))).alias("words"), F.when(i % 3 == 0, F.array("speaker")).otherwise(F.array().cast("array<string>")).alias("flags"))
+    out = intervals.merge_channels(s, ["call_id"])
+    return out.select("call_id", "start", "end", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.size("words").cast("long").alias("n_words"), F.array_join("flags", ",").alias("flags"), F.array_join(F.transform("channels", lambda c: c.cast("string")), ",").alias("channels"))
+
+
 @query(
     f"""{cte('segments')}, calls AS (SELECT call_id, max("end") AS duration FROM segments GROUP BY 1),
  r AS (SELECT s.call_id, s.start, least(duration, s."end") AS "end", row_number() OVER (PARTITION BY s.call_id ORDER BY s.start, s."end") AS k FROM segments s JOIN calls USING (call_id) WHERE least(duration, s."end") - s.start >= 0.2),
@@ -352,6 +361,18 @@ def timeline_errors(spark, d):
     return intervals.timeline_errors(table(spark, d, "intervals").withColumn("duration", F.lit(2000000.0)), ["call_id"], "duration")
 
 
+@query(
+    f"""{cte('segments')}, c AS (SELECT call_id, start, "end", count(*) OVER (PARTITION BY call_id, "index" // 4, "index" % 3) > 1 AS twice, coalesce(start < lag("end") OVER (PARTITION BY call_id ORDER BY start, "end") - 1e-6, false) AS ov FROM segments)
+ SELECT call_id, start, "end", 'range' AS error FROM c WHERE NOT (start >= 0 AND start < "end" AND "end" <= 60 + 1e-6)
+ UNION ALL SELECT call_id, start, "end", 'overlap' FROM c WHERE ov UNION ALL SELECT call_id, start, "end", 'owner' FROM c WHERE twice"""
+)
+def token_owner_errors(spark, d):
+    """Rows of which each owns one token; the first and last of four own the same."""
+    i = F.col("index")
+    s = table(spark, d, "segments").select("call_id", "start", "end", F.array(F.struct(F.floor(i / 4).alias("segment"), (i % 3).alias("word"))).alias("parts"), F.lit(60.0).alias("duration"))
+    return intervals.timeline_errors(s, ["call_id"], "duration", "parts")
+
+
 @query(
     f"""{cte('segments')}, w AS (SELECT call_id, "index" * 10 + k AS word, start + k AS start, start + k + 0.8 AS "end" FROM segments, (SELECT unnest(range(0, 6)) AS k)),
  j AS (SELECT w.*, s."index" AS owner, least(w."end", s."end") - greatest(w.start, s.start) AS o FROM w LEFT JOIN segments s ON s.call_id = w.call_id AND s.start < w."end" AND w.start < s."end"),
@@ -582,7 +603,8 @@ def decoding_candidates(spark, d):
 def retry_texts(spark, d):
     primary, _ = _hypotheses(spark, d)
     gaps = primary.select("call_id", (F.col("start") + 1).alias("start"), (F.col("start") + 5).alias("end"))
-    return evidence.retry_for_gaps(primary.withColumnsRenamed({"start": "s_start", "end": "s_end"}), gaps, ["call_id"])
+    out = evidence.retry_for_gaps(primary.withColumnsRenamed({"start": "s_start", "end": "s_end"}), gaps, ["call_id"])
+    return out.select("call_id", "start", "end", "text", "n_segments", F.round(F.get("segments", F.lit(0))["start"], 3).alias("heard_from"))
 
 
 @query(

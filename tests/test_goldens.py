@@ -237,3 +237,38 @@ def test_best_mapping_against_all_mappings():
         labels, roles = sorted({c[0] for c in cells}), sorted({c[1] for c in cells})
         every = permutations([*roles, *[None] * (len(labels) - len(roles))], len(labels))
         assert best_mapping(cells)[0] == max(sum(value.get(x, 0.0) for x in zip(labels, m, strict=True)) for m in every) if cells else best_mapping(cells) == (0.0, {})
+
+
+def test_channels_fuse(spark):
+    schema = "call_id int, channel_id int, start double, end double, text string, words array<string>, flags array<string>"
+    rows = [(1, 1, 0.0, 2.0, " a ", ["a"], ["x"]), (1, 2, 1.0, 3.0, "b", ["b"], []), (1, 1, 2.5, 2.8, None, [], None), (1, 2, 3.0, 4.0, " c", ["c"], ["y"]), (2, 1, 0.0, 9.0, "d", None, None)]
+    got = sorted(intervals.merge_channels(spark.createDataFrame(rows, schema), ["call_id"]).collect())
+    assert [tuple(r) for r in got] == [
+        (1, 0.0, 3.0, "a b", [], ["channel_overlap", "x"], [1, 2, 1]),
+        (1, 3.0, 4.0, " c", ["c"], ["y"], [2]),
+        (2, 0.0, 9.0, "d", None, None, [1]),
+    ]
+
+
+def test_a_token_has_one_owner(spark):
+    rows = [(1, 0.0, 1.0, [(0, 0), (0, 1)], 9.0), (1, 1.0, 2.0, [(0, 1)], 9.0), (1, 2.0, 3.0, [(1, None)], 9.0), (1, 3.0, 4.0, [(1, None), (2, 0)], 9.0), (2, 0.0, 1.0, [(0, 0)], 9.0)]
+    df = spark.createDataFrame(rows, "call_id int, start double, end double, parts array<struct<segment:int,word:int>>, duration double")
+    got = sorted((r.call_id, r.start, r.error) for r in intervals.timeline_errors(df, ["call_id"], "duration", "parts").collect())
+    assert got == [(1, k, "owner") for k in (0.0, 1.0, 2.0, 3.0)]
+
+
+def test_retries_of_gaps(spark):
+    """A segment that echoes the prompt, one with a stored flag and a lone unsure word are no recovery."""
+    word = lambda w, a, p=0.9: {"word": w, "start": a, "end": a + 0.5, "probability": p}
+    rows = [
+        (1, 0, 0.0, 4.0, " one two", [word(" one", 0.5), word(" two", 2.0)], [], "names of brands and cities"),
+        (1, 1, 4.0, 6.0, "names of brands and city", [], [], "names of brands and cities"),
+        (1, 2, 4.0, 6.0, "cut off", [], ["decoder_truncated"], ""),
+        (1, 3, 5.0, 6.0, "kept whole ", [], None, None),
+        (1, 4, 6.0, 7.0, " hm", [word(" hm", 6.2, 0.4)], [], ""),
+    ]
+    schema = "call_id int, index int, s_start double, s_end double, text string, words array<struct<word:string,start:double,end:double,probability:double>>, flags array<string>, prompt string"
+    retries = spark.createDataFrame(rows, schema).withColumns({"avg_logprob": F.lit(-0.2), "no_speech_prob": F.lit(0.1), "compression_ratio": F.lit(1.0)})
+    gaps = spark.createDataFrame([(1, 1.0, 8.0), (1, 20.0, 21.0)], "call_id int, start double, end double")
+    got = evidence.retry_for_gaps(retries, gaps, ["call_id"]).collect()
+    assert [(r.start, r.text, r.n_segments, [tuple(s) for s in r.segments]) for r in got] == [(1.0, "two kept whole", 2, [(0, 2.0, 2.5, "two"), (3, 5.0, 6.0, "kept whole")])]
