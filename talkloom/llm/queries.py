@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkloom.llm import decontamination, html_extraction, language_id, license_scan, mixing, ngram_jaccard, quality_rules, substring_dedup, token_counts, warc
+from talkloom.llm import centroid_clustering, decontamination, html_extraction, language_id, license_scan, mixing, ngram_jaccard, quality_rules, substring_dedup, token_counts, warc
 from talkloom.llm._spark import read
 
 
@@ -55,6 +55,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.cluster(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
@@ -67,6 +71,7 @@ def queries() -> dict:
         "op8_warc": op8_warc,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_language_id": op10_language_id,
+        "op13_centroid_clustering": op13_centroid_clustering,
     }
 
 
@@ -142,4 +147,4 @@ FROM n LEFT JOIN pieces USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard": _JACCARD_SQL, "op4_mixing": mixing.ORACLE, "op8_warc": _WARC_SQL, "op9_substring_dedup": _REPEATS_SQL}
+    return {"op3_ngram_jaccard": _JACCARD_SQL, "op4_mixing": mixing.ORACLE, "op8_warc": _WARC_SQL, "op9_substring_dedup": _REPEATS_SQL, "op13_centroid_clustering": centroid_clustering.oracle()}
