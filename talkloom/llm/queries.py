@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkloom.llm import centroid_clustering, decontamination, html_extraction, language_id, license_scan, mixing, ngram_jaccard, quality_rules, substring_dedup, token_counts, warc
+from talkloom.llm import centroid_clustering, decontamination, html_extraction, language_id, license_scan, mixing, ngram_jaccard, quality_rules, substring_dedup, token_counts, url_filter, warc
 from talkloom.llm._spark import read
 
 
@@ -55,6 +55,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clustering.cluster(read(spark, sf_dir, "embeddings"))
 
@@ -71,6 +75,7 @@ def queries() -> dict:
         "op8_warc": op8_warc,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_language_id": op10_language_id,
+        "op12_url_filter": op12_url_filter,
         "op13_centroid_clustering": op13_centroid_clustering,
     }
 
