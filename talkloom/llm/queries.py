@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkloom.llm import centroid_clustering, decontamination, html_extraction, language_id, license_scan, mixing, ngram_jaccard, quality_rules, substring_dedup, token_counts, url_filter, warc
+from talkloom.llm import centroid_clustering, decontamination, html_extraction, language_id, license_scan, mixing, ngram_jaccard, prefix_trie, quality_rules, substring_dedup, token_counts, url_filter, warc
 from talkloom.llm._spark import read
 
 
@@ -55,6 +55,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
+
+
 def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
@@ -75,6 +79,7 @@ def queries() -> dict:
         "op8_warc": op8_warc,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_language_id": op10_language_id,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_url_filter": op12_url_filter,
         "op13_centroid_clustering": op13_centroid_clustering,
     }
@@ -152,4 +157,4 @@ FROM n LEFT JOIN pieces USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard": _JACCARD_SQL, "op4_mixing": mixing.ORACLE, "op8_warc": _WARC_SQL, "op9_substring_dedup": _REPEATS_SQL, "op13_centroid_clustering": centroid_clustering.oracle()}
+    return {"op3_ngram_jaccard": _JACCARD_SQL, "op4_mixing": mixing.ORACLE, "op8_warc": _WARC_SQL, "op9_substring_dedup": _REPEATS_SQL, "op11_prefix_trie": prefix_trie.ORACLE, "op13_centroid_clustering": centroid_clustering.oracle()}
