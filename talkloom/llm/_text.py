@@ -2,21 +2,22 @@
 
 Texts are handled as UTF-8 bytes.  A word is a maximal run of bytes other than
 space and the ASCII controls 9 to 13, which is what ``bytes.split()`` yields.
+Sums modulo 2**64 (``prefix_hash``) collide on some made-up strings, so their
+users compare the bytes too.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 
 import numpy as np
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LONG_WORD = 256
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
 _BLOCK = 1 << 19
 
 _powers = np.ones(1, dtype=U64)
@@ -63,29 +64,65 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * inv[start] + (end - start).astype(U64))
 
 
-def word_hashes(buf: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word of a byte buffer, worked in blocks cut at white space."""
-    hashes, starts, at = [], [], 0
-    while at < len(buf):
-        end = min(len(buf), at + _BLOCK)
-        while end < len(buf):
-            gaps = np.flatnonzero(_SPACE[buf[end : end + _BLOCK]])
-            if len(gaps):
-                end += int(gaps[0])
-                break
-            end = min(len(buf), end + _BLOCK)
-        part = buf[at:end]
-        space = np.ones(len(part) + 2, dtype=bool)
-        space[1:-1] = _SPACE[part]
-        first = np.flatnonzero(~space[1:-1] & space[:-2])
-        last = np.flatnonzero(~space[1:-1] & space[2:]) + 1
-        if len(first):
-            hashes.append(span_hash(prefix_hash(_LOWER[part] if fold else part), first, last))
-            starts.append(first + at)
-        at = end
-    if not hashes:
-        return np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
-    return np.concatenate(hashes), np.concatenate(starts)
+def words_of(text: bytes) -> bytes:
+    """The words of a text, A-Z lower-cased, with one space between them."""
+    return b" ".join(text.lower().split())
+
+
+class Words:
+    """The words of several texts as ``words_of`` gives them: buf (with eight more bytes), first and last of each word, and the words before each text."""
+
+    def __init__(self, texts: list[bytes]):
+        joined = b" ".join(texts)
+        self.buf = np.frombuffer(joined + bytes(8), dtype=np.uint8)
+        gaps = np.flatnonzero(self.buf[: len(joined)] == 32)
+        first, last = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(joined)]))
+        word = last > first  # an empty text stands between two spaces
+        self.first, self.last = first[word], last[word]
+        lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
+        self.cut = np.searchsorted(self.first, np.concatenate(([0], np.cumsum(lengths))))
+
+    def _blocks(self) -> np.ndarray:
+        """The eight bytes from each place on as one number."""
+        return np.ndarray(len(self.buf) - 7, dtype="<u8", buffer=self.buf, strides=(1,))
+
+    def hashes(self, seed: int, bits: int = 64) -> np.ndarray:
+        """Keyed hash of each word: eight bytes at a time, long words by BLAKE2."""
+        view, length = self._blocks(), self.last - self.first
+        key = U64(seed & 0xFFFFFFFFFFFFFFFF)
+        h = mix(length.astype(U64) * U64(_BASE) ^ key)
+        live = np.flatnonzero(length <= _LONG_WORD)
+        at, left = self.first[live], length[live]
+        while len(live):
+            block = view[at] & _LOW_BYTES[np.minimum(left, 8)]
+            h[live] = mix((h[live] ^ block) * U64(0xD6E8FEB86659FD93) + key)
+            more = left > 8
+            live, at, left = live[more], at[more] + 8, left[more] - 8
+        for i in np.flatnonzero(length > _LONG_WORD).tolist():
+            word = self.buf[self.first[i] : self.last[i]].tobytes()
+            h[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=key.tobytes()).digest(), "little")
+        return h if bits == 64 else h & U64((1 << bits) - 1)
+
+    def told_apart(self, hashes: np.ndarray) -> bool:
+        """Have words with equal hashes equal bytes?"""
+        order = np.argsort(hashes)
+        same = hashes[order[1:]] == hashes[order[:-1]]
+        i, j = order[:-1][same], order[1:][same]
+        length = self.last - self.first
+        if (length[i] != length[j]).any():
+            return False
+        view, a, b, left = self._blocks(), self.first[i], self.first[j], length[i]
+        for k in np.flatnonzero(left > _LONG_WORD).tolist():
+            if not np.array_equal(self.buf[a[k] : a[k] + left[k]], self.buf[b[k] : b[k] + left[k]]):
+                return False
+        short = left <= _LONG_WORD
+        a, b, left = a[short], b[short], left[short]
+        while len(left):
+            if ((view[a] ^ view[b]) & _LOW_BYTES[np.minimum(left, 8)]).any():
+                return False
+            more = left > 8
+            a, b, left = a[more] + 8, b[more] + 8, left[more] - 8
+        return True
 
 
 def _combine(words: np.ndarray, size: int) -> np.ndarray:
@@ -97,24 +134,46 @@ def _combine(words: np.ndarray, size: int) -> np.ndarray:
     return total
 
 
-def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; a text with fewer words gives its whole sequence as one."""
+def shingle_sets(texts: list[bytes], size: int = 5, seed: int = 0, bits: int = 64, across: bool = False, known: bool = False) -> tuple[list[np.ndarray], bool]:
+    """Sorted distinct shingle hashes of each text (as ``words_of`` gives it), and whether they are exact.
+
+    A text with fewer words gives its whole sequence as one shingle.  The sets are exact if equal hashes stand for equal
+    words in all texts, and for equal shingles in each, or in all with ``across``.  Those ``known`` to be exact aren't looked at again.
+    """
     if not texts:
-        return []
-    lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
-    begin = np.concatenate(([0], np.cumsum(lengths)))
-    words, starts = word_hashes(np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8))
-    cut = np.searchsorted(starts, begin)
-    all_shingles = _combine(words, size) if len(words) >= size else np.zeros(0, dtype=U64)
-    out = []
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        if b - a >= size:
-            out.append(np.unique(all_shingles[a : b - size + 1]))
-        elif b > a:
-            out.append(_combine(words[a:b], b - a))
-        else:
-            out.append(np.zeros(0, dtype=U64))
-    return out
+        return [], True
+    x = Words(texts)
+    words = x.hashes(seed, bits)
+    exact = known or x.told_apart(words)
+    every = _combine(words, size) if len(words) >= size else np.zeros(0, dtype=U64)
+    out, places = [], []
+    for a, b in zip(x.cut[:-1].tolist(), x.cut[1:].tolist(), strict=True):
+        if b - a < size:
+            out.append(_combine(words[a:b], b - a) if b > a else np.zeros(0, dtype=U64))
+            places.append(np.full(len(out[-1]), a))
+            continue
+        mine = every[a : b - size + 1]
+        if known:
+            out.append(np.unique(mine))
+            continue
+        order = np.argsort(mine)
+        mine = mine[order]
+        new = np.concatenate(([True], mine[1:] != mine[:-1]))
+        again = np.flatnonzero(~new)
+        exact = exact and all((words[a + order[again] + k] == words[a + order[again - 1] + k]).all() for k in range(size))
+        out.append(mine[new])
+        places.append(a + order[new])
+    if across and exact and not known:
+        hashes, place = np.concatenate(out), np.concatenate(places)
+        length = np.repeat(np.minimum(np.diff(x.cut), size), [len(s) for s in out])
+        order = np.argsort(hashes)
+        again = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+        i, j = order[again], order[again + 1]
+        exact = bool((length[i] == length[j]).all())
+        for k in range(size if exact else 0):
+            on = k < length[i]
+            exact = exact and bool((words[place[i[on]] + k] == words[place[j[on]] + k]).all())
+    return out, exact
 
 
 def give_back() -> None:

@@ -3,9 +3,9 @@
 Two documents link when 100 x |A & B| >= percent x |A | B| for their sets of
 distinct n-word shingles.  The steps:
 
-1. Each text gives its set's size, digests of the set (equal sets are one
-   class), its counts of shingles per hash group, and, for the shingles that
-   several texts held at once share, their number; summed over all these
+1. Each text gives its set's size, a digest of its words (texts with equal words
+   are one class), its counts of shingles per hash group, and, for the shingles
+   that several texts held at once share, their number; summed over all these
    name the frequent shingles.  At most ``FREQUENT`` of them are broadcast; they
    only steer the order below.
 2. Blocking: sets that reach the threshold share one of the first
@@ -25,16 +25,19 @@ distinct n-word shingles.  The steps:
    of them is searched.  A block of more than ``SLICE`` sets is cut by size into
    slices, and each slice queries the trees of the slices whose sizes can fit.
    Pairs that step 3 has connected are left out.
-5. Surviving pairs are verified on the sets themselves; links are joined to
+5. Surviving pairs are verified on the words of both texts; links are joined to
    components.
 
 Nothing is capped or sampled.  A group of near copies costs a proposal per
 member, not its square, because connected pairs are not searched again.  Texts
 are read again only where one set of a pair within the bound is theirs.
 
-Classes go by 64 bits of digest; a second digest of 64 bits tells where these
-mix unequal sets, and replaces the first there.  Links compare all 64 bits of
-each shingle's hash.
+Words are hashed with a key drawn for each run.  Set sizes are those of the words:
+every worker compares the words that share a hash, and the five words of the
+shingles of a text that do; where one hash stands for two, another key is drawn.
+Between texts a shared hash only adds candidates, whose words are compared.
+Classes go by half of a 128-bit BLAKE2 of the words, or by the other half where
+texts with different words share the first.
 
 Null and empty texts have size 0 and are alone.  A text with fewer than n words
 has its whole sequence as its one shingle.  Repeated rows and equal texts share
@@ -47,6 +50,7 @@ Other columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -77,31 +81,40 @@ PROFILE_SHINGLES = 3_000_000
 BATCH_ROWS = 2048
 #: Pairs that a worker gets at once with both sets.
 PAIR_ROWS = 256
+VERIFY_BYTES = 2 << 20
 
 
-def _digest(shingles: np.ndarray) -> np.int64:
-    """64-bit digest of a sorted set."""
-    place = _text.mix(np.arange(1, len(shingles) + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
-    return _text.mix(np.array([(_text.mix(shingles) * (place | U64(1))).sum() + U64(len(shingles))], dtype=U64)).view(np.int64)[0]
+def _digests(words: bytes) -> tuple[int, int]:
+    """Two halves of a 128-bit digest of a text's words."""
+    raw = hashlib.blake2b(words, digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def _twin(shingles: np.ndarray) -> int:
-    """Another 64-bit digest, independent of the first."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _key(words: bytes, split: frozenset[int]) -> int:
+    """The class of a text; ``split`` has the first halves that unequal texts share."""
+    key, twin = _digests(words)
+    return twin if key in split else key
 
 
-def _key(shingles: np.ndarray, split: frozenset[int]) -> int:
-    """The class of a set; ``split`` has the digests that unequal sets share."""
-    key = int(_digest(shingles))
-    return _twin(shingles) if key in split else key
-
-
-def _sets(batch: pa.RecordBatch, size: int) -> Iterator[list[np.ndarray]]:
+def _texts(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
+    """The words of the texts of a batch, slice by slice."""
     for _, _, texts in _text.slices(batch.column("text")):
-        yield _text.shingle_sets(texts, size)
+        yield [_text.words_of(t) for t in texts]
     _text.give_back()
 
 
+@dataclass(frozen=True)
+class Hashing:
+    """How shingles are hashed: words of each, a key, and the bits that are kept of a word's hash."""
+
+    size: int
+    seed: int
+    bits: int = 64
+
+    def sets(self, words: list[bytes], across: bool = False, known: bool = False) -> tuple[list[np.ndarray], bool]:
+        return _text.shingle_sets(words, self.size, self.seed, self.bits, across, known)
+
+
 def _coordinates(s: np.ndarray) -> bytes:
     """Shingles per hash group, in the narrowest type that holds them, after the binary logarithm of their number."""
     groups = GROUPS
@@ -130,7 +143,7 @@ def overlap_bound(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.minimum(_fold(x, groups), _fold(y, groups)).sum(dtype=np.int64))
 
 
-def _repeated(distinct: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _repeated(distinct: dict[tuple[int, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Rows (shingle, times) of shingles that several of these sets have."""
     every = np.sort(np.concatenate([*distinct.values()])) if distinct else np.zeros(0, dtype=U64)
     first, times = _groups(every)
@@ -138,30 +151,32 @@ def _repeated(distinct: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     if many.any():
         h = every[first[many]].view(np.int64)
         blank = pa.nulls(len(h), pa.int64())
-        yield pa.RecordBatch.from_pydict({"rid": blank, "th": blank, "n": blank, "key": blank, "twin": blank, "counts": pa.nulls(len(h), pa.binary()), "shingle": pa.array(h), "times": pa.array(times[many].astype(np.int64))})
+        yield pa.RecordBatch.from_pydict({"rid": blank, "th": blank, "n": blank, "key": blank, "twin": blank, "counts": pa.nulls(len(h), pa.binary()), "exact": pa.nulls(len(h), pa.bool_()), "shingle": pa.array(h), "times": pa.array(times[many].astype(np.int64))})
 
 
-def _profile(size: int):
-    """Rows (rid, th, n, key, twin, counts) of documents; rows (shingle, times) of shingles that several sets held at once have."""
+def _profile(hashing: Hashing):
+    """Rows (rid, th, n, key, twin, counts, exact) of documents; rows (shingle, times) of shingles that several sets held at once have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distinct, held = {}, 0
+        distinct, known, held = {}, {}, 0
         for batch in batches:
-            n, keys, twins, counts = [], [], [], []
-            for sets in _sets(batch, size):
+            rows = []
+            for texts in _texts(batch):
                 if held > PROFILE_SHINGLES:
                     yield from _repeated(distinct)
-                    distinct, held = {}, 0
-                for s in sets:
-                    key = int(_digest(s)) if len(s) else 0
-                    n.append(len(s))
-                    keys.append(key)
-                    twins.append(_twin(s))
-                    counts.append(_coordinates(s))
-                    if len(s) and key not in distinct:
-                        distinct[key] = s
-                        held += len(s)
-            yield pa.RecordBatch.from_pydict({"rid": batch.column("rid"), "th": batch.column("th"), "n": pa.array(n, pa.int64()), "key": pa.array(keys, pa.int64()), "twin": pa.array(twins, pa.int64()), "counts": pa.array(counts, pa.binary()), "shingle": pa.nulls(len(n), pa.int64()), "times": pa.nulls(len(n), pa.int64())})
+                    distinct, known, held = {}, {}, 0
+                digests = [_digests(t) for t in texts]
+                new = {d: t for d, t in zip(digests, texts, strict=True) if d not in known}
+                sets, exact = hashing.sets(list(new.values()))
+                for d, s in zip(new, sets, strict=True):
+                    known[d] = (len(s), *(d if len(s) else (0, 0)), _coordinates(s), exact)
+                    if len(s):
+                        distinct[d] = s
+                        held += len(s) + GROUPS // 8
+                rows += [known[d] for d in digests]
+            n, keys, twins, counts, exact = zip(*rows, strict=True) if rows else ((),) * 5
+            blank = pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_pydict({"rid": batch.column("rid"), "th": batch.column("th"), "n": pa.array(n, pa.int64()), "key": pa.array(keys, pa.int64()), "twin": pa.array(twins, pa.int64()), "counts": pa.array(counts, pa.binary()), "exact": pa.array(exact, pa.bool_()), "shingle": blank, "times": blank})
         yield from _repeated(distinct)
 
     return run
@@ -210,16 +225,15 @@ def _pack(bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(data)
 
 
-def _entries(size: int, percent: int, buckets: int, hot: np.ndarray, times: np.ndarray, split: frozenset[int]):
+def _entries(hashing: Hashing, percent: int, buckets: int, hot: np.ndarray, times: np.ndarray, split: frozenset[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
             h, keys, sizes, lengths = [], [], [], []
-            for sets in _sets(batch, size):
-                for s in sets:
-                    if not len(s) or (key := _key(s, split)) in done:
-                        continue
-                    done.add(key)
+            for texts in _texts(batch):
+                new = {key: t for t in texts if t and (key := _key(t, split)) not in done}
+                done.update(new)
+                for key, s in zip(new, hashing.sets(list(new.values()), known=True)[0], strict=True):
                     h.append(_prefix(s, percent, hot, times))
                     keys.append(key)
                     sizes.append(len(s))
@@ -314,19 +328,16 @@ def _through(bloom: np.ndarray, column: str):
     return run
 
 
-def _kept_sets(size: int, bloom: np.ndarray, split: frozenset[int]):
-    """Rows (key, shingles) of the texts whose mark the filter has."""
+def _kept_texts(bloom: np.ndarray, split: frozenset[int]):
+    """Rows (key, words) of the texts whose mark the filter has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in _through(bloom, "mark")(batches):
-            for sets in _sets(batch, size):
-                out: dict[int, bytes] = {}
-                for s in sets:
-                    if len(s) and (key := _key(s, split)) not in done:
-                        done.add(key)
-                        out[key] = s.tobytes()
-                yield pa.RecordBatch.from_pydict({"key": pa.array(list(out), pa.int64()), "shingles": pa.array(list(out.values()), pa.binary())})
+            for texts in _texts(batch):
+                new = {key: t for t in texts if t and (key := _key(t, split)) not in done}
+                done.update(new)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(list(new), pa.int64()), "words": pa.array(list(new.values()), pa.binary())})
 
     return run
 
@@ -336,16 +347,33 @@ def _least_overlap(na, nb, percent: int):
     return percent * (na.astype(np.int64) + nb) / (100 + percent)
 
 
-def _verify(percent: int):
+def _overlaps(pairs: list[tuple[bytes, bytes]], hashing: Hashing) -> list[tuple[int, int, int]]:
+    """Sizes and overlap of the sets of each pair of texts; where a hash stands for different words, the words themselves are compared."""
+    texts = [*dict.fromkeys(t for pair in pairs for t in pair)]
+    sets, exact = hashing.sets(texts, across=True)
+    if not exact:
+        ids: dict[tuple[bytes, ...], int] = {}
+        shingles = ([tuple(w[i : i + hashing.size]) for i in range(max(1, len(w) - hashing.size + 1))] for w in (t.split(b" ") for t in texts))
+        sets = [np.unique([ids.setdefault(x, len(ids)) for x in of]) for of in shingles]
+    of, out = dict(zip(texts, sets, strict=True)), []
+    for x, y in pairs:
+        both = np.concatenate((of[x], of[y]))
+        both.sort()
+        out.append((len(of[x]), len(of[y]), int((both[1:] == both[:-1]).sum())))
+    return out
+
+
+def _verify(percent: int, hashing: Hashing):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(low, 512) for whole in batches for low in range(0, whole.num_rows, 512)):
-            linked = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, dtype=U64), np.frombuffer(y, dtype=U64)
-                both = np.concatenate((p, q))
-                both.sort()
-                inside = int((both[1:] == both[:-1]).sum())
-                linked.append(100 * inside >= percent * (len(p) + len(q) - inside))
+        for batch in batches:
+            linked, held, size = [], [], 0
+            for pair in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                held.append(pair)
+                size += len(pair[0]) + len(pair[1])
+                if size >= VERIFY_BYTES:
+                    linked += [100 * both >= percent * (p + q - both) for p, q, both in _overlaps(held, hashing)]
+                    held, size = [], 0
+            linked += [100 * both >= percent * (p + q - both) for p, q, both in _overlaps(held, hashing)]
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(linked, pa.bool_()))
         _text.give_back()
 
@@ -377,7 +405,7 @@ class Corpus:
     base: DataFrame
     docs: DataFrame
     split: frozenset[int]
-    size: int
+    hashing: Hashing
     percent: int
     points: DataFrame | None = None
 
@@ -392,9 +420,9 @@ class Corpus:
         if near.isEmpty():
             return near
         wanted = self.texts_of(near.select(F.explode(F.array("a", "b")).alias("key")))
-        sets = self.base.mapInArrow(_kept_sets(self.size, wanted, self.split), "key long, shingles binary").dropDuplicates(["key"])
+        texts = self.base.mapInArrow(_kept_texts(wanted, self.split), "key long, words binary").dropDuplicates(["key"])
         with batches_of(near.sparkSession, PAIR_ROWS):
-            return cut(_attach(near, sets, "shingles").mapInArrow(_verify(self.percent), "a long, b long"))
+            return cut(_attach(near, texts, "words").mapInArrow(_verify(self.percent, self.hashing), "a long, b long"))
 
 
 class CountRTree:
@@ -504,23 +532,28 @@ def _units(percent: int, width: int = SLICE):
     return run
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """(documents, links): documents has rid (the id, packed), th (xxhash64 of the text), n and key of the set; links has pairs a < b of keys that span the components."""
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(documents, links): documents has rid (the id, packed), th (xxhash64 of the text), n and key of its words; links has pairs a < b of keys that span the components."""
     rid = packed_id(id_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = df.select(rid.alias("rid"), F.xxhash64(rid).alias("mark"), text.alias("text"))
-    profile = cut(base.withColumn("th", F.xxhash64("text")).mapInArrow(_profile(size), "rid long, th long, n long, key long, twin long, counts binary, shingle long, times long"))
+    while True:
+        hashing = Hashing(size, secrets.randbits(64), bits)
+        profile = cut(base.withColumn("th", F.xxhash64("text")).mapInArrow(_profile(hashing), "rid long, th long, n long, key long, twin long, counts binary, exact boolean, shingle long, times long"))
+        if not profile.where(~F.col("exact")).limit(1).count():
+            break
+        bits = 64
     known = profile.where("n is not null")
-    # unequal sets of one digest: some n * n / 2**65 of them
+    # texts with different words and one first half: some n * n / 2**65 of them
     split = [r["key"] for r in known.groupBy("key").agg(F.min("twin").alias("low"), F.max("twin").alias("high")).where("low <> high").select("key").collect()]
     known = known.withColumn("key", F.when(F.col("key").isin(split), F.col("twin")).otherwise(F.col("key"))) if split else known
     docs = known.select("rid", "th", "n", "key")
-    corpus = Corpus(base, docs, frozenset(split), size, percent)
+    corpus = Corpus(base, docs, frozenset(split), hashing, percent)
     hot, times = _frequent(profile)
     total = docs.agg(F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 0
     buckets = max(MIN_BUCKETS, -(-total // BUCKET_ENTRIES))
     packed = "bucket int, c0 binary, c1 binary, c2 binary"
-    entries = cut(base.mapInArrow(_entries(size, percent, buckets, hot, times, corpus.split), packed).groupBy("bucket").applyInArrow(_shared, packed))
+    entries = cut(base.mapInArrow(_entries(hashing, percent, buckets, hot, times, corpus.split), packed).groupBy("bucket").applyInArrow(_shared, packed))
 
     proposed = cut(entries.mapInArrow(_proposals(percent), "a long, b long, times long, small boolean").groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("small").alias("small")))
     blocks = entries.mapInArrow(_blocks, "block binary, c1 binary, c2 binary").dropDuplicates(["block"])
@@ -557,17 +590,17 @@ def _open_units(units: DataFrame, roots: DataFrame, points: DataFrame) -> DataFr
     return labelled.join(mixed, "unit", "left_semi").join(points.select(F.col("key").alias("p_key"), "counts"), F.col("key") == F.col("p_key")).select("unit", "part", "key", "label", "counts")
 
 
-def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bits: int = 64) -> DataFrame:
     """One row per input row: rid, th, n and root, which documents with a set (n > 0) have in common with those of their component."""
     with batches_of(df.sparkSession, BATCH_ROWS):
-        docs, links = classes(df, id_col, text_col, size, percent)
+        docs, links = classes(df, id_col, text_col, size, percent, bits)
         roots = cut(components(links))
     return docs.join(roots, F.col("key") == F.col("node"), "left").select("rid", "th", "n", F.coalesce("root", "key").alias("root"))
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (the smallest id of its component)."""
-    named = grouped(df, id_col, text_col, size, percent)
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bits: int = 64) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id (the smallest id of its component).  ``bits`` of a word's hash are kept at first."""
+    named = grouped(df, id_col, text_col, size, percent, bits)
     least = named.where("n > 0").groupBy("root").agg(F.min("rid").alias("least")).withColumnRenamed("root", "l_root")
     out = named.join(least, (F.col("root") == F.col("l_root")) & (F.col("n") > 0), "left").withColumn("least", F.coalesce("least", "rid"))
     return out.select(unpacked_id("rid").alias(id_col), F.col("n").alias("n_shingles"), unpacked_id("least").alias("component_id"))

@@ -125,16 +125,45 @@ def test_jaccard_join_searches_trees(spark, monkeypatch, cut_at):
     assert len(searched) == 2 and searched[0] > 5
 
 
-def test_jaccard_digests_that_collide(spark, monkeypatch):
-    """Unequal sets of one digest stay apart; null ids, empty tables and clashing names."""
-    rows = [(1, "a b c d e f g"), (2, "h i j k l m n"), (3, "a b c d e f g"), (None, "a b c d e f g"), (None, None)]
-    df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, key int, rid string")
+def thue_morse(n, a, b):
+    return "".join((a, b)[k.bit_count() % 2] for k in range(n))
+
+
+def test_jaccard_join_of_words_made_to_collide(spark):
+    """Words whose polynomial hashes modulo 2**64 are equal for every base; null ids, empty tables and clashing names."""
+    t, u = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    rows = [(1, f"one two {t} three four"), (2, f"one two {u} three four"), (3, f"ONE two  {t} three\nfour"), (4, t), (5, u), (6, u.upper()), (None, "a b c d e f g"), (8, "a b c d e f g"), (None, None)]
+    df = spark.createDataFrame([(i, x, 0, "x") for i, x in rows], "doc_id long, text string, key int, rid string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard.join(df).collect()), key=str)
-    assert got == sorted([(1, 3, None), (2, 3, 2), (3, 3, None), (None, 3, None), (None, 0, None)], key=str)
+    assert got == sorted([(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 1, 4), (5, 1, 5), (6, 1, 5), (None, 3, None), (8, 3, None), (None, 0, None)], key=str)
     assert ngram_jaccard.join(df.where("false")).count() == 0
-    one, two = (ngram_jaccard._text.shingle_sets([t.encode()])[0] for t in ("a b c d e f g", "h i j k l m n"))
-    key = int(ngram_jaccard._digest(one))
-    assert ngram_jaccard._key(one, frozenset([key])) == ngram_jaccard._twin(one) != ngram_jaccard._twin(two)
+
+
+@pytest.mark.parametrize("bits", [3, 12])
+def test_jaccard_join_with_weak_hashes(docs, rows, bits):
+    """Hashes that collide are noticed and made again with all bits."""
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.join(docs, bits=bits).collect()}
+    assert got == jaccard_groups(rows)
+
+
+def test_sets_are_compared_on_their_words():
+    rng = random.Random(2)
+    texts = [prose(rng, rng.choice([1, 3, 5, 9, 60])).lower().encode() for _ in range(60)] + [b"x" * 300, b"x" * 299 + b"y", b"a b c d e", b""]
+    texts = [ngram_jaccard._text.words_of(t) for t in texts]
+    texts += [t + b" z" for t in texts[:30] if t]
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t else set()
+    pairs = [(a, b) for a in texts for b in texts if a and b]
+    want = [(len(shingles(a)), len(shingles(b)), len(shingles(a) & shingles(b))) for a, b in pairs]
+    for bits in (0, 2, 8, 64):
+        hashing = ngram_jaccard.Hashing(5, 99, bits)
+        assert ngram_jaccard._overlaps(pairs, hashing) == want
+        assert hashing.sets(texts)[1] == (bits == 64)
+    assert [len(s) for s in ngram_jaccard.Hashing(5, 1).sets(texts)[0]] == [len(shingles(t)) for t in texts]
+
+
+def test_key_of_texts_with_one_first_half():
+    first, twin = ngram_jaccard._digests(b"a b")
+    assert ngram_jaccard._key(b"a b", frozenset()) == first and ngram_jaccard._key(b"a b", frozenset([first])) == twin != first
 
 
 def test_r_tree_loses_nothing():
