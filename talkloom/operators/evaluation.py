@@ -147,3 +147,94 @@ def marker_only_share(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Publish gate per call: rejected if it has a decoder loop or more than 35 % marker-only rows."""
     x = rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.count_if(T.is_marker_only("text")).alias("marker_only"), F.count_if(T.repeats("text")).alias("looping"))
     return x.withColumn("status", F.when(F.col("looping") > 0, "looping").when(F.col("marker_only") > 0.35 * F.col("n_rows"), "unresolved").otherwise("publish"))
+
+
+# ---- one audit of an evaluation ----
+
+
+def audit(sample: DataFrame, approved: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """One row for every sampled or approved call: is it evaluated, and if not, why.
+
+    sample: (audio_id, audio_hash, evaluation_split); approved: current approved versions (audio_id, reference_id,
+    reference_version, audio_hash); transcripts: all versions (id, audio_id, version, source, audio_hash).  Rows: audio_id,
+    evaluation_split, reference_id, baseline_id (the last machine version before of the same sound), reason: null for the
+    evaluated, else ``no approved reference``, ``not selected``, ``audio hash changed`` or ``no machine baseline``.
+    """
+    s = sample.select("audio_id", F.col("audio_hash").alias("_s"), "evaluation_split", F.lit(True).alias("_selected"))
+    r = approved.select("audio_id", "reference_id", "reference_version", F.col("audio_hash").alias("_r"))
+    machine = transcripts.where("source = 'machine'").select("audio_id", F.col("audio_hash").alias("_r"), F.col("version").alias("_v"), F.col("id").alias("_id"))
+    x = s.join(r, "audio_id", "full_outer")
+    earlier = x.select("audio_id", "_r", "reference_version").join(machine, ["audio_id", "_r"]).where(F.col("_v") < F.col("reference_version"))
+    base = earlier.groupBy("audio_id").agg(F.max(F.struct("_v", "_id")).alias("_b")).select("audio_id", F.col("_b._id").alias("baseline_id"))
+    x = x.join(base, "audio_id", "left")
+    reason = (
+        F.when(F.col("reference_id").isNull(), "no approved reference")
+        .when(F.col("_selected").isNull(), "not selected")
+        .when(~F.col("_s").eqNullSafe(F.col("_r")), "audio hash changed")
+        .when(F.col("baseline_id").isNull(), "no machine baseline")
+    )
+    return x.select("audio_id", "evaluation_split", "reference_id", "baseline_id", reason.alias("reason"))
+
+
+def audit_report(audited: DataFrame, scored: DataFrame) -> DataFrame:
+    """Rates and counts by split and for all (rollup): selected, evaluated, excluded by reason, wer, cer.
+
+    scored: (audio_id, word_errors, reference_words, character_errors, reference_characters) of the evaluated calls.
+    Calls that were not selected are not counted.
+    """
+    picked = audited.where(~F.col("reason").eqNullSafe("not selected"))
+    x = picked.join(scored.select("audio_id", "word_errors", "reference_words", "character_errors", "reference_characters"), "audio_id", "left")
+    none = F.col("reason").isNull()
+    count = lambda why: F.count_if(F.coalesce(F.col("reason") == why, F.lit(False)))
+    rate = lambda a, b: F.try_divide(F.sum(F.when(none, F.col(a))).cast("double"), F.sum(F.when(none, F.col(b))).cast("double"))
+    out = x.rollup("evaluation_split").agg(
+        F.grouping("evaluation_split").alias("_all"), F.count("*").alias("selected"), F.count_if(none).alias("evaluated"), count("no approved reference").alias("unapproved"), count("audio hash changed").alias("changed"), count("no machine baseline").alias("no_baseline"),
+        rate("word_errors", "reference_words").alias("wer"), rate("character_errors", "reference_characters").alias("cer"),
+    )
+    return out.withColumn("split", F.when(F.col("_all") == 1, "all").otherwise(F.coalesce("evaluation_split", F.lit("unspecified")))).drop("_all", "evaluation_split")
+
+
+# ---- model grid ----
+
+#: What a model may hear.
+AUDIO_VARIANTS, PROMPT_MODES = ("raw", "agc", "denoise"), ("off", "domain", "glossary")
+
+
+def model_grid(references: DataFrame, models: list[str], prompt_modes: list[str] = ["off"], audio_variants: list[str] = ["raw", "agc"], repeats: int = 1, seed: int = 0, phase: str = "development") -> DataFrame:  # noqa: B006
+    """All runs of a comparison: (phase, audio_id, candidate, model, prompt_mode, variant, repeat, seed), one row a cell.
+
+    The settings are few and checked; each reference is repeated for all of them by one ``explode``.
+    """
+    if not models or repeats < 1 or len({*models}) != len(models):
+        raise ValueError("models must be given, once each, and repeats be positive")
+    for given, known in ((prompt_modes, PROMPT_MODES), (audio_variants, AUDIO_VARIANTS)):
+        if not given or {*given} - {*known}:
+            raise ValueError(f"choose among {', '.join(known)}")
+    cells = [(f"{m}|{p}|{v}", m, p, v, r, seed + r) for m in models for p in prompt_modes for v in audio_variants for r in range(repeats)]
+    cell = F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(c, ("candidate", "model", "prompt_mode", "variant", "repeat", "seed"), strict=True))) for c in cells))
+    return references.select("audio_id").distinct().select(F.lit(phase).alias("phase"), "audio_id", F.explode(cell).alias("c")).select("phase", "audio_id", "c.*")
+
+
+_CELL = ["phase", "audio_id", "candidate", "repeat", "seed"]
+
+
+def unfinished(grid: DataFrame, results: DataFrame) -> DataFrame:
+    """The cells that no result has ended: completed and unsupported ones have, failed ones are tried again."""
+    ended = results.where(F.col("status").isin("completed", "unsupported")).select(*_CELL).distinct()
+    return grid.join(ended, _CELL, "left_anti")
+
+
+def resumed(results: DataFrame, more: DataFrame) -> DataFrame:
+    """One result a cell: of several the completed one, else the unsupported one, else the last failed; later tables win."""
+    rank = F.element_at(F.create_map(*(F.lit(x) for x in ("completed", 0, "unsupported", 1, "failed", 2))), F.col("status"))
+    x = results.withColumn("_turn", F.lit(0)).unionByName(more.withColumn("_turn", F.lit(1)), allowMissingColumns=True).withColumn("_rank", F.coalesce(rank, F.lit(3)))
+    w = Window.partitionBy(*_CELL).orderBy("_rank", F.desc("_turn"))
+    return x.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_turn", "_rank")
+
+
+def completeness(grid: DataFrame, results: DataFrame) -> DataFrame:
+    """Per candidate and seed: cells, completed, unsupported, and whether the candidate has completed every cell of every seed."""
+    x = grid.join(results.select(*_CELL, "status"), _CELL, "left")
+    by_seed = x.groupBy("phase", "candidate", "seed").agg(F.count("*").alias("cells"), F.count_if(F.coalesce(F.col("status") == "completed", F.lit(False))).alias("completed"), F.count_if(F.coalesce(F.col("status") == "unsupported", F.lit(False))).alias("unsupported"))
+    whole = F.min((F.col("completed") == F.col("cells")).cast("int")).over(Window.partitionBy("phase", "candidate")) == 1
+    return by_seed.withColumn("complete", whole)

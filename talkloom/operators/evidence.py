@@ -37,12 +37,17 @@ def usable_retry(text: Column, segment_flags: Column, prompt: Column | None = No
     return F.when(ok, F.regexp_replace(text, r"^\s+|\s+$", ""))
 
 
-def retry_candidate(text: Column, alternative: Column, flags: Column, retry: Column, start: Column, end: Column, regions: Column) -> Column:
-    """Neither pass nor the retry is usable, and the span holds speech."""
+def unusable(text: Column, alternative: Column, flags: Column, retry: Column) -> Column:
+    """Neither pass nor the retry is usable."""
     blank = lambda t: T.normalize(F.coalesce(t, F.lit(""))).isin("", C.MARKER)
     primary = blank(text) | T.has_any(flags, C.UNUSABLE_PRIMARY)
     other = blank(alternative) | T.has_any(flags, ("alternative_prompt_leakage",)) | T.has_any(T.text_flags(alternative), C.UNUSABLE_PRIMARY)
-    return primary & other & retry.isNull() & overlaps_speech(start, end, regions)
+    return primary & other & retry.isNull()
+
+
+def retry_candidate(text: Column, alternative: Column, flags: Column, retry: Column, start: Column, end: Column, regions: Column) -> Column:
+    """Neither pass nor the retry is usable, and the span holds speech."""
+    return unusable(text, alternative, flags, retry) & overlaps_speech(start, end, regions)
 
 
 def mean_probability(words: Column) -> Column:

@@ -1,12 +1,16 @@
 """Interval operators over (call, start, end) rows.
 
-Joins always carry the call as an equality, so they stay hash joins with a
-residual condition.  Folds that depend on what was kept before run as a
-higher-order ``aggregate`` over the call's sorted rows.
+Joins carry the call as an equality; ``overlap_join`` also carries bins of time,
+so that a long call is spread over tasks.  Groups that depend on what was
+grouped before come from ``greedy_groups``, in one pass over a call's sorted rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,150 @@ def overlap_seconds(a_start: Column, a_end: Column, b_start: Column, b_end: Colu
     return F.greatest(F.lit(0.0), F.least(a_end, b_end) - F.greatest(a_start, b_start))
 
 
+def _binned(df: DataFrame, seconds: float, levels: list[int], own: bool) -> DataFrame:
+    """Rows (_level, _bin, ...) of intervals (_s, _e): at their own level, or at the coarser ones of ``levels``.
+
+    The bins of a level are twice as long as those of the one before; an interval is no longer than the bins of its own
+    level, so it meets two of them at most.
+    """
+    if own:
+        x = df.withColumn("_level", F.col("_own"))
+    else:
+        x = df.withColumn("_level", F.explode(F.filter(F.array(*(F.lit(k) for k in levels)).cast("array<int>"), lambda k: k > F.col("_own"))))
+    size = F.lit(seconds) * F.pow(F.lit(2.0), "_level")
+    return x.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_s") / size), F.floor(F.col("_e") / size))))
+
+
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], seconds: float = 16.0) -> DataFrame:
+    """Pairs of rows of one key whose intervals (start, end) overlap: the columns of left, and those of right with ``r_`` before them.
+
+    Intervals overlap if each starts before the other ends; a point overlaps what begins before and ends after it.  Each
+    interval is put into bins of about its own length, from ``seconds`` upwards, and meets shorter ones of the other side
+    there; the bin that holds the later start reports a pair.  So a call with very many rows fills as many tasks as it has
+    bins, and no row is repeated more than twice for each level that the other side has (66 at most, which is all that the
+    driver gets).  Intervals with a null, infinite or missing end, or that end before they start, overlap nothing.
+    """
+    sound = (F.abs("_s") < 1e15) & (F.abs("_e") < 1e15) & (F.col("_s") <= F.col("_e"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest((F.col("_e") - F.col("_s")) / seconds, F.lit(1.0))))).cast("int")
+
+    def named(df: DataFrame, prefix: str) -> DataFrame:
+        x = df.select(*(F.col(f"`{c}`").alias(prefix + c) for c in df.columns))
+        return x.withColumns({"_s": F.col(prefix + "start").cast("double"), "_e": F.col(prefix + "end").cast("double")}).where(sound).withColumn("_own", level)
+
+    a, b = named(left, ""), named(right, "r_")
+    at = lambda df: [r[0] for r in df.select("_own").distinct().collect()]
+    above, below = at(b), at(a)
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        y = y.withColumnsRenamed({"_s": "_rs", "_e": "_re", "_level": "_rlevel", "_bin": "_rbin"}).drop("_own")
+        on = (F.col("_level") == F.col("_rlevel")) & (F.col("_bin") == F.col("_rbin"))
+        for k in keys:
+            on &= F.col(k) == F.col(f"r_{k}")
+        both = x.join(y, on).where((F.col("_s") < F.col("_re")) & (F.col("_rs") < F.col("_e")))
+        owner = F.floor(F.greatest("_s", "_rs") / (F.lit(seconds) * F.pow(F.lit(2.0), "_level"))) == F.col("_bin")
+        return both.where(owner).select(*left.columns, *(f"r_{c}" for c in right.columns))
+
+    same = met(_binned(a, seconds, [], True), _binned(b, seconds, [], True))
+    shorter = met(_binned(a, seconds, above, False), _binned(b, seconds, [], True))
+    longer = met(_binned(a, seconds, [], True), _binned(b, seconds, below, False))
+    return same.unionAll(shorter).unionAll(longer)
+
+
+def greedy_groups(rows: DataFrame, keys: list[str], *, gap: float, longest: float, order: tuple[str, ...] = ("start", "end"), least_gap: float | None = None, alike: str | None = None, furthest: bool = False) -> DataFrame:
+    """Adds ``group``, from 0 for each key: in ``order``, a row joins the group before it while that stays short.
+
+    It joins if it starts at most ``gap`` (and at least ``least_gap``) after the row before it ends, if the group, from its
+    first start to its end, is at most ``longest`` with it, and if both rows have the same ``alike``, not null.  With
+    ``furthest`` a group ends with the latest end of its rows, not with the last one's.
+
+    Rows are sorted by key and order and come as batches; a batch takes the open group of the one before along, so memory
+    doesn't grow with a call, and the time is linear in its rows (``group_starts``).  Null times join nothing.
+    """
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    names = rows.columns
+    sorted_ = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, number = None, 0
+        began, ended, kind = 0.0, 0.0, None  # of the open group: its first start, its end, and what its last row is like
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            start, end = (batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("start", "end"))
+            of = [*zip(*(batch.column(k).to_pylist() for k in keys), strict=True)]
+            kinds = np.array(batch.column(alike).to_pylist() if alike else [True] * n, dtype=object)
+            group, at = np.zeros(n, dtype=np.int64), 0
+            while at < n:
+                upto = at + 1
+                while upto < n and of[upto] == of[at]:
+                    upto += 1
+                s, e, k, known = start[at:upto], end[at:upto], kinds[at:upto], of[at] == last
+                if known:  # the open group stands before the batch as one row
+                    s, e, k = np.append(began, s), np.append(ended, e), np.append(np.array([kind], dtype=object), k)
+                first = group_starts(s, e, k, gap, longest, least_gap, furthest)
+                numbers = np.cumsum(first) - 1 + (number if known else 0)
+                group[at:upto] = numbers[1:] if known else numbers
+                begun = int(np.flatnonzero(first)[-1])
+                began, ended, kind = s[begun], e[begun:].max() if furthest else e[-1], k[-1]
+                last, number, at = of[at], int(numbers[-1]), upto
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group)], names=[*names, "group"])
+
+    return sorted_.mapInArrow(run, StructType([*rows.schema, StructField("group", LongType())]))
+
+
+def group_starts(start: np.ndarray, end: np.ndarray, kind: np.ndarray, gap: float, longest: float, least_gap: float | None = None, furthest: bool = False) -> np.ndarray:
+    """Does a group of ``greedy_groups`` begin at each row of one key?  NaN joins nothing, and no row joins one of kind None.
+
+    Where ends don't decrease, the first row that can't join the group of row i depends on i only.  So every row points to
+    it, by binary search, and the groups begin where pointers lead from the first row after each certain gap: those rows
+    are marked by doubling the pointers.  Other rows are gone through one by one.
+    """
+    n = len(start)
+    with np.errstate(invalid="ignore"):
+        space = start[1:] - end[:-1]
+        joins = (kind[1:] == kind[:-1]) & (kind[1:] != None)  # noqa: E711  element by element
+        if not furthest:
+            joins &= space <= gap
+            if least_gap is not None:
+                joins &= space >= least_gap
+        plain = not furthest and bool((end[1:] >= end[:-1]).all()) and not np.isnan(start).any()
+    broken = np.append(True, ~joins.astype(bool))
+    if not plain:
+        first, began, reach = broken, 0.0, 0.0
+        for i, (s, e, b) in enumerate(zip(start.tolist(), end.tolist(), broken.tolist(), strict=True)):
+            late = max(reach, e) if furthest else e
+            if not b and late - began <= longest and (not furthest or s - reach <= gap):
+                reach = late
+            else:
+                first[i], began, reach = True, s, e
+        return first
+    heads = np.flatnonzero(broken)
+    after = np.append(heads[1:], n)[np.cumsum(broken) - 1]  # the first row behind the certain gap
+    row, padded = np.arange(n), np.append(end, np.inf)
+    point = np.minimum(np.maximum(np.searchsorted(end, start + longest, side="right"), row + 1), after)
+    while (more := (point < after) & (padded[point] - start <= longest)).any():  # sums are rounded: the difference decides
+        point[more] += 1
+    while (less := (point > row + 1) & (padded[point - 1] - start > longest)).any():
+        point[less] -= 1
+    return reached(np.append(point, n), heads)
+
+
+def reached(point: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The rows that pointers to later rows reach from ``heads``; the last place is the end.  Pointers are doubled, so there are as many rounds as the number of steps has bits."""
+    n = len(point) - 1
+    marked = np.zeros(n + 1, dtype=bool)
+    marked[heads] = True
+    jump = point.copy()
+    while True:
+        more = marked.copy()
+        more[jump[np.flatnonzero(marked)]] = True
+        if (jump == n).all():
+            return more[:n]
+        marked, jump = more, jump[jump]
+
+
 def merge_overlapping(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", *, aggregates: list[Column] | None = None) -> DataFrame:
     """Fuses rows that overlap (touching rows stay apart): islands by a running maximum end."""
     w = Window.partitionBy(*keys).orderBy(start, end)
@@ -75,22 +223,12 @@ def subtract(base: DataFrame, cover: DataFrame, keys: list[str], minimum: float
     return parts.select(*keys, (F.col("start") + F.col("_i") * size).alias("start"), (F.col("start") + (F.col("_i") + 1) * size).alias("end"))
 
 
-_WINDOW = "array<struct<start:double,end:double>>"
-
-
 def tight_windows(regions: DataFrame, keys: list[str], duration: str, maximum: float = 15.0, silence: float = 0.5, shortest: float = 0.2) -> DataFrame:
     """Speech windows: regions clipped to the call, fused across short silences while at most ``maximum`` long, longer ones cut."""
     rows = regions.select(*keys, F.greatest(F.lit(0.0), F.col("start")).alias("start"), F.least(F.col(duration), F.col("end")).alias("end"), duration)
     rows = rows.where((F.col("end") - F.col("start") >= shortest) & (F.col(duration) > 0) & F.lit(maximum > 0))
-    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("r"))
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        joins = (F.size(done) > 0) & (x["start"] - last["end"] <= silence) & (x["end"] - last["start"] <= maximum)
-        fused = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), x["end"].alias("end"))))
-        return F.when(joins, fused).otherwise(F.concat(done, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end")))))
-
-    fused = listed.select(*keys, F.explode(F.aggregate("r", F.array().cast(_WINDOW), step)).alias("w")).select(*keys, "w.start", "w.end")
+    grouped = greedy_groups(rows.drop(duration), keys, gap=silence, longest=maximum)
+    fused = grouped.groupBy(*keys, "group").agg(F.min("start").alias("start"), F.max_by("end", F.struct("start", "end")).alias("end"))
     n = F.greatest(F.lit(0), F.ceil((F.col("end") - F.col("start")) / maximum) - 1).cast("int")
     parts = fused.withColumn("_i", F.explode(F.sequence(F.lit(0), n)))
     cut = parts.select(*keys, (F.col("start") + F.col("_i") * maximum).alias("start"), F.least(F.col("start") + (F.col("_i") + 1) * maximum, F.col("end")).alias("end"))
@@ -100,17 +238,9 @@ def tight_windows(regions: DataFrame, keys: list[str], duration: str, maximum: f
 def retry_groups(gaps: DataFrame, keys: list[str], duration: str, minimum: float = 30.0, maximum: float = 30.0, context: float = 3.0, silence: float = 3.0) -> DataFrame:
     """Groups nearby gaps and centres a decoding window on each: gap_start, gap_end, ids, start, end."""
     core = max(0.001, maximum - 2 * context)
-    listed = gaps.groupBy(*keys, duration).agg(F.array_sort(F.collect_list(F.struct("start", "end", "id"))).alias("r"))
-    kind = "array<struct<start:double,end:double,ids:array<string>>>"
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        joins = (F.size(done) > 0) & (x["start"] - last["end"] <= silence) & (F.greatest(last["end"], x["end"]) - last["start"] <= core)
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), F.concat(last["ids"], F.array(x["id"])).alias("ids"))
-        fresh = F.struct(x["start"].alias("start"), x["end"].alias("end"), F.array(x["id"]).alias("ids"))
-        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(fresh)))
-
-    g = listed.select(*keys, duration, F.explode(F.aggregate("r", F.array().cast(kind), step)).alias("g")).select(*keys, duration, F.col("g.start").alias("gap_start"), F.col("g.end").alias("gap_end"), F.col("g.ids").alias("ids"))
+    grouped = greedy_groups(gaps.select(*keys, duration, "start", "end", "id"), [*keys, duration], gap=silence, longest=core, order=("start", "end", "id"), furthest=True)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "id"))), lambda x: x["id"]).alias("ids")
+    g = grouped.groupBy(*keys, duration, "group").agg(F.min("start").alias("gap_start"), F.max("end").alias("gap_end"), ids).drop("group")
     length = F.least(F.col(duration), F.greatest(F.lit(minimum), F.col("gap_end") - F.col("gap_start") + 2 * context), F.lit(float(max(maximum, minimum))))
     g = g.withColumn("_len", length)
     start = F.greatest(F.lit(0.0), F.least(F.col(duration) - F.col("_len"), (F.col("gap_start") + F.col("gap_end")) / 2 - F.col("_len") / 2))
@@ -186,33 +316,22 @@ def owners(words: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
 
 def display_rows(segments: DataFrame, keys: list[str], unknown: str, maximum: float = 15.0, gap: float = 0.35) -> DataFrame:
     """Presentation rows: neighbours of one known speaker fused while close and at most ``maximum`` long."""
-    kind = "array<struct<start:double,end:double,speaker:string,text:string,uncertain:boolean>>"
     speaker = F.when(F.trim(F.coalesce("speaker", F.lit(""))) == "", F.lit(unknown)).otherwise(F.trim("speaker"))
-    listed = segments.select(*keys, F.struct("start", "end", speaker.alias("speaker"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("uncertain", F.lit(False)).alias("uncertain")).alias("x"))
-    listed = listed.groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("r"))
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        space = x["start"] - last["end"]
-        joins = (F.size(done) > 0) & (x["speaker"] == last["speaker"]) & (x["speaker"] != unknown) & (space >= 0) & (space <= gap) & (x["end"] - last["start"] <= maximum)
-        text = F.trim(F.concat(F.rtrim(last["text"]), F.lit(" "), F.ltrim(x["text"])))
-        fused = F.struct(last["start"].alias("start"), x["end"].alias("end"), last["speaker"].alias("speaker"), text.alias("text"), (last["uncertain"] | x["uncertain"]).alias("uncertain"))
-        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(fused))).otherwise(F.concat(done, F.array(x)))
-
-    return listed.select(*keys, F.posexplode(F.aggregate("r", F.array().cast(kind), step)).alias("position", "x")).select(*keys, "position", "x.*")
+    x = segments.select(*keys, "start", "end", speaker.alias("speaker"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("uncertain", F.lit(False)).alias("uncertain"))
+    x = x.withColumn("_known", F.when(F.col("speaker") != unknown, F.col("speaker")))
+    x = greedy_groups(x, keys, gap=gap, longest=maximum, order=("start", "end", "speaker", "text", "uncertain"), least_gap=0.0, alike="_known")
+    r = F.array_sort(F.collect_list(F.struct("start", "end", "speaker", "text", "uncertain"))).alias("r")
+    x = x.groupBy(*keys, F.col("group").cast("int").alias("position")).agg(r)
+    said = F.filter(F.transform("r", lambda s: F.trim(s["text"])), lambda t: t != "")
+    first, last = F.get("r", F.lit(0)), F.element_at("r", -1)
+    text = F.when(F.size("r") == 1, first["text"]).otherwise(F.array_join(said, " "))
+    return x.select(*keys, "position", first["start"].alias("start"), last["end"].alias("end"), first["speaker"].alias("speaker"), text.alias("text"), F.exists("r", lambda s: s["uncertain"]).alias("uncertain"))
 
 
 def timed_units(words: DataFrame, keys: list[str], longest: float = 8.0, pause: float = 0.65) -> DataFrame:
     """Groups a segment's words into units: a word starts a new one if the unit would pass ``longest`` or follows a pause."""
-    kind = "array<struct<start:double,end:double,text:string,n:int>>"
-    listed = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("word_index", "start", "end", "word"))).alias("r"))
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        joins = (F.size(done) > 0) & (x["end"] - last["start"] <= longest) & (x["start"] - last["end"] <= pause)
-        grown = F.struct(last["start"].alias("start"), x["end"].alias("end"), F.concat(last["text"], x["word"]).alias("text"), (last["n"] + 1).alias("n"))
-        fresh = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["word"].alias("text"), F.lit(1).alias("n"))
-        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(fresh)))
-
-    units = listed.select(*keys, F.posexplode(F.aggregate("r", F.array().cast(kind), step)).alias("unit", "u"))
-    return units.select(*keys, "unit", "u.start", "u.end", F.trim("u.text").alias("text"), F.col("u.n").alias("n_words"))
+    x = greedy_groups(words.select(*keys, "word_index", "start", "end", "word"), keys, gap=pause, longest=longest, order=("word_index",))
+    r = F.array_sort(F.collect_list(F.struct("word_index", "start", "end", "word"))).alias("r")
+    x = x.groupBy(*keys, F.col("group").cast("int").alias("unit")).agg(r)
+    text = F.trim(F.array_join(F.transform("r", lambda w: w["word"]), ""))
+    return x.select(*keys, "unit", F.get("r", F.lit(0))["start"].alias("start"), F.element_at("r", -1)["end"].alias("end"), text.alias("text"), F.size("r").alias("n_words"))

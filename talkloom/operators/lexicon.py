@@ -165,6 +165,13 @@ def normalize_segments(segments: DataFrame, terms: Sequence[Term], include_sensi
     return x.withColumn("replacements", F.when(F.col("_r.changed") > 0, F.col("_r.changed")).otherwise(F.col("_p.replacements"))).withColumn("text", F.when(F.col("_r.changed") > 0, F.col("_r.text")).otherwise(F.col("_p.text"))).withColumn("words", F.col("_r.words")).drop("_r", "_p")
 
 
+def _spelled(single: Column, words: Column, wanted: list[str], name: str) -> Column:
+    """Times of the runs of ``words`` that spell a name; single: their normalised forms, empty where a word is several."""
+    target, k = F.array(*(F.lit(w) for w in wanted)), len(wanted)
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(single) - k + 1, F.lit(1))), lambda i: F.slice(single, i, k) == target)
+    return F.transform(at, lambda i: F.struct(F.get(words, i - 1)["start"].alias("start"), F.get(words, i + k - 2)["end"].alias("end"), F.lit(name).alias("observed")))
+
+
 def alignment_requests(segments: DataFrame, terms: Sequence[Term], call: str = "call_id", longest: float = 8.0) -> DataFrame:
     """For each observed person name and place: one request per name of the glossary.
 
@@ -187,9 +194,7 @@ def alignment_requests(segments: DataFrame, terms: Sequence[Term], call: str = "
         for n in t.names:
             wanted = words_of(n)
             if wanted:
-                target, k = F.array(*(F.lit(w) for w in wanted)), len(wanted)
-                at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(single) - k + 1, F.lit(1))), lambda i, target=target, k=k: F.slice(single, i, k) == target)
-                spans = F.concat(spans, F.transform(at, lambda i, n=n, k=k: F.struct(F.get(F.col("words"), i - 1)["start"].alias("start"), F.get(F.col("words"), i + k - 2)["end"].alias("end"), F.lit(n).alias("observed"))))
+                spans = F.concat(spans, _spelled(single, F.col("words"), wanted, n))
         spans = F.filter(F.coalesce(spans, F.array().cast("array<struct<start:double,end:double,observed:string>>")), lambda s: s["end"] > s["start"])
         whole = F.array(F.struct(F.col("start").alias("start"), F.col("end").alias("end"), seen.alias("observed")))
         spans = F.when(F.size(spans) > 0, spans).when(F.col("end") - F.col("start") <= longest, whole)
@@ -222,3 +227,113 @@ def decide(requests: DataFrame, scores: DataFrame, terms: Sequence[Term], call:
 def mask_rejected(text: Column, observed: Sequence[str]) -> Column:
     """A consensus text with unverified names masked."""
     return replace_aliases(text, [Term(C.MARKER, aliases=tuple(observed))])["text"]
+
+
+VALIDATED, UNVERIFIED = "lexicon_ctc_validated", "sensitive_entity_unverified"
+_DECISION = "struct<trigger:string,observed:string,start:double,end:double,canonical:string,score:double,hits:double,runner_up:double,accepted:boolean>"
+
+
+def _names_pattern(names: Sequence[str]) -> list[tuple[re.Pattern, list[str]]]:
+    """Python's form of the aliases' patterns, longest first."""
+    part = rf"[\w{C.ZWNJ}]"
+    return [(re.compile(rf"(?i)(?<!{part})" + r"\s+".join(map(re.escape, n.split())) + rf"(?!{part})"), words_of(n)) for n in _longest_first(names) if n.split()]
+
+
+def replace_names(text: str, names: Sequence[str], canonical: str) -> tuple[str, int]:
+    """A text with whole-word names in their canonical form, and their number."""
+    total = 0
+    for pattern, words in _names_pattern(names):
+        if words != words_of(canonical):
+            text, n = pattern.subn(lambda _: canonical, text)
+            total += n
+    return text, total
+
+
+def write_back(rows: DataFrame, decisions: DataFrame, terms: Sequence[Term], call: str = "call_id") -> DataFrame:
+    """Timeline rows with accepted names written into their texts and words.
+
+    rows: (call, id, text, alternative, words, flags, ..); decisions: rows of ``decide``.  In the order of the glossary, of
+    a term's forms and of time, the first accepted decision of each row and name rewrites every form of its term: in text and alternative as
+    whole words, in words run by run, where a run becomes one word over its time.  Adds entity_candidates (all decisions)
+    and entity_resolutions (those applied), and flags changed rows.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    places = {(t.canonical, n): 1000 * i + k for i, t in enumerate(terms) for k, n in enumerate(t.names)}
+    place = F.try_element_at(F.create_map(*(F.lit(v) for (t, n), i in places.items() for v in (f"{t}\n{n}", i))), F.concat_ws("\n", "trigger", "observed"))
+    one = F.struct("trigger", "observed", "start", "end", "canonical", "score", "hits", "runner_up", "accepted").cast(_DECISION)
+    listed = decisions.groupBy(call, "id").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), F.col("start").alias("at"), F.col("end").alias("to"), F.col("observed").alias("seen"), one.alias("d")))).alias("_d"))
+    x = rows.join(listed, [call, "id"], "left").withColumn("entity_candidates", F.coalesce(F.transform("_d", lambda d: d["d"]), F.array().cast(f"array<{_DECISION}>")))
+    accepted = F.filter("entity_candidates", lambda d: d["accepted"])
+    first = F.filter(accepted, lambda d, i: ~F.exists(F.slice(accepted, F.lit(1), i), lambda e: e["canonical"] == d["canonical"]))
+    x = x.withColumn("entity_resolutions", first)
+    kind = _parse_datatype_string(f"text string, alternative string, words array<{WORD}>")
+    by_name = {t.canonical: t for t in terms}
+
+    @F.arrow_udf(kind)
+    def rewrite(text: pa.Array, alternative: pa.Array, words: pa.Array, candidates: pa.Array) -> pa.Array:
+        out = []
+        for t, a, w, c in zip(text.to_pylist(), alternative.to_pylist(), words.to_pylist(), candidates.to_pylist(), strict=True):
+            first = {d["canonical"]: d for d in reversed(c or []) if d["accepted"]}
+            for d in sorted(first.values(), key=c.index) if c else []:
+                term = by_name[d["trigger"]]
+                names = tuple(dict.fromkeys((*term.aliases, term.canonical)))
+                t, a = (x if x is None else replace_names(x, names, d["canonical"])[0] for x in (t, a))
+                w = rewrite_words(w or [], Term(d["canonical"], aliases=names))[0] if w else w
+            out.append({"text": t, "alternative": a, "words": w})
+        return pa.array(out, to_arrow_type(kind))
+
+    hit = F.size("entity_resolutions") > 0
+    new = x.where(hit).withColumn("_n", rewrite("text", "alternative", "words", "entity_candidates"))
+    flags = F.array_sort(F.array_distinct(F.concat(F.coalesce("flags", F.array().cast("array<string>")), F.array(F.lit(VALIDATED)))))
+    changed = {"text": F.col("_n.text"), "alternative": F.col("_n.alternative"), "words": F.col("_n.words"), "flags": flags}
+    columns = [c for c in rows.columns if c not in ("entity_candidates", "entity_resolutions")]
+    out = [*columns, "entity_candidates", "entity_resolutions"]
+    return x.where(~hit).select(out).unionByName(new.select(*(changed.get(c, F.col(f"`{c}`")).alias(c) for c in out)))
+
+
+def guard_unverified(rows: DataFrame) -> DataFrame:
+    """Masks names without evidence in the consensus of rows of ``write_back``.
+
+    rows: (consensus_text, confidence_tier, reason, flags, entity_candidates, entity_resolutions, ..).  Where none of a row's
+    names was accepted, the rejected ones are masked as whole words; if that changes the text, the row is unresolved, says
+    why, names the spans and is flagged.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = _parse_datatype_string("text string, n long")
+
+    @F.arrow_udf(kind)
+    def mask(text: pa.Array, candidates: pa.Array) -> pa.Array:
+        out = []
+        for t, c in zip(text.to_pylist(), candidates.to_pylist(), strict=True):
+            total = 0
+            for d in c or []:
+                if not d["accepted"]:
+                    t, n = replace_names(t or "", (d["observed"] or "",), C.MARKER)
+                    total += n
+            out.append({"text": t, "n": total})
+        return pa.array(out, to_arrow_type(kind))
+
+    rejected = F.filter("entity_candidates", lambda d: ~F.coalesce(d["accepted"], F.lit(False)))
+    x = rows.withColumn("_r", F.when(F.size("entity_resolutions") == 0, rejected))
+    asked = F.coalesce(F.size("_r") > 0, F.lit(False))
+    masked = x.where(asked).withColumn("_m", mask("consensus_text", "entity_candidates"))
+    span = F.transform("_r", lambda d: F.struct(d["observed"].alias("text"), F.lit("ctc_score_or_margin_below_threshold").alias("reason")))
+    none = F.array().cast("array<struct<text:string,reason:string>>")
+    hit = F.coalesce(F.col("_m.n") > 0, F.lit(False))
+    flags = F.array_sort(F.array_distinct(F.concat(F.coalesce("flags", F.array().cast("array<string>")), F.array(F.lit(UNVERIFIED)))))
+    changed = {"consensus_text": F.col("_m.text"), "confidence_tier": F.lit("unresolved"), "reason": F.lit("sensitive_entity_requires_acoustic_evidence"), "flags": flags, "uncertainty_spans": span}
+    columns = [*(c for c in rows.columns if c != "uncertainty_spans"), "uncertainty_spans"]
+    old = F.col("uncertainty_spans") if "uncertainty_spans" in rows.columns else none
+    rest = x.where(~asked).withColumn("uncertainty_spans", old)
+    masked = masked.withColumn("uncertainty_spans", old)
+    new = masked.select(*(F.when(hit, changed[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in changed else F.col(f"`{c}`") for c in columns))
+    return rest.select(columns).unionByName(new)
+
+
+def term_snapshot(terms: Sequence[Term]) -> list[dict]:
+    """The glossary as it is stored beside a result."""
+    return [{"canonical": t.canonical, "type": t.kind, "aliases": list(t.aliases), "contexts": list(t.contexts), "min_alignment_score": t.min_alignment_score, "min_alignment_margin": t.min_alignment_margin, "min_character_hits": t.min_character_hits} for t in terms]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from talkloom import constants as C
 from talkloom.functions import text as T
+from talkloom.sources.scratch import kept
 
 STAGE = "transcribe"
 
@@ -27,10 +28,11 @@ NUMBERED = 4096
 def next_ids(df: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
     """Ids above the largest existing one, without gaps, by NUMBERED hash classes of ``order`` and by ``order`` within each.
 
-    Only the classes' counts meet in one task; the rows of a class are numbered where they are.
+    Only the classes' counts meet in one task; the rows of a class are numbered where they are.  The rows are written in
+    between, so that what they come from is computed once, and plans stay small.
     """
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    x = df.withColumn("_class", F.pmod(F.xxhash64(*order), F.lit(NUMBERED)))
+    x = kept(df.withColumn("_class", F.pmod(F.xxhash64(*order), F.lit(NUMBERED))))
     below = F.sum("_n").over(Window.orderBy("_class").rowsBetween(Window.unboundedPreceding, -1))
     starts = x.groupBy("_class").agg(F.count("*").alias("_n")).select("_class", F.coalesce(below, F.lit(0)).alias("_below"))
     starts = starts.join(F.broadcast(top))  # one row
@@ -50,9 +52,9 @@ def upsert_calls(calls: DataFrame, jobs: DataFrame, transcripts: DataFrame, scan
     known = seen.where("id is not null")
     fresh = next_ids(seen.where("id is null").drop("id"), calls, ["absolute_path"])
     cols = ["id", "absolute_path", *fields, F.coalesce("discovered_at", now).alias("discovered_at"), now.alias("updated_at")]
-    kept = calls.join(scanned.select("absolute_path"), "absolute_path", "left_anti")
+    gone = calls.join(scanned.select("absolute_path"), "absolute_path", "left_anti")
     touched = known.select(*cols).unionByName(fresh.select(*cols))
-    new_calls = kept.unionByName(touched, allowMissingColumns=True).select(*calls.columns)
+    new_calls = gone.unionByName(touched, allowMissingColumns=True).select(*calls.columns)
 
     change = known.select(F.col("id").alias("_a"), (~F.col("_hash").eqNullSafe(F.col("content_sha256"))).alias("_changed"), is_short(F.col("duration_seconds")).alias("_short"))
     j = jobs.join(change, (F.col("audio_file_id") == F.col("_a")) & (F.col("stage") == STAGE), "left")

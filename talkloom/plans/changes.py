@@ -9,6 +9,7 @@ from talkloom import constants as C
 from talkloom.operators import revisions, store
 from talkloom.plans.queries import _now, query
 from talkloom.plans.standins import cte, table, tables
+from talkloom.sources.calls import apply_scan
 
 _STORE = ("audio_files", "jobs", "processing_runs", "transcripts", "transcript_reviews")
 
@@ -177,3 +178,46 @@ def scan_calls(spark, d):
 def scan_transcripts(spark, d):
     """The versions after the same scan: those of changed calls are retired."""
     return _scanned(spark, d)[2].select("id", "audio_file_id", "is_current")
+
+
+_SCAN = f"""{cte("audio_files", "jobs", "transcripts")},
+ s AS (SELECT id, absolute_path AS path, true AS known, id % 6 = 0 AS changed, CASE WHEN id % 9 = 0 THEN 0.1 ELSE duration_seconds END < 0.5 AS short, id % 15 = 0 AS collision, id % 14 = 0 AS bad FROM audio_files WHERE id % 2 = 0
+   UNION ALL SELECT id, '/calls/new/' || id || '.mp3', false, true, id % 30 = 0, false, false FROM audio_files WHERE id % 10 = 0),
+ j AS (SELECT a.absolute_path AS path, a.id, CASE WHEN s.path IS NULL OR s.collision OR j.status = 'running' THEN j.status WHEN s.short THEN 'skipped' WHEN s.changed OR j.status = 'skipped' THEN 'pending' ELSE j.status END AS status
+     FROM audio_files a JOIN jobs j ON j.audio_file_id = a.id LEFT JOIN s ON s.path = a.absolute_path
+   UNION ALL SELECT path, NULL, CASE WHEN short THEN 'skipped' ELSE 'pending' END FROM s WHERE NOT known),
+ i AS (SELECT s.path, j.id, 'text ' || s.id % 5 AS content FROM s JOIN j USING (path) WHERE s.id % 4 = 0 AND s.id % 16 <> 0 AND NOT s.collision AND NOT s.short AND NOT (s.known AND s.changed) AND j.status NOT IN ('running', 'skipped')),
+ t AS (SELECT a.absolute_path AS path, t.version, t.content, t.is_current AND NOT coalesce(s.changed AND NOT s.collision, false) AS is_current, t.source FROM transcripts t JOIN audio_files a ON a.id = t.audio_file_id LEFT JOIN s ON s.path = a.absolute_path),
+ n AS (SELECT i.path, i.content, coalesce((SELECT max(version) FROM t WHERE t.path = i.path), 0) + 1 AS version FROM i LEFT JOIN t c ON c.path = i.path AND c.is_current WHERE c.content IS DISTINCT FROM i.content)
+"""
+
+
+@query(
+    f"""{_SCAN} SELECT 'job' AS name, path AS key, CASE WHEN path IN (SELECT path FROM i) THEN 'completed' ELSE status END AS a, NULL AS b, NULL AS c FROM j
+ UNION ALL SELECT 'version', path || ':' || version, content, CAST(is_current AND path NOT IN (SELECT path FROM n) AS VARCHAR), source FROM t
+ UNION ALL SELECT 'version', path || ':' || version, content, 'true', 'existing_markdown' FROM n
+ UNION ALL SELECT unnest(['discovered', 'changed', 'metadata_errors', 'skipped', 'collisions', 'imported_markdown']), NULL,
+   CAST(unnest([count(*), count(*) FILTER (changed AND NOT collision), count(*) FILTER (collision OR bad), count(*) FILTER (collision OR short), count(*) FILTER (collision), (SELECT count(*) FROM n)]) AS VARCHAR), NULL, NULL FROM s"""
+)
+def scan_into(spark, d):
+    """Jobs and versions after a scan with new, changed, short, colliding and unreadable recordings and documents beside them, and its counters."""
+    t = tables(spark, d)
+    t = t | {"audio_files": t["audio_files"].withColumn("discovered_at", _now()).withColumn("updated_at", _now()), "jobs": t["jobs"].withColumn("created_at", _now())}
+    k = F.col("id")
+    known = t["audio_files"].where("id % 2 = 0").drop("discovered_at", "updated_at").withColumns({
+        "content_sha256": F.when(k % 6 == 0, "new").otherwise(F.col("content_sha256")), "duration_seconds": F.when(k % 9 == 0, 0.1).otherwise(F.col("duration_seconds")),
+        "collision": k % 15 == 0, "metadata_error": F.when(k % 14 == 0, "unreadable"),
+    })
+    new = t["audio_files"].where("id % 10 = 0").drop("discovered_at", "updated_at").withColumns({
+        "absolute_path": F.concat(F.lit("/calls/new/"), k, F.lit(".mp3")), "content_sha256": F.lit("n"), "duration_seconds": F.when(k % 30 == 0, 0.2).otherwise(9.0),
+        "collision": F.lit(False), "metadata_error": F.lit(None).cast("string"),
+    })
+    scanned = known.unionByName(new)
+    documents = scanned.where("id % 4 = 0").select("absolute_path", F.when(k % 16 == 0, " \n").otherwise(F.concat(F.lit("text "), k % 5)).alias("content"))
+    out, counters = apply_scan(t, scanned.drop("id"), documents, _now())
+    path = out["audio_files"].select(F.col("id").alias("audio_file_id"), F.col("absolute_path").alias("path"))
+    rows = _rows("job", out["jobs"].join(path, "audio_file_id"), F.col("path"), "status")
+    rows = rows.unionByName(_rows("version", out["transcripts"].join(path, "audio_file_id"), F.concat_ws(":", "path", F.col("version").cast("string")), "content", "is_current", "source"))
+    names = counters.columns
+    each = counters.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("a")) for n in names))).alias("x")).select("x.name", "x.a")
+    return rows.unionByName(each.select("name", F.lit(None).cast("string").alias("key"), "a", F.lit(None).cast("string").alias("b"), F.lit(None).cast("string").alias("c")))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkloom.plans import scratch
 from talkloom.plans.queries import query
+from talkloom.sources import scratch
 from talkloom.streaming import state
 
 #: Appends in which the rows of a stand-in arrive, in the order of their time.

@@ -44,6 +44,55 @@ def test_scan(spark, tmp_path):
     assert docs == {"run.json": False, "bad.json": True}
 
 
+def test_scan_into_the_tables(spark, tmp_path):
+    """Two scans of a folder that changes: new, changed, short, colliding, broken and gone recordings, documents beside them."""
+    from talkloom import schemas
+    from talkloom.sources import snapshots
+
+    root, now = tmp_path / "calls", F.current_timestamp()
+    root.mkdir()
+    (root / "a b.wav").write_bytes(wav(2))
+    (root / "a b.md").write_text("first text")
+    (root / "short.wav").write_bytes(wav(0.2))
+    (root / "short.md").write_text("not imported")
+    (root / "same.mp3").write_bytes(b"x")
+    (root / "same.WAV").write_bytes(wav(1))
+    (root / "broken.ogg").write_bytes(b"no")
+    (root / "broken.md").write_text(" \n ")
+    (root / "other.bin").write_bytes(b"not read")
+    empty = lambda s: spark.createDataFrame([], s)
+    store = snapshots.Store(spark, str(tmp_path / "store"))
+    store.commit(store.read(), {"audio_files": empty(schemas.CALLS), "jobs": empty(schemas.JOBS), "transcripts": empty(schemas.TRANSCRIPTS)})
+
+    def scan():
+        counted = []
+
+        def change(tables):
+            out, counters = calls.scan_into(spark, str(root), tables, now)
+            counted[:] = counters.collect()
+            return out
+
+        store.transact(change)
+        return counted[0].asDict(), store.read().tables
+
+    counters, t = scan()
+    assert counters == {"discovered": 5, "changed": 3, "metadata_errors": 3, "skipped": 3, "collisions": 2, "imported_markdown": 1}
+    status = lambda t: {r.filename: r.status for r in t["audio_files"].join(t["jobs"].select(F.col("audio_file_id").alias("id"), "status"), "id").collect()}
+    assert status(t) == {"a b.wav": "completed", "short.wav": "skipped", "broken.ogg": "pending"}
+    assert [(r.version, r.content, r.is_current, r.source) for r in t["transcripts"].collect()] == [(1, "first text", True, "existing_markdown")]
+    (root / "a b.wav").write_bytes(wav(3))
+    (root / "broken.md").write_text("second")
+    (root / "short.wav").unlink()
+    (root / "same.mp3").unlink()
+    counters, t = scan()
+    assert counters == {"discovered": 3, "changed": 2, "metadata_errors": 1, "skipped": 0, "collisions": 0, "imported_markdown": 1}
+    assert status(t) == {"a b.wav": "pending", "short.wav": "skipped", "broken.ogg": "completed", "same.WAV": "pending"}
+    assert sorted((r.content, r.is_current) for r in t["transcripts"].collect()) == [("first text", False), ("second", True)]
+    counters, t = scan()
+    assert counters["changed"] == 0 and counters["imported_markdown"] == 1  # the document beside the recording that had changed
+    assert sorted((r.content, r.version, r.is_current) for r in t["transcripts"].collect()) == [("first text", 1, False), ("first text", 2, True), ("second", 1, True)]
+
+
 def test_publishing(spark, tmp_path):
     p = spark.createDataFrame([(1, "x"), (2, "y")], "audio_file_id long, content string")
     base = spark.createDataFrame([(1, "h1"), (2, "h2")], "audio_file_id long, content_hash string")
