@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Iterator
@@ -19,14 +20,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage in the shared checkpoint folder; a folder of its own only in a local session that sets none."""
+    """Ends the lineage in the shared checkpoint folder; a folder of its own only in a local session that sets none.
+
+    Spark removes shuffle files and checkpoints of tables that are no longer used when the driver collects garbage, which
+    may be never in an idle heap; so it is asked to here, as the files of earlier steps have just become useless.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         where = sc.getConf().get("spark.checkpoint.dir", None)
         if where is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="talkloom-checkpoint-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    gc.collect()
+    sc._jvm.System.gc()
+    return out
 
 
 @contextmanager
