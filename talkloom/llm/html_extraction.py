@@ -1,28 +1,29 @@
-"""Main text of web pages by minimum-cut labelling of their blocks.
-
-A page is cut into blocks of text between block-level tags.  A classifier gives
-each block a cost for being content and one for being boilerplate; they are the
-capacities to the two terminals of a flow network.  Blocks next to each other
-on the page, and consecutive blocks of one parent element, are joined by
-smoothness edges whose capacity falls with their distance in the DOM and with the difference in
-what their names say.  Maximum
-flow over the whole page finds the labelling with the smallest sum of costs and
-cut edges; of equal ones that with least content.
-
-The classifier adds up
-
-- names: what elements say by tag, class, id and role, from the root to the
-  block.  Each element gives a share between 0 and 1 for content and for
-  boilerplate; a share fades with every level below, and a nearer element
-  weakens what an outer one says against it.  A class of several words says
-  less than the word alone, and least if the word stands inside it;
-- place: where one element that claims content holds much of the page's text,
-  blocks outside such elements lose, in full from half of the text on;
-- form: a logistic model of length, links, punctuation and tag, fitted to blocks
-  whose names are clear, of about ``max_pages`` distinct pages chosen by a hash
-  of the html, at most ``PAGE_BLOCKS`` blocks each.
-
-No name decides alone: all three parts and the edges are of the same order.
+"""Main text of web pages by minimum-cut labelling of their blocks and elements.
+
+A page is cut into blocks of text between block-level tags.  Its blocks and its
+block-level elements are the nodes of one flow network.  A classifier gives
+each node a cost for being content and one for being boilerplate, the
+capacities to the two terminals:
+
+- a block by its form alone: length, links, punctuation, tag, words and patterns
+  of reader comments;
+- an element by what its own tag, class, id and role say, how its siblings repeat
+  it, and the links, length and comments of what it holds.
+
+Smoothness edges join every block with its element and every element with its
+parent (DOM proximity), and neighbouring blocks, the less the farther they are
+apart in the DOM (adjacency).  Maximum flow over the whole page finds the
+labelling with the smallest sum of costs and cut edges; of equal ones that with
+least content.  So what a name says reaches the blocks below through the edges,
+and a block, a list or a section can hold out against it where its form, its
+neighbours and its own parts are strong enough.
+
+Both classifiers are logistic models.  They learn from marked pages that
+``html_lessons`` composes, and the one of blocks also from the forms of blocks
+whose names are clear, on about ``max_pages`` distinct pages of the table chosen by
+a hash of the html, at most ``PAGE_BLOCKS`` blocks each; a form that many of those
+blocks share counts ``MOST_ALIKE`` times at most.  Hidden elements and those that
+browsers don't show as text are boilerplate whatever surrounds them.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are joined by one newline in page order, and nothing else is dropped or
@@ -38,8 +39,10 @@ import html as html_lib
 import math
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from operator import mul
 
 import numpy as np
@@ -48,6 +51,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from talkloom.llm import _text, html_lessons
+
 #: Element names and the words of class, id and role that tell content from boilerplate.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -75,12 +80,21 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 ALONE, EDGE, INSIDE = 1.0, 0.6, 0.2
 #: What is left of a share one level below.
 FADE = 0.9
-#: Weights of names and place, bound of the form's say, and capacity of a smoothness edge at distance 0.
-NAMES, PLACE, FORM, SMOOTH = 4.0, 4.0, 2.0, 2.0
-#: Share of an edge that opposite names take.
-CONTRAST = 0.7
-#: Blocks of a page that the form is learnt from at most.
-PAGE_BLOCKS = 50
+#: Bounds of what a block's form and an element's names can say, and the say of what is never shown.
+FORM, NAMES, NEVER = 1.5, 8.0, 100.0
+#: Share of an edge that names take: an element with names of its own is less bound to its parent, and neighbours of opposite names less to each other.
+APART = 0.7
+#: Blocks of one parent element whose forms count in full; more of them share the say of so many.
+PARTS = 6
+#: Times that an element's cost counts: it speaks for all it holds.
+LOUD = 2.0
+#: Capacities of the edges to an element from its blocks and its children, and of that between neighbours at distance 0.
+TIE, NEXT = 2.5, 1.0
+#: Blocks of a page that the form is learnt from at most, and how often one form counts.
+PAGE_BLOCKS, MOST_ALIKE = 50, 50
+#: How reader comments begin, and words that they have.
+_SAYS = re.compile(r"(?:@?\w[\w.-]{0,24}(?: \w[\w.-]{0,24}){0,2}) ?(?:says|said|wrote|writes|replied|commented)?:(?:\s|$)|@\w|re: ", re.IGNORECASE)
+_CHATTER = re.compile(r"\b(?:ago|reply|replies|replied|commented|comments?|thanks?|thank you|great|agree|disagree|lol|upvotes?|likes?|report|flag|permalink|posted|anonymous|guest|i|me|my|you)\b|\d{1,2}:\d\d|!{1,3}(?:\s|$)", re.IGNORECASE)
 
 
 @dataclass(slots=True)
@@ -88,9 +102,8 @@ class Block:
     text: str
     tag: str
     node: int
-    content: float
+    content: float  # what the elements around it claim, for learning
     boiler: float
-    claim: int
     link_chars: int
 
 
@@ -100,18 +113,26 @@ class Open:
     node: int
     content: float
     boiler: float
-    claim: int
     breaks: bool
 
 
+@dataclass(slots=True)
+class Element:
+    """A block-level element, or an inline one that claims boilerplate."""
+
+    tag: str
+    content: float
+    boiler: float
+    name: str  # class, id and role
+    hidden: bool
+
+
 def shares(tag: str, attributes: str) -> tuple[float, float]:
     """(content, boilerplate) that an element's own tag and names claim."""
     content = 1.0 if tag in CONTENT_TAGS else 0.0
     boiler = 1.0 if tag in BOILER_TAGS or tag in UNSEEN_TAGS else 0.8 if tag in FORM_TAGS else 0.0
     if not attributes or tag in ("body", "html"):
         return content, boiler
-    if _HIDDEN.search(attributes):
-        return 0.0, 1.0
     said = [0.0, 0.0]
     for m in _NAMES.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").split():
@@ -127,21 +148,19 @@ def shares(tag: str, attributes: str) -> tuple[float, float]:
     return max(content, net), boiler
 
 
-def _below(parent: Open, tag: str, attributes: str) -> tuple[float, float]:
+def _below(parent: Open, content: float, boiler: float) -> tuple[float, float]:
     """Shares at an element, of what it and its ancestors claim."""
-    content, boiler = shares(tag, attributes)
-    if tag == "header" and boiler == 0.8 and parent.content > parent.boiler:
-        boiler = 0.0
     outer_content, outer_boiler = parent.content * FADE, parent.boiler * FADE
     return max(outer_content * (1 - boiler), content * (1 - outer_boiler)), max(outer_boiler * (1 - content / 4), boiler)
 
 
 class Page:
-    """Blocks of a page, and the tree of its block-level elements."""
+    """Blocks of a page, and the tree of its elements (the first is the page)."""
 
     def __init__(self, html: str):
         self.blocks: list[Block] = []
         self.parent, self.depth = [0], [0]
+        self.elements = [Element("", 0.0, 0.0, "", False)]
         self._read(html)
 
     def distance(self, a: int, b: int) -> int:
@@ -155,7 +174,7 @@ class Page:
         return steps
 
     def _read(self, html: str) -> None:
-        stack = [Open("", 0, 0.0, 0.0, 0, True)]
+        stack = [Open("", 0, 0.0, 0.0, True)]
         count: dict[str, int] = {}  # open elements by tag
         links, link_chars = 0, 0
         parts: list[str] = []
@@ -167,7 +186,7 @@ class Page:
                 text = " ".join((html_lib.unescape(raw) if "&" in raw else raw).split())
                 if text:
                     top = stack[-1]
-                    self.blocks.append(Block(text, top.tag, top.node, top.content, top.boiler, top.claim, min(link_chars, len(text))))
+                    self.blocks.append(Block(text, top.tag, top.node, top.content, top.boiler, min(link_chars, len(text))))
                 parts.clear()
             link_chars = 0
 
@@ -211,16 +230,22 @@ class Page:
             if tag == "a":
                 links += 1
             top = stack[-1]
-            content, boiler = _below(top, tag, m[4])
+            own, against = shares(tag, m[4])
+            if tag == "header" and against == 0.8 and top.content > top.boiler:
+                against = 0.0
+            hidden = tag in UNSEEN_TAGS or bool(m[4] and _HIDDEN.search(m[4]) and tag not in ("body", "html"))
+            content, boiler = _below(top, own, 1.0 if hidden else against)
             breaks, node = tag in BLOCK_TAGS, top.node
+            if not breaks and (hidden or against >= 0.8 > top.boiler):  # an inline element that claims boilerplate is a block of its own
+                flush()
+                breaks = True
             if breaks:
+                name = " ".join(x for n in _NAMES.finditer(m[4]) for x in (n[1] or n[2] or n[3] or "").split()) if m[4] and tag not in ("body", "html") else ""
                 self.parent.append(node)
                 self.depth.append(self.depth[node] + 1)
+                self.elements.append(Element(tag, own * (1 - top.boiler * FADE), against, name, hidden))  # an article among comments is none
                 node = len(self.parent) - 1
-            elif boiler >= 0.8 > top.boiler:  # an inline element that claims boilerplate is a block of its own
-                flush()
-                breaks = True
-            stack.append(Open(tag, node, content, boiler, top.claim or (node if content > 0.5 else 0), breaks))
+            stack.append(Open(tag, node, content, boiler, breaks))
             count[tag] = count.get(tag, 0) + 1
         flush()
 
@@ -236,7 +261,7 @@ def _implied(stack: list[Open], tag: str) -> int | None:
     return None
 
 
-FORM_FEATURES = 8
+FORM_FEATURES = 10
 
 
 def form(b: Block) -> list[float]:
@@ -244,22 +269,44 @@ def form(b: Block) -> list[float]:
     n = len(b.text)
     words = b.text.count(" ") + 1
     ends = sum(map(b.text.count, ".!?"))
-    return [1.0, math.log1p(n) / 4, b.link_chars / n, min(1.0, ends / words * 5), float(b.tag == "p"), float(b.tag in ("li", "td", "a")), float(b.tag[:1] == "h" and b.tag[1:].isdigit()), float(words < 6)]
+    chatter = len(_CHATTER.findall(b.text))
+    return [1.0, math.log1p(n) / 4, b.link_chars / n, min(1.0, ends / words * 5), float(b.tag == "p"), float(b.tag in ("li", "td", "a")), float(b.tag[:1] == "h" and b.tag[1:].isdigit()), float(words < 6), float(_SAYS.match(b.text) is not None), min(1.0, chatter / words * 8)]
 
 
-#: Used where the sample has too few blocks of a kind to learn from.
-DEFAULT_WEIGHTS = (-0.5, 1.5, -4.0, 1.0, 1.0, -1.0, 0.5, -0.5)
+def element_features(page: Page) -> list[list[float]]:
+    """What each element says and holds: its names, those it repeats beside it, and links, length and comments below it."""
+    n = len(page.elements)
+    chars, links, spoken, blocks = [0] * n, [0] * n, [0] * n, [0] * n
+    for b in page.blocks:
+        chars[b.node] += len(b.text)
+        links[b.node] += b.link_chars
+        spoken[b.node] += len(b.text) * (_SAYS.match(b.text) is not None)
+        blocks[b.node] += 1
+    for i in range(n - 1, 0, -1):  # children come after their parents
+        p = page.parent[i]
+        chars[p] += chars[i]
+        links[p] += links[i]
+        spoken[p] += spoken[i]
+        blocks[p] += blocks[i]
+    alike = Counter((page.parent[i], e.tag, e.name) for i, e in enumerate(page.elements) if e.name)
+    total = max(1, chars[0])
+    out = []
+    for i, e in enumerate(page.elements):
+        unknown = float(bool(e.name) and max(e.content, e.boiler) < 0.5)
+        repeated = math.log1p(alike[page.parent[i], e.tag, e.name] - 1) if e.name else 0.0
+        held = max(1, chars[i])
+        out.append([e.content, e.boiler, unknown, unknown * chars[i] / total, repeated, links[i] / held, spoken[i] / held])
+    return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 0.5, decay: float = 1e-3) -> np.ndarray:
-    """Logistic regression with equally weighted classes."""
-    if min((y > 0).sum(), (y == 0).sum()) < 20:
-        return np.array(DEFAULT_WEIGHTS)
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 25) -> np.ndarray:
+    """Logistic regression with equally weighted classes, by Newton's method."""
     w = np.zeros(x.shape[1])
-    share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y == 0).sum())
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= rate * 4 * (x.T @ (share * (p - y)) + decay * w)
+        slope = x.T @ (share * (p - y)) + ridge * w
+        w = w - np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), slope)
     return w
 
 
@@ -328,46 +375,54 @@ def max_flow_labels(unary: list[float], edges: list[tuple[int, int, float]]) ->
 _LEAST = 1e-9
 
 
-def costs(page: Page, weights: Sequence[float]) -> list[float]:
-    """Of each block, the cost of calling it boilerplate minus that of calling it content."""
-    held: dict[int, int] = {}
-    for b in page.blocks:
-        held[b.claim] = held.get(b.claim, 0) + len(b.text)
-    size = sum(held.values()) or 1
-    held.pop(0, None)
-    place = PLACE * min(1.0, 2 * max(held.values(), default=0) / size)
-    out = []
-    for b in page.blocks:
-        said = sum(map(mul, weights, form(b)))
-        out.append(NAMES * (b.content - b.boiler) - (place if not b.claim else 0.0) + max(-FORM, min(FORM, said)))
-    return out
-
+@dataclass(frozen=True)
+class Weights:
+    """Of the features of blocks and of elements."""
 
-def smoothness(page: Page) -> list[tuple[int, int, float]]:
-    """Edges between neighbours on the page and in an element."""
+    form: tuple[float, ...]
+    names: tuple[float, ...]
 
-    def edge(i: int, j: int) -> tuple[int, int, float]:
-        x, y = page.blocks[i], page.blocks[j]
-        contrast = abs(x.content - x.boiler - y.content + y.boiler) / 2
-        return i, j, SMOOTH * (1 - CONTRAST * contrast) / (1 + page.distance(x.node, y.node) / 2)
 
-    edges, last = [], {}
-    for i, b in enumerate(page.blocks):
-        if i:
-            edges.append(edge(i - 1, i))
-        parent = page.parent[b.node]
-        if (j := last.get(parent)) is not None and j != i - 1:
-            edges.append(edge(j, i))
-        last[parent] = i
-    return edges
+def costs(page: Page, weights: Weights) -> list[float]:
+    """Of each block, then of each element, the cost of calling it boilerplate minus that of calling it content."""
+    within = Counter(page.parent[b.node] for b in page.blocks)
+    out = [max(-FORM, min(FORM, sum(map(mul, weights.form, form(b))))) * min(1.0, PARTS / within[page.parent[b.node]]) for b in page.blocks]
+    for e, x in zip(page.elements, element_features(page), strict=True):
+        silent = not e.name and not e.content and not e.boiler  # an element without names has no say of its own
+        out.append(-NEVER if e.hidden else 0.0 if silent else max(-NAMES, min(NAMES, LOUD * sum(map(mul, weights.names, x)))))
+    return out
 
 
-def label(page: Page, weights: Sequence[float]) -> list[bool]:
+def smoothness(page: Page) -> list[tuple[int, int, float]]:
+    """Edges between blocks and their elements, elements and their parents, and neighbouring blocks; elements are numbered after the blocks."""
+    n = len(page.blocks)
+    apart = [1.0 if e.hidden else APART * max(e.content, e.boiler) for e in page.elements]
+    edges = [(i, n + b.node, TIE) for i, b in enumerate(page.blocks)]
+    edges += [(n + i, n + page.parent[i], TIE * (1 - apart[i])) for i in range(1, len(page.elements))]
+    for i in range(1, n):
+        x, y = page.blocks[i - 1], page.blocks[i]
+        if not (page.elements[x.node].hidden or page.elements[y.node].hidden):
+            alike = 1 - APART * abs(x.content - x.boiler - y.content + y.boiler) / 2
+            edges.append((i - 1, i, NEXT * alike / (1 + page.distance(x.node, y.node) / 2)))
+    return [e for e in edges if e[2] > 0]
+
+
+def label(page: Page, weights: Weights) -> list[bool]:
     """Is each block content?"""
-    return max_flow_labels(costs(page, weights), smoothness(page))
+    labels = max_flow_labels(costs(page, weights), smoothness(page))[: len(page.blocks)]
+    return [on and not _unseen(page, b.node) for on, b in zip(labels, page.blocks, strict=True)]
+
 
+def _unseen(page: Page, node: int) -> bool:
+    """Is an element, or one around it, hidden?"""
+    while node:
+        if page.elements[node].hidden:
+            return True
+        node = page.parent[node]
+    return False
 
-def extract(html: str | None, weights: Sequence[float]) -> str:
+
+def extract(html: str | None, weights: Weights) -> str:
     if not html:
         return ""
     page = Page(html)
@@ -381,36 +436,62 @@ def examples(html: str) -> list[tuple[float, ...]]:
     return [(float(b.content > b.boiler), *(round(v, 2) for v in form(b))) for b in chosen]
 
 
-def train(df: DataFrame, html_col: str = "html", max_pages: int = 2000) -> np.ndarray:
-    """Weights of the form model; equal forms are counted before they reach the driver."""
+@cache
+def lessons() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(forms, are they content, element features, are they content) of the composed pages; an element is what most of its text is."""
+    blocks, elements = [], []
+    for html, content in html_lessons.pages():
+        page = Page(html)
+        right = [0] * len(page.elements)
+        for b in page.blocks:
+            on = b.text in content
+            blocks.append((*form(b), float(on)))
+            node = b.node
+            while node:
+                right[node] += len(b.text) if on else -len(b.text)
+                node = page.parent[node]
+        for e, x, r in zip(page.elements, element_features(page), right, strict=True):
+            if r and not e.hidden and (e.name or e.content or e.boiler):
+                elements.append((*x, float(r > 0)))
+    x, y = np.array(blocks), np.array(elements)
+    return x[:, :-1], x[:, -1], y[:, :-1], y[:, -1]
+
+
+@cache
+def default_weights() -> Weights:
+    """Of both models as the composed pages alone teach them."""
+    x, y, names_x, names_y = lessons()
+    return Weights(tuple(fit(x, y).tolist()), tuple(fit(names_x, names_y).tolist()))
+
+
+def train(df: DataFrame, html_col: str = "html", max_pages: int = 2000) -> Weights:
+    """Weights of both models; equal forms are counted before they reach the driver."""
+    x, y, *_ = lessons()
     known = df.where(F.col(html_col).isNotNull()).select(F.col(html_col).alias("html"))
     n = known.count()
-    if not n:
-        return np.array(DEFAULT_WEIGHTS)
-    sample = known.where(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < min(1 << 20, -(-(max_pages << 20) // n)))
-
-    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([r for h in batch.column("html").to_pylist() for r in examples(h)], dtype=np.float64).reshape(-1, FORM_FEATURES + 1)
-            yield pa.RecordBatch.from_pydict({f"f{k}": x[:, k].copy() for k in range(FORM_FEATURES + 1)})
+    if n:
+        sample = known.where(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < min(1 << 20, -(-(max_pages << 20) // n)))
 
-    names = [f"f{k}" for k in range(FORM_FEATURES + 1)]
-    rows = sample.mapInArrow(forms, ", ".join(f"{c} double" for c in names)).groupBy(*names).agg(F.count("*").alias("n")).toPandas()
-    if rows.empty:
-        return np.array(DEFAULT_WEIGHTS)
-    rows = rows.sort_values(names)
-    # a form that very many blocks share counts as 50, so that one page's copies don't outweigh the rest
-    x = np.repeat(rows[names].to_numpy(), np.minimum(rows["n"].to_numpy(), 50), axis=0)
-    return fit(x[:, 1:], x[:, 0])
+        def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [r for _, _, texts in _text.slices(batch.column("html")) for h in texts for r in examples(h.decode())]
+                each = np.array(rows, dtype=np.float64).reshape(-1, FORM_FEATURES + 1)
+                yield pa.RecordBatch.from_pydict({f"f{k}": each[:, k].copy() for k in range(FORM_FEATURES + 1)})
 
+        names = [f"f{k}" for k in range(FORM_FEATURES + 1)]
+        rows = sample.mapInArrow(forms, ", ".join(f"{c} double" for c in names)).groupBy(*names).agg(F.count("*").alias("n")).toPandas()
+        if not rows.empty:
+            rows = rows.sort_values(names)
+            own = np.repeat(rows[names].to_numpy(), np.minimum(rows["n"].to_numpy(), MOST_ALIKE), axis=0)
+            x, y = np.concatenate([x, own[:, 1:]]), np.concatenate([y, own[:, 0]])
+    return Weights(tuple(fit(x, y).tolist()), default_weights().names)
 
-def main_text(column: Column, weights: np.ndarray) -> Column:
-    costs_of = [float(w) for w in weights]
 
+def main_text(column: Column, weights: Weights) -> Column:
     @F.arrow_udf(StringType())
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([extract(x.as_py(), costs_of) for x in batch], pa.string())
+            yield pa.array([extract(h.decode(), weights) for _, _, texts in _text.slices(batch) for h in texts], pa.string())
 
     return run(column)
 
