@@ -43,10 +43,12 @@ def _base(calls: DataFrame, jobs: DataFrame, transcripts: DataFrame, reviews: Da
 
 
 LIST_COLUMNS = ["id", "filename", "direction", "remote_number", "recorded_at", "duration_seconds", "job_status", "job_priority", "attempts", "max_attempts", "latest_run_id", "processing_total_seconds", "transcript_id", "transcript_version", "transcript_source", "unclear_count", "review_status"]
+#: What a list shows besides, where the table has it.
+FILE_COLUMNS = ["relative_path", "agent_extension", "size_bytes", "codec", "bitrate", "sample_rate", "channels", "metadata_error", "last_error", "transcript_created_at"]
 
 
-def list_calls(tables: dict[str, DataFrame], now: Column, *, search: str = "", direction: str = "", status: str = "", transcript: str = "", review: str = "", searched: tuple[str, ...] = ("filename", "relative_path", "remote_number", "call_id")) -> DataFrame:
-    """All matching calls; unknown filter values are ignored.  ``page`` orders and cuts."""
+def list_calls(tables: dict[str, DataFrame], now: Column, *, search: str = "", direction: str = "", status: str = "", transcript: str = "", review: str = "", searched: tuple[str, ...] = ("filename", "relative_path", "remote_number", "agent_extension"), full: bool = False) -> DataFrame:
+    """All matching calls; unknown filter values are ignored.  ``page`` orders and cuts.  With ``full`` also FILE_COLUMNS."""
     x = _base(tables["audio_files"], tables["jobs"], tables["transcripts"], tables["transcript_reviews"], tables["processing_runs"], now)
     keep: list[Column] = []
     if search.strip():
@@ -61,7 +63,7 @@ def list_calls(tables: dict[str, DataFrame], now: Column, *, search: str = "", d
         keep.append(F.col("transcript_id").isNotNull() & (F.col("review_status") == review) & (F.col("job_status") != "skipped"))
     for c in keep:
         x = x.where(c)
-    return x.select(*(c for c in LIST_COLUMNS if c in x.columns))
+    return x.select(*(c for c in [*LIST_COLUMNS, *(FILE_COLUMNS if full else [])] if c in x.columns))
 
 
 def page(df: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
@@ -70,6 +72,31 @@ def page(df: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     return (out.offset(offset) if offset else out).limit(limit)
 
 
+def page_with_total(df: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page, each row with the number of all matching calls (``total``); a page behind the last one is empty."""
+    return page(df, limit, offset).join(F.broadcast(df.agg(F.count("*").alias("total"))))  # one row
+
+
+def audio_paths(tables: dict[str, DataFrame], requested: DataFrame) -> DataFrame:
+    """(id, absolute_path) of the requested calls (id); null for unknown ones."""
+    return requested.select("id").distinct().join(tables["audio_files"].select("id", "absolute_path"), "id", "left")
+
+
+def review_details(tables: dict[str, DataFrame]) -> DataFrame:
+    """Per call: transcript_id, status, reviewer, notes, data_json and markdown_synced of the current version's review, and all versions, newest first."""
+    r = tables["transcript_reviews"]
+    known = lambda c, kind: (F.col(c) if c in r.columns else F.lit(None)).cast(kind).alias(c)
+    r = r.select(F.col("transcript_id").alias("_t"), "status", known("reviewer", "string"), known("notes", "string"), known("data_json", "string"), known("markdown_synced", "boolean"))
+    x = tables["transcripts"].join(r, F.col("id") == F.col("_t"), "left")
+    one = F.struct("version", "id", "source", "content", "created_at", "status", "reviewer", "notes")
+    now = F.max(F.when(F.col("is_current"), F.struct("version", "id", "status", "reviewer", "notes", "data_json", "markdown_synced"))).alias("now")
+    x = x.groupBy("audio_file_id").agg(now, F.sort_array(F.collect_list(one), asc=False).alias("versions"))
+    x = tables["audio_files"].select(F.col("id").alias("audio_file_id")).join(x, "audio_file_id", "left")
+    has, text = F.col("now").isNotNull(), lambda c, default: F.coalesce(F.col(f"now.{c}"), F.lit(default)).alias(c)
+    said = lambda c: F.when(has, F.col(f"now.{c}")).otherwise("").alias(c)
+    return x.select("audio_file_id", F.col("now.id").alias("transcript_id"), text("status", "needs_review"), said("reviewer"), said("notes"), text("data_json", "{}"), text("markdown_synced", False), F.coalesce("versions", F.array().cast(x.schema["versions"].dataType)).alias("versions"))
+
+
 def call_detail(tables: dict[str, DataFrame], now: Column) -> DataFrame:
     """Every call with its job, current transcript and latest run."""
     x = _base(tables["audio_files"], tables["jobs"], tables["transcripts"], tables["transcript_reviews"], tables["processing_runs"], now)
@@ -118,10 +145,11 @@ def unresolved(text: str = "text", tier: str = "confidence_tier", flags: str = "
     return T.has_marker(text) | F.coalesce(F.col(tier) == "unresolved", F.lit(False)) | F.coalesce(F.array_contains(flags, "unclear"), F.lit(False))
 
 
-def review_queue(segments: DataFrame, tables: dict[str, DataFrame], call: str = "call_id") -> DataFrame:
+def review_queue(segments: DataFrame, tables: dict[str, DataFrame], call: str = "call_id", full: bool = False) -> DataFrame:
     """Unresolved segments of current, unapproved transcripts, with the texts before and after.
 
-    segments: (call, index, id, start, end, speaker, text, flags, confidence_tier).
+    segments: (call, index, id, start, end, speaker, text, flags, confidence_tier), and if known reason, notes and
+    candidates (``review.suggestions`` by segment).  With ``full`` also these, and the call's names and duration.
     """
     w = Window.partitionBy(call).orderBy("index")
     s = segments.withColumn("context_before", F.coalesce(F.lag("text").over(w), F.lit(""))).withColumn("context_after", F.coalesce(F.lead("text").over(w), F.lit(""))).where(unresolved())
@@ -130,7 +158,13 @@ def review_queue(segments: DataFrame, tables: dict[str, DataFrame], call: str =
     r = tables["transcript_reviews"].select(F.col("transcript_id").alias("_t"), F.col("status").alias("_s"))
     x = s.join(t, F.col(call) == F.col("_ta")).join(r, F.col("transcript_id") == F.col("_t"), "left").withColumn("review_status", F.coalesce("_s", F.lit("needs_review"))).where("review_status <> 'approved'")
     key = F.concat_ws(":", F.col(call).cast("string"), F.col("transcript_id").cast("string"), F.col("id"))
-    return x.select(key.alias("key"), F.col(call).alias("audio_id"), "transcript_id", "transcript_version", "review_status", F.col("id").alias("segment_id"), "start", "end", "speaker", "text", "context_before", "context_after")
+    more = []
+    if full:
+        named = tables["audio_files"].select(F.col("id").alias("_ca"), "filename", "relative_path", "duration_seconds")
+        x = x.join(named, F.col(call) == F.col("_ca"))
+        text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in x.columns else F.lit("")
+        more = ["filename", "relative_path", "duration_seconds", F.when(text("reason") == "", "unclear").otherwise(text("reason")).alias("reason"), text("notes").alias("notes"), *(c for c in ("candidates",) if c in x.columns)]
+    return x.select(key.alias("key"), F.col(call).alias("audio_id"), "transcript_id", "transcript_version", "review_status", F.col("id").alias("segment_id"), "start", "end", "speaker", "text", "context_before", "context_after", *more)
 
 
 def correction_examples(corrections: DataFrame, calls: DataFrame, limit: int = 500) -> DataFrame:

@@ -110,5 +110,5 @@ def speaker_counters(rows: DataFrame, call: str = "call_id") -> DataFrame:
     """Per call: total rows, rows with a known speaker, rows that words refined, rows of mixed speakers."""
     known = ~F.coalesce(F.trim("speaker"), F.lit("")).isin(*C.UNKNOWN_LABELS)
     flagged = lambda f: T.has_any(F.col("flags"), (f,))
-    return rows.groupBy(call).agg(F.count("*").alias("total"), F.count_if(known).alias("assigned"), F.count_if(flagged("speaker_word_refined")).alias("refined"), F.count_if(flagged("mixed_speakers")).alias("mixed"))
+    return rows.groupBy(call).agg(F.count("*").alias("total"), F.count_if(known).alias("assigned"), F.count_if(flagged("word_aligned")).alias("refined"), F.count_if(flagged("mixed_speakers")).alias("mixed"))
 

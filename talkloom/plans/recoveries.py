@@ -5,12 +5,81 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talkloom import constants as C
-from talkloom.operators import evaluation, intervals, lexicon, recovery, store
+from talkloom.operators import evaluation, intervals, lexicon, listing, recovery, store
 from talkloom.plans.queries import _now, query
 from talkloom.plans.standins import cte, table, tables
 from talkloom.sources import references, scratch
 from talkloom.sources.snapshots import Refused, Store
 
+# ---- read models ----
+
+_FULL = f"""{cte("recordings", "jobs", "processing_runs", "transcripts", "transcript_reviews")},
+ l AS (SELECT a.*, j.status AS job_status, j.last_error, r.latest_run_id, t.id AS transcript_id, t.created_at AS transcript_created_at FROM recordings a LEFT JOIN jobs j ON j.audio_file_id = a.id
+   LEFT JOIN transcripts t ON t.audio_file_id = a.id AND t.is_current AND j.status <> 'skipped' LEFT JOIN (SELECT audio_file_id, max(id) AS latest_run_id FROM processing_runs GROUP BY 1) r ON r.audio_file_id = a.id
+   WHERE lower(filename) LIKE '%23\\_1%' ESCAPE '\\' OR lower(relative_path) LIKE '%23\\_1%' ESCAPE '\\' OR remote_number LIKE '%23\\_1%' ESCAPE '\\' OR agent_extension LIKE '%23\\_1%' ESCAPE '\\')"""
+_SHOWN = ["id", "filename", "relative_path", "agent_extension", "size_bytes", "codec", "bitrate", "sample_rate", "channels", "metadata_error", "job_status", "last_error", "latest_run_id", "transcript_id", "transcript_created_at"]
+
+
+@query(f"{_FULL} SELECT {', '.join(_SHOWN)}, (SELECT count(*) FROM l) AS total FROM l ORDER BY recorded_at DESC NULLS LAST, id DESC LIMIT 40 OFFSET 20")
+def list_page(spark, d):
+    """The second page of the calls that a search finds, with all that their headers say and the number of all of them (the page is the feature)."""
+    t = tables(spark, d) | {"audio_files": table(spark, d, "recordings")}
+    found = listing.list_calls(t, _now(), search="23_1", full=True)
+    return listing.page_with_total(found, 40, 20).select(*_SHOWN, "total")
+
+
+@query(
+    f"""{cte("audio_files", "transcripts", "transcript_reviews")},
+ x AS (SELECT t.*, v.status FROM transcripts t LEFT JOIN transcript_reviews v ON v.transcript_id = t.id)
+ SELECT a.id AS audio_file_id, any_value(x.id) FILTER (x.is_current) AS transcript_id, coalesce(any_value(x.status) FILTER (x.is_current), 'needs_review') AS status, '{{}}' AS data_json, false AS markdown_synced,
+   string_agg(x.version || ':' || x.source || ':' || coalesce(x.status, '-'), ',' ORDER BY x.version DESC) AS versions, max(absolute_path) AS absolute_path FROM audio_files a LEFT JOIN x ON x.audio_file_id = a.id GROUP BY a.id"""
+)
+def review_details(spark, d):
+    """Review state and versions of all calls, and where their recordings are."""
+    t = tables(spark, d)
+    x = listing.review_details(t).join(listing.audio_paths(t, t["audio_files"]).withColumnRenamed("id", "audio_file_id"), "audio_file_id")
+    shown = F.array_join(F.transform("versions", lambda v: F.concat_ws(":", v["version"].cast("string"), v["source"], F.coalesce(v["status"], F.lit("-")))), ",")
+    return x.select("audio_file_id", "transcript_id", "status", "data_json", "markdown_synced", shown.alias("versions"), "absolute_path")
+
+
+@query(
+    f"""{cte("audio_files", "segments", "transcripts", "jobs", "transcript_reviews")}, s AS (SELECT * FROM segments WHERE confidence_tier = 'unresolved')
+ SELECT s.call_id || ':' || t.id || ':' || s.id AS key, a.filename, a.duration_seconds, CASE WHEN index % 2 = 0 THEN 'no_usable_decode' ELSE 'unclear' END AS reason, CASE WHEN index % 4 = 3 THEN 'n' ELSE '' END AS notes
+ FROM s JOIN audio_files a ON a.id = s.call_id JOIN transcripts t ON t.audio_file_id = s.call_id AND t.is_current JOIN jobs j ON j.audio_file_id = s.call_id AND j.status NOT IN ('running', 'skipped')
+ LEFT JOIN transcript_reviews v ON v.transcript_id = t.id WHERE coalesce(v.status, 'needs_review') <> 'approved'"""
+)
+def review_queue_details(spark, d):
+    """The whole review queue with names, reasons and notes."""
+    s = table(spark, d, "segments").withColumns({"flags": F.array().cast("array<string>"), "reason": F.when(F.col("index") % 2 == 0, "no_usable_decode"), "notes": F.when(F.col("index") % 4 == 3, "n")})
+    return listing.review_queue(s, tables(spark, d), full=True).select("key", "filename", "duration_seconds", "reason", "notes")
+
+
+# ---- what reviewers and counters get ----
+
+
+@query(
+    f"""{cte("segments")} SELECT call_id, count(*) AS n, max("end") AS duration_seconds, md5(string_agg(id || ':' || text, '|' ORDER BY start, "end", id)) AS digest FROM segments WHERE call_id IS NOT NULL AND index IS NOT NULL GROUP BY call_id"""
+)
+def review_input(spark, d):
+    """What the reviewer of each call is given: number of rows, and a digest of their ids and texts in order."""
+    s = table(spark, d, "segments").where("call_id IS NOT NULL AND index IS NOT NULL").withColumn("flags", F.array().cast("array<string>"))
+    x = recovery.review_input(s, s.groupBy("call_id").agg(F.max("end").alias("duration")))
+    one = F.transform("segments", lambda j: F.concat_ws(":", F.get_json_object(j, "$.id"), F.get_json_object(j, "$.text")))
+    return x.select("call_id", F.size("segments").cast("long").alias("n"), "duration_seconds", F.md5(F.array_join(one, "|")).alias("digest"))
+
+
+@query(
+    f"""{cte("segments")} SELECT call_id, count(*) AS total, count(*) FILTER (index % 3 > 0) AS assigned, count(*) FILTER (index % 4 = 1) AS refined, count(*) FILTER (index % 5 = 2) AS mixed FROM segments WHERE call_id IS NOT NULL AND index IS NOT NULL GROUP BY call_id"""
+)
+def speaker_counters(spark, d):
+    """Rows of each call with a known speaker, refined by words, and of mixed speakers."""
+    k = F.col("index")
+    s = table(spark, d, "segments").where("call_id IS NOT NULL AND index IS NOT NULL")
+    s = s.withColumns({"speaker": F.when(k % 6 == 0, C.UNKNOWN_SPEAKER).when(k % 3 > 0, F.col("speaker")), "flags": F.when(k % 4 == 1, F.array(F.lit("word_aligned"))).otherwise(F.array().cast("array<string>"))})
+    s = s.withColumn("flags", F.when(k % 5 == 2, F.array_append("flags", "mixed_speakers")).otherwise(F.col("flags")))
+    return recovery.speaker_counters(s)
+
+
 # ---- intervals ----
 
 

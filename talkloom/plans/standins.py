@@ -23,6 +23,17 @@ _CALLS = [
     ("duration_seconds", "CAST(o_orderkey * 37 % 4000 AS DOUBLE) / 10"),
     ("content_sha256", "CAST(o_custkey % 2 AS STRING)"),
 ]
+#: Calls as a scan finds them, with all that their headers say.
+_RECORDINGS = [
+    *_CALLS,
+    ("agent_extension", "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE concat('2', CAST(o_custkey % 10 AS STRING), '_', CAST(o_orderkey % 3 AS STRING)) END"),
+    ("size_bytes", "o_orderkey * 1000"),
+    ("codec", "CASE WHEN o_orderkey % 14 = 0 THEN NULL ELSE 'mp3' END"),
+    ("bitrate", "CASE WHEN o_orderkey % 14 = 0 THEN NULL ELSE 64000 + o_orderkey % 2 * 64000 END"),
+    ("sample_rate", "CASE WHEN o_orderkey % 14 = 0 THEN NULL ELSE 8000 END"),
+    ("channels", "CASE WHEN o_orderkey % 14 = 0 THEN NULL ELSE 1 + o_orderkey % 2 END"),
+    ("metadata_error", "CASE WHEN o_orderkey % 14 = 0 THEN 'Unreadable: no run of MPEG frames' END"),
+]
 _JOBS = [
     ("id", "o_orderkey"),
     ("audio_file_id", "o_orderkey"),
@@ -84,6 +95,7 @@ _INTERVALS = [
 TABLES: dict[str, tuple[list, str, str | None, str | None]] = {
     # columns, source, repetitions n = 1..k, filter
     "audio_files": (_CALLS, "orders", None, None),
+    "recordings": (_RECORDINGS, "orders", None, None),
     "jobs": (_JOBS, "orders", None, None),
     "processing_runs": (_RUNS, "orders", "1 + o_orderkey % 4", None),
     "transcripts": (_TRANSCRIPTS, "orders", "1 + o_orderkey % 3", None),
