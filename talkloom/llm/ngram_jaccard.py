@@ -22,9 +22,11 @@ distinct n-word shingles.  The steps:
    coordinate maxima and the sizes below them, and descend only where the bound
    allows; blocks of up to ``SMALL`` sets have their few pairs tested by the same
    bound.  Neighbouring shingles of one passage make blocks of the same sets: one
-   of them is searched.  A block of more than ``SLICE`` sets is cut by size into
-   slices, and each slice queries the trees of the slices whose sizes can fit.
-   Pairs that step 3 has connected are left out.
+   of them is searched.  A block is cut by size into slices of ``SLICE`` sets, and
+   a slice queries the trees of the slices whose sizes can fit, unless both lie
+   in the block's largest component of step 3.  Connected pairs are left out.  The
+   entries of a shingle that ``HOT_ENTRIES`` sets share are dealt over several
+   buckets, whose slices make one block and whose first sets propose each other.
 5. Surviving pairs are verified on the words of both texts; links are joined to
    components.
 
@@ -72,6 +74,8 @@ GROUPS, MOST_GROUPS = 256, 4096
 SMALL = 4
 SLICE = 1024
 NODE = 16
+#: A shingle that so many sets have among their entries, or more, is dealt over several buckets.
+HOT_ENTRIES = 200_000
 #: Entries in a block bucket, about; buckets are at least MIN_BUCKETS.
 BUCKET_ENTRIES = 500_000
 MIN_BUCKETS = 64
@@ -225,7 +229,30 @@ def _pack(bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(data)
 
 
-def _entries(hashing: Hashing, percent: int, buckets: int, hot: np.ndarray, times: np.ndarray, split: frozenset[int]):
+@dataclass(frozen=True)
+class Buckets:
+    """Where entries go: by shingle, and those of hot shingles (sorted) by shingle and set."""
+
+    plain: int
+    hot: np.ndarray
+    parts: np.ndarray
+
+    @classmethod
+    def of(cls, entries: int, hot: np.ndarray, times: np.ndarray) -> Buckets:
+        many = times >= HOT_ENTRIES
+        return cls(max(MIN_BUCKETS, -(-entries // BUCKET_ENTRIES)), hot[many], -(-times[many] // HOT_ENTRIES) + 1)
+
+    def number(self, shingles: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        out = (shingles % U64(self.plain)).astype(np.int32)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, shingles), len(self.hot) - 1)
+            on = self.hot[at] == shingles
+            first = np.cumsum(self.parts) - self.parts
+            out[on] = self.plain + first[at[on]] + (_text.mix(keys[on].view(U64)) % self.parts[at[on]].astype(U64)).astype(np.int64)
+        return out
+
+
+def _entries(hashing: Hashing, percent: int, buckets: Buckets, hot: np.ndarray, times: np.ndarray, split: frozenset[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
@@ -239,8 +266,8 @@ def _entries(hashing: Hashing, percent: int, buckets: int, hot: np.ndarray, time
                     sizes.append(len(s))
                     lengths.append(len(h[-1]))
             if h:
-                every = np.concatenate(h)
-                yield _pack((every % U64(buckets)).astype(np.int32), every, np.repeat(np.array(keys, dtype=np.int64), lengths), np.repeat(np.array(sizes, dtype=np.int32), lengths))
+                every, each = np.concatenate(h), np.repeat(np.array(keys, dtype=np.int64), lengths)
+                yield _pack(buckets.number(every, each), every, each, np.repeat(np.array(sizes, dtype=np.int32), lengths))
 
     return run
 
@@ -255,15 +282,23 @@ def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(h)))
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """A bucket's entries, sorted, without repetitions and without shingles of a single set."""
+def _shared(plain: int):
+    """A bucket's entries, sorted, without repetitions and, where the bucket has all of a shingle, without those of a single set."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return _shared_of(table, table.column("bucket")[0].as_py() < plain)
+
+    return run
+
+
+def _shared_of(table: pa.Table, whole: bool) -> pa.Table:
     h, key, n = _column(table, "c0", U64), _column(table, "c1", np.int64), _column(table, "c2", np.int32)
     order = np.lexsort((key, h))
     h, key, n = h[order], key[order], n[order]
     new = np.concatenate(([True], (h[1:] != h[:-1]) | (key[1:] != key[:-1]))) if len(h) else np.zeros(0, dtype=bool)
     h, key, n = h[new], key[new], n[new]
     first, length = _groups(h)
-    kept = np.repeat(length > 1, length)
+    kept = np.repeat((length > 1) | (not whole), length)
     row = {"bucket": table.column("bucket")[:1], "c0": [h[kept].tobytes()], "c1": [key[kept].tobytes()], "c2": [n[kept].tobytes()]}
     return pa.table(row, schema=pa.schema([("bucket", pa.int32()), ("c0", pa.binary()), ("c1", pa.binary()), ("c2", pa.binary())]))
 
@@ -498,40 +533,85 @@ def _search(percent: int, best: bool):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The blocks of more than SMALL sets: a digest of the members, the members and their sizes, by size."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            h, key, n = (np.frombuffer(r[c], dtype=t) for c, t in (("c0", U64), ("c1", np.int64), ("c2", np.int32)))
-            first, length = _groups(h)
-            out: dict[bytes, tuple[bytes, bytes]] = {}
-            for a, m in zip(first[length > SMALL].tolist(), length[length > SMALL].tolist(), strict=True):
-                order = np.lexsort((key[a : a + m], n[a : a + m]))
-                members = key[a : a + m][order].tobytes()
-                out[hashlib.blake2b(members, digest_size=16).digest()] = (members, n[a : a + m][order].tobytes())
-            if out:
-                keys, sizes = zip(*out.values(), strict=True)
-                yield pa.RecordBatch.from_pydict({"block": pa.array(list(out), pa.binary()), "c1": pa.array(keys, pa.binary()), "c2": pa.array(sizes, pa.binary())})
+def _leads(plain: int):
+    """The first set of each part of a hot shingle: (h, key, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["bucket"] >= plain:
+                    h, key, n = (np.frombuffer(r[c], dtype=t) for c, t in (("c0", U64), ("c1", np.int64), ("c2", np.int32)))
+                    first, _ = _groups(h)
+                    yield pa.RecordBatch.from_pydict({"h": h[first].view(np.int64), "key": key[first], "n": n[first].astype(np.int64)})
 
+    return run
 
-def _units(percent: int, width: int = SLICE):
-    """Rows (unit, part, key): each slice of a block with itself, and with each earlier slice whose sizes can fit (part 0 is the earlier one)."""
+
+def _slices(plain: int, width: int = SLICE):
+    """The blocks of more than SMALL sets in slices of ``width``, by size: (block, slice, members, least and most of their sizes).
+
+    A block is named by a digest of its members, that of a hot shingle by the shingle; its parts have slices of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                key, n = np.frombuffer(r["c1"], dtype=np.int64), np.frombuffer(r["c2"], dtype=np.int32).astype(np.int64)
-                slices = [slice(low, low + width) for low in range(0, len(key), width)]
-                for j, later in enumerate(slices):
-                    for i, before in enumerate(slices[: j + 1]):
-                        if 100 * n[before][-1] >= percent * n[later][0]:
-                            both = [key[before]] if i == j else [key[before], key[later]]
-                            parts = np.repeat(np.arange(len(both), dtype=np.int32), [len(x) for x in both])
-                            yield pa.RecordBatch.from_pydict({"unit": pa.array([r["block"] + bytes(f"{i},{j}", "ascii")] * len(parts), pa.binary()), "part": parts, "key": np.concatenate(both)})
+                h, key, n = (np.frombuffer(r[c], dtype=t) for c, t in (("c0", U64), ("c1", np.int64), ("c2", np.int32)))
+                first, length = _groups(h)
+                whole, seen, rows = r["bucket"] < plain, set(), []
+                for a, m in zip(first.tolist(), length.tolist(), strict=True):
+                    if whole and m <= SMALL:
+                        continue
+                    order = np.lexsort((key[a : a + m], n[a : a + m]))
+                    members, sizes = key[a : a + m][order], n[a : a + m][order]
+                    block = hashlib.blake2b(members.tobytes(), digest_size=16).digest() if whole else h[a : a + 1].tobytes()
+                    if block in seen:
+                        continue
+                    seen.add(block)
+                    part = 0 if whole else r["bucket"] << 32
+                    rows += [(block, part + i, members[i : i + width].tobytes(), int(sizes[i]), int(sizes[min(i + width, m) - 1])) for i in range(0, m, width)]
+                if rows:
+                    columns = zip(*rows, strict=True)
+                    kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "slice", "members", "low_n", "high_n"])
+
+    return run
+
+
+def _members(extra: tuple[str, ...]):
+    """A row (key) for each member of a slice, with further columns of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, raw in enumerate(batch.column("members").to_pylist()):
+                key = np.frombuffer(raw, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array([batch.column(c)[i].as_py()] * len(key), batch.schema.field(c).type) for c in extra), pa.array(key)], names=[*extra, "key"])
 
     return run
 
 
+def _units(slices: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Rows (unit, part, key): pairs of slices of a block, and slices with themselves, whose sizes can fit and that may hold sets of two components.
+
+    Of each block all pairs but those of two slices that lie wholly in the block's largest component: so a block that is
+    one component has none, and one with few strangers in it has the strangers' slices with all others.
+    """
+    each = _labelled(slices.mapInArrow(_members(("block", "slice")), "block binary, slice long, key long"), roots, "key", "label")
+    of = cut(each.groupBy("block", "slice", "label").agg(F.count("*").alias("n")))
+    top = of.groupBy("block", "label").agg(F.sum("n").alias("n")).groupBy("block").agg(F.max(F.struct("n", "label")).alias("t"), F.count("*").alias("labels")).where("labels > 1").select("block", F.col("t.label").alias("top"))
+    kinds = of.groupBy("block", "slice").agg(F.min("label").alias("low"), F.max("label").alias("high")).join(top, "block")
+    mixed = cut(slices.join(kinds, ["block", "slice"]).withColumn("own", (F.col("low") == F.col("high")) & (F.col("low") == F.col("top"))).drop("low", "high", "top"))
+    a = mixed.where("NOT own").select("block", F.col("slice").alias("a"), F.col("members").alias("a_members"), F.col("low_n").alias("a_low"), F.col("high_n").alias("a_high"))
+    b = mixed.select("block", F.col("slice").alias("b"), F.col("members").alias("b_members"), F.col("low_n").alias("b_low"), F.col("high_n").alias("b_high"), "own")
+    fits = (100 * F.col("a_high") >= percent * F.col("b_low")) & (100 * F.col("b_high") >= percent * F.col("a_low"))
+    pairs = a.join(b, "block").where(fits & (F.col("own") | (F.col("a") <= F.col("b"))))
+    unit = F.concat("block", F.encode(F.concat(F.lit(":"), F.col("a").cast("string"), F.lit(","), F.col("b").cast("string")), "utf-8"))
+    pairs = pairs.select(unit.alias("unit"), "a", "b", "a_members", "b_members")
+    one = pairs.select("unit", F.lit(0).alias("part"), F.col("a_members").alias("members"))
+    two = pairs.where("a <> b").select("unit", F.lit(1).alias("part"), F.col("b_members").alias("members"))
+    return one.unionAll(two).mapInArrow(_members(("unit", "part")), "unit binary, part int, key long")
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """(documents, links): documents has rid (the id, packed), th (xxhash64 of the text), n and key of its words; links has pairs a < b of keys that span the components."""
     rid = packed_id(id_col)
@@ -551,20 +631,27 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     corpus = Corpus(base, docs, frozenset(split), hashing, percent)
     hot, times = _frequent(profile)
     total = docs.agg(F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 0
-    buckets = max(MIN_BUCKETS, -(-total // BUCKET_ENTRIES))
+    buckets = Buckets.of(total, hot, times)
     packed = "bucket int, c0 binary, c1 binary, c2 binary"
-    entries = cut(base.mapInArrow(_entries(hashing, percent, buckets, hot, times, corpus.split), packed).groupBy("bucket").applyInArrow(_shared, packed))
-
-    proposed = cut(entries.mapInArrow(_proposals(percent), "a long, b long, times long, small boolean").groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("small").alias("small")))
-    blocks = entries.mapInArrow(_blocks, "block binary, c1 binary, c2 binary").dropDuplicates(["block"])
-    units = cut(blocks.mapInArrow(_units(percent), "unit binary, part int, key long"))
-    active = _bloom(proposed.select(F.explode(F.array("a", "b")).alias("key")).unionAll(units.select("key")).distinct())
+    entries = cut(base.mapInArrow(_entries(hashing, percent, buckets, hot, times, corpus.split), packed).groupBy("bucket").applyInArrow(_shared(buckets.plain), packed))
+
+    proposals = entries.mapInArrow(_proposals(percent), "a long, b long, times long, small boolean")
+    slices = entries.mapInArrow(_slices(buckets.plain, SLICE), "block binary, slice long, members binary, low_n long, high_n long").dropDuplicates(["block", "slice"])
+    if len(buckets.hot):  # parts of one shingle meet in their first sets
+        leads = cut(entries.mapInArrow(_leads(buckets.plain), "h long, key long, n long"))
+        least = leads.groupBy("h").agg(F.min(F.struct("key", "n")).alias("m")).select("h", F.col("m.key").alias("a"), F.col("m.n").alias("a_n"))
+        met = leads.join(least, "h").where((F.col("key") != F.col("a")) & (100 * F.least("n", "a_n") >= percent * F.greatest("n", "a_n")))
+        proposals = proposals.unionAll(met.select("a", F.col("key").alias("b"), F.lit(1).cast("long"), F.lit(False)))
+    proposed = cut(proposals.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("small").alias("small")))
+    slices = cut(slices)
+    active = _bloom(proposed.select(F.explode(F.array("a", "b")).alias("key")).unionAll(slices.mapInArrow(_members(()), "key long")).distinct())
     points = known.where("n > 0").select("key", "counts").mapInArrow(_through(active, "key"), "key long, counts binary")
     corpus.points = cut(points.dropDuplicates(["key"]))
 
     best = proposed.groupBy("b").agg(F.max(F.struct("times", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     tree = corpus.verified(best)
     roots = cut(forest_roots(tree.select(F.col("b").alias("node"), F.col("a").alias("parent"))))
+    units = cut(_units(slices, roots, percent))
     searchable = "a long, b long, ratio double"
     closest = _open_units(units, roots, corpus.points).groupBy("unit").applyInArrow(_search(percent, best=True), searchable)
     closest = closest.groupBy("a").agg(F.max(F.struct("ratio", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()

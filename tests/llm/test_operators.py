@@ -98,9 +98,9 @@ def test_jaccard_join(docs, rows):
     assert len({c for _, c in got.values()}) < len(got) - 10
 
 
-@pytest.mark.parametrize("cut_at", [1024, 8])
-def test_jaccard_join_searches_trees(spark, monkeypatch, cut_at):
-    """Families whose members differ more and more: many blocks are large, and links are found in the trees alone."""
+@pytest.mark.parametrize(("cut_at", "hot"), [(1024, 200_000), (8, 200_000), (8, 4), (1024, 2)])
+def test_jaccard_join_searches_trees(spark, monkeypatch, cut_at, hot):
+    """Families whose members differ more and more: many blocks are large, and links are found in the trees alone; slices, and shingles dealt over several buckets, change nothing."""
     rng = random.Random(9)
     rows = []
     for _ in range(5):
@@ -111,7 +111,7 @@ def test_jaccard_join_searches_trees(spark, monkeypatch, cut_at):
                 if rng.random() < share:
                     text[at] = rng.choice(WORDS)
             rows.append((len(rows), " ".join(text[: len(text) - (k % 4) * 8])))
-    searched, search, units = [], ngram_jaccard._open_units, ngram_jaccard._units
+    searched, search = [], ngram_jaccard._open_units
 
     def watched(*args):
         out = search(*args)
@@ -119,12 +119,30 @@ def test_jaccard_join_searches_trees(spark, monkeypatch, cut_at):
         return out
 
     monkeypatch.setattr(ngram_jaccard, "_open_units", watched)
-    monkeypatch.setattr(ngram_jaccard, "_units", lambda percent: units(percent, cut_at))
+    monkeypatch.setattr(ngram_jaccard, "SLICE", cut_at)
+    monkeypatch.setattr(ngram_jaccard, "HOT_ENTRIES", hot)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert got == jaccard_groups(rows)
     assert len(searched) == 2 and searched[0] > 5
 
 
+def test_a_group_of_copies_makes_few_units(spark):
+    """A block that proposals have joined makes no units, and one stranger in it not the square of its slices."""
+    import numpy as np
+
+    def slices(members, width=8):
+        rows = [(b"b", i, np.array(members[i : i + width], dtype=np.int64).tobytes(), 10, 10) for i in range(0, len(members), width)]
+        return spark.createDataFrame(rows, "block binary, slice long, members binary, low_n long, high_n long")
+
+    roots = lambda members: spark.createDataFrame([(m, 1) for m in members], "node long, root long")
+    joined = [*range(1, 401)]
+    assert ngram_jaccard._units(slices(joined), roots(joined), 75).count() == 0
+    one = ngram_jaccard._units(slices([*joined, 9999]), roots(joined), 75)
+    assert one.select("unit").distinct().count() == 51 and one.where("key = 9999").count() == 51
+    two = ngram_jaccard._units(slices([*range(1, 17)]), roots([]), 75)
+    assert sorted((r.unit.decode(), r.n) for r in two.groupBy("unit").agg(F.count("*").alias("n")).collect()) == [("b:0,0", 8), ("b:0,8", 16), ("b:8,8", 8)]
+
+
 def thue_morse(n, a, b):
     return "".join((a, b)[k.bit_count() % 2] for k in range(n))
 
