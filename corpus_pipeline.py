@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from talkloom.llm import decontamination, language_id, mixing, ngram_jaccard, substring_dedup
 from talkloom.llm._spark import cut, packed_id
+from talkloom.sources import scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,16 +81,26 @@ STAGES = [
     ("mixture", mixture),
 ]
 
-#: The stages are tested against brute-force versions; SQL can't express the first three.
+#: Stages 1 and 4 have no SQL, so the whole has none; each stage and the run are tested against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    cut(spark.range(0))
-    at = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str, at: str | None = None) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    ``at`` names a folder of the run, which all executors share: stages that are complete there are read, not run again,
+    so a run whose driver was lost goes on where it was.  Without it a new folder is taken, of which only the last stage
+    stays.
+    """
+    own = at is None
+    at = at or f"{scratch.shared(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
-        docs = spark.read.parquet(f"{at}/{name}")
+        where = f"{at}/{name}"
+        if not scratch.exists(spark, f"{where}/_SUCCESS"):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(where)
+        docs = spark.read.parquet(where)
+        if own and before:
+            scratch.delete(spark, before)
+        before = where
     return docs
