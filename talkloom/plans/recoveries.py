@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from talkloom import constants as C
 from talkloom.operators import evaluation, intervals, lexicon, listing, recovery, store
-from talkloom.plans.queries import _now, query
+from talkloom.plans.queries import _NORM, ORACLES, _now, query
 from talkloom.plans.standins import cte, table, tables
 from talkloom.sources import references, scratch
 from talkloom.sources.snapshots import Refused, Store
@@ -385,3 +385,60 @@ def store_versions(spark, d):
         key = F.concat_ws(":", F.col("audio_file_id").cast("string"), F.col("version").cast("string"))
         rows = rows.unionAll(now.tables["transcripts"].select(F.lit("version"), key, "content", F.col("is_current").cast("string")))
         return scratch.kept(rows.unionAll(spark.range(1).select(F.lit("store"), F.lit("version"), F.lit(str(now.version)), F.lit(outcome))))
+
+
+# ---- decoding ----
+
+_PROMPT = "this is what the decoder was told to expect"
+
+
+def _repeats_sql(text: str) -> str:
+    """A character six times in a row, or a word with the white space after it four times."""
+    return f"""(coalesce(list_bool_or([substr({text}, i, 6) = repeat(substr({text}, i, 1), 6) AND length(substr({text}, i, 6)) = 6 AND substr({text}, i, 1) <> chr(10) FOR i IN range(1, length({text}) - 4)]), false)
+   OR coalesce(list_bool_or([(regexp_extract_all({text}, '\\S+\\s+'))[i] = (regexp_extract_all({text}, '\\S+\\s+'))[i + 1] AND (regexp_extract_all({text}, '\\S+\\s+'))[i] = (regexp_extract_all({text}, '\\S+\\s+'))[i + 2] AND (regexp_extract_all({text}, '\\S+\\s+'))[i] = (regexp_extract_all({text}, '\\S+\\s+'))[i + 3] FOR i IN range(1, len(regexp_extract_all({text}, '\\S+\\s+')) - 2)]), false))"""
+
+
+@query(
+    f"""{cte("segments")},
+ x AS (SELECT call_id, index, start, greatest("end", start + 0.5) AS "end", CASE WHEN index % 5 = 4 THEN '{_PROMPT}!' WHEN index % 11 = 7 THEN 'no no no no no no ' ELSE text END AS text, index % 7 = 6 AS dense, CASE WHEN index % 6 = 5 THEN -1.5 ELSE -0.3 END AS lp
+   FROM segments WHERE call_id IS NOT NULL AND index IS NOT NULL),
+ v AS (SELECT call_id, 0 AS variant, index, start, "end", text, dense, lp FROM x UNION ALL SELECT call_id, 1, index, start, "end", CASE WHEN index % 4 = 2 THEN '' ELSE text END, dense, lp FROM x WHERE index % 4 <> 3),
+ f AS (SELECT *, {_repeats_sql("text")} AS loops, variant = 0 AND text = '{_PROMPT}!' AS leaks, coalesce(start < lag("end") OVER (PARTITION BY call_id, variant ORDER BY index), false) AS late FROM v),
+ c AS (SELECT call_id, variant, list_sort(list_filter([CASE WHEN bool_or(dense) THEN 'compression' END, CASE WHEN bool_or(late) THEN 'invalid_timestamp' END, CASE WHEN bool_or(leaks) THEN 'prompt_leakage' END, CASE WHEN bool_or(loops) THEN 'repetition' END], lambda s: s IS NOT NULL)) AS d,
+   bool_and(trim(text) = '') AS blank, avg(lp) AS mean_logprob, sum("end" - start) AS coverage FROM f GROUP BY 1, 2),
+ e AS (SELECT *, CASE WHEN blank THEN list_append(d, 'empty') ELSE d END AS defects FROM c),
+ r AS (SELECT *, first_value(variant) OVER (PARTITION BY call_id ORDER BY len(defects), round(-mean_logprob, 9), round(-coverage, 6), variant) AS chosen FROM e)
+ SELECT call_id, variant, array_to_string(defects, ',') AS defects, round(mean_logprob, 9) AS mean_logprob, round(coverage, 6) AS coverage, chosen FROM r"""
+)
+def prompted_candidates(spark, d):
+    """Defects of two decoder results of every call, one of which had a prompt that some segments echo, and the better one."""
+    k = F.col("index")
+    s = table(spark, d, "segments").where("call_id IS NOT NULL AND index IS NOT NULL")
+    s = s.select("call_id", "index", "start", F.greatest("end", F.col("start") + 0.5).alias("end"), F.when(k % 5 == 4, f"{_PROMPT}!").when(k % 11 == 7, "no " * 6).otherwise(F.col("text")).alias("text"), F.when(k % 6 == 5, -1.5).otherwise(-0.3).alias("avg_logprob"), F.lit(0.1).alias("no_speech_prob"), F.when(k % 7 == 6, 3.0).otherwise(1.2).alias("compression_ratio"))
+    both = s.withColumn("variant", F.lit(0)).unionByName(s.where("index % 4 <> 3").withColumn("text", F.when(k % 4 == 2, "").otherwise(F.col("text"))).withColumn("variant", F.lit(1)))
+    texts = both.groupBy("call_id", "variant").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "text"))), lambda x: x["text"]), " ").alias("text")).withColumn("prompt", F.when(F.col("variant") == 0, _PROMPT))
+    scored = evaluation.candidate_defects(both, texts, ["call_id", "variant"]).withColumns({"mean_logprob": F.round("mean_logprob", 9), "coverage": F.round("coverage", 6)})
+    best = evaluation.choose_candidate(scored, ["call_id"], "variant").withColumnRenamed("variant", "chosen")
+    return scored.join(best, "call_id").select("call_id", "variant", F.array_join("defects", ",").alias("defects"), "mean_logprob", "coverage", "chosen")
+
+
+_HEARD_SQL = f"""{cte("segments")},
+ h AS (SELECT call_id, index, start, greatest("end", start + 0.5) AS "end", text, index % 7 = 6 AS dense, CASE WHEN index % 6 = 5 THEN -1.5 ELSE -0.3 END AS lp FROM segments)"""
+ORACLES["decoding_candidates"] = f"""{_HEARD_SQL},
+ v AS (SELECT call_id, 0 AS variant, * EXCLUDE (call_id) FROM h UNION ALL SELECT call_id, 1, index, start, "end", CASE WHEN index % 4 = 2 THEN reverse(text) ELSE text END, dense, lp FROM h WHERE index % 4 <> 3),
+ f AS (SELECT *, {_repeats_sql("text")} AS loops, coalesce(start < lag("end") OVER (PARTITION BY call_id, variant ORDER BY index), false) AS late FROM v),
+ c AS (SELECT call_id, variant, list_filter([CASE WHEN bool_or(dense) THEN 'compression' END, CASE WHEN bool_or(late) THEN 'invalid_timestamp' END, CASE WHEN bool_or(loops) THEN 'repetition' END], lambda s: s IS NOT NULL) AS d,
+   bool_and(trim(text) = '') AS blank, avg(lp) AS mean_logprob, sum("end" - start) AS coverage FROM f GROUP BY 1, 2),
+ e AS (SELECT *, CASE WHEN blank THEN list_append(d, 'empty') ELSE d END AS defects FROM c),
+ r AS (SELECT *, first_value(variant) OVER (PARTITION BY call_id ORDER BY len(defects), round(-mean_logprob, 9), round(-coverage, 6), variant) AS chosen FROM e)
+ SELECT call_id, variant, array_to_string(defects, ',') AS defects, round(mean_logprob, 9) AS mean_logprob, round(coverage, 6) AS coverage, chosen FROM r"""
+
+ORACLES["retry_texts"] = f"""{_HEARD_SQL},
+ g AS (SELECT call_id, start + 1 AS gs, start + 5 AS ge FROM h),
+ w AS (SELECT *, string_split(text, ' ') AS parts FROM h WHERE NOT dense AND NOT coalesce({_repeats_sql("text")}, false) AND NOT contains(text, '{C.MARKER}') AND {_NORM.replace("text", "h.text")} <> ''),
+ t AS (SELECT w.*, len(parts) AS n, ("end" - start) / len(parts) AS step, gs, ge FROM w JOIN g ON g.call_id = w.call_id AND start <= ge AND "end" >= gs),
+ i AS (SELECT *, [k FOR k IN range(0, n) IF trim(parts[k + 1]) <> '' AND start + (k + 1) * step > start + k * step AND ((start + k * step) + (start + (k + 1) * step)) / 2 >= gs AND ((start + k * step) + (start + (k + 1) * step)) / 2 <= ge] AS ks FROM t),
+ j AS (SELECT *, CASE WHEN len(ks) > 0 THEN trim(array_to_string([parts[k + 1] || CASE WHEN k < n - 1 THEN ' ' ELSE '' END FOR k IN ks], ''))
+   WHEN (least("end", ge) - greatest(start, gs)) / greatest(0.001, "end" - start) >= 0.8 THEN trim(text) END AS said, CASE WHEN len(ks) > 0 THEN start + ks[1] * step ELSE greatest(gs, start) END AS heard FROM i),
+ q AS (SELECT call_id, gs, ge, string_agg(said, ' ' ORDER BY index, heard) AS said, count(*) AS n, arg_min(heard, index) AS heard FROM j WHERE said <> '' AND NOT {_repeats_sql("said")} AND NOT contains(said, '{C.MARKER}') GROUP BY 1, 2, 3)
+ SELECT call_id, gs AS start, ge AS "end", said AS text, n AS n_segments, round(heard, 3) AS heard_from FROM q WHERE NOT {_repeats_sql("said")}"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from talkloom.plans.queries import query
 from talkloom.sources import scratch
 from talkloom.streaming import state
+from talkloom.streaming.progress import COMMANDS, DONE_SUFFIX, FAILED_SUFFIX, FINALIZE, OTHER, described
 
 #: Appends in which the rows of a stand-in arrive, in the order of their time.
 APPENDS = 3
@@ -144,3 +145,26 @@ def recent_events(spark, d):
     said = e.select((F.col("user_id") % 10).alias("run_id"), F.floor(F.col("event_id") / 3).alias("line"), F.col("event_type").alias("stage"), F.concat(F.lit("s"), F.col("event_id") % 2).alias("state"), F.concat(F.lit("m"), F.floor(F.col("event_id") % 3 / 2)).alias("message"), F.col("ts").alias("timestamp"), F.col("event_id").alias("seq"))
     last = streamed(spark, said, "seq", state.recent_events, last="run_id")
     return last.select("run_id", F.explode("events").alias("e")).select("run_id", "e.*")
+
+
+# ---- commands ----
+
+_COMMANDS = ("python Prepare_Audio.py x", "python transcribe_audio.py --model x", "run mlx_whisper large-v3-4bit", "ffprobe a.mp3", "cd x; file a.mp3", "python -m venv x", "cat SKILL.md", "sed -i s/a/b/ call.md", "git status")
+_STAGE_OF = (COMMANDS[0][1:], COMMANDS[2][1:], COMMANDS[1][1:], COMMANDS[3][1:], COMMANDS[3][1:], COMMANDS[4][1:], COMMANDS[5][1:], FINALIZE, OTHER)
+
+
+@query(
+    f"""WITH {_E}, c(k, stage, label) AS (VALUES {", ".join(f"({k}, '{s}', '{label}')" for k, (s, label) in enumerate(_STAGE_OF))}),
+x AS (SELECT event_id, event_id % 2 = 0 AS started, event_id % 10 = 3 OR event_id % 14 = 5 AS failed, stage, label, props FROM e JOIN c ON k = event_id % {len(_COMMANDS)})
+SELECT event_id, stage, CASE WHEN started THEN 'active' WHEN failed THEN 'failed' ELSE 'completed' END AS state,
+  CASE WHEN started THEN label WHEN failed THEN label || '{FAILED_SUFFIX}: ' || props || '…' ELSE label || '{DONE_SUFFIX}' END AS message FROM x"""
+)
+def command_events(spark, d):
+    """Stage, state and message of the commands that runs have started and completed, some of which failed."""
+    e, k = _events(spark, d), F.col("event_id")
+    command = F.element_at(F.array(*(F.lit(c) for c in _COMMANDS)), (k % len(_COMMANDS) + 1).cast("int"))
+    failed = (k % 10 == 3) | (k % 14 == 5)
+    output = F.concat(F.lit(" "), F.col("props"), F.lit("…\n"))
+    item = F.struct(F.lit("command_execution").alias("type"), F.when(k % 10 == 3, "failed").otherwise("completed").alias("status"), command.alias("command"), F.when((k % 14 == 5) & (k % 10 != 3), 2).otherwise(0).alias("exit_code"), F.when(failed, output).alias("aggregated_output"))
+    body = F.to_json(F.struct(F.when(k % 2 == 0, "item.started").otherwise("item.completed").alias("type"), item.alias("item")))
+    return described(e.select("event_id", body.alias("value")), "value", "event_id").drop("timestamp")
