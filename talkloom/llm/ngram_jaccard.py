@@ -77,15 +77,15 @@ NODE = 16
 #: A shingle that so many sets have among their entries, or more, is dealt over several buckets.
 HOT_ENTRIES = 200_000
 #: Entries in a block bucket, about; buckets are at least MIN_BUCKETS.
-BUCKET_ENTRIES = 500_000
+BUCKET_ENTRIES = 250_000
 MIN_BUCKETS = 64
 BLOOM_WORDS = 1 << 20
 #: Shingles that a worker holds at once to find those that several texts share; rows it gets at once.
-PROFILE_SHINGLES = 3_000_000
-BATCH_ROWS = 2048
+PROFILE_SHINGLES = 1_000_000
+BATCH_ROWS = 1024
 #: Pairs that a worker gets at once with both sets.
 PAIR_ROWS = 256
-VERIFY_BYTES = 2 << 20
+VERIFY_BYTES = 1 << 20
 
 
 def _digests(words: bytes) -> tuple[int, int]:
@@ -286,7 +286,9 @@ def _shared(plain: int):
     """A bucket's entries, sorted, without repetitions and, where the bucket has all of a shingle, without those of a single set."""
 
     def run(table: pa.Table) -> pa.Table:
-        return _shared_of(table, table.column("bucket")[0].as_py() < plain)
+        out = _shared_of(table, table.column("bucket")[0].as_py() < plain)
+        _text.give_back()
+        return out
 
     return run
 
@@ -486,8 +488,8 @@ class CountRTree:
             fits = (100 * high[node].astype(np.int64) >= percent * sizes[q].astype(np.int64)) & (100 * sizes[q].astype(np.int64) >= percent * low[node].astype(np.int64))
             q, node = q[fits], node[fits]
             ok = np.zeros(len(q), dtype=bool)
-            for i in range(0, len(q), 1 << 14):
-                j = slice(i, i + (1 << 14))
+            for i in range(0, len(q), 1 << 12):
+                j = slice(i, i + (1 << 12))
                 least = np.maximum(low[node[j]], -(-percent * sizes[q[j]].astype(np.int64) // 100))
                 ok[j] = np.minimum(points[q[j]], top[node[j]]).sum(axis=1, dtype=np.int64) >= _least_overlap(sizes[q[j]], least, percent)
             q, node = q[ok], node[ok]
@@ -520,6 +522,8 @@ def _search(percent: int, best: bool):
                 if (bound := overlap_bound(points[x], points[y])) >= _least_overlap(n[x], n[y], percent):
                     pairs.append((min(key[x], key[y]), max(key[x], key[y])))
                     ratios.append(bound / (n[x] + n[y]))
+        if len(key) > SLICE // 2:
+            _text.give_back()
         found = np.array(pairs, dtype=np.int64).reshape(-1, 2)
         if not best:
             found = np.unique(found, axis=0)
