@@ -1,10 +1,10 @@
-"""Streaming queries: the stand-in rows arrive as growing files, several to a batch, and the streams keep their state between them."""
+"""Streaming queries: the stand-in rows arrive in appends of files, a batch each, and the streams keep their state between them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkloom.plans.queries import query
@@ -20,22 +20,27 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet").where("event_id IS NOT NULL AND ts IS NOT NULL AND user_id IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def streamed(spark: SparkSession, rows: DataFrame, order: str, operator: Callable[[DataFrame], DataFrame], last: str | None = None) -> DataFrame:
-    """What ``operator`` makes of rows that arrive in the order of ``order``; with ``last`` only the last batch of each of its values."""
+def streamed(spark: SparkSession, rows: DataFrame, order: str | Column, operator: Callable[[DataFrame], DataFrame], last: str | None = None) -> DataFrame:
+    """What ``operator`` makes of rows that arrive in the order of ``order``; with ``last`` only the last batch of each of its values.
+
+    The stream stops after each append and goes on from its checkpoint, so that an append is a batch whatever its number
+    of files.  Where timers go by the watermark, ``order`` has to be their time: rows behind it are dropped.
+    """
     own = state.session(spark)
+    order = F.col(order) if isinstance(order, str) else order
     with scratch.folder(spark) as at:
         edges = rows.select(F.percentile_approx(order, [k / APPENDS for k in range(1, APPENDS)])).first()[0] or []
-        number = sum(((F.col(order) > e).cast("int") for e in edges), F.lit(0))
+        number = sum(((order > e).cast("int") for e in edges), F.lit(0))
         rows = scratch.kept(rows.withColumn("append", number))
-        for k in range(APPENDS):
-            rows.where(F.col("append") == k).drop("append").coalesce(2).write.mode("append").parquet(f"{at}/in")
-        source = own.readStream.schema(rows.drop("append").schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
 
         def write(batch: DataFrame, number: int) -> None:
             batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/out/{number}")
 
-        run = operator(source).writeStream.foreachBatch(write).outputMode("update" if last else "append").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
-        run.awaitTermination()
+        for k in range(APPENDS):
+            rows.where(F.col("append") == k).drop("append").write.mode("append").parquet(f"{at}/in")
+            source = own.readStream.schema(rows.drop("append").schema).parquet(f"{at}/in")
+            run = operator(source).writeStream.foreachBatch(write).outputMode("update" if last else "append").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+            run.awaitTermination()
         out = spark.read.option("recursiveFileLookup", "true").parquet(f"{at}/out")
         if last:
             out = out.join(out.groupBy(last).agg(F.max("batch").alias("batch")), [last, "batch"])
@@ -106,7 +111,7 @@ def expired_leases(spark, d):
     e = _events(spark, d)
     until = F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.floor(F.col("value") * 3600).cast("decimal(18,6)"))
     claims = e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "failed").otherwise("running").alias("status"), F.concat(F.lit("w"), F.col("event_id") % 3).alias("claimed_by"), until.alias("lease_expires_at"), F.col("ts").alias("at"))
-    out = streamed(spark, claims, "seq", lambda s: state.expired_leases(s, by="eventTime"))
+    out = streamed(spark, claims, F.unix_millis("at"), lambda s: state.expired_leases(s, by="eventTime"))
     return out.select("job_id", "claimed_by", "status", "last_error", F.unix_millis("expired_at").alias("expired_ms"))
 
 
@@ -128,7 +133,7 @@ def stopped_runs(spark, d):
         (F.col("user_id") * 100 + F.floor(F.datediff("ts", F.lit("2024-01-01")) / 5)).alias("run_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"),
         F.floor(F.col("value") / 8).alias("size"), F.when(F.col("event_type") == "error", 1).alias("exit_code"),
     )
-    out = streamed(spark, growth, "seq", lambda s: state.stopped_runs(s, 172800, 57600, by="eventTime", forget_seconds=5 * 86400))
+    out = streamed(spark, growth, F.unix_millis("at"), lambda s: state.stopped_runs(s, 172800, 57600, by="eventTime", forget_seconds=5 * 86400))
     return out.select("run_id", "exit_code", "reason", F.unix_millis("at").alias("stopped_ms"))
 
 
@@ -143,7 +148,7 @@ def recent_events(spark, d):
     """The last 200 different events of each run (the limit is the feature)."""
     e = _events(spark, d)
     said = e.select((F.col("user_id") % 10).alias("run_id"), F.floor(F.col("event_id") / 3).alias("line"), F.col("event_type").alias("stage"), F.concat(F.lit("s"), F.col("event_id") % 2).alias("state"), F.concat(F.lit("m"), F.floor(F.col("event_id") % 3 / 2)).alias("message"), F.col("ts").alias("timestamp"), F.col("event_id").alias("seq"))
-    last = streamed(spark, said, "seq", state.recent_events, last="run_id")
+    last = streamed(spark, said, F.unix_millis("timestamp"), state.recent_events, last="run_id")
     return last.select("run_id", F.explode("events").alias("e")).select("run_id", "e.*")
 
 

@@ -250,3 +250,19 @@ def test_streams_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     for q in (streams.progress_changes, streams.expired_leases, streams.stopped_runs, streams.recent_events):
         assert q(spark, str(tmp_path)).count() == 0
+
+
+def test_timers_of_events_whose_ids_disagree_with_their_times(spark, tmp_path):
+    import duckdb
+
+    from talkloom.plans.queries import ORACLES
+
+    kinds = ("view", "error", "click", "signup")
+    rows = [(copy * 300 + k, START.replace(tzinfo=None) + datetime.timedelta(hours=2 * k, milliseconds=copy), copy * 10 + k % 7, kinds[(k // 5 + copy) % 4], float(k * 13 % 40), "{}") for copy in range(3) for k in range(300)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for q in (streams.expired_leases, streams.stopped_runs):
+        got = q(spark, str(tmp_path))
+        want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[q.__name__]})").fetchall()
+        assert want and sorted(map(tuple, got.collect())) == sorted(want)
