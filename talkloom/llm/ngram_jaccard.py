@@ -24,7 +24,11 @@ distinct n-word shingles.  The steps:
    bound.  Neighbouring shingles of one passage make blocks of the same sets: one
    of them is searched.  A block is cut by size into slices of ``SLICE`` sets, and
    a slice queries the trees of the slices whose sizes can fit, unless both lie
-   in the block's largest component of step 3.  Connected pairs are left out.  The
+   in the block's largest component of step 3.  Connected pairs are left out, and
+   a pair that several blocks have is searched in the first of them: a set brings
+   the names of its first ``MARKS`` blocks, and trees descend only to pairs
+   without an earlier name in common, so sets that share many blocks are not
+   found once in each; names beyond those could only repeat a pair.  The
    entries of a shingle that ``HOT_ENTRIES`` sets share are dealt over several
    buckets, whose slices make one block and whose first sets propose each other.
 5. Surviving pairs are verified on the words of both texts; links are joined to
@@ -74,6 +78,8 @@ GROUPS, MOST_GROUPS = 256, 4096
 SMALL = 4
 SLICE = 1024
 NODE = 16
+#: Names of blocks that a set brings to a search.
+MARKS = 64
 #: A shingle that so many sets have among their entries, or more, is dealt over several buckets.
 HOT_ENTRIES = 200_000
 #: Entries in a block bucket, about; buckets are at least MIN_BUCKETS.
@@ -478,14 +484,20 @@ class CountRTree:
             top, low, high = np.maximum.reduceat(top, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
             self.levels.append((top, low, high))
 
-    def search(self, points: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Index pairs (query, point) that the bound allows."""
+    def search(self, points: np.ndarray, sizes: np.ndarray, percent: int, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Index pairs (query, point) that the bound allows; of those in ``asked`` (a row a query, a column a point) if given."""
         last = len(self.levels) - 1
+        if asked is not None:
+            below = [asked[:, self.order]]
+            for _, low, _ in self.levels[:-1]:
+                below.append(np.logical_or.reduceat(below[-1], np.arange(0, len(low), NODE), axis=1))
         q = np.repeat(np.arange(len(sizes)), len(self.levels[last][1]))
         node = np.tile(np.arange(len(self.levels[last][1])), len(sizes))
         for level in range(last, -1, -1):
             top, low, high = self.levels[level]
             fits = (100 * high[node].astype(np.int64) >= percent * sizes[q].astype(np.int64)) & (100 * sizes[q].astype(np.int64) >= percent * low[node].astype(np.int64))
+            if asked is not None:
+                fits &= below[level][q, node]
             q, node = q[fits], node[fits]
             ok = np.zeros(len(q), dtype=bool)
             for i in range(0, len(q), 1 << 12):
@@ -502,33 +514,63 @@ class CountRTree:
         return q, self.order[node]
 
 
+def _first_met(label: np.ndarray, marks: list[np.ndarray], asking: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Of each asking and each held set: do their labels differ and have they no mark in common?  Of a set's own slice every pair once."""
+    out = label[asking][:, None] != label[held]
+    if len(asking) == len(held) and (asking == held).all():
+        out = np.triu(out)
+    places = []
+    for of in (asking, held):
+        place = np.full(len(label), -1)
+        place[of] = np.arange(len(of))
+        places.append(place)
+    owner = np.repeat(np.arange(len(marks)), [len(m) for m in marks])
+    every = np.concatenate(marks) if marks else np.zeros(0, dtype=np.int64)
+    order = np.argsort(every, kind="stable")
+    for first, length in zip(*_groups(every[order]), strict=True):
+        if length > 1:
+            who = owner[order[first : first + length]]
+            rows, columns = places[0][who], places[1][who]
+            out[np.ix_(rows[rows >= 0], columns[columns >= 0])] = False
+    return out
+
+
 def _search(percent: int, best: bool):
-    """Pairs of one unit whose labels differ and that the bound allows, a < b; with ``best`` only each set's closest."""
+    """Pairs of one unit whose labels differ, that the bound allows and that no earlier block has, a < b; with ``best`` only each set's closest."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("key")
         key, label, part = (table.column(c).to_numpy() for c in ("key", "label", "part"))
-        points = [_point(r) for r in table.column("counts").to_pylist()]
-        matrix = _matrix(points)
-        n = matrix.sum(axis=1, dtype=np.int64)
         held, asking = np.flatnonzero(part == 0), np.flatnonzero(part == part.max())
-        tree, pairs, ratios = CountRTree(matrix[held], n[held]), [], []
-        for low in range(0, len(asking), 512):
-            q = asking[low : low + 512]
-            i, j = tree.search(matrix[q], n[q], percent)
-            i, j = q[i], held[j]
-            ok = label[i] != label[j]
-            for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
-                if (bound := overlap_bound(points[x], points[y])) >= _least_overlap(n[x], n[y], percent):
-                    pairs.append((min(key[x], key[y]), max(key[x], key[y])))
-                    ratios.append(bound / (n[x] + n[y]))
+        asked = _first_met(label, [np.array(m, dtype=np.int64) for m in table.column("marks").to_pylist()], asking, held)
+        found, ratios = [np.zeros((0, 2), dtype=np.int64)], [np.zeros(0)]
+        if asked.any():
+            some, other = asked.any(axis=1), asked.any(axis=0)
+            asked, asking, held = asked[np.ix_(some, other)], asking[some], held[other]
+            points = [_point(r) for r in table.column("counts").to_pylist()]
+            matrix, fine = _matrix(points), np.array([len(p) > GROUPS for p in points])
+            n = matrix.sum(axis=1, dtype=np.int64)
+            tree = CountRTree(matrix[held], n[held])
+            for low in range(0, len(asking), 512):
+                q = asking[low : low + 512]
+                i, j = tree.search(matrix[q], n[q], percent, asked[low : low + 512])
+                i, j = q[i], held[j]
+                for at in range(0, len(i), 1 << 12):
+                    x, y = i[at : at + (1 << 12)], j[at : at + (1 << 12)]
+                    bound = np.minimum(matrix[x], matrix[y]).sum(axis=1, dtype=np.int64)
+                    for k in np.flatnonzero(fine[x] & fine[y]).tolist():
+                        bound[k] = overlap_bound(points[x[k]], points[y[k]])
+                    ok = bound >= _least_overlap(n[x], n[y], percent)
+                    x, y = x[ok], y[ok]
+                    found.append(np.stack((np.minimum(key[x], key[y]), np.maximum(key[x], key[y])), axis=1))
+                    ratios.append(bound[ok] / (n[x] + n[y]))
         if len(key) > SLICE // 2:
             _text.give_back()
-        found = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+        found, r = np.concatenate(found), np.concatenate(ratios)
         if not best:
             found = np.unique(found, axis=0)
             return pa.table({"a": found[:, 0].copy(), "b": found[:, 1].copy(), "ratio": np.zeros(len(found))})
-        both, r = np.concatenate((found, found[:, ::-1])), np.array(ratios * 2)
+        both, r = np.concatenate((found, found[:, ::-1])), np.concatenate((r, r))
         top = np.lexsort((both[:, 1], -r, both[:, 0]))
         both, r = both[top], r[top]
         one = np.concatenate(([True], both[1:, 0] != both[:-1, 0])) if len(both) else np.zeros(0, dtype=bool)
@@ -595,7 +637,7 @@ def _members(extra: tuple[str, ...]):
 
 
 def _units(slices: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Rows (unit, part, key): pairs of slices of a block, and slices with themselves, whose sizes can fit and that may hold sets of two components.
+    """Rows (unit, part, name, key): pairs of slices of a block, and slices with themselves, whose sizes can fit and that may hold sets of two components.
 
     Of each block all pairs but those of two slices that lie wholly in the block's largest component: so a block that is
     one component has none, and one with few strangers in it has the strangers' slices with all others.
@@ -604,16 +646,21 @@ def _units(slices: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     of = cut(each.groupBy("block", "slice", "label").agg(F.count("*").alias("n")))
     top = of.groupBy("block", "label").agg(F.sum("n").alias("n")).groupBy("block").agg(F.max(F.struct("n", "label")).alias("t"), F.count("*").alias("labels")).where("labels > 1").select("block", F.col("t.label").alias("top"))
     kinds = of.groupBy("block", "slice").agg(F.min("label").alias("low"), F.max("label").alias("high")).join(top, "block")
-    mixed = cut(slices.join(kinds, ["block", "slice"]).withColumn("own", (F.col("low") == F.col("high")) & (F.col("low") == F.col("top"))).drop("low", "high", "top"))
-    a = mixed.where("NOT own").select("block", F.col("slice").alias("a"), F.col("members").alias("a_members"), F.col("low_n").alias("a_low"), F.col("high_n").alias("a_high"))
+    mixed = cut(slices.join(kinds, ["block", "slice"]).withColumn("name", F.xxhash64("block")).withColumn("own", (F.col("low") == F.col("high")) & (F.col("low") == F.col("top"))).drop("low", "high", "top"))
+    a = mixed.where("NOT own").select("block", "name", F.col("slice").alias("a"), F.col("members").alias("a_members"), F.col("low_n").alias("a_low"), F.col("high_n").alias("a_high"))
     b = mixed.select("block", F.col("slice").alias("b"), F.col("members").alias("b_members"), F.col("low_n").alias("b_low"), F.col("high_n").alias("b_high"), "own")
     fits = (100 * F.col("a_high") >= percent * F.col("b_low")) & (100 * F.col("b_high") >= percent * F.col("a_low"))
     pairs = a.join(b, "block").where(fits & (F.col("own") | (F.col("a") <= F.col("b"))))
     unit = F.concat("block", F.encode(F.concat(F.lit(":"), F.col("a").cast("string"), F.lit(","), F.col("b").cast("string")), "utf-8"))
-    pairs = pairs.select(unit.alias("unit"), "a", "b", "a_members", "b_members")
-    one = pairs.select("unit", F.lit(0).alias("part"), F.col("a_members").alias("members"))
-    two = pairs.where("a <> b").select("unit", F.lit(1).alias("part"), F.col("b_members").alias("members"))
-    return one.unionAll(two).mapInArrow(_members(("unit", "part")), "unit binary, part int, key long")
+    pairs = pairs.select(unit.alias("unit"), "name", "a", "b", "a_members", "b_members")
+    one = pairs.select("unit", F.lit(0).alias("part"), "name", F.col("a_members").alias("members"))
+    two = pairs.where("a <> b").select("unit", F.lit(1).alias("part"), "name", F.col("b_members").alias("members"))
+    return one.unionAll(two).mapInArrow(_members(("unit", "part", "name")), "unit binary, part int, name long, key long")
+
+
+def _marks(units: DataFrame) -> DataFrame:
+    """(key, marks): the first names of the blocks of each set.  Sets whose labels differ meet in a unit of every block that has both."""
+    return units.groupBy("key").agg(F.slice(F.sort_array(F.collect_set("name")), 1, MARKS).alias("marks"))
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bits: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -656,14 +703,15 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     tree = corpus.verified(best)
     roots = cut(forest_roots(tree.select(F.col("b").alias("node"), F.col("a").alias("parent"))))
     units = cut(_units(slices, roots, percent))
+    marked = cut(corpus.points.join(_marks(units), "key"))
     searchable = "a long, b long, ratio double"
-    closest = _open_units(units, roots, corpus.points).groupBy("unit").applyInArrow(_search(percent, best=True), searchable)
+    closest = _open_units(units, roots, marked).groupBy("unit").applyInArrow(_search(percent, best=True), searchable)
     closest = closest.groupBy("a").agg(F.max(F.struct("ratio", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
     tree = tree.unionAll(corpus.verified(closest))
     roots = cut(components(tree))
 
     rest = _labelled(_labelled(proposed.where("small").select("a", "b"), roots, "a", "la"), roots, "b", "lb").where("la <> lb").select("a", "b")
-    searched = _open_units(units, roots, corpus.points).groupBy("unit").applyInArrow(_search(percent, best=False), searchable)
+    searched = _open_units(units, roots, marked).groupBy("unit").applyInArrow(_search(percent, best=False), searchable)
     more = corpus.verified(rest.unionAll(searched.select("a", "b")).distinct())
     return docs, tree.unionAll(more)
 
@@ -674,11 +722,11 @@ def _labelled(rows: DataFrame, roots: DataFrame, key: str, name: str) -> DataFra
     return rows.join(r, F.col(key) == F.col("r_node"), "left").withColumn(name, F.coalesce("r_root", key)).drop("r_node", "r_root")
 
 
-def _open_units(units: DataFrame, roots: DataFrame, points: DataFrame) -> DataFrame:
-    """Members, with labels and coordinates, of the units that span several components."""
+def _open_units(units: DataFrame, roots: DataFrame, marked: DataFrame) -> DataFrame:
+    """Members, with labels, coordinates and the marks before their block, of the units that span several components."""
     labelled = _labelled(units, roots, "key", "label")
     mixed = labelled.groupBy("unit").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("unit")
-    return labelled.join(mixed, "unit", "left_semi").join(points.select(F.col("key").alias("p_key"), "counts"), F.col("key") == F.col("p_key")).select("unit", "part", "key", "label", "counts")
+    return labelled.join(mixed, "unit", "left_semi").join(marked.withColumnRenamed("key", "p_key"), F.col("key") == F.col("p_key")).select("unit", "part", "key", "label", "counts", F.filter("marks", lambda m: m < F.col("name")).alias("marks"))
 
 
 def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bits: int = 64) -> DataFrame:

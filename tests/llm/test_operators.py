@@ -196,6 +196,31 @@ def test_r_tree_loses_nothing():
     assert want <= set(zip(q.tolist(), p.tolist(), strict=True))
 
 
+@pytest.mark.parametrize("brought", [64, 2])
+def test_blocks_of_the_same_sets_find_a_pair_once(brought):
+    """Sets that share many blocks give each pair in one of them, even of two slices; fewer names may repeat a pair but lose none."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    base = np.array([rng.randrange(40) for _ in range(ngram_jaccard.GROUPS)], dtype=np.uint8)
+    sets = [bytes([ngram_jaccard.GROUPS.bit_length() - 1]) + np.maximum(base, k).tobytes() for k in range(20)]
+    blocks = {name: sorted(rng.sample(range(20), 14)) for name in range(30)}
+    found = []
+    for name, members in blocks.items():
+        for width in (14,) if name % 2 else (7,):
+            cuts = [members[i : i + width] for i in range(0, 14, width)]
+            for a in range(len(cuts)):
+                for b in range(a, len(cuts)):
+                    rows = [(0, k) for k in cuts[a]] + ([(1, k) for k in cuts[b]] if b > a else [])
+                    marks = [[m for m in [n for n in blocks if k in blocks[n]][:brought] if m < name] for _, k in rows]
+                    unit = {"key": [k for _, k in rows], "label": [k // 2 for _, k in rows], "part": [p for p, _ in rows], "counts": pa.array([sets[k] for _, k in rows]), "marks": pa.array(marks, pa.list_(pa.int64()))}
+                    out = ngram_jaccard._search(75, best=False)(pa.table(unit))
+                    found += zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)
+    want = {(x, y) for of in blocks.values() for x in of for y in of if x < y and x // 2 != y // 2}
+    assert set(found) == want and (len(found) == len(want) or brought < 30)
+
+
 def removed_by_brute_force(rows, length=100):
     seen, want = set(), {}
     for i, t, *_ in rows:
