@@ -390,9 +390,22 @@ def build_one(primary: list[dict], alternative: list[dict], duration: float, spe
 
 
 _PART = "struct<segment:int,word:int,start:double,end:double,text:string,probability:double>"
+#: Bytes of calls whose timelines a worker holds at once, about; a single longer call is a slice of its own.
+SLICE_BYTES = 1 << 20
 ROWS = f"array<struct<id:string,start:double,end:double,text:string,alternative:string,flags:array<string>,words:array<{WORD}>,alternative_sources:array<{_PART}>>>"
 
 
+def call_slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of at most about ``most`` bytes, a row at least."""
+    low = 0
+    while low < batch.num_rows:
+        high = batch.num_rows
+        while high - low > 1 and batch.slice(low, high - low).nbytes > most:
+            high = low + (high - low) // 2
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def build(calls: DataFrame, primary: DataFrame, alternative: DataFrame, speech: DataFrame, call: str = "call_id") -> DataFrame:
     """Timeline rows of all calls.
 
@@ -411,7 +424,7 @@ def build(calls: DataFrame, primary: DataFrame, alternative: DataFrame, speech:
     rows_type = to_arrow_type(_parse_datatype_string(ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in call_slices(whole, SLICE_BYTES)):
             rows = [build_one(r["_p"] or [], r["_a"] or [], r["duration"], r["_v"]) for r in batch.to_pylist()]
             for lists in rows:
                 for row in lists:

@@ -272,3 +272,13 @@ def test_retries_of_gaps(spark):
     gaps = spark.createDataFrame([(1, 1.0, 8.0), (1, 20.0, 21.0)], "call_id int, start double, end double")
     got = evidence.retry_for_gaps(retries, gaps, ["call_id"]).collect()
     assert [(r.start, r.text, r.n_segments, [tuple(s) for s in r.segments]) for r in got] == [(1.0, "two kept whole", 2, [(0, 2.0, 2.5, "two"), (3, 5.0, 6.0, "kept whole")])]
+
+
+def test_calls_of_a_batch_are_built_in_slices_of_bounded_bytes():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"call_id": [*range(40)], "x": ["a" * (100_000 if k == 7 else 1000) for k in range(40)]})
+    parts = [*evidence.call_slices(batch, 10_000)]
+    assert [k for p in parts for k in p.column("call_id").to_pylist()] == [*range(40)]
+    assert max(p.nbytes for p in parts if p.num_rows > 1) <= 10_000 and len(parts) < 20
+    assert [*evidence.call_slices(batch.slice(0, 0), 10)] == []
