@@ -17,7 +17,8 @@ without a shuffle of every position:
 3. Only around those, each run of strings with one anchor is sent as the bytes
    it spans to its anchor's bucket, once per distinct run of a batch.
 4. In a bucket, of runs with equal bytes the earliest stays.  The suffixes that
-   begin in the rest are sorted to depth ``length`` by a stable mergesort, all
+   begin in the rest, but for those whose hash to depth ``length`` no other has,
+   which equal none, are sorted to that depth by a stable mergesort, all
    suffixes with one anchor and offset at a time.  A comparison finds the common
    extension of two suffixes by binary search over prefix polynomial hashes, in
    the logarithm of ``length`` steps, and compares the byte behind it.  The
@@ -92,10 +93,8 @@ def runs(group: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray,
     buf = np.frombuffer(b"".join(p for _, _, p in group), dtype=np.uint8)
     sizes = np.fromiter((len(p) for _, _, p in group), dtype=np.int64, count=len(group))
     begin = np.concatenate(([0], np.cumsum(sizes)))
-    prefix = _text.prefix_hash(buf)
-    at = np.arange(len(buf) - GRAM + 1)
-    gram = _text.span_hash(prefix, at, at + GRAM)
-    best = sliding_min((gram & ~_LOW) | at.astype(U64), length - GRAM + 1) & _LOW
+    gram = _text.rolling_hash(_text.prefix_hash(buf), GRAM)
+    best = sliding_min((gram & ~_LOW) | np.arange(len(gram), dtype=U64), length - GRAM + 1) & _LOW
     inside = np.ones(len(best), dtype=bool)
     for b in begin[1:-1]:
         inside[b - length + 1 : b] = False
@@ -257,6 +256,18 @@ def _before(buf: np.ndarray, prefix: np.ndarray, i: np.ndarray, j: np.ndarray, l
     return out
 
 
+def repeated_hashes(buf: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+    """Which suffixes share the hash of their first ``length`` bytes with another of their group?  All that equal another do."""
+    prefix = _text.prefix_hash(buf)
+    key = _text.span_hash(prefix, starts, starts + length) ^ _text.mix(group.astype(U64))
+    order = np.argsort(key)
+    pair = key[order[1:]] == key[order[:-1]]
+    many = np.zeros(len(key), dtype=bool)
+    many[order[1:][pair]] = True
+    many[order[:-1][pair]] = True
+    return np.flatnonzero(many)
+
+
 def sorted_suffixes(buf: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, same): the suffixes at ``starts`` by group and, in a group, by their first ``length`` bytes; is each equal to the one before?
 
@@ -349,8 +360,11 @@ def _spans(length: int):
             n, begin, kind, lead = n[again], begin[again], kind[again], lead[again]
             segment = np.repeat(np.arange(len(n)), n)
             within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            order, same = sorted_suffixes(np.frombuffer(raw, dtype=np.uint8), begin[segment] + within, kind[segment] * length + lead[segment] - within, length)
-            gone = np.sort(order[same])
+            buf = np.frombuffer(raw, dtype=np.uint8)
+            starts, group = begin[segment] + within, kind[segment] * length + lead[segment] - within
+            again_at = repeated_hashes(buf, starts, group, length)
+            order, same = sorted_suffixes(buf, starts[again_at], group[again_at], length)
+            gone = np.sort(again_at[order[same]])
             if len(gone):
                 first = np.concatenate(([True], (gone[1:] != gone[:-1] + 1) | (segment[gone[1:]] != segment[gone[:-1]])))
                 head = np.flatnonzero(first)

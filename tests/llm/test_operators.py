@@ -2,7 +2,10 @@
 
 import hashlib
 import random
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -570,3 +573,28 @@ def test_pipeline_near_duplicates_by_row(spark):
     assert sorted(r.key for r in got) == ["a", "b", "d", "f", "g"] and list(got[0].asDict()) == ["doc_id", "text", "key"]
     assert corpus_pipeline.near_duplicates(spark, df.where("false"), "").count() == 0
     assert sorted(r.key for r in corpus_pipeline.repeated_passages(spark, df, "").collect()) == ["a", "b", "d", "e", "f", "g"]
+
+
+def test_substring_dedup_sorts_only_suffixes_whose_hash_repeats(monkeypatch):
+    rng = np.random.default_rng(5)
+    shared = rng.integers(97, 123, 300, dtype=np.uint8).tobytes()
+    own = [rng.integers(97, 123, 3000, dtype=np.uint8).tobytes() for _ in range(4)]
+    buf = np.frombuffer(b"".join(x + shared for x in own), dtype=np.uint8)
+    starts = np.arange(len(buf) - 99)
+    group = np.zeros(len(starts), dtype=np.int64)
+    texts = [buf[i : i + 100].tobytes() for i in starts.tolist()]
+    often = Counter(texts)
+    again = substring_dedup.repeated_hashes(buf, starts, group, 100)
+    assert again.tolist() == [i for i, t in enumerate(texts) if often[t] > 1]
+    assert substring_dedup.repeated_hashes(buf, starts, starts, 100).tolist() == []
+    # a bucket's runs: one anchor in all, the sort gets the shared strings alone
+    sizes = []
+    sort = substring_dedup.sorted_suffixes
+    monkeypatch.setattr(substring_dedup, "sorted_suffixes", lambda b, s, g, n: (sizes.append(len(s)), sort(b, s, g, n))[1])
+    data = [x[:50] + shared[:120] for x in own]
+    column = lambda kind, values: pa.array([np.array(values, dtype=kind).tobytes()], pa.binary())
+    numbers = [range(4), range(4), range(4), [0] * 4, [170] * 4]
+    table = pa.table([pa.array([0], pa.int32()), *(column(np.int64, x) for x in numbers), column(np.uint64, [7] * 4), column(np.int64, [60] * 4), pa.array([b"".join(data)], pa.binary())], names=["bucket", "c0", "c1", "c2", "c3", "c4", "c5", "c6", "data"])
+    out = substring_dedup._spans(100)(table).to_pydict()
+    assert sizes == [4 * 21]
+    assert {k: np.frombuffer(v, dtype=np.int64).tolist() for k, v in zip(out["dk"], out["ab"], strict=True)} == {k: [50, 170] for k in (1, 2, 3)}
