@@ -14,8 +14,10 @@ distinct n-word shingles.  The steps:
    common passages head a block only for texts that consist of them.  The
    entries travel packed, and those no other set shares are dropped at once.
 3. Every set proposes the earlier set with which it shares most entries, then,
-   where its blocks still span several components, the closest set by the
-   bound below; proposals are verified and contracted.
+   where its blocks still span several components, the closest set of another
+   component by the bound below; proposals are verified and contracted, and the
+   closest are proposed again as long as that adds many links, so that no two
+   large parts of a group are left for the search to pair.
 4. Search: sets are points whose coordinates count the shingles of each hash
    group.  The overlap of two sets is at most the sum of the coordinate minima.
    Blocks of more than ``SMALL`` sets bulk-load an R-tree whose nodes keep the
@@ -89,6 +91,8 @@ BLOOM_WORDS = 1 << 20
 #: Shingles that a worker holds at once to find those that several texts share; rows it gets at once.
 PROFILE_SHINGLES = 1_000_000
 BATCH_ROWS = 1024
+#: The closest sets are proposed again if that added more than this share to the links.
+MORE = 0.25
 #: Pairs that a worker gets at once with both sets.
 PAIR_ROWS = 256
 VERIFY_BYTES = 1 << 20
@@ -705,10 +709,17 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     units = cut(_units(slices, roots, percent))
     marked = cut(corpus.points.join(_marks(units), "key"))
     searchable = "a long, b long, ratio double"
-    closest = _open_units(units, roots, marked).groupBy("unit").applyInArrow(_search(percent, best=True), searchable)
-    closest = closest.groupBy("a").agg(F.max(F.struct("ratio", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
-    tree = tree.unionAll(corpus.verified(closest))
-    roots = cut(components(tree))
+    links = tree.count()
+    while True:
+        closest = _open_units(units, roots, marked).groupBy("unit").applyInArrow(_search(percent, best=True), searchable)
+        closest = closest.groupBy("a").agg(F.max(F.struct("ratio", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
+        found = corpus.verified(closest)
+        tree = tree.unionAll(found)
+        roots = cut(components(tree))
+        new = found.count()
+        if new <= links * MORE:
+            break
+        links += new
 
     rest = _labelled(_labelled(proposed.where("small").select("a", "b"), roots, "a", "la"), roots, "b", "lb").where("la <> lb").select("a", "b")
     searched = _open_units(units, roots, marked).groupBy("unit").applyInArrow(_search(percent, best=False), searchable)
