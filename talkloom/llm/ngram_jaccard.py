@@ -28,15 +28,22 @@ distinct n-word shingles.  The steps:
    a pair that several blocks have is searched in the first of them: a set brings
    the names of its first ``MARKS`` blocks, and trees descend only to pairs
    without an earlier name in common, so sets that share many blocks are not
-   found once in each; names beyond those could only repeat a pair.  The
+   found once in each; names beyond those could only repeat a pair.  Sets without
+   a partner left in a unit are dropped before coordinates travel.  The
    entries of a shingle that ``HOT_ENTRIES`` sets share are dealt over several
    buckets, whose slices make one block and whose first sets propose each other.
-5. Surviving pairs are verified on the words of both texts; links are joined to
-   components.
+5. The search for the closest sets of step 3 shows which sets of a unit have a pair
+   within the bound at all.  Those bring their words to the unit once more, where
+   pairs of components still apart are compared, closest first, until no pair is
+   left; only the links that joined two components leave the unit.  Links are
+   joined to components.
 
 Nothing is capped or sampled.  A group of near copies costs a proposal per
-member, not its square, because connected pairs are not searched again.  Texts
-are read again only where one set of a pair within the bound is theirs.
+member, not its square, because connected pairs are not searched again, and a
+unit gives fewer rows than it has sets, even where two large parts of a group
+are linked by nearly all pairs.  Texts are read again only where one set of a
+pair within the bound is theirs.  A slice has at most ``SLICE_SHINGLES`` shingles,
+so long texts make no large unit.
 
 Words are hashed with a key drawn for each run.  Set sizes are those of the words:
 every worker compares the words that share a hash, and the five words of the
@@ -59,6 +66,7 @@ import hashlib
 import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +85,8 @@ GROUPS, MOST_GROUPS = 256, 4096
 #: Largest block whose pairs are tested one by one; sets of a block in one slice.
 SMALL = 4
 SLICE = 1024
+#: Shingles of a slice at most, unless one set has more.
+SLICE_SHINGLES = 500_000
 NODE = 16
 #: Names of blocks that a set brings to a search.
 MARKS = 64
@@ -390,20 +400,27 @@ def _least_overlap(na, nb, percent: int):
     return percent * (na.astype(np.int64) + nb) / (100 + percent)
 
 
+def _exact_sets(texts: list[bytes], hashing: Hashing) -> list[np.ndarray]:
+    """The sets of different texts, such that equal values are equal shingles; where a hash stands for different words, the words themselves are numbered."""
+    sets, exact = hashing.sets(texts, across=True)
+    if exact:
+        return sets
+    ids: dict[tuple[bytes, ...], int] = {}
+    shingles = ([tuple(w[i : i + hashing.size]) for i in range(max(1, len(w) - hashing.size + 1))] for w in (t.split(b" ") for t in texts))
+    return [np.unique([ids.setdefault(x, len(ids)) for x in of]) for of in shingles]
+
+
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate((x, y))
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
 def _overlaps(pairs: list[tuple[bytes, bytes]], hashing: Hashing) -> list[tuple[int, int, int]]:
-    """Sizes and overlap of the sets of each pair of texts; where a hash stands for different words, the words themselves are compared."""
+    """Sizes and overlap of the sets of each pair of texts."""
     texts = [*dict.fromkeys(t for pair in pairs for t in pair)]
-    sets, exact = hashing.sets(texts, across=True)
-    if not exact:
-        ids: dict[tuple[bytes, ...], int] = {}
-        shingles = ([tuple(w[i : i + hashing.size]) for i in range(max(1, len(w) - hashing.size + 1))] for w in (t.split(b" ") for t in texts))
-        sets = [np.unique([ids.setdefault(x, len(ids)) for x in of]) for of in shingles]
-    of, out = dict(zip(texts, sets, strict=True)), []
-    for x, y in pairs:
-        both = np.concatenate((of[x], of[y]))
-        both.sort()
-        out.append((len(of[x]), len(of[y]), int((both[1:] == both[:-1]).sum())))
-    return out
+    of = dict(zip(texts, _exact_sets(texts, hashing), strict=True))
+    return [(len(of[x]), len(of[y]), _overlap(of[x], of[y])) for x, y in pairs]
 
 
 def _verify(percent: int, hashing: Hashing):
@@ -457,15 +474,19 @@ class Corpus:
         first = self.docs.where("n > 0").groupBy("key").agg(F.min("rid").alias("rid"))
         return _bloom(first.join(keys.distinct(), "key", "left_semi").select(F.xxhash64("rid")))
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link: by the bound first; only sets in pairs it allows are taken from the texts and compared."""
-        near = cut(_attach(pairs, self.points, "counts").mapInArrow(_within_bound(self.percent), "a long, b long"))
-        if near.isEmpty():
-            return near
-        wanted = self.texts_of(near.select(F.explode(F.array("a", "b")).alias("key")))
-        texts = self.base.mapInArrow(_kept_texts(wanted, self.split), "key long, words binary").dropDuplicates(["key"])
-        with batches_of(near.sparkSession, PAIR_ROWS):
-            return cut(_attach(near, texts, "words").mapInArrow(_verify(self.percent, self.hashing), "a long, b long"))
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that the bound allows."""
+        return cut(_attach(pairs, self.points, "counts").mapInArrow(_within_bound(self.percent), "a long, b long"))
+
+    def words(self, pairs: DataFrame) -> DataFrame:
+        """Rows (key, words) with all sets of the pairs; few others may be among them."""
+        wanted = self.texts_of(pairs.select(F.explode(F.array("a", "b")).alias("key")))
+        return self.base.mapInArrow(_kept_texts(wanted, self.split), "key long, words binary").dropDuplicates(["key"])
+
+    def verified(self, pairs: DataFrame, words: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link, by the words of their sets."""
+        with batches_of(pairs.sparkSession, PAIR_ROWS):
+            return cut(_attach(pairs, words, "words").mapInArrow(_verify(self.percent, self.hashing), "a long, b long"))
 
 
 class CountRTree:
@@ -535,38 +556,62 @@ def _first_met(label: np.ndarray, marks: list[np.ndarray], asking: np.ndarray, h
     return out
 
 
-def _search(percent: int, best: bool):
-    """Pairs of one unit whose labels differ, that the bound allows and that no earlier block has, a < b; with ``best`` only each set's closest."""
+def _meeting(percent: int):
+    """The rows of one unit whose sets have a partner in it: of another label and a size that fits, and not met in an earlier block."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("key")
-        key, label, part = (table.column(c).to_numpy() for c in ("key", "label", "part"))
+        label, part, n = (table.column(c).to_numpy() for c in ("label", "part", "n"))
         held, asking = np.flatnonzero(part == 0), np.flatnonzero(part == part.max())
         asked = _first_met(label, [np.array(m, dtype=np.int64) for m in table.column("marks").to_pylist()], asking, held)
-        found, ratios = [np.zeros((0, 2), dtype=np.int64)], [np.zeros(0)]
-        if asked.any():
-            some, other = asked.any(axis=1), asked.any(axis=0)
-            asked, asking, held = asked[np.ix_(some, other)], asking[some], held[other]
-            points = [_point(r) for r in table.column("counts").to_pylist()]
-            matrix, fine = _matrix(points), np.array([len(p) > GROUPS for p in points])
-            n = matrix.sum(axis=1, dtype=np.int64)
-            tree = CountRTree(matrix[held], n[held])
-            for low in range(0, len(asking), 512):
-                q = asking[low : low + 512]
-                i, j = tree.search(matrix[q], n[q], percent, asked[low : low + 512])
-                i, j = q[i], held[j]
-                for at in range(0, len(i), 1 << 12):
-                    x, y = i[at : at + (1 << 12)], j[at : at + (1 << 12)]
-                    bound = np.minimum(matrix[x], matrix[y]).sum(axis=1, dtype=np.int64)
-                    for k in np.flatnonzero(fine[x] & fine[y]).tolist():
-                        bound[k] = overlap_bound(points[x[k]], points[y[k]])
-                    ok = bound >= _least_overlap(n[x], n[y], percent)
-                    x, y = x[ok], y[ok]
-                    found.append(np.stack((np.minimum(key[x], key[y]), np.maximum(key[x], key[y])), axis=1))
-                    ratios.append(bound[ok] / (n[x] + n[y]))
+        asked &= _compatible(n[asking][:, None], n[held], percent)
+        meets = np.zeros(len(label), dtype=bool)
+        meets[asking[asked.any(axis=1)]] = True
+        meets[held[asked.any(axis=0)]] = True
+        marks = table.column("marks").cast(pa.list_(pa.field("element", pa.int64())))
+        return table.select(["unit", "part", "name", "key", "label"]).append_column("marks", marks).filter(pa.array(meets))
+
+    return run
+
+
+def _candidates(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows x and y of the pairs of one unit whose labels differ, that the bound allows and that no earlier block has, and the bound by both sizes."""
+    label, part = (table.column(c).to_numpy() for c in ("label", "part"))
+    held, asking = np.flatnonzero(part == 0), np.flatnonzero(part == part.max())
+    asked = _first_met(label, [np.array(m, dtype=np.int64) for m in table.column("marks").to_pylist()], asking, held)
+    left, right, ratios = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+    if asked.any():
+        some, other = asked.any(axis=1), asked.any(axis=0)
+        asked, asking, held = asked[np.ix_(some, other)], asking[some], held[other]
+        points = [_point(r) for r in table.column("counts").to_pylist()]
+        matrix, fine = _matrix(points), np.array([len(p) > GROUPS for p in points])
+        n = matrix.sum(axis=1, dtype=np.int64)
+        tree = CountRTree(matrix[held], n[held])
+        for low in range(0, len(asking), 512):
+            q = asking[low : low + 512]
+            i, j = tree.search(matrix[q], n[q], percent, asked[low : low + 512])
+            i, j = q[i], held[j]
+            for at in range(0, len(i), 1 << 12):
+                x, y = i[at : at + (1 << 12)], j[at : at + (1 << 12)]
+                bound = np.minimum(matrix[x], matrix[y]).sum(axis=1, dtype=np.int64)
+                for k in np.flatnonzero(fine[x] & fine[y]).tolist():
+                    bound[k] = overlap_bound(points[x[k]], points[y[k]])
+                ok = bound >= _least_overlap(n[x], n[y], percent)
+                left.append(x[ok])
+                right.append(y[ok])
+                ratios.append(bound[ok] / (n[x[ok]] + n[y[ok]]))
+    return np.concatenate(left), np.concatenate(right), np.concatenate(ratios)
+
+
+def _search(percent: int, best: bool):
+    """Pairs a < b of one unit's candidates; with ``best`` each set's closest only, as (unit, the set, that one)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
+        key = table.column("key").to_numpy()
+        x, y, r = _candidates(table, percent)
+        found = np.stack((np.minimum(key[x], key[y]), np.maximum(key[x], key[y])), axis=1)
         if len(key) > SLICE // 2:
             _text.give_back()
-        found, r = np.concatenate(found), np.concatenate(ratios)
         if not best:
             found = np.unique(found, axis=0)
             return pa.table({"a": found[:, 0].copy(), "b": found[:, 1].copy(), "ratio": np.zeros(len(found))})
@@ -574,7 +619,39 @@ def _search(percent: int, best: bool):
         top = np.lexsort((both[:, 1], -r, both[:, 0]))
         both, r = both[top], r[top]
         one = np.concatenate(([True], both[1:, 0] != both[:-1, 0])) if len(both) else np.zeros(0, dtype=bool)
-        return pa.table({"a": both[one, 0].copy(), "b": both[one, 1].copy(), "ratio": r[one]})
+        return pa.table({"unit": pa.array([table.column("unit")[0].as_py()] * int(one.sum()), pa.binary()), "a": both[one, 0].copy(), "b": both[one, 1].copy(), "ratio": r[one]})
+
+    return run
+
+
+def _joining(percent: int, hashing: Hashing):
+    """Links a < b that join what can be joined of one unit's labels: a forest, by the words of the candidates, closest first."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
+        key, label = table.column("key").to_numpy(), table.column("label").to_numpy()
+        x, y, r = _candidates(table, percent)
+        order = np.argsort(-r, kind="stable")
+        x, y, a, b = x[order], y[order], [], []
+        root = np.unique(label, return_inverse=True)[1]
+        if len(x):
+            some, at = np.unique(np.concatenate((x, y)), return_inverse=True)
+            sets = _exact_sets(table.column("words").take(pa.array(some)).to_pylist(), hashing)
+            x, y, root, key = at[: len(x)], at[len(x) :], root[some], key[some]
+        while len(x):
+            for p, q in zip(x[:256].tolist(), y[:256].tolist(), strict=True):
+                if root[p] != root[q]:
+                    both = _overlap(sets[p], sets[q])
+                    if 100 * both >= percent * (len(sets[p]) + len(sets[q]) - both):
+                        a.append(min(key[p], key[q]))
+                        b.append(max(key[p], key[q]))
+                        root[root == root[q]] = root[p]
+            x, y = x[256:], y[256:]
+            apart = root[x] != root[y]
+            x, y = x[apart], y[apart]
+        if table.num_rows > SLICE // 2 or table.nbytes > VERIFY_BYTES:
+            _text.give_back()
+        return pa.table({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
     return run
 
@@ -593,8 +670,18 @@ def _leads(plain: int):
     return run
 
 
+def _cuts(sizes: np.ndarray, width: int) -> list[int]:
+    """Where slices of sets of these sizes begin, and the end: of at most ``width`` sets and, unless a set alone has more, SLICE_SHINGLES shingles."""
+    ends, out = np.cumsum(sizes, dtype=np.int64), [0]
+    while out[-1] < len(sizes):
+        low = out[-1]
+        most = int(np.searchsorted(ends, ends[low] - int(sizes[low]) + SLICE_SHINGLES, side="right"))
+        out.append(max(low + 1, min(low + width, most, len(sizes))))
+    return out
+
+
 def _slices(plain: int, width: int = SLICE):
-    """The blocks of more than SMALL sets in slices of ``width``, by size: (block, slice, members, least and most of their sizes).
+    """The blocks of more than SMALL sets in slices of up to ``width``, by size: (block, slice, members, least and most of their sizes).
 
     A block is named by a digest of its members, that of a hot shingle by the shingle; its parts have slices of their own.
     """
@@ -615,7 +702,7 @@ def _slices(plain: int, width: int = SLICE):
                         continue
                     seen.add(block)
                     part = 0 if whole else r["bucket"] << 32
-                    rows += [(block, part + i, members[i : i + width].tobytes(), int(sizes[i]), int(sizes[min(i + width, m) - 1])) for i in range(0, m, width)]
+                    rows += [(block, part + i, members[i:j].tobytes(), int(sizes[i]), int(sizes[j - 1])) for i, j in pairwise(_cuts(sizes, width))]
                 if rows:
                     columns = zip(*rows, strict=True)
                     kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
@@ -696,24 +783,28 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     proposed = cut(proposals.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("small").alias("small")))
     slices = cut(slices)
     active = _bloom(proposed.select(F.explode(F.array("a", "b")).alias("key")).unionAll(slices.mapInArrow(_members(()), "key long")).distinct())
-    points = known.where("n > 0").select("key", "counts").mapInArrow(_through(active, "key"), "key long, counts binary")
+    points = known.where("n > 0").select("key", "n", "counts").mapInArrow(_through(active, "key"), "key long, n long, counts binary")
     corpus.points = cut(points.dropDuplicates(["key"]))
 
     best = proposed.groupBy("b").agg(F.max(F.struct("times", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    tree = corpus.verified(best)
+    best = corpus.near(best)
+    tree = corpus.verified(best, corpus.words(best))
     roots = cut(forest_roots(tree.select(F.col("b").alias("node"), F.col("a").alias("parent"))))
     units = cut(_units(slices, roots, percent))
-    marked = cut(corpus.points.join(_marks(units), "key"))
-    searchable = "a long, b long, ratio double"
-    closest = _open_units(units, roots, marked).groupBy("unit").applyInArrow(_search(percent, best=True), searchable)
-    closest = closest.groupBy("a").agg(F.max(F.struct("ratio", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
-    tree = tree.unionAll(corpus.verified(closest))
+    marked = cut(corpus.points.select("key", "n").join(_marks(units), "key"))
+    met = cut(_open_units(units, roots, marked).groupBy("unit").applyInArrow(_meeting(percent), "unit binary, part int, name long, key long, label long, marks array<bigint>"))
+    found = cut(_with(met, corpus.points, "counts").groupBy("unit").applyInArrow(_search(percent, best=True), "unit binary, a long, b long, ratio double"))
+    closest = found.groupBy("a").agg(F.max(F.struct("ratio", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    rest = _labelled(_labelled(proposed.where("small").select("a", "b"), roots, "a", "la"), roots, "b", "lb").where("la <> lb").select("a", "b")
+    pairs = cut(corpus.near(rest).unionAll(closest.select(F.least("a", "b"), F.greatest("a", "b"))).distinct())
+    words = cut(corpus.words(pairs))
+    tree = tree.unionAll(corpus.verified(pairs, words))
     roots = cut(components(tree))
 
-    rest = _labelled(_labelled(proposed.where("small").select("a", "b"), roots, "a", "la"), roots, "b", "lb").where("la <> lb").select("a", "b")
-    searched = _open_units(units, roots, marked).groupBy("unit").applyInArrow(_search(percent, best=False), searchable)
-    more = corpus.verified(rest.unionAll(searched.select("a", "b")).distinct())
-    return docs, tree.unionAll(more)
+    paired = met.select("unit", "part", "name", "key").join(found.select("unit", F.col("a").alias("key")), ["unit", "key"], "left_semi")
+    worded = _with(_with(_open_units(paired, roots, marked), corpus.points, "counts"), words, "words")
+    joined = cut(worded.groupBy("unit").applyInArrow(_joining(percent, corpus.hashing), "a long, b long"))
+    return docs, tree.unionAll(joined)
 
 
 def _labelled(rows: DataFrame, roots: DataFrame, key: str, name: str) -> DataFrame:
@@ -722,11 +813,16 @@ def _labelled(rows: DataFrame, roots: DataFrame, key: str, name: str) -> DataFra
     return rows.join(r, F.col(key) == F.col("r_node"), "left").withColumn(name, F.coalesce("r_root", key)).drop("r_node", "r_root")
 
 
+def _with(rows: DataFrame, of: DataFrame, column: str) -> DataFrame:
+    """Adds the column that another table has for the rows' keys."""
+    return rows.join(of.select(F.col("key").alias("w_key"), column), F.col("key") == F.col("w_key")).drop("w_key")
+
+
 def _open_units(units: DataFrame, roots: DataFrame, marked: DataFrame) -> DataFrame:
-    """Members, with labels, coordinates and the marks before their block, of the units that span several components."""
+    """Members, with labels, sizes and the marks before their block, of the units that span several components."""
     labelled = _labelled(units, roots, "key", "label")
     mixed = labelled.groupBy("unit").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("unit")
-    return labelled.join(mixed, "unit", "left_semi").join(marked.withColumnRenamed("key", "p_key"), F.col("key") == F.col("p_key")).select("unit", "part", "key", "label", "counts", F.filter("marks", lambda m: m < F.col("name")).alias("marks"))
+    return labelled.join(mixed, "unit", "left_semi").join(marked.withColumnRenamed("key", "p_key"), F.col("key") == F.col("p_key")).select("unit", "part", "name", "key", "label", "n", F.filter("marks", lambda m: m < F.col("name")).alias("marks"))
 
 
 def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bits: int = 64) -> DataFrame:

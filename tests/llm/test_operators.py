@@ -598,3 +598,48 @@ def test_substring_dedup_sorts_only_suffixes_whose_hash_repeats(monkeypatch):
     out = substring_dedup._spans(100)(table).to_pydict()
     assert sizes == [4 * 21]
     assert {k: np.frombuffer(v, dtype=np.int64).tolist() for k, v in zip(out["dk"], out["ab"], strict=True)} == {k: [50, 170] for k in (1, 2, 3)}
+
+
+@pytest.mark.parametrize("bits", [64, 2])
+def test_large_parts_of_a_group_leave_few_links(bits):
+    """Parts of a family that nearly all their pairs link are joined by one link each, and pairs within the bound that do not link by none; sets that meet no partner are dropped."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    body, texts = prose(rng, 150).lower().split(" "), []
+    for k in range(90):
+        text = list(body)
+        for at in rng.sample(range(len(text)), 1 if k < 60 else rng.choice([4, 5, 6, 7])):
+            text[at] = f"x{k}"
+        texts.append(" ".join(text))
+    words = [ngram_jaccard._text.words_of(t.encode()) for t in texts]
+    label = [k % 3 if k < 60 else k for k in range(90)]
+    sets = ngram_jaccard.Hashing(5, 99).sets(words)[0]
+    unit = {"unit": pa.array([b"u"] * 90), "part": [0] * 90, "name": [1] * 90, "key": [*range(90)], "label": label, "n": [len(s) for s in sets], "marks": pa.array([[]] * 90, pa.list_(pa.int64())), "counts": pa.array([ngram_jaccard._coordinates(s) for s in sets]), "words": pa.array(words)}
+    out = ngram_jaccard._joining(75, ngram_jaccard.Hashing(5, 99, bits))(pa.table(unit))
+    links = list(zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True))
+    linked = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))
+    assert all(a < b and linked(a, b) for a, b in links)
+
+    def parts(pairs):
+        part = list(label)
+        for a, b in pairs:
+            part = [part[a] if p == part[b] else p for p in part]
+        return [part.index(p) for p in part]
+
+    every = [(a, b) for a in range(90) for b in range(a + 1, 90) if label[a] != label[b] and linked(a, b)]
+    found = ngram_jaccard._search(75, best=False)(pa.table(unit)).num_rows
+    assert parts(links) == parts(every) and len(links) == len(set(label)) - len(set(parts(every))) and found > len(every) > 10 * len(links)
+
+    unit["label"] = [0] * 89 + [1]
+    unit["n"] = [100] * 88 + [10, 100]
+    assert ngram_jaccard._meeting(75)(pa.table(unit))["key"].to_pylist() == [*range(88), 89]
+
+
+def test_slices_hold_a_bounded_number_of_shingles(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(ngram_jaccard, "SLICE_SHINGLES", 100)
+    assert ngram_jaccard._cuts(np.array([10] * 25 + [60, 60, 500], dtype=np.int32), 8) == [0, 8, 16, 24, 26, 27, 28]
+    assert ngram_jaccard._cuts(np.array([30] * 5, dtype=np.int32), 8) == [0, 3, 5] and ngram_jaccard._cuts(np.zeros(0, dtype=np.int32), 8) == [0]
